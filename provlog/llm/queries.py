@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlog.llm import exact_dedup
+from provlog.llm import exact_dedup, fingerprints
 from provlog.llm.common import documents
 
 
@@ -15,8 +15,18 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Homomorphic fingerprints of every text and of its edit with the next document's beginning."""
+    rows = fingerprints.with_edits(documents(spark, sf_dir))
+    return rows.select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", fingerprints.text_form(F.col("lanes")).alias("fingerprint"),
+        fingerprints.text_form(F.col("edited_lanes")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_fingerprints": op3_fingerprints,
 }
 
 ORACLE_SQL = {
