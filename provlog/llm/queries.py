@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlog.llm import exact_dedup, fingerprints
+from provlog.llm import exact_dedup, fingerprints, simhash
 from provlog.llm.common import documents
 
 
@@ -24,9 +24,16 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of SimHash fingerprints of 3-word shingles that differ in two bits at most."""
+    rows = simhash.near_groups(documents(spark, sf_dir), width=3, limit=2)
+    return rows.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_fingerprints": op3_fingerprints,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLE_SQL = {
