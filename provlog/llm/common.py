@@ -52,3 +52,10 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer's vocabulary, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

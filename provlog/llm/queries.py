@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlog.llm import exact_dedup, fingerprints, simhash
-from provlog.llm.common import documents
+from provlog.llm import exact_dedup, fingerprints, packing, simhash
+from provlog.llm.common import documents, tokenizer_file
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +30,16 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens at most."""
+    return packing.pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_fingerprints": op3_fingerprints,
     "op9_simhash": op9_simhash,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL = {
