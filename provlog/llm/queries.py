@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlog.llm import exact_dedup, fingerprints, packing, simhash
+from provlog.llm import bpe, exact_dedup, fingerprints, packing, sharding, simhash
 from provlog.llm.common import documents, tokenizer_file
 
 
@@ -35,11 +35,31 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and the digest of what they decode to."""
+    ranks = tokenizer_file("byte_bpe_50k.tiktoken")
+    rows = bpe.decode(bpe.encode(documents(spark, sf_dir), ranks, offsets=False), ranks)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards 0 to 15 by doc_id, each shuffled; and the shard if there were one more."""
+    rows = sharding.shuffled(documents(spark, sf_dir), 16)
+    key = F.coalesce(F.col("row.doc_id"), F.lit(-1).cast("long"))
+    return rows.select(
+        "row.doc_id", "size", F.crc32(F.encode(F.coalesce("row.text", F.lit("")), "UTF-8")).alias("text_crc32"), F.lit("key").alias("law"),
+        "shard", "slot", sharding.shard_of(key, 17).alias("grown_shard"),
+    )
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_fingerprints": op3_fingerprints,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op5_bpe": op5_bpe,
+    "op6_sharding": op6_sharding,
 }
 
 ORACLE_SQL = {
