@@ -127,7 +127,8 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), whole_text(text_col).alias("body"))
     links = written(neighbours(rows.select("id", F.length("body").alias("n"))), "links")
     joined = rows.join(links, "id", "left")
-    lead = joined.where("prev_id is not null").select(F.col("prev_id").alias("id"), F.struct(F.expr("substring(body, 1, take)").alias("lead"), "uid").alias("x"))
+    # Not filtered by prev_id: both uses of joined must stay alike, so that the text is shuffled once.
+    lead = joined.select(F.col("prev_id").alias("id"), F.struct(F.expr("substring(body, 1, take)").alias("lead"), "uid").alias("x"))
     lead = lead.groupBy("id").agg(F.min("x").alias("x"))
     both = joined.join(lead, "id", "left").withColumn("n", F.length("body")).withColumn("k", F.floor(F.col("n") / 4).cast("int"))
     both = both.withColumns({"kept": F.expr("substring(body, 1, n - k)"), "new": F.coalesce(F.expr("substring(x.lead, 1, k)"), F.lit(""))})
