@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlog.llm import bpe, exact_dedup, fingerprints, packing, sharding, simhash
+from provlog.llm import bpe, exact_dedup, fingerprints, licenses, packing, sharding, simhash, toxicity
 from provlog.llm.common import documents, tokenizer_file
 
 
@@ -53,6 +53,17 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability and verdict of each category of the chain, for every document."""
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.scored(docs, toxicity.fit_chain(docs, labels)).withColumnRenamed("id", "doc_id")
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases, tags and expressions of every text."""
+    return licenses.scan(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_fingerprints": op3_fingerprints,
@@ -60,6 +71,8 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
+    "op2_toxicity": op2_toxicity,
+    "op4_licenses": op4_licenses,
 }
 
 ORACLE_SQL = {
