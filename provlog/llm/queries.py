@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlog.llm import bpe, exact_dedup, fingerprints, licenses, packing, sharding, simhash, toxicity
+from provlog.llm import bpe, exact_dedup, fingerprints, licenses, packing, recompression, sharding, simhash, toxicity
 from provlog.llm.common import documents, tokenizer_file
 
 
@@ -64,6 +64,12 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document without windows of 13 words that smaller documents hold."""
+    rows = recompression.substring_marks(documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("row.doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_fingerprints": op3_fingerprints,
@@ -73,6 +79,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op2_toxicity": op2_toxicity,
     "op4_licenses": op4_licenses,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 
 ORACLE_SQL = {
