@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlog.llm import bpe, exact_dedup, fingerprints, licenses, packing, recompression, sharding, simhash, toxicity
+from provlog.llm import bpe, exact_dedup, fingerprints, licenses, packing, recompression, sharding, simhash, suffix_repeats, toxicity
 from provlog.llm.common import documents, tokenizer_file
 
 
@@ -70,6 +70,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row.doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left of every document without strings of 50 bytes that smaller documents hold."""
+    rows = suffix_repeats.byte_marks(documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("row.doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_fingerprints": op3_fingerprints,
@@ -80,6 +86,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_licenses": op4_licenses,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_suffix_dedup": op8_suffix_dedup,
 }
 
 ORACLE_SQL = {
