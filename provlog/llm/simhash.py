@@ -37,6 +37,8 @@ BLOCKS = 6
 SEED = 42
 FAN = 8
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: For similar texts: bits of a fingerprint, candidate keys, smallest hashes in a key, rows of a key compared at once.
+WIDE, BANDS, EACH, HELD = 1024, 12, 4, 20_000
 #: Pairs of nodes compared in one step.
 STEP = 1 << 18
 
@@ -186,8 +188,105 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.join(each, "fp")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, limit: int = 2) -> DataFrame:
-    """The documents whose identifier names their group, with all their columns; those without one stay."""
-    groups = near_groups(docs, id_col, text_col, width, limit)
-    lost = groups.where("id is not null and id != component").select("id").distinct()
-    return docs.join(lost, docs[id_col] == lost["id"], "left_anti")
+class Wide:
+    """Wide fingerprint and candidate keys of a text's distinct shingles."""
+
+    def __init__(self):
+        draw = np.random.default_rng(SEED)
+        self.salts = draw.integers(0, 1 << 63, WIDE // BITS, dtype=np.uint64)
+        self.odd = draw.integers(0, 1 << 63, BANDS * EACH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def of(self, text: str | None, width: int) -> tuple[bytes, np.ndarray]:
+        words = (text or "").encode().lower().split()
+        if not words:
+            return bytes(WIDE // 8), np.zeros(BANDS, np.int64)
+        n = max(1, len(words) - width + 1)
+        each = {xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(n)}
+        h = np.fromiter(each, np.uint64, len(each))
+        ones, least = np.zeros((len(self.salts), BITS), np.int64), np.full(len(self.odd), ONES)
+        for at in range(0, len(h), 2048):
+            part = h[at : at + 2048]
+            x = part ^ self.salts[:, None]
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            x ^= x >> np.uint64(32)
+            ones += np.unpackbits(x.view(np.uint8).reshape(len(self.salts), len(part), 8), axis=2).sum(axis=1, dtype=np.int64)
+            least = np.minimum(least, (part * self.odd[:, None]).min(axis=1))
+        keys = [xxhash.xxh64_intdigest(least[EACH * b : EACH * (b + 1)].tobytes(), b) for b in range(BANDS)]
+        return np.packbits(2 * ones > len(h)).tobytes(), np.array(keys, np.uint64).view(np.int64)
+
+
+def linked(fp: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Positions that join each component of fingerprints (rows of words) within limit bits.
+
+    A search from each unseen row compares only with rows not yet reached: a dense group costs few comparisons.
+    """
+    out, rest = [], np.arange(len(fp))
+    while len(rest) > 1:
+        front, rest = [int(rest[0])], rest[1:]
+        while front and len(rest):
+            i = front.pop()
+            near = np.bitwise_count(fp[rest] ^ fp[i]).sum(axis=1) <= limit
+            if near.any():
+                out += [(i, j) for j in rest[near].tolist()]
+                front += rest[near].tolist()
+                rest = rest[~near]
+    return out
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(node, component) of each document that a chain of similar ones joins to another.
+
+    Two texts whose sets of shingles have Jaccard similarity s differ in a share
+    acos(2s / (1 + s)) / pi of the bits of a SimHash.  At 0.8 that is 10 of 64 bits, too many
+    for blocks that agree; so candidates meet by smallest hashes (``BANDS`` keys of ``EACH``)
+    and are compared by fingerprints of ``WIDE`` bits, up to one standard deviation more.
+    """
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    limit = int(WIDE * share + (WIDE * share * (1 - share)) ** 0.5)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = Wide()
+        for batch in batches:
+            found = [wide.of(t.as_py(), width) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in found], pa.binary()), pa.array([k.tolist() for _, k in found], pa.list_(pa.int64()))], ["id", "fp", "keys"])
+
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    signed = written(slim.mapInArrow(sign, "id long, fp binary, keys array<long>"), "signed")
+    keyed = signed.select("id", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
+    members = keyed.join(shared, "key").join(signed.select("id", "fp"), "id").select("key", "id", "fp")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes]] = []
+        key, out = None, []
+
+        def settle() -> list[tuple[int, bytes]]:
+            """Emit the links of what is held; one row of each component stays."""
+            pairs = linked(np.frombuffer(b"".join(f for _, f in held), np.uint64).reshape(len(held), -1), limit)
+            out.extend((held[i][0], held[j][0]) for i, j in pairs)
+            found = {j for _, j in pairs}
+            return [x for i, x in enumerate(held) if i not in found]
+
+        for batch in chain(batches, [None]):
+            rows = zip(*(c.to_pylist() for c in batch.columns)) if batch is not None else [(None, None, None)]
+            for k, i, f in rows:
+                if k != key or len(held) >= HELD:
+                    rest = settle() if len(held) > 1 else held
+                    held = rest if k == key else []
+                    key = k
+                held.append((i, f))
+            if out:
+                a, b = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                out.clear()
+
+    return components(members.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long"))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of similar ones, that with the smallest identifier, with all columns.
+
+    Rows without an identifier stay.  Texts without words are alike.
+    """
+    lost = similar_groups(docs, id_col, text_col, width, similarity).where("node != component").select(F.col("node").alias("lost"))
+    return docs.join(lost, docs[id_col] == F.col("lost"), "left_anti")
