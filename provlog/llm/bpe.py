@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LETTER, NUMBER, SPACE, OTHER = range(4)
-#: Distinct slices kept by a task; beyond it the cache starts anew.
-CACHE = 400_000
+#: Distinct slices kept by a Python worker; beyond it the cache starts anew.
+CACHE = 800_000
 #: Rows handled at once.
 ROWS = 128
 # The code points of Unicode's White_Space property.
@@ -123,11 +123,17 @@ class Encoder:
         return out
 
 
+@cache
+def encoder_of(path: str) -> Encoder:
+    """One cache of slices for all tasks of a Python worker."""
+    return Encoder(path)
+
+
 def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True) -> DataFrame:
     """(doc_id, ids[, offsets]): the ids of each text, and the byte at which each starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(ranks)
+        encoder = encoder_of(ranks)
         width = np.zeros(len(encoder.tokens) and max(encoder.tokens) + 1, np.int64)
         for i, b in encoder.tokens.items():
             width[i] = len(b)
@@ -150,7 +156,7 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     """(doc_id, ids, decoded): the bytes of the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Encoder(ranks).tokens.__getitem__
+        tokens = encoder_of(ranks).tokens.__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)

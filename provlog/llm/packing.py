@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,9 @@ from provlog.llm.common import written
 LENGTH = 2048
 UNIT = 16
 END = 1
-#: Words kept by a task; beyond it the cache starts anew.
-CACHE = 400_000
+#: Words kept by a Python worker; beyond it the cache starts anew.
+CACHE = 1_000_000
+MARKS = b",.!?;:"
 #: Pieces ranked in one bucket, about.
 BUCKET = 2000
 Pattern = tuple[dict[int, int], int]
@@ -43,7 +45,10 @@ Pattern = tuple[dict[int, int], int]
 class WordIds:
     """Ids of white-space separated words, as little-endian 32-bit bytes, cached by word.
 
-    White space always ends a token of this kind of tokenizer, so words are encoded one by one.
+    White space always ends a token of this kind of tokenizer, and so does the edge between a
+    letter or digit and the marks after it, so a word's stem and its closing marks are encoded
+    one by one.  The tokenizer lower-cases; A-Z is lower-cased here, so that a word is cached
+    once (not in texts that could hold the name of a special token, which case decides).
     """
 
     def __init__(self, path: str):
@@ -54,25 +59,45 @@ class WordIds:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
+    def learn(self, new: set[bytes]) -> None:
+        stems, split = set(), []
+        for word in new:
+            stem = word.rstrip(MARKS)
+            if len(stem) < len(word) and stem[-1:].isalnum():
+                split.append((word, stem, word[len(stem) :]))
+                stems.update(x for x in split[-1][1:] if x not in self.known)
+            else:
+                stems.add(word)
+        todo = list(stems)
+        for at in range(0, len(todo), 2000):
+            part = todo[at : at + 2000]
+            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                self.known[word] = np.array(found.ids, "<u4").tobytes()
+        for word, stem, marks in split:
+            self.known[word] = self.known[stem] + self.known[marks]
+
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]
+        bodies = [(t or "").encode() for t in texts]
+        split = [(b if b"<|" in b else b.lower()).split() for b in bodies]
         if len(self.known) > CACHE:
             self.known = {}
-        new = list({w for words in split for w in words if w not in self.known})
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            for word, found in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
+        self.learn({w for words in split for w in words if w not in self.known})
         of, end = self.known.__getitem__, np.array([END], "<u4").tobytes()
         return [b"".join(map(of, words)) + end for words in split]
 
 
+@cache
+def words_of(path: str) -> WordIds:
+    """One cache for all tasks of a Python worker."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): each document cut into full sequences and a rest."""
     step = 4 * LENGTH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = words_of(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
