@@ -5,6 +5,8 @@ Everything stays in the JVM; nothing here is a Python UDF.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -140,17 +142,23 @@ def shorten(iri: Column, prefixes: Column) -> Column:
     return F.when(F.size(entries) == 0, F.concat(F.lit("<"), iri, F.lit(">"))).otherwise(F.concat(best["key"], F.lit(":"), F.substring(iri, F.length(best["value"]) + 1, F.length(iri))))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def parse_entry(line: Column, prefixes: Column) -> Column:
     """A struct (time, class, subject, fields) of an entry's line."""
-    found = tokens(line)
 
-    def field(t: Column) -> Column:
-        plain = unquote(t)
+    def field(plain: Column) -> Column:
         at = F.instr(plain, "=")
         return F.struct(F.substring(plain, F.lit(1), at - 1).alias("key"), F.substring(plain, at + 1, F.length(plain)).alias("value"))
 
-    fields = F.transform(F.slice(found, 4, F.greatest(F.size(found) - 3, F.lit(0))), field)
-    return F.struct(F.get(found, 0).alias("time"), expand(F.get(found, 1), prefixes).alias("class"), F.get(found, 2).alias("subject"), fields.alias("fields"))
+    def entry(found: Column) -> Column:
+        fields = F.transform(F.transform(F.slice(found, 4, F.greatest(F.size(found) - 3, F.lit(0))), unquote), field)
+        return F.struct(F.get(found, 0).alias("time"), bound(F.get(found, 1), lambda c: expand(c, prefixes)).alias("class"), F.get(found, 2).alias("subject"), fields.alias("fields"))
+
+    return bound(tokens(line), entry)
 
 
 def first_value(fields: Column, key: str) -> Column:

@@ -63,12 +63,17 @@ def field_rows(entries: DataFrame) -> DataFrame:
 
 
 def declared(entries: DataFrame, keys: DataFrame) -> DataFrame:
+    """Fields whose key binds a property, each statement once."""
+    return declared_rows(entries, keys).distinct()
+
+
+def declared_rows(entries: DataFrame, keys: DataFrame) -> DataFrame:
     """Fields whose key binds a property: typed by its range; values that can't be IRIs stay literals."""
     f = field_rows(entries).join(F.broadcast(keys), "key")
     literal = F.col("range").startswith(XSD)
     iri = ~literal & X.is_rdf_iri(F.col("value"))
     kind, type_ = F.when(iri, "iri").otherwise("literal"), F.when(literal, F.col("range")).when(~iri, XSD + "string")
-    return exploded(f, triple(F.col("id"), F.col("property"), F.col("value"), kind, type_)).distinct()
+    return exploded(f, triple(F.col("id"), F.col("property"), F.col("value"), kind, type_))
 
 
 def undeclared(entries: DataFrame, keys: DataFrame) -> DataFrame:

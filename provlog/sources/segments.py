@@ -64,3 +64,22 @@ def lines(files: DataFrame) -> DataFrame:
     each = ok.select(F.col("h.name").alias("segment"), F.col("h.prefixes").alias("prefixes"), F.posexplode(F.split("text", "\n")).alias("at", "raw"), F.size(F.split(F.substring_index("text", "\n\n", 1), "\n")).alias("head"))
     rows = each.where("at > head").select("segment", "prefixes", (F.col("at") + 1).cast("long").alias("line_no"), F.rtrim("raw").alias("raw"))
     return rows.withColumn("kind", X.line_kind(F.col("raw")))
+
+
+#: Lines in a header at most, where segments come as lines.
+HEADER_LINES = 256
+
+
+def of_lines(written: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(headers, lines) of segments given as rows (segment, line_no, line): h0 is the hash of the canonical header.
+
+    headers: segment, instance, level, started, prev, prefixes, error, h0, head_lines.  lines: segment, line_no, raw, kind, prefixes.
+    """
+    from provlog.sources.derived import header_text
+
+    top = written.where(F.col("line_no") <= HEADER_LINES).groupBy("segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("text"))
+    h = top.select(parse_header(F.col("text")).alias("h"), F.col("segment").alias("of"), F.size(F.split(F.substring_index("text", "\n\n", 1), "\n")).alias("head_lines"))
+    canonical = header_text(MAGIC, F.col("h.prefixes"), F.col("h.name"), F.col("h.instance"), X.shorten(F.col("h.level"), F.col("h.prefixes")), F.col("h.started"), F.col("h.prev"))
+    headers = h.select(F.col("of").alias("segment"), "h.instance", "h.level", "h.started", "h.prev", "h.prefixes", "h.error", X.tagged_hash(canonical).alias("h0"), "head_lines")
+    body = written.join(headers.select("segment", "prefixes", "head_lines"), "segment").where("line_no > head_lines")
+    return headers, body.select("segment", "line_no", F.col("line").alias("raw"), X.line_kind(F.col("line")).alias("kind"), "prefixes")
