@@ -37,6 +37,10 @@ from pyspark.sql import types as T
 NO_ID = np.iinfo(np.int64).max
 #: Windows in a segment at most: a bit for each fits one word.
 RUN = 32
+#: Chunks of the smallest table that is spread at all, bytes of text in a chunk at most, chunks for a bucket.
+SPREAD, LARGEST, DEAL = 48, 8 << 20, 4
+#: Bytes of text at which SPREAD chunks are taken; from there on their number grows with the root of the size.
+PIVOT = 150_000_000
 
 
 class Units(Protocol):
@@ -90,6 +94,16 @@ class Chunk:
         return seed[start], row[start], at[start], np.diff(np.concatenate((start, [len(at)])))
 
 
+def spread(total: int) -> int:
+    """How many chunks a text of so many bytes is dealt to.
+
+    Each chunk sends a row to each bucket at most, so the rows sent grow in proportion to the
+    text while chunks and buckets grow with its root; chunks never exceed LARGEST bytes (from
+    there on a row holds ever fewer seeds, down to one each).
+    """
+    return max(-(-total // LARGEST), int(SPREAD * (total / PIVOT) ** 0.5), 1)
+
+
 def grouped(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """Bucket numbers and the positions in each."""
     order = np.argsort(bucket, kind="stable")
@@ -113,8 +127,9 @@ def marked(
 
     minima: for segments and the smallest identifier of each, the smallest identifier of each window.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks, buckets = 8 * parts, 2 * parts
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    chunks = spread(total)
+    buckets = max(1, chunks // DEAL)
     rows = docs.select(
         F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(chunks)).cast("int").alias("chunk"),
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct("*").alias("row"),
