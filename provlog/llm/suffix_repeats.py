@@ -64,9 +64,9 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         key = (key << 9) | np.concatenate((text[i:], np.zeros(min(i, n), text.dtype))).astype(np.int64)
     done = PACKED
     while True:
-        order = np.argsort(key, kind="stable")
         if done >= depth:
-            return order
+            return np.argsort(key, kind="stable")
+        order = np.argsort(key)  # ranks don't depend on the order of equal keys
         sorted_ = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate(([0], sorted_[1:] != sorted_[:-1])))
