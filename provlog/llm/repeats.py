@@ -37,9 +37,9 @@ from pyspark.sql import types as T
 NO_ID = np.iinfo(np.int64).max
 #: Windows in a segment at most: a bit for each fits one word.
 RUN = 32
-#: Chunks of the smallest table that is spread at all, bytes of text in a chunk at most, chunks for a bucket.
-SPREAD, LARGEST, DEAL = 48, 8 << 20, 4
-#: Bytes of text at which SPREAD chunks are taken; from there on their number grows with the root of the size.
+#: Chunks at PIVOT bytes of text, bytes of text in a chunk at most, buckets for each chunk.
+SPREAD, LARGEST, DEAL = 48, 8 << 20, 1.5
+#: The number of chunks grows with the root of the size from here on.
 PIVOT = 150_000_000
 
 
@@ -129,7 +129,7 @@ def marked(
     """
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     chunks = spread(total)
-    buckets = max(1, chunks // DEAL)
+    buckets = max(1, int(chunks * DEAL))
     rows = docs.select(
         F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(chunks)).cast("int").alias("chunk"),
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct("*").alias("row"),
