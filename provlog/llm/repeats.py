@@ -137,8 +137,9 @@ def marked(
 
     def send_seeds(table: pa.Table) -> pa.Table:
         chunk, number = Chunk(table, units, window), table.column("chunk")[0].as_py()
-        order = np.argsort(chunk.seed, kind="stable")
-        seed, ids = chunk.seed[order], chunk.ids[chunk.row[order]]
+        seed, row, _, _ = chunk.segments()  # neighbours with one seed count once
+        order = np.argsort(seed)
+        seed, ids = seed[order], chunk.ids[row[order]]
         start = np.flatnonzero(np.concatenate(([True] * bool(len(seed)), seed[1:] != seed[:-1])))
         several = np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start) if len(start) else np.zeros(0, bool)
         seed = seed[start]

@@ -25,6 +25,22 @@ from provlog.llm.repeats import marked, mix
 WINDOW = 50
 GRAM = 16
 PACKED = 7
+#: Positions hashed at once, so that arrays stay in the processor's cache.
+BLOCK = 1 << 15
+
+
+def window_seeds(raw: np.ndarray) -> np.ndarray:
+    """For each window of the bytes, the smallest hash of its strings of GRAM bytes."""
+    x = raw.astype(np.uint64)
+    for shift in (1, 2, 4):  # eight bytes from each position on
+        x = x[:-shift] | (x[shift:] << np.uint64(8 * shift))
+    x = mix(x[:-8] * np.uint64(0x9E3779B97F4A7C15) + mix(x[8:]))
+    span, width = WINDOW - GRAM + 1, 1
+    while width < span:  # smallest of span neighbours
+        step = min(width, span - width)
+        x = np.minimum(x[:-step], x[step:])
+        width += step
+    return x
 
 
 class Bytes:
@@ -37,16 +53,12 @@ class Bytes:
 
     def seeds(self) -> np.ndarray:
         size = len(self.body)
-        x = np.frombuffer(self.body + bytes(64), np.uint8).astype(np.uint64)
-        for shift in (1, 2, 4):  # eight bytes from each position on
-            x = x[:-shift] | (x[shift:] << np.uint64(8 * shift))
-        x = mix(x[:-8] * np.uint64(0x9E3779B97F4A7C15) + mix(x[8:]))
-        span, width = WINDOW - GRAM + 1, 1
-        while width < span:  # smallest of span neighbours
-            step = min(width, span - width)
-            x = np.minimum(x[:-step], x[step:])
-            width += step
-        return x[:size]
+        raw = np.frombuffer(self.body + bytes(WINDOW), np.uint8)
+        out = np.empty(size, np.uint64)
+        for at in range(0, size, BLOCK):
+            n = min(BLOCK, size - at)
+            out[at : at + n] = window_seeds(raw[at : at + n + WINDOW - 1])
+        return out
 
     def segment(self, first: int, last: int) -> bytes:
         return self.body[first:last]
@@ -64,9 +76,9 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         key = (key << 9) | np.concatenate((text[i:], np.zeros(min(i, n), text.dtype))).astype(np.int64)
     done = PACKED
     while True:
+        order = np.argsort(key)  # neither ranks nor intervals depend on the order of equal keys
         if done >= depth:
-            return np.argsort(key, kind="stable")
-        order = np.argsort(key)  # ranks don't depend on the order of equal keys
+            return order
         sorted_ = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate(([0], sorted_[1:] != sorted_[:-1])))
