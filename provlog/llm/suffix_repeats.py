@@ -1,6 +1,6 @@
 """Suffix-array deduplication of bytes: interval expansion on a Burrows-Wheeler transform.
 
-Spark deals the text: each window of 50 bytes has as seed the smallest hash of its 16-byte
+Spark deals the text: each window of 50 bytes has as seed the smallest hash of its 20-byte
 strings, so all occurrences of a window meet in one task (:mod:`provlog.llm.repeats`).
 There the distinct segments of seeds that have several are indexed together:
 
@@ -23,8 +23,10 @@ from pyspark.sql import DataFrame
 from provlog.llm.repeats import marked, mix
 
 WINDOW = 50
-GRAM = 16
+#: Shorter strings bring windows together that have little else in common; longer ones make more seeds.
+GRAM = 20
 PACKED = 7
+A = np.uint64(0x9E3779B97F4A7C15)
 #: Positions hashed at once, so that arrays stay in the processor's cache.
 BLOCK = 1 << 15
 
@@ -34,7 +36,7 @@ def window_seeds(raw: np.ndarray) -> np.ndarray:
     x = raw.astype(np.uint64)
     for shift in (1, 2, 4):  # eight bytes from each position on
         x = x[:-shift] | (x[shift:] << np.uint64(8 * shift))
-    x = mix(x[:-8] * np.uint64(0x9E3779B97F4A7C15) + mix(x[8:]))
+    x = mix(mix(x[:-12] * A + x[8:-4]) * A + x[12:])
     span, width = WINDOW - GRAM + 1, 1
     while width < span:  # smallest of span neighbours
         step = min(width, span - width)
