@@ -37,6 +37,8 @@ from pyspark.sql import types as T
 NO_ID = np.iinfo(np.int64).max
 #: Windows in a segment at most: a bit for each fits one word.
 RUN = 32
+#: Bytes of a seed.  Seeds only bring windows together; those that agree by chance are told apart by their units.
+SEED = 6
 #: Chunks at PIVOT bytes of text, bytes of text in a chunk at most, buckets for each chunk.
 SPREAD, LARGEST, DEAL = 48, 8 << 20, 1.5
 #: The number of chunks grows with the root of the size from here on.
@@ -76,7 +78,7 @@ class Chunk:
         row = np.repeat(np.arange(len(counts)), counts)
         valid = np.arange(total) + window <= self.edges[row + 1] if total else np.zeros(0, bool)
         self.at = np.flatnonzero(valid)
-        self.seed, self.row = seeds[self.at], row[self.at]
+        self.seed, self.row = seeds[self.at] & np.uint64((1 << 8 * SEED) - 1), row[self.at]
 
     def segments(self, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """seed, row, first unit and windows of each run of neighbouring windows with one seed."""
@@ -94,6 +96,19 @@ class Chunk:
         return seed[start], row[start], at[start], np.diff(np.concatenate((start, [len(at)])))
 
 
+def packed(seeds: np.ndarray) -> bytes:
+    """Seeds as they are sent, SEED bytes each."""
+    return np.ascontiguousarray(seeds, "<u8").view(np.uint8).reshape(-1, 8)[:, :SEED].tobytes()
+
+
+def unpacked(table: pa.Table, name: str) -> np.ndarray:
+    """Seeds of all rows."""
+    sent = joined(table, name, np.uint8).reshape(-1, SEED)
+    out = np.zeros((len(sent), 8), np.uint8)
+    out[:, :SEED] = sent
+    return out.reshape(-1).view("<u8")
+
+
 def spread(total: int) -> int:
     """How many chunks a text of so many bytes is dealt to.
 
@@ -143,11 +158,11 @@ def marked(
         start = np.flatnonzero(np.concatenate(([True] * bool(len(seed)), seed[1:] != seed[:-1])))
         several = np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start) if len(start) else np.zeros(0, bool)
         seed = seed[start]
-        out = [(b, number, seed[p].tobytes(), several[p].tobytes()) for b, p in grouped((seed % np.uint64(buckets)).astype(np.int64))]
+        out = [(b, number, packed(seed[p]), several[p].tobytes()) for b, p in grouped((seed % np.uint64(buckets)).astype(np.int64))]
         return rows_of(out, [("bucket", pa.int32()), ("chunk", pa.int32()), ("seeds", pa.binary()), ("several", pa.binary())])
 
     def find_shared(table: pa.Table) -> pa.Table:
-        seed, several = joined(table, "seeds", np.uint64), joined(table, "several", bool)
+        seed, several = unpacked(table, "seeds"), joined(table, "several", bool)
         order = np.argsort(seed, kind="stable")
         same = seed[order][1:] == seed[order][:-1]
         shared = several.copy()
@@ -155,11 +170,11 @@ def marked(
         shared[order[:-1][same]] = True
         out, at = [], 0
         for number, blob in zip(table.column("chunk").to_pylist(), table.column("seeds").to_pylist()):
-            n = len(blob) // 8
+            n = len(blob) // SEED
             found = seed[at : at + n][shared[at : at + n]]
             at += n
             if len(found):
-                out.append((number, found.tobytes()))
+                out.append((number, packed(found)))
         return rows_of(out, [("chunk", pa.int32()), ("seeds", pa.binary())])
 
     def send_segments(table: pa.Table, shared: pa.Table) -> pa.Table:
@@ -167,7 +182,7 @@ def marked(
         if not table.num_rows or not shared.num_rows:
             return rows_of([], kinds)
         chunk, number = Chunk(table, units, window), table.column("chunk")[0].as_py()
-        seed, row, first, n = chunk.segments(np.sort(joined(shared, "seeds", np.uint64)))
+        seed, row, first, n = chunk.segments(np.sort(unpacked(shared, "seeds")))
         best: dict[bytes, tuple[int, int]] = {}
         cut = chunk.units.segment
         for i, (a, w, d) in enumerate(zip(first.tolist(), n.tolist(), chunk.ids[row].tolist())):
@@ -181,11 +196,11 @@ def marked(
         out = []
         for b, p in grouped((seed % np.uint64(buckets)).astype(np.int64)):
             part = [texts[i] for i in p.tolist()]
-            out.append((b, number, seed[p].tobytes(), ids[p].tobytes(), np.array([len(t) for t in part], np.uint32).tobytes(), b"".join(part)))
+            out.append((b, number, packed(seed[p]), ids[p].tobytes(), np.array([len(t) for t in part], np.uint32).tobytes(), b"".join(part)))
         return rows_of(out, kinds)
 
     def compare(table: pa.Table) -> pa.Table:
-        seed, ids = joined(table, "seeds", np.uint64).tolist(), joined(table, "ids", np.int64)
+        seed, ids = unpacked(table, "seeds").tolist(), joined(table, "ids", np.int64)
         known: dict[bytes, int] = {}
         which, texts, seeds = [], [], []
         at = 0
