@@ -39,6 +39,10 @@ FAN = 8
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: For similar texts: bits of a fingerprint, candidate keys, smallest hashes in a key, rows of a key compared at once.
 WIDE, BANDS, EACH, HELD = 1024, 12, 4, 20_000
+#: Standard deviations by which fingerprints may exceed the mean distance; shingles below which they prune nothing.
+SLACK, FEW = 5, 64
+#: Rows and shingles of a cluster that are compared in one block.
+BLOCK_ROWS, BLOCK_SHINGLES = 4_096, 4_000_000
 #: Pairs of nodes compared in one step.
 STEP = 1 << 18
 
@@ -188,6 +192,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.join(each, "fp")
 
 
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Hashes of a text's distinct shingles, sorted; none for a text without words."""
+    words = (text or "").encode().lower().split()
+    n = max(1, len(words) - width + 1) if words else 0
+    each = {xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(n)}
+    return np.sort(np.fromiter(each, np.uint64, len(each)))
+
+
 class Wide:
     """Wide fingerprint and candidate keys of a text's distinct shingles."""
 
@@ -196,13 +208,9 @@ class Wide:
         self.salts = draw.integers(0, 1 << 63, WIDE // BITS, dtype=np.uint64)
         self.odd = draw.integers(0, 1 << 63, BANDS * EACH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def of(self, text: str | None, width: int) -> tuple[bytes, np.ndarray]:
-        words = (text or "").encode().lower().split()
-        if not words:
+    def of(self, h: np.ndarray) -> tuple[bytes, np.ndarray]:
+        if not len(h):
             return bytes(WIDE // 8), np.zeros(BANDS, np.int64)
-        n = max(1, len(words) - width + 1)
-        each = {xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(n)}
-        h = np.fromiter(each, np.uint64, len(each))
         ones, least = np.zeros((len(self.salts), BITS), np.int64), np.full(len(self.odd), ONES)
         for at in range(0, len(h), 2048):
             part = h[at : at + 2048]
@@ -215,72 +223,206 @@ class Wide:
         return np.packbits(2 * ones > len(h)).tobytes(), np.array(keys, np.uint64).view(np.int64)
 
 
-def linked(fp: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """Positions that join each component of fingerprints (rows of words) within limit bits.
+def linked(fp: np.ndarray, radius: np.ndarray, low: np.ndarray, high: np.ndarray, limit: int, similarity: float) -> list[list[int]]:
+    """Components of balls, as positions: fingerprints (rows of words) within limit and both radii, and sizes that agree.
 
     A search from each unseen row compares only with rows not yet reached: a dense group costs few comparisons.
     """
     out, rest = [], np.arange(len(fp))
-    while len(rest) > 1:
+    while len(rest):
         front, rest = [int(rest[0])], rest[1:]
+        group = list(front)
         while front and len(rest):
             i = front.pop()
-            near = np.bitwise_count(fp[rest] ^ fp[i]).sum(axis=1) <= limit
+            sized = (low[rest] * similarity <= high[i] + 1e-9) & (low[i] * similarity <= high[rest] + 1e-9)
+            near = sized & (np.bitwise_count(fp[rest] ^ fp[i]).sum(axis=1, dtype=np.int64) <= limit + radius[rest] + radius[i])
             if near.any():
-                out += [(i, j) for j in rest[near].tolist()]
                 front += rest[near].tolist()
+                group += rest[near].tolist()
                 rest = rest[~near]
+        out.append(group)
     return out
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(node, component) of each document that a chain of similar ones joins to another.
+def candidates(members: DataFrame, limit: int, similarity: float) -> DataFrame:
+    """(a, b): links between rows of a key that fingerprints and numbers of shingles don't rule out.  members: (key, id, n, fp).
 
-    Two texts whose sets of shingles have Jaccard similarity s differ in a share
-    acos(2s / (1 + s)) / pi of the bits of a SimHash.  At 0.8 that is 10 of 64 bits, too many
-    for blocks that agree; so candidates meet by smallest hashes (``BANDS`` keys of ``EACH``)
-    and are compared by fingerprints of ``WIDE`` bits, up to one standard deviation more.
+    Rows are balls around their fingerprints, of the radius by which pruning must be wider.
     """
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    limit = int(WIDE * share + (WIDE * share * (1 - share)) ** 0.5)
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide = Wide()
-        for batch in batches:
-            found = [wide.of(t.as_py(), width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in found], pa.binary()), pa.array([k.tolist() for _, k in found], pa.list_(pa.int64()))], ["id", "fp", "keys"])
-
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    signed = written(slim.mapInArrow(sign, "id long, fp binary, keys array<long>"), "signed")
-    keyed = signed.select("id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    members = keyed.join(shared, "key").join(signed.select("id", "fp"), "id").select("key", "id", "fp")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes]] = []
+        held: list[tuple[int, bytes, int, int, int]] = []
         key, out = None, []
 
-        def settle() -> list[tuple[int, bytes]]:
-            """Emit the links of what is held; one row of each component stays."""
-            pairs = linked(np.frombuffer(b"".join(f for _, f in held), np.uint64).reshape(len(held), -1), limit)
-            out.extend((held[i][0], held[j][0]) for i, j in pairs)
-            found = {j for _, j in pairs}
-            return [x for i, x in enumerate(held) if i not in found]
+        def settle() -> list[tuple[int, bytes, int, int, int]]:
+            ids, prints, *sizes = zip(*held)
+            fp = np.frombuffer(b"".join(prints), np.uint64).reshape(len(held), -1)
+            radius, low, high = (np.array(x, np.int64) for x in sizes)
+            balls = []
+            for group in linked(fp, radius, low, high, limit, similarity):
+                first = group[0]
+                out.extend((ids[first], ids[j]) for j in group[1:])
+                balls.append(held[first])
+            return balls
 
         for batch in chain(batches, [None]):
-            rows = zip(*(c.to_pylist() for c in batch.columns)) if batch is not None else [(None, None, None)]
-            for k, i, f in rows:
+            rows = zip(*(c.to_pylist() for c in batch.columns)) if batch is not None else [(None, None, 0, None)]
+            for k, i, n, f in rows:
                 if k != key or len(held) >= HELD:
                     rest = settle() if len(held) > 1 else held
                     held = rest if k == key else []
                     key = k
-                held.append((i, f))
+                held.append((i, f, WIDE if n < FEW else 0, n, n))
             if out:
                 a, b = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                 out.clear()
 
-    return components(members.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long"))
+    return members.repartition("key").sortWithinPartitions("key", "id").mapInArrow(join, "a long, b long")
+
+
+def similar(sets: list[np.ndarray], label: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Positions that join sets whose Jaccard similarity is similarity or more; rows of one label are joined already.
+
+    A search from each unseen row compares only with rows not yet reached.  Overlaps are
+    counted over the rows left or over the rows that hold the same shingles, whichever are fewer.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    if len(sets) < 2 or not size.sum():
+        return []
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(size)
+    own = [token[e - n : e] for e, n in zip(ends.tolist(), size.tolist())]
+    row = np.repeat(np.arange(len(sets)), size)[np.argsort(token, kind="stable")]
+    held = np.bincount(token)
+    start = np.cumsum(held) - held
+    mark = np.zeros(len(held), bool)
+    alike: dict[int, list[int]] = {}
+    for i, x in enumerate(label):
+        alike.setdefault(x, []).append(i)
+    left, out = np.ones(len(sets), bool), []
+    rest, flat = np.empty(0, np.int64), None
+    for first in range(len(sets)):
+        if not left[first]:
+            continue
+        front = list(alike[label[first]])
+        left[front] = False
+        while front:
+            i = front.pop()
+            if flat is None or not left[rest].all():
+                rest, flat = np.flatnonzero(left), None
+            if not len(rest):
+                return out
+            if held[own[i]].sum() < size[rest].sum():
+                met = np.concatenate([row[start[t] : start[t] + held[t]] for t in own[i].tolist()]) if len(own[i]) else row[:0]
+                shared = np.bincount(met, minlength=len(sets))[rest]
+            else:
+                if flat is None:
+                    flat, at = np.concatenate([own[j] for j in rest.tolist()]), np.cumsum(size[rest])
+                mark[own[i]] = True
+                upto = np.concatenate(([0], np.cumsum(mark[flat])))
+                shared = upto[at] - upto[at - size[rest]]
+                mark[own[i]] = False
+            near = rest[(1 + similarity) * shared >= similarity * (size[i] + size[rest]) - 1e-9]
+            for j in near.tolist():
+                if left[j]:
+                    out.append((i, j))
+                    more = alike[label[j]]
+                    left[more] = False
+                    front += more
+    return out
+
+
+def verified(docs: DataFrame, dealt: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b): exact links.  docs: (id, text); dealt: (id, label, cluster, one, two), rows of a group (cluster, one, two) are compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, labels, sets = None, [], [], []
+        for batch in chain(batches, [None]):
+            rows = zip(*(c.to_pylist() for c in batch.columns)) if batch is not None else [(None,) * 6]
+            out = []
+            for cluster, one, two, i, label, text in rows:
+                if (cluster, one, two) != key:
+                    out += [(ids[a], ids[b]) for a, b in similar(sets, labels, similarity)]
+                    key, ids, labels, sets = (cluster, one, two), [], [], []
+                if batch is not None:
+                    ids.append(i)
+                    labels.append(label)
+                    sets.append(shingles(text, width))
+            if out:
+                a, b = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    rows = docs.join(dealt, "id").select("cluster", "one", "two", "id", "label", "text")
+    return rows.repartition("cluster", "one", "two").sortWithinPartitions("cluster", "one", "two", "id").mapInArrow(run, "a long, b long")
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """rows (id, cluster, label, n) with their block and the number of blocks of their cluster, of bounded size."""
+    many = rows.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("many"))
+    return rows.join(many, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), "many").cast("int"))
+
+
+def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (id, cluster, n) with the smallest identifier that links reach."""
+    return rows.select("id", "cluster", "n").join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "cluster", "n", F.coalesce("component", "id").alias("label"))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(node, component) of each document that a chain of similar ones joins to another.
+
+    Two texts are similar if their sets of shingles have a Jaccard similarity of ``similarity`` or more.
+
+    1. Texts with equal sets are joined; one of them goes on.
+    2. Candidates share one of ``BANDS`` keys of ``EACH`` smallest hashes.  Those whose wide
+       fingerprints are too far apart are pruned: at similarity s a share acos(2s / (1 + s)) / pi of the
+       bits differs at most, and ``SLACK`` standard deviations more are allowed; below ``FEW``
+       shingles nothing is pruned.  What stays connected is a cluster.
+    3. The sets of a cluster are compared exactly.  A large cluster is dealt to blocks: first each
+       block is searched, then one row of each group found, and where several groups are
+       left, each block with each other.
+    """
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    limit = int(WIDE * share + SLACK * (WIDE * share * (1 - share)) ** 0.5)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = Wide()
+        for batch in batches:
+            sets = [shingles(t.as_py(), width) for t in batch.column(1)]
+            found = [wide.of(h) for h in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()), pa.array([len(h) for h in sets], pa.int64()),
+                    pa.array([f for f, _ in found], pa.binary()), pa.array([k.tolist() for _, k in found], pa.list_(pa.int64())),
+                ],
+                ["id", "digest", "n", "fp", "keys"],
+            )
+
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    signed = written(slim.mapInArrow(sign, "id long, digest binary, n long, fp binary, keys array<long>"), "signed")
+    equal = written(signed.groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("high")), "sets")
+    copies = signed.join(equal.where("rep < high").select("digest", "rep"), "digest").where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    chosen = signed.join(equal, "digest").where("id = rep").dropDuplicates(["digest"]).select("id", "n", "fp", "keys")
+    chosen = written(chosen, "chosen")
+    keyed = chosen.select("id", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
+    members = keyed.join(shared, "key").join(chosen.select("id", "n", "fp"), "id").select("key", "id", "n", "fp")
+
+    clusters = components(candidates(members, limit, similarity))
+    rows = written(chosen.select("id", "n").join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id"), "clusters")
+    done = written(verified(slim, blocks(rows.withColumn("label", F.col("id"))).select("id", "label", "cluster", F.col("block").alias("one"), F.lit(0).alias("two")), width, similarity), "verified")
+    large = written(blocks(rows).where("many > 1").select("id", "cluster", "n"), "large")
+    if large.head(1):
+        groups = labelled(large, components(done))
+        heads = blocks(groups.where("id = label")).select("id", "label", "cluster", F.col("block").alias("one"), F.lit(0).alias("two"))
+        done = written(done.unionByName(verified(slim, heads, width, similarity)), "verified")
+        groups = labelled(large, components(done))
+        several = groups.groupBy("cluster").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("cluster")
+        apart = blocks(groups.join(several, "cluster"))
+        other = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1))).where("other != block")
+        pairs = other.select("id", "label", "cluster", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+        done = written(done.unionByName(verified(slim, pairs, width, similarity)), "verified")
+    return components(done.unionByName(copies))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
