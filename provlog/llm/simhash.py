@@ -244,41 +244,65 @@ def linked(fp: np.ndarray, radius: np.ndarray, low: np.ndarray, high: np.ndarray
     return out
 
 
-def candidates(members: DataFrame, limit: int, similarity: float) -> DataFrame:
-    """(a, b): links between rows of a key that fingerprints and numbers of shingles don't rule out.  members: (key, id, n, fp).
+def near_balls(rows: DataFrame, limit: int, similarity: float) -> DataFrame:
+    """Links (a, b) between balls of a group (key, one, two), and its components as balls with b null.
 
-    Rows are balls around their fingerprints, of the radius by which pruning must be wider.
+    rows: (key, one, two, id, fp, radius, low, high).  A ball stands for rows that its radius around fp
+    and its range of sizes cover.  Balls are joined if any of their rows could be similar, so
+    none that is similar is lost; what is joined beyond that is told apart later.
     """
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes, int, int, int]] = []
         key, out = None, []
 
-        def settle() -> list[tuple[int, bytes, int, int, int]]:
+        def settle() -> None:
             ids, prints, *sizes = zip(*held)
             fp = np.frombuffer(b"".join(prints), np.uint64).reshape(len(held), -1)
             radius, low, high = (np.array(x, np.int64) for x in sizes)
-            balls = []
             for group in linked(fp, radius, low, high, limit, similarity):
                 first = group[0]
-                out.extend((ids[first], ids[j]) for j in group[1:])
-                balls.append(held[first])
-            return balls
+                out.extend((key[0], ids[first], ids[j], None, 0, 0, 0) for j in group[1:])
+                reach = int((np.bitwise_count(fp[group] ^ fp[first]).sum(axis=1, dtype=np.int64) + radius[group]).max())
+                out.append((key[0], ids[first], None, prints[first], min(reach, WIDE), int(low[group].min()), int(high[group].max())))
 
         for batch in chain(batches, [None]):
-            rows = zip(*(c.to_pylist() for c in batch.columns)) if batch is not None else [(None, None, 0, None)]
-            for k, i, n, f in rows:
-                if k != key or len(held) >= HELD:
-                    rest = settle() if len(held) > 1 else held
-                    held = rest if k == key else []
-                    key = k
-                held.append((i, f, WIDE if n < FEW else 0, n, n))
+            rows = zip(*(c.to_pylist() for c in batch.columns)) if batch is not None else [(None,) * 8]
+            for k, one, two, *ball in rows:
+                if (k, one, two) != key:
+                    if held:
+                        settle()
+                    held, key = [], (k, one, two)
+                held.append(tuple(ball))
             if out:
-                a, b = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                yield pa.RecordBatch.from_pylist([dict(zip(KIND.names, x)) for x in out], KIND)
                 out.clear()
 
-    return members.repartition("key").sortWithinPartitions("key", "id").mapInArrow(join, "a long, b long")
+    KIND = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("fp", pa.binary()), ("radius", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+    slim = rows.select("key", "one", "two", "id", "fp", "radius", "low", "high")
+    dealt = slim.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "id")
+    return dealt.mapInArrow(run, "key long, a long, b long, fp binary, radius long, low long, high long")
+
+
+def candidates(members: DataFrame, limit: int, similarity: float) -> DataFrame:
+    """(a, b): links that join rows of a key that could be similar.  members: (key, many, id, n, fp); many: rows of the key.
+
+    A key of more than ``HELD`` rows is dealt to blocks.  Each block gives its components as
+    balls, and every block of balls meets every other one of the key.
+    """
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("many") / HELD)).cast("int")
+    radius = F.when(F.col("n") < FEW, WIDE).otherwise(0).cast("long")
+    rows = members.select("key", "many", part.alias("one"), part.alias("two"), "id", "fp", radius.alias("radius"), F.col("n").alias("low"), F.col("n").alias("high"))
+    hot = rows.where(F.col("many") > HELD)
+    found = near_balls(rows.where(F.col("many") <= HELD), limit, similarity).where("b is not null").select("a", "b")
+    if not hot.head(1):
+        return found
+    first = written(near_balls(hot, limit, similarity), "balls")
+    balls = first.where("b is null").select("key", F.col("a").alias("id"), "fp", "radius", "low", "high")
+    dealt = balls.join(balls.groupBy("key").agg(F.ceil(F.count("*") / HELD).cast("int").alias("many")), "key").withColumn("block", F.pmod(F.xxhash64("id"), "many").cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1))).where("many = 1 or other != block")
+    second = near_balls(met.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")), limit, similarity)
+    return found.unionByName(first.unionByName(second).where("b is not null").select("a", "b"))
 
 
 def similar(sets: list[np.ndarray], label: list[int], similarity: float) -> list[tuple[int, int]]:
@@ -405,8 +429,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chosen = signed.join(equal, "digest").where("id = rep").dropDuplicates(["digest"]).select("id", "n", "fp", "keys")
     chosen = written(chosen, "chosen")
     keyed = chosen.select("id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    members = keyed.join(shared, "key").join(chosen.select("id", "n", "fp"), "id").select("key", "id", "n", "fp")
+    shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("many")).where("low < high").select("key", "many")
+    members = written(keyed.join(shared, "key").join(chosen.select("id", "n", "fp"), "id").select("key", "many", "id", "n", "fp"), "members")
 
     clusters = components(candidates(members, limit, similarity))
     rows = written(chosen.select("id", "n").join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id"), "clusters")

@@ -65,3 +65,31 @@ def test_clusters_of_many_blocks(spark, monkeypatch):
             if family == 3 and step % 4 == 3:
                 words = words[:60] + [f"n{rng.randrange(10**9)}" for _ in range(6)] + words[66:]
     assert found(spark, texts) == brute(texts)
+
+
+def test_a_key_with_more_rows_than_are_held_keeps_every_link(spark, monkeypatch):
+    """A chain of fingerprints, each near the one before alone, and unlike ones, all with one key."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from provlog.llm.components import components
+
+    monkeypatch.setattr(simhash, "HELD", 3)
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 3)
+    words = [f"w{i}" for i in range(400)]
+    texts = {}
+    for i in range(12):
+        texts[i] = " ".join(words)
+        words[30 * i : 30 * i + 6] = [f"n{i}x{j}" for j in range(6)]
+    rng, base = np.random.default_rng(1), np.zeros(1024, np.uint8)
+    rows = []
+    for i in range(20):
+        rows.append((1, 40, i, 100, np.packbits(base).tobytes()))
+        base[50 * i : 50 * i + 50] = 1
+    rows += [(1, 40, 100 + i, 100, np.packbits(rng.integers(0, 2, 1024, dtype=np.uint8)).tobytes()) for i in range(20)]
+    members = spark.createDataFrame([(k, m, i, n, bytearray(f)) for k, m, i, n, f in rows], "key long, many long, id long, n long, fp binary")
+    got = {r["node"]: r["component"] for r in components(simhash.candidates(members, 60, 0.8)).collect()}
+    assert {got[i] for i in range(20)} == {0}
+    assert found(spark, texts) == brute(texts)
+    plan = simhash.candidates(members.where(F.col("id") < 3).withColumn("many", F.lit(3).cast("long")), 60, 0.8)
+    assert {(r["a"], r["b"]) for r in plan.collect()} == {(0, 1), (0, 2)}
