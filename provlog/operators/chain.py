@@ -1,17 +1,24 @@
-"""Hash chains and seals over ordered lines."""
+"""Hash chains and seals over ordered lines.
+
+A chain is sequential: segments are dealt to tasks, rows are sorted within them, and one pass
+folds them while it holds only the chain's state, so a segment may be of any length.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from provlog.functions import text as X
+from provlog.operators.writer import tagged
 
-
-def ordered(of: Column | str, by: str = "line_no") -> Column:
-    """Lines of a group as an array in their order."""
-    of = F.col(of) if isinstance(of, str) else of
-    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(by).alias("at"), of.alias("x")))), lambda s: s["x"])
+#: Rows of a batch that a pass returns.
+ROWS = 10_000
 
 
 def advance(head: Column, line: Column) -> Column:
@@ -23,10 +30,51 @@ def fold(h0: Column, lines: Column) -> Column:
     return F.aggregate(lines, h0, advance)
 
 
+def in_order(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows of a segment in one task, in the order of the columns by."""
+    return rows.repartition("segment").sortWithinPartitions("segment", *by)
+
+
+def with_header(lines: DataFrame, headers: DataFrame) -> DataFrame:
+    """(segment, kind, at, first, text) of lines, kind 1, and of headers, kind 0 and before all lines."""
+    head = headers.select("segment", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("first"), F.col("h0").alias("text"))
+    return head.unionByName(lines.select("segment", F.lit(1).alias("kind"), F.col("line_no").cast("long").alias("at"), F.lit(None).cast("long").alias("first"), F.col("line").alias("text")))
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for part in range(0, batch.num_rows, ROWS):
+            yield from zip(*(c.to_pylist() for c in batch.slice(part, ROWS).columns))
+
+
+def batched(rows: Iterator[tuple], kind: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for row in chain(rows, [None]):
+        if row is not None:
+            held.append(row)
+        if held and (row is None or len(held) >= ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held), kind)], schema=kind)
+            held = []
+
+
 def heads(lines: DataFrame, headers: DataFrame) -> DataFrame:
     """segment, head and number of entries; lines: (segment, line_no, line), headers: (segment, h0)."""
-    each = lines.groupBy("segment").agg(ordered("line").alias("lines"))
-    return each.join(headers.select("segment", "h0"), "segment").select("segment", fold(F.col("h0"), F.col("lines")).alias("head"), F.size("lines").cast("long").alias("entries"))
+
+    def folded(rows: Iterator[tuple]) -> Iterator[tuple]:
+        segment = head = None
+        n = 0
+        for now, kind, text in chain(rows, [(None, 0, None)]):
+            if kind == 0 or now != segment:
+                if segment is not None and n and head is not None:
+                    yield segment, head, n
+                segment, head, n = now, text if kind == 0 else None, 0
+            if kind:
+                head, n = tagged(head + "\n" + text) if head is not None else None, n + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched(folded(rows_of(batches)), pa.schema([("segment", pa.string()), ("head", pa.string()), ("entries", pa.int64())]))
+
+    return in_order(with_header(lines, headers), "kind", "at").select("segment", "kind", "text").mapInArrow(run, "segment string, head string, entries long")
 
 
 def seal_points(entries: DataFrame, every: int, millis: int) -> DataFrame:
@@ -34,33 +82,46 @@ def seal_points(entries: DataFrame, every: int, millis: int) -> DataFrame:
 
     entries: (segment, line_no, ms).  A seal is due after ``every`` entries or ``millis`` since the last one (at first: since the first entry).
     """
-    per = entries.groupBy("segment").agg(ordered("ms").alias("times"))
-    kinds = "struct<at: bigint, since: bigint, seals: array<struct<first: bigint, last: bigint>>, sealed: bigint>"
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.get("times", 0).alias("since"), F.array().cast("array<struct<first: bigint, last: bigint>>").alias("seals"), F.lit(0).cast("long").alias("sealed")).cast(kinds)
 
-    def step(acc: Column, ms: Column) -> Column:
-        at = acc["at"] + 1
-        due = (at - acc["sealed"] >= every) | (F.greatest(ms - acc["since"], F.lit(0)) >= millis)
-        seal = F.array(F.struct((acc["sealed"] + 1).alias("first"), at.alias("last")))
-        return F.struct(at.alias("at"), F.when(due, ms).otherwise(acc["since"]).alias("since"), F.when(due, F.concat(acc["seals"], seal)).otherwise(acc["seals"]).alias("seals"), F.when(due, at).otherwise(acc["sealed"]).alias("sealed")).cast(kinds)
+    def points(rows: Iterator[tuple]) -> Iterator[tuple]:
+        segment, at, sealed, since = None, 0, 0, 0
+        for now, ms in rows:
+            if now != segment:
+                segment, at, sealed, since = now, 0, 0, ms
+            at += 1
+            if at - sealed >= every or max(ms - since, 0) >= millis:
+                yield segment, sealed + 1, at
+                sealed, since = at, ms
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched(points(rows_of(batches)), pa.schema([("segment", pa.string()), ("first", pa.int64()), ("last", pa.int64())]))
 
-    done = per.select("segment", F.explode(F.aggregate("times", start, step)["seals"]).alias("s"))
-    return done.select("segment", "s.first", "s.last")
+    slim = entries.select("segment", "line_no", F.col("ms").cast("long").alias("ms"))
+    return in_order(slim, "line_no", "ms").select("segment", "ms").mapInArrow(run, "segment string, first long, last long")
 
 
 def sealed(lines: DataFrame, headers: DataFrame, points: DataFrame) -> DataFrame:
-    """segment, first, last, hash: each interval is folded once, and the heads are carried over the seals."""
-    marks = points.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("last", "first"))).alias("points"))
-    per = lines.groupBy("segment").agg(ordered("line").alias("lines")).join(marks, "segment").join(headers.select("segment", "h0"), "segment")
-    kinds = "struct<head: string, out: array<struct<first: bigint, last: bigint, hash: string>>>"
-    start = F.struct(F.col("h0").alias("head"), F.array().cast("array<struct<first: bigint, last: bigint, hash: string>>").alias("out")).cast(kinds)
-
-    def step(acc: Column, p: Column) -> Column:
-        head = fold(acc["head"], F.slice("lines", p["first"].cast("int"), (p["last"] - p["first"] + 1).cast("int")))
-        one = F.transform(F.array(head), lambda h: F.struct(h.alias("head"), F.concat(acc["out"], F.array(F.struct(p["first"].alias("first"), p["last"].alias("last"), h.alias("hash")))).alias("out")))
-        return F.element_at(one, 1).cast(kinds)
-
-    return per.select("segment", F.explode(F.aggregate("points", start, step)["out"]).alias("s")).select("segment", "s.*")
+    """segment, first, last, hash: the chain's head after the last-th line of the segment, or after all where there are fewer."""
+    place = points.select("segment", F.lit(2).alias("kind"), F.col("last").cast("long").alias("at"), F.col("first").cast("long").alias("first"), F.lit(None).cast("string").alias("text"))
+    numbered = lines.select("segment", F.row_number().over(W.partitionBy("segment").orderBy("line_no", "line")).cast("long").alias("line_no"), "line")
+    rows = with_header(numbered, headers).unionByName(place).withColumn("at", F.coalesce("at", F.lit(0).cast("long")))
+
+    def folded(rows: Iterator[tuple]) -> Iterator[tuple]:
+        segment = head = None
+        for now, kind, at, first, text in rows:
+            if kind == 0 or now != segment:
+                segment, head = now, text if kind == 0 else None
+            if head is None:
+                continue
+            if kind == 1:
+                head = tagged(head + "\n" + text)
+            elif kind == 2:
+                yield segment, first, at, head
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched(folded(rows_of(batches)), pa.schema([("segment", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("hash", pa.string())]))
+
+    return in_order(rows, "at", "kind").select("segment", "kind", "at", "first", "text").mapInArrow(run, "segment string, first long, last long, hash string")
 
 
 def seal_line(first: Column, last: Column, hash_: Column, signature: Column) -> Column:
