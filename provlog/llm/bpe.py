@@ -2,9 +2,9 @@
 
 Pre-tokenisation works on arrays of code points, without a regular expression.  Each code
 point is mapped to a class (letter, number, white space, other) by a table built from the
-Unicode database.  The pattern's automaton is a scan of transition functions over classes;
-composed over three neighbours they no longer depend on the state before, so the scan closes
-after that many steps and every boundary follows from its neighbourhood:
+Unicode database.  No transition functions are scanned: composed over three neighbours those
+of the pattern's automaton no longer depend on the state before, so every boundary follows
+from comparing neighbours:
 
 * a change of class starts a token, except that one blank joins the token after it;
 * the last white space of a run stands alone when text follows;
@@ -12,7 +12,8 @@ after that many steps and every boundary follows from its neighbourhood:
   ``s t m d`` or ``re ve ll``, and the letters after it start a token of their own.
 
 Slices between boundaries are merged by rank, each distinct slice once for a task, and
-looked up from then on.  Byte offsets of the ids are kept; decoding reads them back.
+looked up from then on.  Byte offsets of the ids are kept; decoding checks that each id's
+bytes start at its offset and fails where they don't.
 
 A null text counts as empty and has no ids.  Rows that repeat an identifier each have a row.
 """
@@ -83,6 +84,13 @@ class Encoder:
         self.known: dict[str, tuple[int, ...]] = {}
         self.tokens = {b: a for a, b in self.ranks.items()}
 
+    def widths(self) -> np.ndarray:
+        """Bytes of each id."""
+        width = np.zeros(len(self.tokens) and max(self.tokens) + 1, np.int64)
+        for i, b in self.tokens.items():
+            width[i] = len(b)
+        return width
+
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Join the neighbours of lowest rank, leftmost first, until none is left."""
         whole = self.ranks.get(piece)
@@ -134,9 +142,7 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(ranks)
-        width = np.zeros(len(encoder.tokens) and max(encoder.tokens) + 1, np.int64)
-        for i, b in encoder.tokens.items():
-            width[i] = len(b)
+        width = encoder.widths()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
@@ -153,14 +159,21 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:
-    """(doc_id, ids, decoded): the bytes of the ids."""
+    """(doc_id, ids, decoded): the bytes of the ids, which must start at their offsets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder_of(ranks).tokens.__getitem__
+        encoder = encoder_of(ranks)
+        tokens, width = encoder.tokens.__getitem__, encoder.widths()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 decoded = [b"".join(map(tokens, x or ())) for x in part.column(1).to_pylist()]
+                ids, begin = (part.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2))
+                counts = part.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                upto = np.concatenate(([0], np.cumsum(width[ids])))
+                first = np.concatenate(([0], np.cumsum(counts)))[:-1]
+                if len(begin) != len(ids) or not np.array_equal(begin, upto[:-1] - np.repeat(upto[first], counts)):
+                    raise ValueError("ids don't start at their offsets")
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return encoded.select("doc_id", "ids", "offsets").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")

@@ -38,7 +38,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and the digest of what they decode to."""
     ranks = tokenizer_file("byte_bpe_50k.tiktoken")
-    rows = bpe.decode(bpe.encode(documents(spark, sf_dir), ranks, offsets=False), ranks)
+    rows = bpe.decode(bpe.encode(documents(spark, sf_dir), ranks), ranks)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
