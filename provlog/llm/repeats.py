@@ -113,8 +113,8 @@ def spread(total: int) -> int:
     """How many chunks a text of so many bytes is dealt to.
 
     Each chunk sends a row to each bucket at most, so the rows sent grow in proportion to the
-    text while chunks and buckets grow with its root; chunks never exceed LARGEST bytes (from
-    there on a row holds ever fewer seeds, down to one each).
+    text while chunks and buckets grow with its root; chunks never exceed LARGEST bytes, and
+    from there on (about 1.1 GB) that bound on rows grows with the square of the text.
     """
     return max(-(-total // LARGEST), int(SPREAD * (total / PIVOT) ** 0.5), 1)
 
