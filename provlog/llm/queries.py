@@ -67,13 +67,13 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left of every document without windows of 13 words that smaller documents hold."""
     rows = recompression.substring_marks(documents(spark, sf_dir).select("doc_id", "text"))
-    return rows.select("row.doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return rows.select("rest.doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes left of every document without strings of 50 bytes that smaller documents hold."""
     rows = suffix_repeats.byte_marks(documents(spark, sf_dir).select("doc_id", "text"))
-    return rows.select("row.doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return rows.select("rest.doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 QUERIES = {

@@ -1,32 +1,37 @@
 """Substring deduplication of words by recompression.
 
-Each round names runs and pairs of neighbouring symbols.  A run takes its symbol's name (its
-length is left to the comparison at the end); names are split into left and right by a bit
-of their hash, and a left symbol before a right one is always joined to a new symbol, named
-by the hash of both.  A name is a function of the two names, so tasks need no dictionary:
-equal substrings get equal names wherever they stand, but for a few symbols at their ends.
-
-After two rounds every place where two symbols join depends on the words next to it alone.
-A window of 13 words takes, of the joins of the last round that it decides, the one with the
-largest name (else of the first round; else the window stands for itself), and its seed is
-the name of the eight words on that side of the join which the window holds for sure.
-Shared seeds reveal repeats; :mod:`provlog.llm.repeats` brings their words together, and
-windows are verified word by word.
+Each round names pairs and runs of neighbouring symbols.  Names are split into left and right
+by a bit of their hash; a left symbol before a right one is always joined to a new symbol,
+named by the hash of both; of what is left, a run of equal symbols becomes one, named by the
+hash of the symbol and the run's length.  A name is a function of the names in it, so it is
+global without a dictionary, and rounds need no exchange: equal substrings get equal symbols
+wherever they stand, but for a few at their ends.
+
+With each symbol go the words that decide it (its own, and for what stays unpaired those of
+its neighbours).  A window of 13 words holds a symbol for sure if it holds all those words,
+so equal windows hold the same symbols.  A window's seed is the name of the symbol of highest
+level that it holds (of these the one with the largest name), sharpened by the words beside
+it that every such window holds: half of the rest, on the side that has more room.  A window
+that holds no symbol is its own seed.  Shared symbols reveal repeats; :mod:`provlog.llm.repeats`
+brings their words together, and windows are verified word by word.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from provlog.llm.repeats import NO_ID, marked, mix
+from provlog.llm.repeats import NO_ID, deduplicated, marked, mix
 
 WINDOW = 13
-SIDE = 8
-A = np.uint64(0x9E3779B97F4A7C15)
-TOP = np.uint64(1 << 63)
+#: Rounds of naming: a symbol of the third covers four to eight words; higher ones seldom fit a window.
+ROUNDS = 3
+#: More words than a window has: what the edge of a document decides, no window holds.
+FAR = 1 << 20
+A, BASE = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
 
 
 class Names(dict):
@@ -37,99 +42,125 @@ class Names(dict):
         return name
 
 
-def after(x: np.ndarray, n: int) -> np.ndarray:
-    """x shifted by n places; the end is filled with zeros."""
-    return np.concatenate((x[n:], np.zeros(min(n, len(x)), x.dtype)))
-
-
 def together(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return mix(x * A + y)
 
 
-def pairs(name: np.ndarray, row: np.ndarray, salt: int) -> np.ndarray:
-    """Where a left symbol stands before a right one of the same document."""
-    right = (mix(name + np.uint64(salt)) & np.uint64(1)).astype(bool)
-    out = np.zeros(len(name), bool)
-    out[:-1] = ~right[:-1] & right[1:] & (row[1:] == row[:-1])
-    return out
-
-
-def runs(name: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Starts of runs of equal symbols."""
-    return np.flatnonzero(np.concatenate(([True], (name[1:] != name[:-1]) | (row[1:] != row[:-1]))))
+class Symbols:
+    """A string of symbols: name, the words [low, high) that decide each, and whether it begins a document."""
+
+    def __init__(self, name: np.ndarray, low: np.ndarray, high: np.ndarray, first: np.ndarray):
+        self.name, self.low, self.high, self.first = name, low, high, first
+
+    def round(self, salt: int) -> Symbols:
+        """The string after pairs, and runs of what isn't paired, have got their names."""
+        name, first, n = self.name, self.first, len(self.name)
+        right = (mix(name + np.uint64(salt)) & np.uint64(1)).astype(bool)
+        joins, taken = np.zeros(n, bool), np.zeros(n, bool)
+        joins[:-1] = ~right[:-1] & right[1:] & ~first[1:]
+        taken[1:] = joins[:-1]
+        free, head = ~(joins | taken), ~taken
+        head[1:] &= ~(free[1:] & free[:-1] & (name[1:] == name[:-1]) & ~first[1:])
+        at = np.flatnonzero(head)
+        end = np.concatenate((at[1:], [n])) - 1
+        pair, new = joins[at], name[at]
+        new[pair] = together(new[pair], name[at[pair] + 1])
+        run = np.flatnonzero(~pair & (end > at))
+        new[run] = together(new[run] ^ A, (end[run] - at[run] + 1).astype(np.uint64))
+        low, high = np.minimum(self.low[at], self.low[end]), np.maximum(self.high[at], self.high[end])
+        # What isn't paired depends on its neighbours too; on one more where the neighbour is equal, but paired.
+        alone = np.flatnonzero(~pair)
+        a, b = at[alone], end[alone] + 1
+        inside = np.minimum(b, n - 1)
+        left, right = np.maximum(a - 1 - (name[a - 1] == name[a]), 0), np.minimum(inside + (name[inside] == name[a]), n - 1)
+        low[alone] = np.where(first[a], -FAR, np.minimum(low[alone], self.low[left]))
+        high[alone] = np.where((b < n) & ~first[inside], np.maximum(high[alone], self.high[right]), self.low[a] + FAR)
+        return Symbols(new, low, high, first[at])
+
+
+class Spans:
+    """Hashes of any words that stand together."""
+
+    def __init__(self, name: np.ndarray):
+        n = len(name)
+        up, self.down = np.full(n, np.uint64(BASE)), np.full(n + 1, np.uint64(pow(BASE, -1, 1 << 64)))
+        up[:1] = self.down[0] = 1
+        up, self.down = np.cumprod(up, dtype=np.uint64), np.cumprod(self.down, dtype=np.uint64)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(name * up, dtype=np.uint64)))
+
+    def of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        return mix((self.sums[last] - self.sums[first]) * self.down[first])
 
 
 class Words:
     """Units of :func:`provlog.llm.repeats.marked`: words, unchanged."""
 
     def __init__(self, texts: list[str | None]):
-        self.words = [(t or "").encode().split() for t in texts]
-        self.counts = np.array([len(w) for w in self.words], np.int64)
-        flat = [w for words in self.words for w in words]
+        words = [(t or "").encode().split() for t in texts]
+        self.counts = np.fromiter(map(len, words), np.int64, len(words))
+        flat = list(chain.from_iterable(words))
+        del words
         self.body = b" ".join(flat)
         size = np.fromiter(map(len, flat), np.int64, len(flat))
         self.begin = np.concatenate(([0], np.cumsum(size + 1)))
         self.name = np.fromiter(map(Names().__getitem__, flat), np.uint64, len(flat))
-        self.row = np.repeat(np.arange(len(texts)), self.counts)
-
-    def joins(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each word, the name of the first-round and of the second-round join before it, or 0.
-
-        A second-round join is left out where a run puts the words that decide it further than two away.
-        """
-        n, row = len(self.name), self.row
-        first, second = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        start = runs(self.name, row)  # round 1: runs of words
-        name, at, row1 = self.name[start], start, row[start]
-        long = np.diff(np.concatenate((start, [n]))) > 1
-        left = np.flatnonzero(pairs(name, row1, 1))
-        first[at[left + 1]] = together(name[left], name[left + 1]) | np.uint64(1)
-        joined = name.copy()
-        joined[left] = together(name[left], name[left + 1])
-        stays = np.ones(len(name), bool)
-        stays[left + 1] = False
-        # Long runs next to a symbol's edge: first and last run of each symbol.
-        last_run = np.arange(len(name))
-        last_run[left] = left + 1
-        head = np.flatnonzero(stays)
-        name2, at2, row2, head_long, tail_long = joined[head], at[head], row1[head], long[head], long[last_run[head]]
-        start = runs(name2, row2)  # round 2: runs of symbols
-        end = np.concatenate((start[1:], [len(name2)])) - 1
-        left = np.flatnonzero(pairs(name2[start], row2[start], 2))
-        near = ~tail_long[end[left]] & ~head_long[start[left + 1]]
-        left = left[near]
-        second[at2[start[left + 1]]] = together(name2[start[left]], name2[start[left + 1]]) | np.uint64(1)
-        return first, second
+
+    def rounds(self) -> list[Symbols]:
+        """The strings of symbols after each round."""
+        n = len(self.name)
+        first, begin = np.zeros(n, bool), np.cumsum(self.counts) - self.counts
+        first[begin[self.counts > 0]] = True
+        low = np.arange(n, dtype=np.int32)
+        strings = [Symbols(self.name, low, low + np.int32(1), first)]
+        for level in range(1, ROUNDS + 1):
+            strings.append(strings[-1].round(level))
+        return strings[1:]
 
     def seeds(self) -> np.ndarray:
-        name, n = self.name, len(self.name)
-        two = together(name, after(name, 1))
-        four = together(two, after(two, 2))
-        eight = together(four, after(four, 4))
-        whole = together(together(eight, after(four, 8)), after(name, 12))
-        first, second = self.joins()
-        seed = whole.copy()
-        best, place = np.zeros(n, np.uint64), np.zeros(n, np.int64)
-        # The join before word q is decided by words q-2 to q+1 in the second round, q-1 and q in the first.
-        for found, near, top in ((first >> np.uint64(1), 1, np.uint64(0)), (second >> np.uint64(1), 2, TOP)):
-            for ahead in range(near, WINDOW - near + 1):
-                here = after(found, ahead)
-                here = np.where(here > 0, here | top, here)
-                better = here > best
-                best[better], place[better] = here[better], ahead
-        some = np.flatnonzero(best)
-        before = place[some] >= WINDOW - 6
-        q = some + place[some]
-        side = np.where(before, q - (SIDE - 1), q - 1)
-        seed[some] = mix(eight[np.clip(side, 0, n - 1)] + before.astype(np.uint64))
+        n, spans = len(self.name), Spans(self.name)
+        # Symbols by how many words decide them: place, rank, and the seeds with the words before and after.
+        by_size: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(WINDOW + 1)]
+        for level, s in enumerate(self.rounds(), 1):
+            size = s.high - s.low
+            held = np.flatnonzero(size <= WINDOW)
+            held = held[np.argsort(size[held], kind="stable")]
+            cut = np.searchsorted(size[held], np.arange(WINDOW + 2))
+            for w in range(1, WINDOW + 1):
+                if len(k := held[cut[w] : cut[w + 1]]):
+                    at, rank = s.low[k].astype(np.int64), (s.name[k] >> np.uint64(4)) | np.uint64(level << 60)
+                    before, after = (WINDOW - w + 1) // 2, (WINDOW - w) // 2 + 1 if w < WINDOW else 0
+                    left = mix(rank + spans.of(np.maximum(at - before, 0), at))
+                    right = mix((rank ^ A) + spans.of(at + w, np.minimum(at + w + after, n)))
+                    by_size[w].append((at, rank, left, right, np.full(len(k), before, np.int8)))
+        best, seed = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        here = [np.zeros(n, kind) for kind in (np.uint64, np.uint64, np.uint64, np.int8)]
+        for w in range(1, WINDOW + 1):  # a symbol that w words decide may stand up to WINDOW - w words into a window
+            for at, *found in by_size[w]:
+                k = np.flatnonzero(found[0] > here[0][at])
+                for own, x in zip(here, found):
+                    own[at[k]] = x[k]
+            ahead = WINDOW - w
+            if ahead < n:
+                i = np.flatnonzero(here[0][ahead:] > best[: n - ahead])
+                q = i + ahead
+                best[i] = here[0][q]
+                seed[i] = np.where(here[3][q] <= ahead, here[1][q], here[2][q])
+        none = np.flatnonzero(best == 0)
+        none = none[none + WINDOW <= n]
+        seed[none] = spans.of(none, none + WINDOW)
         return seed
 
     def segment(self, first: int, last: int) -> bytes:
         return self.body[self.begin[first] : self.begin[last] - 1]
 
-    def kept(self, row: int, first: int, keep: np.ndarray) -> bytes:
-        words = self.words[row]
-        return b" ".join(words if keep.all() else [words[i] for i in np.flatnonzero(keep).tolist()])
+    def kept(self, first: int, keep: np.ndarray) -> bytes:
+        if not len(keep):
+            return b""
+        body = self.segment(first, first + len(keep))
+        if keep.all():
+            return body
+        words = body.split(b" ")
+        return b" ".join([words[i] for i in np.flatnonzero(keep).tolist()])
 
 
 def minima(segments: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
@@ -146,14 +177,11 @@ def minima(segments: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
     return [np.array([smallest.get(w, NO_ID) for w in windows], np.int64) for windows in each]
 
 
-def substring_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row, n_units (words), n_removed, n_spans, kept (words joined by one blank, binary)."""
-    return marked(docs, Words, minima, WINDOW, id_col, text_col)
+def substring_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = True) -> DataFrame:
+    """rest, n_units (words), n_removed, n_spans, kept (words joined by one blank, binary), text: see :func:`provlog.llm.repeats.marked`."""
+    return marked(docs, Words, minima, WINDOW, id_col, text_col, whole)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns; where words were removed, text holds those kept."""
-    found = substring_marks(docs, id_col, text_col)
-    text = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col(f"row.{text_col}"))
-    columns = [text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns]
-    return found.select(*columns)
+    """The documents, with all their columns; where words were removed, text holds those kept, joined by one blank."""
+    return deduplicated(docs, substring_marks(docs, id_col, text_col, whole=False), text_col)

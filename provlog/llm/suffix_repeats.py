@@ -65,7 +65,7 @@ class Bytes:
     def segment(self, first: int, last: int) -> bytes:
         return self.body[first:last]
 
-    def kept(self, row: int, first: int, keep: np.ndarray) -> bytes:
+    def kept(self, first: int, keep: np.ndarray) -> bytes:
         part = self.body[first : first + len(keep)]
         return part if keep.all() else np.frombuffer(part, np.uint8)[keep].tobytes()
 
@@ -134,5 +134,5 @@ def minima(segments: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
 
 
 def byte_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row, n_units (bytes), n_removed, n_spans, kept (binary; what is left need not be valid UTF-8)."""
+    """rest, n_units (bytes), n_removed, n_spans, kept (binary; what is left need not be valid UTF-8), text (null)."""
     return marked(docs, Bytes, minima, WINDOW, id_col, text_col)

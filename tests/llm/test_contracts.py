@@ -384,3 +384,84 @@ def test_toxicity_on_held_out_labels(spark):
 def test_toxicity_without_labels_rejects_nothing(spark, folder):
     rows = Q.op2_toxicity(spark, folder).collect()
     assert rows and all(r["p_toxic"] < 1e-9 and not r["is_toxic"] for r in rows)
+
+
+def repeats_table(spark, rng, rows: int = 150):
+    """Texts that share a phrase with ever other surroundings, passages, and copies."""
+    words = [f"w{i}" for i in range(30)]
+    phrase = [f"p{i}" for i in range(11)]
+    passage = [f"q{i}" for i in range(20)]
+    out = {}
+    for i in range(rows):
+        body = [rng.choice(words) for _ in range(rng.randint(0, 40))]
+        if i % 2:
+            body += phrase + [rng.choice(words[:2]) for _ in range(4)]
+        if i % 5 == 0:
+            body += passage + [rng.choice(words) for _ in range(3)]
+        if i % 7 == 0:
+            body += ["same"] * rng.randint(1, 40)
+        out[rng.randrange(10**6)] = " ".join(body) if i % 11 else out.get(next(iter(out), None), "")
+    return out, spark.createDataFrame(list(out.items()), "doc_id long, text string").repartition(3)
+
+
+@pytest.mark.parametrize("wide", [256, 1, 0])
+def test_repeats_over_many_chunks(spark, monkeypatch, wide):
+    """Chunks of a few rows, and seeds whose windows are sent one by one."""
+    from provlog.llm import recompression, repeats, suffix_repeats
+
+    monkeypatch.setattr(repeats, "CHUNK", 2000)
+    monkeypatch.setattr(repeats, "TASK", 9000)
+    monkeypatch.setattr(repeats, "WIDE", wide)
+    texts, docs = repeats_table(spark, random.Random(wide))
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t) for i, t in texts.items()}
+    gone = brute_windows(words, 13)
+    got = {r["doc_id"]: r for r in recompression.substring_marks(docs).select("rest.doc_id", "n_removed", "kept").collect()}
+    assert sum(map(sum, gone.values())) > 500
+    for i, w in words.items():
+        assert (got[i]["n_removed"], got[i]["kept"].decode()) == (sum(gone[i]), " ".join(x for x, g in zip(w, gone[i]) if not g)), i
+    units = {i: list(t.encode()) for i, t in texts.items()}
+    gone = brute_windows(units, 50)
+    for r in suffix_repeats.byte_marks(docs).select("rest.doc_id", "n_removed", "n_spans").collect():
+        g = gone[r["doc_id"]]
+        assert (r["n_removed"], r["n_spans"]) == (sum(g), sum(1 for j in range(len(g)) if g[j] and (j == 0 or not g[j - 1])))
+
+
+def test_symbols_of_equal_windows_are_equal():
+    """Seeds depend on a window's words alone, whatever stands around it, runs and edges included."""
+    from provlog.llm.recompression import WINDOW, Words
+
+    rng = random.Random(9)
+    for _ in range(300):
+        core = [rng.choice("abcd") if rng.random() < 0.9 else "z" for _ in range(rng.randint(WINDOW, 30))]
+        if rng.random() < 0.3:
+            core[4:4] = ["r"] * rng.randint(2, 12)
+        around = lambda: [rng.choice("abcdz") for _ in range(rng.randint(0, 9))]
+        a, b = around(), around()
+        u = Words([" ".join([*a, *core, *around()]), " ".join([*b, *core, *around()])])
+        seeds, second = u.seeds(), int(u.counts[0])
+        n = len(core) - WINDOW + 1
+        assert seeds[len(a) : len(a) + n].tolist() == seeds[second + len(b) : second + len(b) + n].tolist()
+
+
+def test_rounds_name_pairs_and_runs_with_their_length():
+    from provlog.llm.recompression import Words
+
+    u = Words(["a a a a a", "a a a", "x a a a y"])
+    one = u.rounds()[0]
+    assert len(one.name[: 1]) == 1 and one.name[0] != one.name[1]  # runs of five and of three have other names
+    assert len(u.rounds()[-1].name) <= len(one.name) <= 5 + 2
+
+
+def test_substring_dedup_keeps_columns_and_rows(spark, folder, repeated, empty, texts):
+    from provlog.llm.recompression import substring_dedup
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("a.b", F.lit(1)).withColumn("text_", F.col("text"))
+    out = substring_dedup(docs)
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in texts.items()}
+    gone = brute_windows(words, 13)
+    for r in out.collect():
+        i = r["doc_id"]
+        assert r["text"] == (" ".join(x for x, g in zip(words[i], gone[i]) if not g) if any(gone[i]) else texts[i]) and r["text_"] == texts[i] and r["row"] == "r"
+    assert substring_dedup(spark.read.parquet(f"{repeated}/documents.parquet")).count() == 8
+    assert substring_dedup(spark.read.parquet(f"{empty}/documents.parquet")).collect() == []
