@@ -2,56 +2,124 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provlog import config as C
 from provlog.functions import text as X
 from provlog.operators import triples
 from provlog.operators import verify as V
-from provlog.operators.writer import Cadence, write_lines
+from provlog.operators.writer import Cadence, deliver, tails, write_lines
 from provlog.sources import segments
+from provlog.sources.tables import written
 from provlog.vocabulary import LOG, Vocabulary
 
 # Columns that only the writer states.
 RESERVED = ["seq", "principal", "worker", "span", "parent", "dur", "cap", "credential"]
 
 
+def given(**arguments: str | None) -> None:
+    """An argument that is stated but blank is an error, never left out."""
+    for name, value in arguments.items():
+        if value is not None and not value.strip():
+            raise ValueError(f"{name}: blank")
+
+
 def list_segments(spark: SparkSession, directory: str) -> DataFrame:
     return segments.listing(segments.read(spark, directory))
 
 
-def numbered(spark: SparkSession, directory: str, limit: int | None = None) -> DataFrame:
-    """(segment, line_no, line) of every readable file of a folder."""
-    files = segments.read(spark, directory, limit).where("error is null").withColumn("segment", segments.parse_header(F.substring("text", 1, segments.PROBE))["name"])
-    return files.where("segment is not null").select("segment", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("segment", (F.col("at") + 1).cast("long").alias("line_no"), "line")
+def exists(spark: SparkSession, directory: str, name: str) -> bool:
+    return segments.exists(segments.read(spark, directory), name)
 
 
 def segment(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """The lines of one segment, found by its header and never by its file's name."""
-    return numbered(spark, directory).where(F.col("segment") == name)
-
-
-def verify(spark: SparkSession, directory: str, instance: str | None = None, vocabulary: Vocabulary | None = None) -> tuple[DataFrame, DataFrame]:
-    """(reports, findings) of a folder, or of one instance's chain."""
-    headers, lines = segments.of_lines(numbered(spark, directory))
+    """(segment, line_no, line) of one segment, found by its header and never by its file's name."""
+    given(name=name)
+    files = segments.read(spark, directory)
+    found = segments.catalog(files).where((F.col("segment") == name) & F.col("error").isNull()).select("file")
+    text = files.join(found, "file", "left_semi").select(F.posexplode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("at", "line"))
+    return text.select(F.lit(name).alias("segment"), (F.col("at") + 1).cast("long").alias("line_no"), "line")
+
+
+def chosen(headers: DataFrame, lines: DataFrame, instance: str | None, segment: str | None) -> tuple[DataFrame, DataFrame]:
+    """Those of one instance, or of the whole chain that holds a segment; unreadable files belong to no chain."""
+    if instance is None and segment is None:
+        return headers, lines
+    if segment is not None:
+        of = headers.where(F.col("segment") == segment).select("instance").distinct()
+        headers = headers.join(of, "instance", "left_semi")
     if instance is not None:
         headers = headers.where(F.col("instance") == instance)
-        lines = lines.join(headers.select("segment"), "segment", "left_semi")
-    return V.verify(headers, lines, (vocabulary or Vocabulary.built_in()).closure_table(spark))
+    return headers, lines.join(headers.select("segment"), "segment", "left_semi")
 
 
-def transrept(spark: SparkSession, directory: str, graphs: list[str] | None = None, since: str | None = None, until: str | None = None, vocabulary: Vocabulary | None = None) -> DataFrame:
-    """Triples of a folder's segments; times bound the entries by their first 24 characters, both ends in."""
+def verify(
+    spark: SparkSession, directory: str, instance: str | None = None, vocabulary: Vocabulary | None = None, segment: str | None = None, limit: int | None = None, budget: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(reports, findings) of a folder, of one instance's chain, or of the chain that holds a segment.
+
+    Unreadable files have findings under their path.  limit and budget: bytes of a file, and of all files of the folder,
+    whatever is chosen of them.
+    """
+    given(instance=instance, segment=segment)
+    files = segments.read(spark, directory, limit, budget)
+    headers, lines = chosen(*segments.opened(files), instance, segment)
+    return V.verify(headers, lines, vocabulary or Vocabulary.built_in())
+
+
+def read_entries(lines: DataFrame, headers: DataFrame, since: str | None = None, until: str | None = None, first: int | None = None, last: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entries, seals, unreadable lines) of segments.
+
+    Times bound what starts with a digit by its first 24 characters, both ends in, before it is parsed; what they leave out
+    can't be unreadable, and still counts in the ordinals.  first and last bound the sequence numbers, stated or counted.
+    """
+    at = F.substring("raw", 1, 24)
+    inside = (F.lit(True) if since is None else at >= since) & (F.lit(True) if until is None else at <= until)
+    judged = F.col("raw").rlike("^[0-9]") & (F.length("raw") >= 24)
+    kept = triples.ordinals(lines).where(inside | ~judged)
+    p = kept.withColumns({"e": F.when(F.col("kind") == "entry", X.parse_entry(F.col("raw"), F.col("prefixes"))), "seal": F.when(F.col("kind") == "seal", X.parse_seal(F.col("raw")))})
+    e = p.where("kind = 'entry'").where(X.is_entry(F.col("raw"), F.col("e"))).select("segment", "line_no", "ordinal", "e.*")
+    seq = F.coalesce(X.stated_sequence(F.col("fields")), F.col("ordinal").cast("decimal(20,0)"))
+    e = e.where((F.lit(True) if first is None else seq >= first) & (F.lit(True) if last is None else seq <= last))
+    e = e.join(headers.select("segment", "instance"), "segment")
+    seals = p.where("kind = 'seal'").where(X.is_seal(F.col("raw"), F.col("seal"))).select("segment", "seal.*")
+    return e, seals, triples.unreadable(p)
+
+
+def transrept(
+    spark: SparkSession, directory: str, graphs: list[str] | None = None, since: str | None = None, until: str | None = None, vocabulary: Vocabulary | None = None,
+    first: int | None = None, last: int | None = None, ordered: bool = False, strict: bool = True,
+) -> DataFrame:
+    """Triples of a folder's segments.  strict: a line that can't be read is an error; else the segment that holds it is left out."""
+    given(since=since, until=until)
     v = vocabulary or Vocabulary.built_in()
-    headers, lines = segments.of_lines(numbered(spark, directory))
+    headers, lines = segments.opened(segments.read(spark, directory))
+    headers = headers.where("error is null")
     if graphs is not None:
         headers, lines = headers.where(F.col("segment").isin(graphs)), lines.where(F.col("segment").isin(graphs))
-    at = F.substring("raw", 1, 24)
-    e = lines.where("kind = 'entry'").where(F.lit(True) if since is None else at >= since).where(F.lit(True) if until is None else at <= until)
-    e = e.join(headers.select("segment", "instance"), "segment").withColumn("e", X.parse_entry(F.col("raw"), F.col("prefixes"))).select("segment", "instance", "line_no", "e.*")
-    seals = lines.where("kind = 'seal'").select("segment", X.parse_seal(F.col("raw")).alias("s")).select("segment", "s.*")
+    e, seals, wrong = read_entries(lines, headers, since, until, first, last)
+    if strict:
+        for r in wrong.orderBy("segment", "line_no").head(1):
+            raise ValueError(f"{r['segment']}, line {r['line_no']}: {r['error']}")
+    else:
+        lost = wrong.select("segment").distinct()
+        headers, e, seals = (x.join(lost, "segment", "left_anti") for x in (headers, e, seals))
     named = headers.withColumn("level", F.regexp_replace("level", f"^{LOG}", ""))
-    return triples.all_triples(named, e, seals, v.key_table(spark), v.class_table(spark))
+    return triples.all_triples(named, e, seals, v, ordered)
+
+
+def finished(report: DataFrame) -> DataFrame:
+    """The segments whose record is complete: only what is read of these may be kept and used again."""
+    return report.where("finished").select("segment")
+
+
+def kept(triples_of: DataFrame, report: DataFrame, name: str) -> DataFrame:
+    """Triples of finished segments as a table that can be read again; those of others are worked out anew each time."""
+    done = finished(report).withColumnRenamed("segment", "graph")
+    return written(triples_of.join(done, "graph", "left_semi"), name).unionByName(triples_of.join(done, "graph", "left_anti"))
 
 
 def checked(requests: DataFrame, classes: DataFrame) -> DataFrame:
@@ -67,10 +135,58 @@ def checked(requests: DataFrame, classes: DataFrame) -> DataFrame:
     return r.withColumn("error", error).drop("always")
 
 
-def write_entries(entries: DataFrame, cadence: Cadence | None = None, order: list[str] | None = None, level: str = "info", classes: DataFrame | None = None) -> DataFrame:
-    """Lines of segments for entries (instance, time, ms, class, curie, subject, tail) that the level lets through."""
-    spark = entries.sparkSession
+def requested(requests: DataFrame, prefix: str = "log") -> DataFrame:
+    """Requests (instance, ms, class, subject, msg, fields; the last four may be null) as entries that :func:`write_entries` takes.
+
+    Without a class an entry is a message, without a subject it is about the instance; msg becomes a field, before the others.
+    """
+    class_ = F.coalesce("class", F.lit(LOG + "Message"))
+    own = F.when(F.col("msg").isNotNull(), F.array(F.struct(F.lit("msg").alias("key"), F.col("msg").alias("value"))))
+    none = F.array().cast("array<struct<key: string, value: string>>")
+    curie = F.when(class_.startswith(LOG), F.concat(F.lit(prefix + ":"), F.substring(class_, F.lit(len(LOG) + 1), F.length(class_)))).otherwise(F.concat(F.lit("<"), class_, F.lit(">")))
+    r = requests.withColumns({"class": class_, "subject": F.coalesce("subject", "instance"), "fields": F.concat(F.coalesce(own, none), F.coalesce("fields", none)), "time": X.time_string(F.col("ms")), "curie": curie})
+    return r.withColumn("tail", X.render_fields(F.col("fields")))
+
+
+def write_entries(
+    entries: DataFrame, cadence: Cadence | None = None, order: list[str] | None = None, level: str = "info", classes: DataFrame | None = None,
+    config: C.Config | None = None, predecessors: DataFrame | None = None, sink: Callable | None = None,
+) -> DataFrame:
+    """Lines of segments for entries (instance, time, ms, class, curie, subject, tail) that the level lets through.
+
+    config: its level and cadences hold, and the lines are written to its destination.
+    """
     v = Vocabulary.built_in()
-    table = classes if classes is not None else v.class_table(spark)
-    kept = entries.join(F.broadcast(table.select("class", "least_rank")), "class", "left").where(F.coalesce(F.col("least_rank") <= v.ranks[LOG + level], F.lit(True)))
-    return write_lines(kept, cadence or Cadence(), order or ["ms"], level)
+    if config is not None:
+        level = config.level
+        cadence = cadence or Cadence(config.seal["entries"], config.seal["millis"], config.rotation["entries"], config.rotation["millis"])
+    table = classes if classes is not None else v.class_table(entries.sparkSession)
+    found = entries.join(F.broadcast(table.select("class", "least_rank")), "class", "left").where(F.coalesce(F.col("least_rank") <= v.ranks[LOG + level], F.lit(True)))
+    lines = write_lines(found, cadence or Cadence(), order or ["ms"], level, predecessors=predecessors)
+    if config is None and sink is None:
+        return lines
+    lines = written(lines, "lines")  # delivered and returned, but made once
+    deliver(lines, "sink" if sink is not None else config.destination, config.directory if config else None, sink)
+    return lines
+
+
+def resumed(spark: SparkSession, directory: str, vocabulary: Vocabulary | None = None) -> DataFrame:
+    """The chains of a folder that a restarted writer goes on from: instance, name, level, head, started."""
+    headers, lines = segments.opened(segments.read(spark, directory))
+    return tails(headers.where("error is null"), V.reports(V.scanned(lines), headers, vocabulary or Vocabulary.built_in()))
+
+
+def config(spark: SparkSession, directory: str, app: str | None = None, face: str = "graph", segment: tuple[str, str] | None = None) -> DataFrame | str:
+    """The effective configuration as a graph, or as the text of a file (face='toml')."""
+    c = C.load(directory, app)
+    if face == "toml":
+        return C.to_toml(c)
+    if face != "graph":
+        raise ValueError(f"face: graph or toml, not {face!r}")
+    return C.graph(spark, c, segment=segment)
+
+
+def write_config(spark: SparkSession, directory: str, stated: dict, app: str | None = None) -> DataFrame:
+    """State keys in a folder's topmost layer; (class, fields) of the entries that note what changed."""
+    rows = [(LOG + c, f) for c, f in C.write_layer(directory, stated, app)[1]]
+    return spark.createDataFrame(rows, "class string, fields array<struct<key: string, value: string>>")

@@ -59,7 +59,7 @@ def unquote(token: Column) -> Column:
         named = F.when(p == "\\n", "\n").when(p == "\\r", "\r").when(p == "\\t", "\t")
         return (
             named.when(p.rlike(r"^\\u\{"), character(F.substring_index(F.substring(p, 4, 6), "}", 1)))
-            .when(p.startswith("\\"), F.substring(p, 2, 1 << 30))
+            .when(p.startswith("\\"), F.substring(p, F.lit(2), F.length(p)))
             .otherwise(p)
         )
 
@@ -103,6 +103,27 @@ def render_entry(time: Column, curie: Column, subject: Column, fields: Column) -
     return F.concat(time, F.lit(" "), curie, F.lit(" "), subject, render_fields(fields))
 
 
+def entry_error(time: Column, class_: Column, subject: Column, fields: Column) -> Column:
+    """Why an entry can't be written as a line, or null."""
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    return (
+        F.when(no(is_time(time)), "no time")
+        .when(no(is_writable_iri(class_)), "class is no IRI")
+        .when(no(is_writable_iri(subject)), "subject is no IRI")
+        .when(F.exists(fields, lambda f: no(is_key(f["key"]))), "no key")
+    )
+
+
+def shown(c: Column) -> Column:
+    """A text for reports: characters that a line never holds are escaped, backslashes stay."""
+
+    def escape(ch: Column) -> Column:
+        code = F.lower(F.regexp_replace(F.hex(F.encode(ch, "UTF-32")), "^0+(?=.)", ""))
+        return F.when(ch.rlike(f"[{ESCAPED}]"), F.concat(F.lit("\\u{"), code, F.lit("}"))).otherwise(ch)
+
+    return F.when(c.rlike(f"[{ESCAPED}]"), F.array_join(F.transform(F.split(c, ""), escape), "")).otherwise(c)
+
+
 def line_kind(line: Column) -> Column:
     """blank, seal, comment, directive or entry, by the first characters."""
     return (
@@ -171,8 +192,16 @@ def all_values(fields: Column, key: str) -> Column:
 
 
 def stated_sequence(fields: Column) -> Column:
+    """The first seq as an unsigned number of 64 bits; null where it is none."""
     v = first_value(fields, "seq")
-    return F.when(v.rlike(r"^\+?[0-9]+$"), v.try_cast("bigint"))
+    n = F.when(v.rlike(r"^\+?[0-9]+$"), v.try_cast("decimal(38,0)"))
+    return F.when(n <= F.lit("18446744073709551615").cast("decimal(20,0)"), n.cast("decimal(20,0)"))
+
+
+def is_entry(line: Column, e: Column) -> Column:
+    """Whether a line is an entry; e: what :func:`parse_entry` made of it."""
+    good = is_scannable(line) & is_time(e["time"]) & is_iri(e["class"]) & is_iri(e["subject"]) & F.forall(e["fields"], lambda f: is_key(f["key"]))
+    return F.coalesce(good, F.lit(False))
 
 
 def parse_seal(line: Column) -> Column:
@@ -187,6 +216,11 @@ def parse_seal(line: Column) -> Column:
     )
 
 
+def is_seal(line: Column, seal: Column) -> Column:
+    """Whether a line is a seal; seal: what :func:`parse_seal` made of it."""
+    return F.coalesce(line.rlike(r"^#seal\s+\d+-\d+\s+\S+") & seal["first"].isNotNull() & seal["last"].isNotNull(), F.lit(False))
+
+
 def tagged_hash(c: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(c, 256))
 
@@ -195,18 +229,22 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(c, "[^A-Za-z0-9._-]", "-")
 
 
+def instance_iri(name: Column, namespace: str) -> Column:
+    """The IRI of an instance, given by its name or by its IRI."""
+    return F.when(name.startswith(namespace), name).otherwise(F.concat(F.lit(namespace), name))
+
+
 def stamp(time: Column) -> Column:
     """The part of a time that names a segment: to the second, without colons."""
     return F.concat(F.translate(F.substring(time, 1, 19), ":", "-"), F.lit("Z"))
 
 
 def percent(c: Column, kept: str) -> Column:
-    """Percent-encode every byte of UTF-8 that isn't in the class kept."""
-
-    def encode(ch: Column) -> Column:
-        return F.when(ch.rlike(f"^{kept}$"), ch).otherwise(F.regexp_replace(F.hex(F.encode(ch, "UTF-8")), "(..)", "%$1"))
-
-    return F.when(c.rlike(f"^{kept}*$"), c).otherwise(F.array_join(F.transform(F.split(c, ""), encode), ""))
+    """Percent-encode every byte of UTF-8 of the characters that aren't in the class kept, run by run."""
+    other = "[^" + kept[1:]
+    encoded = lambda run: F.when(run.rlike(f"^{kept}"), run).otherwise(F.regexp_replace(F.hex(F.encode(run, "UTF-8")), "(..)", "%$1"))
+    runs = F.regexp_extract_all(c, F.lit(f"{kept}+|{other}+"), F.lit(0))
+    return F.when(~c.rlike(other), c).otherwise(F.array_join(F.transform(runs, encoded), ""))
 
 
 def encode_text(c: Column) -> Column:

@@ -59,8 +59,19 @@ def trace_entries(events: DataFrame, now: Column, principal: str | None = None)
 
 
 def drop_ledger(entries: DataFrame) -> DataFrame:
-    """reason, count of the events that can't be written; one marker for each reason that occurs."""
-    return entries.where(~F.col("writable")).groupBy(F.lit("unwritable").alias("reason")).agg(F.count("*").alias("count"))
+    """reason, count of the events that were lost; one row for each reason that occurs.
+
+    An event that can't be written as a line is unwritable; the host tells of the others in a column lost, where there is one.
+    """
+    told = F.col("lost") if "lost" in entries.columns else F.lit(None).cast("string")
+    reason = F.when(told.isin(DROP_REASONS), told).when(~F.col("writable"), "unwritable")
+    return entries.select(reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("count"))
+
+
+def drop_markers(ledger: DataFrame, segment: str, time: Column) -> DataFrame:
+    """Entries (time, class, subject, fields) that tell a segment's readers what was lost; they name no principal."""
+    fields = F.array(field("count", F.col("count")), field("reason", F.col("reason")))
+    return ledger.where("count > 0").select(X.time_string(time).alias("time"), F.lit(LOG + "Dropped").alias("class"), F.lit(segment).alias("subject"), fields.alias("fields"))
 
 
 def access_entries(requests: DataFrame) -> DataFrame:

@@ -1,13 +1,13 @@
 """Verification of segments and of chains of segments: findings and reports as tables.
 
 Lines of a segment are ordered by windows over the segment, whose size rotation bounds.  The
-hash chain is checked by intervals between seals, each from the hash that the seal before it
-states; only segments in which an interval disagrees are folded from their beginning.
+hash chain is checked in one pass over a segment's ordered lines, with the chain's state alone
+in memory.
 
 findings: segment, kind, breaking, a, b, c (numbers), x, y (texts); what they hold:
 
 =======================  ==============================================
-Malformed                a: line
+Malformed                a: line; x: why, where the header can't be read
 SealMismatch             a, b: range; x: stated, y: recomputed
 SealRangeMismatch        a, b: range; c: covered
 SealRangeGap             a: after, b: next first
@@ -24,22 +24,26 @@ UnbracketedLevelChange   x: from, y: to
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from provlog.functions import text as X
-from provlog.operators.chain import fold
+from provlog.operators.chain import batched, in_order, rows_of
+from provlog.operators.writer import tagged
 from provlog.sources.tables import written
-from provlog.vocabulary import LOG
+from provlog.vocabulary import LOG, Vocabulary
 
 FINDING = "struct<kind: string, breaking: boolean, a: bigint, b: bigint, c: bigint, x: string, y: string>"
 NOTED = ("UnmarkedEnd", "UnsealedTail")
-SEAL = r"^#seal\s+\d+-\d+\s+\S+"
+CHANGES = "array<struct<at: bigint, from: string, to: string>>"
 
 
 def finding(kind: str, a=None, b=None, c=None, x=None, y=None) -> Column:
-    of = lambda v, t: (F.lit(v) if v is None or isinstance(v, str) else v).cast(t)
+    of = lambda v, t: (F.lit(v) if v is None or isinstance(v, (str, int)) else v).cast(t)
     return F.struct(
         F.lit(kind).alias("kind"), F.lit(kind not in NOTED).alias("breaking"), of(a, "bigint").alias("a"), of(b, "bigint").alias("b"), of(c, "bigint").alias("c"), of(x, "string").alias("x"), of(y, "string").alias("y")
     ).cast(FINDING)
@@ -50,18 +54,13 @@ def exploded(rows: DataFrame, *found: Column) -> DataFrame:
     return each.select("segment", "f.*")
 
 
-def kinds_of(closure: DataFrame, ancestor: str) -> list[str]:
-    """Classes below one; the vocabulary is a small table."""
-    return [r["class"] for r in closure.where(F.col("ancestor") == LOG + ancestor).collect()]
-
-
 def scanned(lines: DataFrame) -> DataFrame:
     """segment, line_no, raw, is_entry, is_seal, bad, class, fields, seal, stated, position, covered (sealed before), previous (stated sequence before)."""
-    e, f = X.parse_entry(F.col("raw"), F.col("prefixes")), F.col("e.fields")
-    p = lines.withColumns({"e": F.when(F.col("kind") == "entry", e), "seal": F.when((F.col("kind") == "seal") & F.col("raw").rlike(SEAL), X.parse_seal(F.col("raw")))})
-    good = (F.col("kind") == "entry") & X.is_scannable(F.col("raw")) & X.is_time(F.col("e.time")) & X.is_iri(F.col("e.class")) & X.is_iri(F.col("e.subject")) & F.forall(f, lambda x: X.is_key(x["key"]))
-    p = p.withColumns({"is_entry": F.coalesce(good, F.lit(False)), "is_seal": F.coalesce(F.col("seal.first").isNotNull() & F.col("seal.last").isNotNull(), F.lit(False))})
-    p = p.withColumns({"bad": F.col("kind").isin("entry", "seal", "directive") & ~F.col("is_entry") & ~F.col("is_seal"), "stated": F.when(F.col("is_entry"), X.stated_sequence(f))})
+    e = X.parse_entry(F.col("raw"), F.col("prefixes"))
+    p = lines.withColumns({"e": F.when(F.col("kind") == "entry", e), "seal": F.when((F.col("kind") == "seal"), X.parse_seal(F.col("raw")))})
+    p = p.withColumns({"is_entry": (F.col("kind") == "entry") & X.is_entry(F.col("raw"), F.col("e")), "is_seal": (F.col("kind") == "seal") & X.is_seal(F.col("raw"), F.col("seal"))})
+    stated = F.when(F.col("is_entry"), X.stated_sequence(F.col("e.fields")).try_cast("bigint"))
+    p = p.withColumns({"bad": F.col("kind").isin("entry", "seal", "directive") & ~F.col("is_entry") & ~F.col("is_seal"), "stated": stated})
     order = W.partitionBy("segment").orderBy("line_no")
     here, before = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(W.unboundedPreceding, -1)
     p = p.withColumn("own", F.when(F.col("is_entry"), F.coalesce("stated", F.sum(F.col("is_entry").cast("long")).over(here))))
@@ -69,10 +68,9 @@ def scanned(lines: DataFrame) -> DataFrame:
     p = p.withColumns({
         "covered": F.coalesce(F.last(F.when(F.col("is_seal"), F.col("position")), True).over(before), F.lit(0).cast("long")),
         "previous": F.last("stated", True).over(before),
-        "interval": F.coalesce(F.sum(F.col("is_seal").cast("long")).over(before), F.lit(0).cast("long")),
-        "from_hash": F.last(F.when(F.col("is_seal"), F.col("seal.hash")), True).over(before),
     })
-    return p.select("segment", "line_no", "raw", "is_entry", "is_seal", "bad", F.col("e.class").alias("class"), f.alias("fields"), "seal", "stated", "position", "covered", "previous", "interval", "from_hash")
+    seal = F.when(F.col("is_seal"), F.col("seal")).alias("seal")
+    return p.select("segment", "line_no", "raw", "is_entry", "is_seal", "bad", F.col("e.class").alias("class"), F.col("e.fields").alias("fields"), seal, "stated", "position", "covered", "previous")
 
 
 def line_findings(rows: DataFrame) -> DataFrame:
@@ -88,36 +86,38 @@ def line_findings(rows: DataFrame) -> DataFrame:
 
 
 def seal_mismatches(rows: DataFrame, headers: DataFrame) -> DataFrame:
-    """Seals whose hash isn't the chain's head at their place."""
-    entry = F.when(F.col("is_entry"), F.struct("line_no", "raw"))
-    each = rows.where("is_entry or is_seal").groupBy("segment", "interval").agg(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda r: r["raw"]).alias("lines"), F.max("from_hash").alias("from_hash"), F.max(F.when(F.col("is_seal"), F.col("seal"))).alias("seal")
-    )
-    each = each.where("seal is not null").join(headers.select("segment", "h0"), "segment")
-    told = each.select("segment", (fold(F.coalesce("from_hash", "h0"), F.col("lines")) == F.col("seal.hash")).alias("ok"))
-    doubtful = told.groupBy("segment").agg(F.bool_and("ok").alias("ok")).where("not ok").select("segment")
-    whole = each.join(doubtful, "segment", "left_semi").groupBy("segment").agg(F.max("h0").alias("h0"), F.array_sort(F.collect_list(F.struct("interval", "lines", "seal"))).alias("parts"))
-    kind = "struct<head: string, out: array<struct<first: bigint, last: bigint, stated: string, head: string>>>"
-    start = F.struct(F.col("h0").alias("head"), F.array().cast("array<struct<first: bigint, last: bigint, stated: string, head: string>>").alias("out")).cast(kind)
+    """Seals whose hash isn't the chain's head at their place; the chain goes on from the head, not from what the seal states."""
 
-    def step(acc: Column, part: Column) -> Column:
-        one = F.transform(F.array(fold(acc["head"], part["lines"])), lambda h: F.struct(h.alias("head"), F.concat(acc["out"], F.array(F.struct(part["seal"]["first"].alias("first"), part["seal"]["last"].alias("last"), part["seal"]["hash"].alias("stated"), h.alias("head")))).alias("out")))
-        return F.element_at(one, 1).cast(kind)
+    def folded(rows: Iterator[tuple]) -> Iterator[tuple]:
+        segment = head = None
+        for now, kind, first, last, text in rows:
+            if kind == 0 or now != segment:
+                segment, head = now, text if kind == 0 else None
+            elif head is not None and kind == 1:
+                head = tagged(head + "\n" + text)
+            elif head is not None and text != head:
+                yield segment, first, last, text, head
 
-    seals = whole.select("segment", F.explode(F.aggregate("parts", start, step)["out"]).alias("s"))
-    return exploded(seals, F.when(F.col("s.stated") != F.col("s.head"), finding("SealMismatch", F.col("s.first"), F.col("s.last"), None, F.col("s.stated"), F.col("s.head"))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched(folded(rows_of(batches)), pa.schema([("segment", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("x", pa.string()), ("y", pa.string())]))
+
+    none = F.lit(None).cast("long")
+    start = headers.where("h0 is not null").select("segment", F.lit(0).alias("kind"), none.alias("line_no"), none.alias("first"), none.alias("last"), F.col("h0").alias("text"))
+    each = rows.where("is_entry or is_seal").select("segment", F.when(F.col("is_entry"), 1).otherwise(2).alias("kind"), "line_no", F.col("seal.first").alias("first"), F.col("seal.last").alias("last"), F.coalesce("seal.hash", "raw").alias("text"))
+    found = in_order(start.unionByName(each), "line_no", "kind").select("segment", "kind", "first", "last", "text").mapInArrow(run, "segment string, first long, last long, x string, y string")
+    return exploded(found, finding("SealMismatch", F.col("first"), F.col("last"), None, F.col("x"), F.col("y")))
 
 
 def level_iri(name: Column) -> Column:
     """A level's name, CURIE or IRI as an IRI; null where it is none of them."""
     bare = name.isin("always", "error", "warn", "info", "debug", "trace")
-    return F.when(bare, F.concat(F.lit(LOG), name)).when(name.startswith("log:"), F.concat(F.lit(LOG), F.substring(name, 5, 1 << 20))).when(X.is_iri(name), name)
+    return F.when(bare, F.concat(F.lit(LOG), name)).when(name.startswith("log:"), F.concat(F.lit(LOG), F.substring(name, F.lit(5), F.length(name)))).when(X.is_iri(name), name)
 
 
-def reports(rows: DataFrame, headers: DataFrame, closure: DataFrame) -> DataFrame:
-    """One row for each segment: what its lines say, and where it ends."""
-    ends, rotation = kinds_of(closure, "ProcessStop") + kinds_of(closure, "Rotation"), kinds_of(closure, "Rotation")
-    config, level = kinds_of(closure, "ConfigChange"), kinds_of(closure, "LevelChange")
+def reports(rows: DataFrame, headers: DataFrame, v: Vocabulary) -> DataFrame:
+    """One row for each segment with a header: what its lines say, and where it ends."""
+    below = lambda c: v.below(LOG + c)
+    ends, rotation, config, level = below("ProcessStop") + below("Rotation"), below("Rotation"), below("ConfigChange"), below("LevelChange")
     of = lambda k: X.first_value(F.col("fields"), k)
     records = F.col("class").isin(level) | (F.col("class").isin(config) & (of("key") == "level"))
     change = F.struct(F.col("position").alias("at"), level_iri(of("from")).alias("from"), level_iri(of("to")).alias("to"))
@@ -133,16 +133,22 @@ def reports(rows: DataFrame, headers: DataFrame, closure: DataFrame) -> DataFram
         F.array_sort(F.collect_list(F.when(F.col("seal.sig_alg").isNotNull(), F.struct("line_no", "seal.sig_alg")))).alias("signs"),
         F.array_sort(F.collect_list(F.when(entry & records & change["from"].isNotNull() & change["to"].isNotNull(), change))).alias("changes"),
     )
-    h = headers.select("segment", "instance", "level", "prev", "h0").join(found, "segment", "left")
+    readable = headers.where("h0 is not null")
+    h = readable.select("segment", "instance", "level", "prev", "h0").join(found, "segment", "left")
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("entries", "seals", "position", "sealed_through")]
     sealed = F.filter("changes", lambda c: c["at"] <= F.col("sealed_through"))
     return h.select(
         "segment", "instance", "level", "prev", F.coalesce("seal_hash", "h0").alias("head"), *zero, "ended_at", "last_class", "successor",
-        F.array_distinct(F.transform("signs", lambda s: s["sig_alg"])).alias("signed_with"), F.coalesce(sealed, F.array().cast("array<struct<at: bigint, from: string, to: string>>")).alias("level_changes"),
+        F.array_distinct(F.transform("signs", lambda s: s["sig_alg"])).alias("signed_with"), F.coalesce(sealed, F.array().cast(CHANGES)).alias("level_changes"),
         (F.coalesce(F.col("ended_at") == F.col("position"), F.lit(False)) & (F.coalesce(F.col("sealed_through") >= F.col("position"), F.lit(False)))).alias("finished"),
     )
 
 
+def unreadable(headers: DataFrame) -> DataFrame:
+    """Findings of segments whose header, or file, can't be read."""
+    return exploded(headers.where("h0 is null"), finding("Malformed", 1, x=F.col("error")))
+
+
 def end_findings(report: DataFrame) -> DataFrame:
     """Entries after the end, ends that aren't marked, tails that aren't sealed."""
     end, at, sealed = F.col("ended_at"), F.col("position"), F.col("sealed_through")
@@ -154,45 +160,50 @@ def end_findings(report: DataFrame) -> DataFrame:
     )
 
 
+def walked(links: list[tuple[str, str, str]]) -> list[str] | None:
+    """Segments in the order of their links (segment, prev, head); None unless they form one chain of all."""
+    heads = {head for _, _, head in links}
+    following = {prev: (segment, head) for segment, prev, head in links if prev != "genesis"}
+    first = [(segment, head) for segment, prev, head in links if prev == "genesis" or prev not in heads]
+    if len(heads) != len(links) or len(following) + sum(prev == "genesis" for _, prev, _ in links) != len(links) or len(first) != 1:
+        return None
+    out, at = [], first[0]
+    while at is not None and len(out) <= len(links):
+        out.append(at[0])
+        at = following.get(at[1])
+    return out if len(out) == len(links) else None
+
+
 def chain_order(report: DataFrame) -> DataFrame:
     """report with place: by the links of each instance if they form one chain of all its segments, else by name.
 
-    Where names already follow the links no walk is needed; only other instances are walked.
+    Where names already follow the links no walk is needed; each other instance is walked once.
     """
     by_name = W.partitionBy("instance").orderBy("segment")
     named = report.withColumns({"place": F.row_number().over(by_name).cast("long"), "linked": F.col("prev").eqNullSafe(F.lag("head").over(by_name)) | (F.row_number().over(by_name) == 1)})
     doubtful = named.groupBy("instance").agg(F.bool_and("linked").alias("ok")).where("not ok").select("instance")
-    link = F.struct("segment", "prev", "head")
-    per = report.join(doubtful, "instance", "left_semi").groupBy("instance").agg(F.array_sort(F.collect_list(link)).alias("all"))
-    prevs, heads = F.transform("all", lambda s: s["prev"]), F.transform("all", lambda s: s["head"])
-    starts = F.filter("all", lambda s: (s["prev"] == "genesis") | ~F.array_contains(heads, s["prev"]))
-    linked_prevs = F.filter(prevs, lambda p: p != "genesis")
-    one = (F.size(F.array_distinct(heads)) == F.size("all")) & (F.size(F.array_distinct(linked_prevs)) == F.size(linked_prevs)) & (F.size(starts) == 1)
-    per = per.where(one).withColumn("next", F.map_from_entries(F.transform(F.filter("all", lambda s: s["prev"] != "genesis"), lambda s: F.struct(s["prev"].alias("key"), s.alias("value"))))).withColumn("start", F.get(starts, 0))
-
-    def step(acc: Column, _: Column) -> Column:
-        after = F.try_element_at(F.col("next"), F.element_at(acc, -1)["head"])
-        return F.when(after.isNull() | (F.size(acc) >= F.size("all")), acc).otherwise(F.concat(acc, F.array(after)))
-
-    kind = "array<struct<segment: string, prev: string, head: string>>"
-    walk = per.withColumn("walk", F.aggregate("all", F.array("start").cast(kind), lambda acc, x: step(acc, x).cast(kind))).where(F.size("walk") == F.size("all"))
-    places = walk.select(F.posexplode("walk").alias("at", "s")).select(F.col("s.segment").alias("segment"), (F.col("at") + 1).cast("long").alias("walked"))
+
+    def walk(table: pa.Table) -> pa.Table:
+        order = walked(sorted(zip(*(table.column(c).to_pylist() for c in ("segment", "prev", "head"))))) or []
+        return pa.table({"segment": pa.array(order, pa.string()), "walked": pa.array(range(1, len(order) + 1), pa.int64())})
+
+    places = report.join(doubtful, "instance", "left_semi").select("instance", "segment", "prev", "head").groupBy("instance").applyInArrow(walk, "segment string, walked long")
     return named.join(places, "segment", "left").withColumn("place", F.coalesce("walked", "place")).drop("walked", "linked")
 
 
 def bracketed(before: Column, after: Column, changes: Column) -> Column:
-    """Recorded changes lead from one level to the other; there are at most as many levels as rounds."""
+    """Recorded changes lead from one level to the other; a path visits each change once at most."""
 
     def round_(reached: Column, _: Column) -> Column:
         return F.array_distinct(F.concat(reached, F.transform(F.filter(changes, lambda c: F.array_contains(reached, c["from"])), lambda c: c["to"])))
 
-    return F.array_contains(F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.array(before), round_), after)
+    return F.array_contains(F.aggregate(changes, F.array(before), round_), after)
 
 
-def chain_findings(report: DataFrame, whole: bool = True) -> DataFrame:
+def link_findings(report: DataFrame, whole: bool = True) -> DataFrame:
     """What neighbours in a chain tell of each other; whole: the last segment of the walk must not name a successor."""
     order = W.partitionBy("instance").orderBy("place")
-    r = chain_order(report).withColumns({"before": F.lag(F.struct("segment", "head", "level", "level_changes")).over(order), "after": F.lead("segment").over(order)})
+    r = report.withColumns({"before": F.lag(F.struct("segment", "head", "level", "level_changes")).over(order), "after": F.lead("segment").over(order)})
     b = F.col("before")
     missing = F.col("successor").isNotNull() & (F.col("successor") != F.col("after") if not whole else ~F.col("successor").eqNullSafe(F.col("after")))
     return exploded(
@@ -204,18 +215,76 @@ def chain_findings(report: DataFrame, whole: bool = True) -> DataFrame:
     )
 
 
-def verify(headers: DataFrame, lines: DataFrame, closure: DataFrame, whole: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(reports, findings) of segments.  headers: segment, instance, level, prev, h0.  lines: segment, line_no, raw, kind, prefixes."""
+def chain_findings(report: DataFrame, whole: bool = True) -> DataFrame:
+    return link_findings(chain_order(report), whole)
+
+
+def own_findings(rows: DataFrame, headers: DataFrame, report: DataFrame) -> DataFrame:
+    """What a segment tells by itself."""
+    return line_findings(rows).unionByName(seal_mismatches(rows, headers)).unionByName(end_findings(report))
+
+
+def verify(headers: DataFrame, lines: DataFrame, v: Vocabulary, whole: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(reports, findings) of segments; unreadable ones have findings and no report.
+
+    headers: segment, instance, level, prev, h0 (null: unreadable), error.  lines: segment, line_no, raw, kind, prefixes.
+    """
     rows = written(scanned(lines), "scanned")  # every rule below reads it
-    report = written(reports(rows, headers, closure), "reports")
-    found = line_findings(rows).unionByName(seal_mismatches(rows, headers)).unionByName(end_findings(report)).unionByName(chain_findings(report, whole))
-    return report, found
+    report = written(reports(rows, headers, v), "reports")
+    found = own_findings(rows, headers, report).unionByName(chain_findings(report, whole))
+    return report, found.unionByName(unreadable(headers)) if "error" in headers.columns else found
+
+
+def said(kind: Column) -> Column:
+    """A finding as text."""
+    return F.concat(kind, *[F.when(F.col(c).isNotNull(), F.concat(F.lit(f" {c}="), F.col(c).cast("string"))).otherwise("") for c in ("a", "b", "c", "x", "y")])
+
+
+def chain_broken(headers: DataFrame, lines: DataFrame, v: Vocabulary) -> DataFrame:
+    """What a writer notes in the successor when it rotates: instance, segment (the successor), class, subject, fields.
+
+    Each rotation verifies the segment that it sealed and that one's predecessor, as a window: the
+    predecessor's own predecessor isn't asked for, nor the successor that opens only now.
+    """
+    rows = written(scanned(lines), "scanned")
+    report = written(chain_order(reports(rows, headers, v)), "reports")
+    own, links = own_findings(rows, headers, report), link_findings(report, whole=False)
+    order = W.partitionBy("instance").orderBy("place")
+    closed = report.withColumn("before", F.lag("segment").over(order)).where("successor is not null")
+    pair = closed.select("instance", F.col("successor").alias("opened"), F.explode(F.array(F.struct(F.col("segment").alias("segment"), F.lit(True).alias("last")), F.struct(F.col("before").alias("segment"), F.lit(False).alias("last")))).alias("w"))
+    pair = pair.select("instance", "opened", "w.segment", "w.last").where("segment is not null")
+    each = own.withColumn("from", F.lit(None).cast("boolean")).unionByName(links.withColumn("from", F.col("kind") != "MissingSuccessor")).where("breaking")
+    met = pair.join(each, "segment").where("from is null or from = last")  # links point back from the last, forward from the one before
+    texts = met.groupBy("instance", "opened", "segment").agg(F.array_sort(F.collect_list(said(F.col("kind")))).alias("findings"))
+    field = lambda k, c: F.struct(F.lit(k).alias("key"), c.alias("value"))
+    fields = F.concat(F.array(field("expected", F.col("head")), field("stated", F.col("prev"))), F.transform("findings", lambda f: field("finding", f)))
+    return texts.join(report.select("segment", "head", "prev"), "segment").select("instance", F.col("opened").alias("segment"), F.lit(LOG + "ChainBroken").alias("class"), F.col("segment").alias("subject"), fields.alias("fields"))
+
+
+def chains(report: DataFrame, findings: DataFrame) -> DataFrame:
+    """instance, segments, broken, ok of each chain."""
+    broken = findings.where("breaking").select("segment").distinct().withColumn("is_broken", F.lit(1).cast("long"))
+    each = report.join(broken, "segment", "left").groupBy("instance").agg(F.count("*").alias("segments"), F.coalesce(F.sum("is_broken"), F.lit(0)).alias("broken"))
+    return each.withColumn("ok", F.col("broken") == 0)
 
 
 def text_report(report: DataFrame, findings: DataFrame) -> DataFrame:
-    """segment, ord, line: one line for each segment, its findings below it."""
+    """segment, ord, line, in order: a line for each segment of each chain, its findings below it; then unreadable ones; a total.
+
+    The total has neither segment nor place in a segment.
+    """
     broken = findings.where("breaking").groupBy("segment").agg(F.count("*").alias("broken"))
-    head = report.join(broken, "segment", "left").select("segment", F.lit(0).cast("long").alias("ord"), F.format_string("segment <%s> %s entries=%d seals=%d", F.col("segment"), F.when(F.col("broken") > 0, "BROKEN").otherwise("OK"), F.col("entries"), F.col("seals")).alias("line"))
-    parts = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f" {c}="), F.col(c).cast("string"))).otherwise("") for c in ("a", "b", "c", "x", "y")]
+    signed = F.when(F.size("signed_with") > 0, F.array_join("signed_with", ",")).otherwise("none")
+    facts = [F.concat(F.lit(f" {n}="), X.shown(c.cast("string"))) for n, c in (("entries", F.col("entries")), ("seals", F.col("seals")), ("level", F.col("level")), ("prev", F.col("prev")), ("signed", signed), ("head", F.col("head")))]
+    placed = chain_order(report).join(broken, "segment", "left")
+    state = F.when(F.col("broken") > 0, "BROKEN").otherwise("OK")
+    head = placed.select(F.lit(0).alias("part"), "instance", "place", "segment", F.lit(0).cast("long").alias("ord"), F.concat(F.lit("segment "), X.shown(F.col("segment")), F.lit(" "), state, *facts).alias("line"), state.alias("state"))
+    lost = findings.join(report.select("segment"), "segment", "left_anti").select("segment").distinct()
+    none = lost.select(F.lit(1).alias("part"), F.lit("").alias("instance"), F.lit(0).cast("long").alias("place"), "segment", F.lit(0).cast("long").alias("ord"), F.concat(F.lit("segment "), X.shown(F.col("segment")), F.lit(" BROKEN unreadable")).alias("line"), F.lit("BROKEN").alias("state"))
+    tops = head.unionByName(none)
     nth = F.row_number().over(W.partitionBy("segment").orderBy("kind", "a", "b", "c", "x", "y")).cast("long")
-    return head.unionByName(findings.select("segment", nth.alias("ord"), F.concat(F.lit("  "), "kind", *parts).alias("line"))).orderBy("segment", "ord")
+    below = findings.select("segment", nth.alias("ord"), F.concat(F.lit("  "), X.shown(said(F.col("kind")))).alias("line")).join(tops.select("part", "instance", "place", "segment"), "segment")
+    total = tops.agg(F.count("*").alias("n"), F.count_if(F.col("state") == "BROKEN").alias("b"))
+    last = total.select(F.lit(2).alias("part"), F.lit("").alias("instance"), F.lit(0).cast("long").alias("place"), F.lit(None).cast("string").alias("segment"), F.lit(None).cast("long").alias("ord"), F.format_string("verified %d segment(s), %d broken", "n", "b").alias("line"))
+    order = ["part", "instance", "place", "segment", "ord"]
+    return tops.drop("state").unionByName(below.select(*order, "line")).unionByName(last).orderBy(*order).select("segment", "ord", "line")

@@ -8,8 +8,9 @@ chain's state, so an instance may be of any length.
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from provlog.vocabulary import LOG, MAGIC, PROV
 
 OUT = "instance string, segment string, line_no long, line string"
+#: Segments of an instance that may be named for one second.
+SUFFIXES = 100
 
 
 def tagged(text: str) -> str:
@@ -47,14 +50,48 @@ class Cadence:
         return (self.max_entries is not None and entries >= self.max_entries) or (self.max_millis is not None and age >= self.max_millis)
 
 
+@dataclass(frozen=True)
+class Predecessor:
+    """The newest segment of an instance's chain, from which a restarted writer goes on."""
+
+    name: str
+    level: str
+    head: str
+    started: str
+
+
 class Segments:
-    """The state of one instance's writer; add() and close() return what is written: (segment, line_no, line)."""
+    """The state of one instance's writer; add() and close() return what is written: (segment, line_no, line).
+
+    pid and configured are noted where a process starts.  After a predecessor the chain goes on from its head,
+    no segment is stamped before it, and a level that isn't its own is recorded and sealed at once.
+    """
 
-    def __init__(self, instance: str, level: str, cadence: Cadence, signer: Callable[[str], str | None] | None = None):
+    def __init__(
+        self, instance: str, level: str, cadence: Cadence, signer: Callable[[str], str | None] | None = None,
+        pid: int | None = None, configured: str | None = None, predecessor: Predecessor | None = None,
+    ):
         self.instance, self.level, self.cadence, self.signer = instance, level, cadence, signer
+        self.pid, self.configured, self.predecessor = pid, configured, predecessor
         self.name, self.head, self.started = "", "genesis", ""
         self.names: dict[str, int] = {}
+        self.line_no = self.seq = self.sealed = self.opened = self.since = 0
         self.out: list[tuple[str, int, str]] = []
+        if predecessor is not None:
+            self.head, self.started = predecessor.head, predecessor.started
+            stem = self.stem(predecessor.started)
+            taken = predecessor.name[len(stem) :]
+            if predecessor.name.startswith(stem) and (not taken or taken[1:].isdigit()):
+                self.names = {stem: int(taken[1:] or 0) + 1}
+
+    def state(self) -> dict:
+        """What a writer must remember between entries."""
+        return {k: getattr(self, k) for k in ("name", "head", "started", "names", "line_no", "seq", "sealed", "opened", "since")} | {"predecessor": self.predecessor and asdict(self.predecessor)}
+
+    def restore(self, state: dict) -> Segments:
+        for k, v in state.items():
+            setattr(self, k, Predecessor(**v) if k == "predecessor" and v else v)
+        return self
 
     def put(self, line: str) -> None:
         self.line_no += 1
@@ -67,6 +104,8 @@ class Segments:
         """The next segment's name: by its time, with a number where the second is taken."""
         stem = self.stem(time)
         n = self.names.get(stem, 0)
+        if n > SUFFIXES:
+            raise ValueError(f"{stem}: more than {SUFFIXES} segments in a second")
         return stem if n == 0 else f"{stem}-{n}"
 
     def open(self, time: str, ms: int) -> None:
@@ -79,6 +118,16 @@ class Segments:
         for line in text.split("\n")[:-1]:
             self.put(line)
 
+    def start(self, time: str, ms: int) -> None:
+        """The first segment of a process."""
+        self.open(time, ms)
+        stated = f" pid={self.pid}" if self.pid is not None else ""
+        self.entry(time, "log:ProcessStart", self.instance, stated + (f" configured={self.configured}" if self.configured else ""))
+        before = self.predecessor
+        if before is not None and before.level != LOG + self.level:
+            self.entry(time, "log:LevelChange", self.name, f" key=level from={before.level} to={LOG + self.level} effective=this-segment")
+            self.seal(ms)
+
     def entry(self, time: str, curie: str, subject: str, tail: str) -> None:
         self.seq += 1
         line = f"{time} {curie} {subject} seq={self.seq}{tail}"
@@ -92,8 +141,7 @@ class Segments:
 
     def add(self, time: str, ms: int, curie: str, subject: str, tail: str) -> list[tuple[str, int, str]]:
         if not self.name:
-            self.open(time, ms)
-            self.entry(time, "log:ProcessStart", self.instance, "")
+            self.start(time, ms)
         elif self.cadence.rotation_due(self.seq, max(0, ms - self.opened)):
             self.entry(time, "log:Rotation", self.instance, f" next={self.following(time)}")
             self.seal(ms)
@@ -114,10 +162,13 @@ class Segments:
         return out
 
 
-def write_lines(entries: DataFrame, cadence: Cadence, order: list[str], level: str = "trace", signer: Callable[[str], str | None] | None = None) -> DataFrame:
+def write_lines(
+    entries: DataFrame, cadence: Cadence, order: list[str], level: str = "trace", signer: Callable[[str], str | None] | None = None, predecessors: DataFrame | None = None
+) -> DataFrame:
     """instance, segment, line_no, line of the segments that entries become.
 
     entries: instance, time, ms, curie, subject, tail (rendered fields without the sequence), and the columns of order.
+    predecessors: instance, name, level, head, started of the chains that go on (see :func:`tails`).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,12 +181,12 @@ def write_lines(entries: DataFrame, cadence: Cadence, order: list[str], level: s
 
         for batch in batches:
             rows: list[tuple[str, int, str]] = []
-            for instance, time, ms, curie, subject, tail in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for instance, time, ms, curie, subject, tail, before in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 if now is None or instance != now.instance:
                     if now is not None:
                         yield emit(now.instance, rows + now.close(*last))
                         rows = []
-                    now = Segments(instance, level, cadence, signer)
+                    now = Segments(instance, level, cadence, signer, predecessor=Predecessor(**before) if before else None)
                 rows += now.add(time, ms, curie, subject, tail)
                 last = (time, ms)
             if rows:
@@ -143,12 +194,53 @@ def write_lines(entries: DataFrame, cadence: Cadence, order: list[str], level: s
         if now is not None:
             yield emit(now.instance, now.close(*last))
 
-    slim = entries.select("instance", "time", "ms", "curie", "subject", "tail", *[c for c in order if c not in ("instance", "time", "ms")])
+    of = "struct<name: string, level: string, head: string, started: string>"
+    if predecessors is None:
+        entries = entries.withColumn("before", F.lit(None).cast(of))
+    else:
+        entries = entries.join(predecessors.select("instance", F.struct("name", "level", "head", "started").cast(of).alias("before")), "instance", "left")
+    slim = entries.select("instance", "time", "ms", "curie", "subject", "tail", "before", *[c for c in order if c not in ("instance", "time", "ms")])
     return slim.repartition("instance").sortWithinPartitions("instance", *order).mapInArrow(run, OUT)
 
 
+def tails(headers: DataFrame, report: DataFrame) -> DataFrame:
+    """instance, name, level, head, started of the newest segment of each chain.
+
+    That is the one whose head no other segment of the instance names as what it follows; where there
+    isn't exactly one, the last by name.
+    """
+    r = report.select("instance", "segment", "level", "head", "prev").join(headers.select("segment", "started"), "segment")
+    named = r.select("instance", F.col("prev").alias("head")).distinct().withColumn("named", F.lit(True))
+    each = r.join(named, ["instance", "head"], "left")
+    free, row = F.col("named").isNull(), F.struct("segment", "level", "head", "started")
+    best = each.groupBy("instance").agg(F.count_if(free).alias("n"), F.max(F.when(free, row)).alias("tail"), F.max(row).alias("last"))
+    best = best.withColumn("t", F.when(F.col("n") == 1, F.col("tail")).otherwise(F.col("last")))
+    return best.select("instance", F.col("t.segment").alias("name"), "t.level", "t.head", "t.started")
+
+
 def write_files(lines: DataFrame, path: str) -> None:
-    """Text files, one folder for each segment, lines in their order."""
-    name = F.regexp_replace("segment", "[^A-Za-z0-9._-]", "-")
+    """A text file for each segment, in a folder named for it; :func:`provlog.sources.segments.read` finds them.
+
+    Folders carry a part of the name's hash, because different names can have one slug.  What is there
+    already is never overwritten.
+    """
+    name = F.concat(F.regexp_replace("segment", "[^A-Za-z0-9._-]", "-"), F.lit("-"), F.left(F.sha2("segment", 256), F.lit(8)))
     rows = lines.select(name.alias("file"), "line_no", "line").repartition("file").sortWithinPartitions("file", "line_no")
     rows.select("file", F.col("line").alias("value")).write.partitionBy("file").text(path)
+
+
+def deliver(lines: DataFrame, destination: str, path: str | None = None, sink: Callable[[Iterator], None] | None = None) -> None:
+    """Write lines (segment, line_no, line) where a configuration says.
+
+    file: to files below path.  console: to the driver's standard error, a segment after the other, never to standard
+    output.  sink: to a function that gets the rows of a partition, whose segments are whole and in order.  off: nowhere.
+    """
+    if destination == "file":
+        write_files(lines, path)
+    elif destination == "console":
+        for row in lines.orderBy("segment", "line_no").toLocalIterator():
+            print(row["line"], file=sys.stderr)
+    elif destination == "sink":
+        lines.repartition("segment").sortWithinPartitions("segment", "line_no").foreachPartition(sink)
+    elif destination != "off":
+        raise ValueError(f"destination: file, console, sink or off, not {destination!r}")

@@ -14,9 +14,8 @@ from provlog.vocabulary import KEY, LOG, PROV, RDF, SIG, XSD, Vocabulary
 ID = ["user_id", "event_id"]
 
 
-def vocabulary(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    v = Vocabulary.built_in()
-    return v.key_table(spark), v.class_table(spark)
+def classes_of(spark: SparkSession) -> DataFrame:
+    return Vocabulary.built_in().class_table(spark)
 
 
 @register(F1 + "SELECT user_id, event_id, seq, line FROM f1")
@@ -29,7 +28,7 @@ def render_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokenize_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each line after the third, without quotes."""
     e = derived.entries(spark, sf_dir)
-    tail = F.transform(F.slice(X.tokens(F.col("line")), 4, 1000), X.unquote)
+    tail = X.bound(X.tokens(F.col("line")), lambda t: F.transform(F.slice(t, F.lit(4), F.size(t)), X.unquote))
     return e.select(*ID, F.posexplode(tail).alias("pos", "token")).select(*ID, F.col("pos").cast("long").alias("pos"), "token")
 
 
@@ -37,7 +36,7 @@ def tokenize_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parse_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines parsed back to columns."""
     p, f = derived.parsed(spark, sf_dir), F.col("fields")
-    return p.select(*ID, "time", "class", "subject", X.stated_sequence(f).alias("seq_stated"), F.size("fields").cast("long").alias("n_fields"), X.first_value(f, "principal").alias("principal"), X.first_value(f, "msg").alias("msg"))
+    return p.select(*ID, "time", "class", "subject", X.stated_sequence(f).cast("long").alias("seq_stated"), F.size("fields").cast("long").alias("n_fields"), X.first_value(f, "principal").alias("principal"), X.first_value(f, "msg").alias("msg"))
 
 
 QUOTED = r"""CASE WHEN text <> '' AND NOT regexp_matches(text, '["\\\s]') THEN text ELSE '"' || replace(replace(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t') || '"' END"""
@@ -110,13 +109,13 @@ def window_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     since = e.join(F.broadcast(bounds), F.col("event_id") >= F.floor(F.col("m") / 2)).agg(F.min("time").alias("since"), F.max("until").alias("until")).first()
     kept = e.where(F.substring("line", 1, 24).between(since["since"], since["until"])) if since["since"] else e.limit(0)
     p = kept.withColumn("e", X.parse_entry(F.col("line"), derived.prefixes()))
-    return p.select(*ID, "e.time", X.stated_sequence(F.col("e.fields")).alias("seq"))
+    return p.select(*ID, "e.time", X.stated_sequence(F.col("e.fields")).cast("long").alias("seq"))
 
 
 @register(F1 + "SELECT user_id, event_id, seq FROM f1 WHERE seq BETWEEN 10 AND 20")
 def window_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A window of stated sequence numbers, both ends in."""
-    p = derived.parsed(spark, sf_dir).withColumn("seq", X.stated_sequence(F.col("fields")))
+    p = derived.parsed(spark, sf_dir).withColumn("seq", X.stated_sequence(F.col("fields")).cast("long"))
     return p.where(F.col("seq").between(10, 20)).select(*ID, "seq")
 
 
@@ -126,7 +125,7 @@ RANKS = "CASE name WHEN 'Resolution' THEN 3 WHEN 'CacheHit' THEN 4 WHEN 'Access'
 @register(F1 + f"SELECT user_id, event_id, name FROM f1 WHERE {RANKS} <= user_id % 5")
 def level_dial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries that each segment's level lets through."""
-    _, classes = vocabulary(spark)
+    classes = classes_of(spark)
     e = derived.entries(spark, sf_dir).select(*ID, "name", "class")
     rank = F.col("user_id") % 5  # error, warn, info, debug, trace
     return e.join(F.broadcast(classes), "class", "left").where(F.coalesce(F.col("least_rank") <= rank, F.lit(True))).select(*ID, "name")
@@ -163,7 +162,7 @@ def triples_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT segment, segment || ':' || seq, CASE name WHEN 'Access' THEN '{LOG}requested' ELSE '{LOG}resolved' END, subject, 'iri', NULL FROM f1 WHERE name IN ('Access', 'Resolution', 'CacheHit')""")
 def triples_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Type, segment, time, instance and subject of each entry."""
-    _, classes = vocabulary(spark)
+    classes = classes_of(spark)
     return triples.core(derived.parsed(spark, sf_dir), classes)
 
 
@@ -176,15 +175,13 @@ DECLARED = f"""(VALUES ('seq', '{LOG}sequence', '{XSD}integer'), ('principal', '
     FROM (SELECT segment, seq, split_part(kv, '=', 1) AS key, substr(kv, strpos(kv, '=') + 1) AS value FROM (SELECT segment, seq, unnest(kvs) AS kv FROM f1)) JOIN {DECLARED} USING (key)""")
 def triples_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields whose keys the vocabulary binds."""
-    keys, _ = vocabulary(spark)
-    return triples.declared(derived.parsed(spark, sf_dir), keys)
+    return triples.declared(derived.parsed(spark, sf_dir), Vocabulary.built_in())
 
 
 @register(F1 + f"SELECT segment AS graph, segment || ':' || seq AS s, unnest(['{KEY}k', '{LOG}undeclaredKey']) AS p, unnest([CAST(k AS VARCHAR), 'k']) AS o, 'literal' AS o_kind, '{XSD}string' AS o_type FROM f1 WHERE k IS NOT NULL")
 def triples_undeclared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields that no property claims, flagged."""
-    keys, _ = vocabulary(spark)
-    return triples.undeclared(derived.parsed(spark, sf_dir), keys)
+    return triples.undeclared(derived.parsed(spark, sf_dir), Vocabulary.built_in())
 
 
 @register(F1 + f"""SELECT segment AS graph, unnest([instance, d, d, d]) AS s, unnest(['{PROV}qualifiedDelegation', '{RDF}type', '{PROV}agent', '{PROV}hadActivity']) AS p,
@@ -223,7 +220,7 @@ def run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(F1 + f"SELECT segment AS graph, segment || ':' || seq AS s, '{LOG}resolved' AS p, '{LOG}Resolution' AS domain FROM f1 WHERE name = 'Access'")
 def family_traps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicates used on subjects outside their domain: accesses that also state what they resolved."""
-    _, classes = vocabulary(spark)
+    classes = classes_of(spark)
     e = derived.parsed(spark, sf_dir)
     wrong = triples.core(e.where(F.col("class") == LOG + "Access"), classes).where(F.col("p") == LOG + "requested").withColumn("p", F.lit(LOG + "resolved"))
     every = triples.core(e, classes).unionByName(wrong)
@@ -305,8 +302,7 @@ def unstructured_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(F1 + "SELECT segment, 'k' AS key, count(*) AS entries FROM f1 WHERE k IS NOT NULL GROUP BY segment")
 def undeclared_key_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each segment uses keys that no property claims."""
-    keys, _ = vocabulary(spark)
-    t = triples.undeclared(derived.parsed(spark, sf_dir), keys).where(F.col("p") == LOG + "undeclaredKey")
+    t = triples.undeclared(derived.parsed(spark, sf_dir), Vocabulary.built_in()).where(F.col("p") == LOG + "undeclaredKey")
     return t.groupBy(F.col("graph").alias("segment"), F.col("o").alias("key")).agg(F.count("*").alias("entries"))
 
 
@@ -331,3 +327,135 @@ def lines_at_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy(F.col("e.class").alias("class"), X.first_value(f, "supplier").cast("long").alias("supplier")).agg(F.count("*").alias("entries"), F.sum(X.first_value(f, "dur").cast("long")).alias("total"))
 
 
+HEADER_ODD = """WITH h AS (SELECT page_id, page_id % 9 AS k FROM pages) SELECT page_id, k IN (0, 1, 2, 3, 4) AS good,
+    CASE k WHEN 5 THEN 'missing level' WHEN 6 THEN 'unknown directive' WHEN 7 THEN 'version' WHEN 8 THEN 'not a header line' END AS error,
+    CASE WHEN k IN (5, 6, 7, 8) THEN NULL WHEN k = 3 THEN 'urn:log:again' ELSE 'urn:log:p' || page_id END AS name,
+    CASE WHEN k IN (5, 6, 7, 8) THEN NULL WHEN k = 4 THEN 'urn:other#info' ELSE '{log}info' END AS level, CAST(CASE k WHEN 4 THEN 406 WHEN 1 THEN 7 WHEN 3 THEN 9 WHEN 5 THEN 6 WHEN 6 THEN 8 WHEN 8 THEN 8 ELSE 7 END AS BIGINT) AS lines FROM h"""
+
+
+@register(HEADER_ODD.replace("{log}", LOG))
+def parse_headers_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers written by hand: Windows line ends, a blank line with blanks, tabs, repeated directives, 400 prefixes, and damaged ones."""
+    from provlog.sources.segments import parse_header
+    from provlog.vocabulary import MAGIC
+
+    p = derived.table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 9).alias("k"))
+    name, level = F.concat(F.lit("@name urn:log:p"), F.col("page_id").cast("string")), F.lit("@level log:info")
+    plain = [F.lit(MAGIC), F.lit(f"@prefix log: <{LOG}> ."), name, F.lit("@instance urn:inst:i"), level, F.lit("@started 2024-01-01T00:00:00.000Z"), F.lit("@prev genesis")]
+    many = [F.array_join(F.transform(F.sequence(F.lit(1), F.lit(400)), lambda i: F.concat(F.lit("@prefix p"), i.cast("string"), F.lit(": <urn:other#> ."))), "\n")]
+    text = lambda lines, end="\n", blank="": F.concat(F.concat_ws(end, *lines), F.lit(end + blank + end + "2024-01-01T00:00:00.000Z log:Message urn:x:y" + end))
+    forms = [
+        text(plain), text(plain, "\r\n"), text([plain[0], *[F.regexp_replace(c, "^(@[a-z]+) ", "$1\t") for c in plain[1:]]], blank=" \u00a0\t"),
+        text([*plain[:2], F.lit("# a comment"), F.lit("@name urn:log:first"), *plain[3:], F.lit("@name urn:log:again")]), text([*plain[:1], *many, *plain[2:4], F.lit("@level p400:info"), *plain[5:]]),
+        text([c for c in plain if c is not level]), text([*plain, F.lit("@colour red")]), text([F.lit(MAGIC + "9"), *plain[1:]]), text([*plain, F.lit("what is this")]),
+    ]
+    chosen = F.element_at(F.array(*forms), (F.col("k") + 1).cast("int"))
+    h = p.select("page_id", parse_header(chosen).alias("h"))
+    good = F.col("h.error").isNull()
+    return h.select("page_id", good.alias("good"), F.col("h.error").alias("error"), F.when(good, F.col("h.name")).alias("name"), F.when(good, F.col("h.level")).alias("level"), F.col("h.lines").alias("lines"))
+
+
+def unsequenced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(headers, lines) of segments whose entries state no sequence, with comments, seals and blank lines between them."""
+    e = derived.entries(spark, sf_dir).select("segment", "instance", "seq", "name", "time", "subject")
+    class_ = F.when(F.col("seq") % 50 == 1, F.lit("log:Started")).otherwise(F.concat(F.lit("log:"), "name"))
+    line = F.concat("time", F.lit(" "), class_, F.lit(" "), "subject", F.when(F.col("seq") % 4 == 0, F.lit(" seq=18446744073709551615")).when(F.col("seq") % 4 == 1, F.lit(" seq=x")).otherwise(""))
+    odd = F.element_at(F.array(*[F.lit(x) for x in ("# a note", "", "#seal 1-2 sha256:0", "  ")]), (F.col("seq") % 4 + 1).cast("int"))
+    rows = e.select("segment", (F.col("seq") * 2 + 10).alias("line_no"), line.alias("raw")).unionByName(e.select("segment", (F.col("seq") * 2 + 11).alias("line_no"), odd.alias("raw")))
+    lines = rows.select("segment", "line_no", "raw", X.line_kind(F.col("raw")).alias("kind"), derived.prefixes().alias("prefixes"))
+    return e.select("segment", "instance").distinct(), lines
+
+
+@register(F1 + f"""SELECT segment AS graph, segment || ':' || CASE WHEN seq % 4 = 0 THEN '18446744073709551615' ELSE CAST(seq AS VARCHAR) END AS s, '{RDF}type' AS p, '{LOG}' || CASE WHEN seq % 50 = 1 THEN 'Started' ELSE name END AS o, 'iri' AS o_kind, CAST(NULL AS VARCHAR) AS o_type
+    FROM f1 WHERE time >= '2024-01-10T00:00:00.000Z'""")
+def triples_unsequenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of entries that are named by their ordinal, which a time window doesn't move."""
+    from provlog import api
+
+    headers, lines = unsequenced(spark, sf_dir)
+    e = api.read_entries(lines, headers, since="2024-01-10T00:00:00.000Z")[0]
+    return triples.core(e, classes_of(spark)).where(F.col("p") == RDF + "type")
+
+
+@register(F1 + "SELECT segment, seq, greatest((seq - 1) // 50, 0) AS run FROM f1")
+def run_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Process runs, where the start is of a class that an extension of the vocabulary declares."""
+    from provlog import api
+
+    headers, lines = unsequenced(spark, sf_dir)
+    v = Vocabulary.built_in().extend(f"@prefix log: <{LOG}> .\n@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .\nlog:Started rdfs:subClassOf log:ProcessStart .\n")
+    e = api.read_entries(lines, headers)[0]
+    return triples.runs(e, v.below(LOG + "ProcessStart")).select("segment", F.col("ordinal").alias("seq"), "run")
+
+
+@register(F1 + "SELECT segment, seq * 2 + 10 AS line_no, 'no entry' AS error FROM f1 WHERE seq % 10 = 3 UNION ALL SELECT segment, seq * 2 + 11, CASE seq % 2 WHEN 0 THEN 'directive after the header' ELSE 'no seal' END FROM f1 WHERE seq % 10 IN (4, 5)")
+def unreadable_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines at which a segment can't be read further."""
+    from provlog import api
+
+    headers, lines = unsequenced(spark, sf_dir)
+    n = F.col("line_no") % 20  # entries stand at 2 seq + 10, what is between them at 2 seq + 11
+    lines = lines.withColumn("raw", F.when(n == 16, "not an entry").when(n == 19, "@name x").when(n == 1, "#sealed 1-2").otherwise(F.col("raw")))
+    lines = lines.withColumn("kind", X.line_kind(F.col("raw")))
+    return api.read_entries(lines, headers)[2].select("segment", "line_no", "error")
+
+
+@register(F1 + f"""SELECT segment AS graph, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, 'sha256:' || sha256(string_agg(line, chr(10) ORDER BY n) || chr(10)) AS hash FROM (
+    SELECT segment, n, ['@prefix log: <{LOG}> .', '@prefix prov: <{PROV}> .', '@prefix sig: <{SIG}> .', '@prefix xsd: <{XSD}> .'][n] AS line FROM (SELECT DISTINCT segment FROM f1), (SELECT unnest([1, 2, 3, 4]) AS n)
+    UNION ALL SELECT segment, 100 + 10 * seq + j, '<' || segment || ':' || seq || '> ' || ['a log:' || name, 'log:segment <' || segment || '>', 'prov:startedAtTime "' || time || '"^^xsd:dateTime', 'prov:wasAssociatedWith <' || instance || '>', 'log:subject <' || subject || '>'][j] || ' .' FROM f1, (SELECT unnest([1, 2, 3, 4, 5]) AS j)
+    UNION ALL SELECT segment, 106 + 10 * seq, '<' || segment || ':' || seq || '> log:' || CASE name WHEN 'Access' THEN 'requested' ELSE 'resolved' END || ' <' || subject || '> .' FROM f1 WHERE name IN ('Access', 'Resolution', 'CacheHit')) GROUP BY segment""")
+def turtle_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and hash of each segment's entries as a document, in the order of its lines."""
+    e = derived.parsed(spark, sf_dir).withColumn("at", F.lpad(F.col("line_no").cast("string"), 20, "0"))
+    t = triples.core(e, classes_of(spark)).withColumn("part", F.lit(1))
+    return triples.digests(triples.turtle(t))
+
+
+@register(F1 + "SELECT CAST(0 AS BIGINT) AS terms FROM f1 LIMIT 1")
+def terms_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many terms of the vocabulary's namespace triples use that it doesn't declare: none."""
+    v = Vocabulary.built_in()
+    t = triples.all_triples(derived.headers(spark, sf_dir), derived.parsed(spark, sf_dir), None, v)
+    return triples.undeclared_terms(t, v).agg(F.count("*").alias("terms"))
+
+
+@register(F1 + """, g AS (SELECT DISTINCT principal, segment, name FROM f1 WHERE principal <> 'anon' AND name IN ('Error', 'Access')), e AS (SELECT principal, segment FROM g WHERE name = 'Error'), a AS (SELECT principal, segment FROM g WHERE name = 'Access')
+    SELECT e.principal, e.segment AS graph, count(*) AS others FROM e JOIN a ON a.principal = e.principal AND a.segment <> e.segment GROUP BY ALL""")
+def cross_graph_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each principal and graph in which it met an error, in how many other graphs it was served."""
+    v = Vocabulary.built_in()
+    e = derived.parsed(spark, sf_dir)
+    t = triples.core(e, v.class_table(spark)).where(F.col("p") == RDF + "type").unionByName(triples.declared(e, v).where((F.col("p") == LOG + "onBehalfOf") & (F.col("o_kind") == "iri")))
+    # One row for each principal, graph and class: what is joined are these, not entries.
+    of = t.groupBy("graph", "s").agg(F.max(F.when(F.col("p") == RDF + "type", F.col("o"))).alias("class"), F.max(F.when(F.col("p") != RDF + "type", F.col("o"))).alias("principal"))
+    g = of.where("principal is not null").select("principal", "graph", "class").distinct()
+    errors = g.where(F.col("class") == LOG + "Error").select("principal", "graph")
+    served = g.where(F.col("class") == LOG + "Access").groupBy("principal").agg(F.count("*").alias("n"))
+    both = g.where(F.col("class") == LOG + "Access").select("principal", "graph", F.lit(1).alias("own"))
+    each = errors.join(served, "principal").join(both, ["principal", "graph"], "left").withColumn("others", F.col("n") - F.coalesce("own", F.lit(0)))
+    return each.where("others > 0").select("principal", "graph", "others")
+
+
+# Fixed values of the test: names of arguments, some of which are withheld.
+NAMES = ["content", "my_token", "Pass-Word", "contents", "body", "somebody", "q", "cookie_jar", "SESSION", "page", "form"]
+
+
+@register(f"SELECT page_id, name, name IN ('content', 'my_token', 'Pass-Word', 'body', 'cookie_jar', 'SESSION', 'form') AS withheld FROM (SELECT page_id, {NAMES!r}[CAST(page_id % {len(NAMES)} AS INT) + 1] AS name FROM pages)")
+def withheld_args(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which arguments of requests are never written."""
+    name = F.element_at(F.array(*[F.lit(n) for n in NAMES]), (F.col("page_id") % len(NAMES) + 1).cast("int"))
+    return derived.table(spark, sf_dir, "pages").select("page_id", name.alias("name"), X.is_withheld(name).alias("withheld"))
+
+
+@register(f"""SELECT page_id, CASE WHEN k = 0 THEN '<urn:log:x>' WHEN k = 1 THEN 'log:Message' WHEN k = 2 THEN 'long:b' ELSE '<{LOG}a/b>' END AS curie FROM (SELECT page_id, page_id % 4 AS k FROM pages)""")
+def shorten_iris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IRIs by the longest prefix that leaves a plain name."""
+    bound = F.create_map(F.lit("log"), F.lit(LOG), F.lit("long"), F.lit(LOG + "a-"))
+    iri = F.element_at(F.array(F.lit("urn:log:x"), F.lit(LOG + "Message"), F.lit(LOG + "a-b"), F.lit(LOG + "a/b")), (F.col("page_id") % 4 + 1).cast("int"))
+    return derived.table(spark, sf_dir, "pages").select("page_id", X.shorten(iri, bound).alias("curie"))
+
+
+@register(r"""SELECT doc_id, replace(replace(replace(text, chr(10), '\u{a}'), chr(13), '\u{d}'), chr(9), '\u{9}') AS shown FROM documents""")
+def shown_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as reports show them, on one printable line."""
+    return derived.table(spark, sf_dir, "documents").select("doc_id", X.shown(F.col("text")).alias("shown"))

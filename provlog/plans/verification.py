@@ -13,9 +13,9 @@ from provlog.plans import queries as base
 from provlog.plans.queries import EVERY, F3, FOLD, MILLIS, SEALS
 from provlog.plans.registry import F1, register
 from provlog.sources import derived, segments
-from provlog.sources.tables import shared_dir, written
+from provlog.sources.tables import written
 from provlog.streaming import live
-from provlog.vocabulary import LOG, MAGIC, PROV, Vocabulary
+from provlog.vocabulary import LOG, MAGIC, PROV, RDF, SIG, Vocabulary
 
 LAST_LINE = 1_000_000_000
 
@@ -70,14 +70,14 @@ NONE = "CAST(NULL AS BIGINT)"
 def verify_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in segments that were tampered with in ten ways."""
     headers, lines = tampered(spark, sf_dir)
-    return verify.verify(headers, lines, Vocabulary.built_in().closure_table(spark))[1]
+    return verify.verify(headers, lines, Vocabulary.built_in())[1]
 
 
 @register(TAMPERED + f"""SELECT segment, entries, seals, position, sealed, coalesce(w2.head, h0) AS head, last_class, coalesce(ended_at = position AND sealed >= position, FALSE) AS finished FROM w2 JOIN h USING (segment)""")
 def segment_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each tampered segment says of itself."""
     headers, lines = tampered(spark, sf_dir)
-    r = verify.reports(verify.scanned(lines), headers, Vocabulary.built_in().closure_table(spark))
+    r = verify.reports(verify.scanned(lines), headers, Vocabulary.built_in())
     return r.select("segment", "entries", "seals", "position", F.col("sealed_through").alias("sealed"), "head", "last_class", "finished")
 
 
@@ -116,7 +116,7 @@ ROTATED = ROTATED.replace("{h}", _header_sql("", "'genesis'")).replace("{i}", _h
 def rotate_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments written with rotation: each names its successor and is chained to its predecessor's head."""
     headers, lines = segments.of_lines(written(rotated(spark, sf_dir), "rotated"))
-    r = verify.reports(verify.scanned(lines), headers, Vocabulary.built_in().closure_table(spark))
+    r = verify.reports(verify.scanned(lines), headers, Vocabulary.built_in())
     return r.select("instance", "segment", "prev", "head", "entries", "successor")
 
 
@@ -138,14 +138,14 @@ GAPS = ROTATED + ", o AS (SELECT *, user_id % 4 AS u, count(*) OVER (PARTITION B
 def verify_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in chains of segments from which some are missing; a missing oldest one leaves no trace."""
     headers, lines = with_gaps(spark, sf_dir)
-    return verify.verify(headers, lines, Vocabulary.built_in().closure_table(spark))[1]
+    return verify.verify(headers, lines, Vocabulary.built_in())[1]
 
 
 @register(GAPS + "SELECT segment, row_number() OVER (PARTITION BY user_id ORDER BY n) AS place FROM o WHERE NOT ((u = 1 AND n = 1) OR (u = 2 AND n = parts - 1) OR (u = 3 AND n = 0))")
 def chain_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order of each instance's segments."""
     headers, lines = with_gaps(spark, sf_dir)
-    r = verify.reports(verify.scanned(lines), headers, Vocabulary.built_in().closure_table(spark))
+    r = verify.reports(verify.scanned(lines), headers, Vocabulary.built_in())
     return verify.chain_order(r).select("segment", "place")
 
 
@@ -153,7 +153,7 @@ def chain_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chain_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest segment of each chain: the one whose head no other names as its predecessor."""
     headers, lines = segments.of_lines(written(rotated(spark, sf_dir), "rotated"))
-    r = verify.reports(verify.scanned(lines), headers, Vocabulary.built_in().closure_table(spark))
+    r = verify.reports(verify.scanned(lines), headers, Vocabulary.built_in())
     return r.join(r.select(F.col("prev").alias("head")), "head", "left_anti").select("segment", "head")
 
 
@@ -162,10 +162,7 @@ def stream_seals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seals that a stateful stream writes: those of the batch writer."""
     headers = derived.headers(spark, sf_dir).select("segment", "h0")
     batch = derived.entries(spark, sf_dir).select("segment", "ms", "event_id", "line").join(headers, "segment")
-    path = f"{shared_dir(spark)}/source-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
-    batch.write.mode("overwrite").parquet(path)
-    stream = spark.readStream.schema(batch.schema).parquet(path)
-    return live.drained(live.seal_stream(stream, EVERY, MILLIS), "seals")
+    return live.drained(live.seal_stream(live.fed(batch, "entries"), EVERY, MILLIS), "seals")
 
 
 def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,13 +218,22 @@ def encoded(c: str) -> str:
     return out
 
 
-@register(f"SELECT doc_id, {encoded('text[1:600]')} AS encoded, CASE WHEN strlen({encoded('text[1:600]')}) > 256 THEN regexp_replace({encoded('text[1:600]')}[1:256], '%.?$', '') || '…' ELSE {encoded('text[1:600]')} END AS cut FROM documents")
+@register(f"SELECT doc_id, e AS encoded, CASE WHEN strlen(e) > 256 THEN regexp_replace(e[1:256], '%.?$', '') || '…' ELSE e END AS cut FROM (SELECT doc_id, {encoded('text')} AS e FROM documents)")
 def percent_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beginnings of texts percent-encoded by byte, and cut without breaking an escape."""
-    d = derived.table(spark, sf_dir, "documents").select("doc_id", X.encode_text(F.substring("text", 1, 600)).alias("encoded"))
+    """Texts percent-encoded by byte, and cut without breaking an escape."""
+    d = derived.table(spark, sf_dir, "documents").select("doc_id", X.encode_text(F.col("text")).alias("encoded"))
     return d.withColumn("cut", X.cut(F.col("encoded")))
 
 
+@register(r"""SELECT page_id, iri, url_encode(iri) AS plain FROM (SELECT page_id, 'urn:x:' || page_id || '/' || ['a b', 'é', 'a%20b', 'a%zz', '{x}'][CAST(page_id % 5 AS INT) + 1] AS iri FROM pages) WHERE FALSE
+    UNION ALL SELECT page_id, 'urn:x:' || page_id || '/' || ['a b', 'é', 'a%20b', 'a%zz', '{x}'][CAST(page_id % 5 AS INT) + 1], 'urn:x:' || page_id || '/' || ['a%20b', '%C3%A9', 'a%20b', 'a%25zz', '%7Bx%7D'][CAST(page_id % 5 AS INT) + 1] FROM pages""")
+def encode_iris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IRIs as URIs; a percent sign that starts no escape is encoded too."""
+    tail = F.element_at(F.array(*[F.lit(x) for x in ("a b", "é", "a%20b", "a%zz", "{x}")]), (F.col("page_id") % 5 + 1).cast("int"))
+    p = derived.table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("urn:x:"), F.col("page_id").cast("string"), F.lit("/"), tail).alias("iri"))
+    return p.withColumn("plain", X.encode_iri(F.col("iri")))
+
+
 @register(f"""SELECT o_orderkey, ' door=' || ['web', 'wire', 'cli'][CAST(o_orderkey % 3 AS INT) + 1] || ' verb=' || CASE o_orderpriority[1] WHEN '1' THEN 'GET' WHEN '2' THEN 'POST' ELSE 'SOURCE' END || ' outcome=' || oc || ' bytes=' || CAST(floor(o_totalprice) AS BIGINT)
     || ' dur=' || (o_orderkey % 1000) || ' principal=' || CASE WHEN o_custkey % 5 = 0 THEN 'anon' ELSE 'urn:agent:c' || o_custkey END || ' credential={LOG}' || CASE WHEN o_custkey % 5 = 0 THEN 'None' ELSE ['Token', 'Session', 'Peer'][CAST(o_custkey % 3 AS INT) + 1] END
     || CASE WHEN oc = 'ok' THEN ' grant=urn:grant:' || o_custkey ELSE '' END || ' q=segment=' || {encoded('c_mktsegment')} || '&name=' || {encoded('c_name')} || CASE WHEN oc = 'denied' THEN ' needs=urn:cap:order:read' ELSE '' END AS tail
@@ -260,11 +266,133 @@ def call_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("segment", "caller", "callee").agg(F.count("*").alias("calls"))
 
 
-@register(F1 + "SELECT subject, list_aggregate(list(DISTINCT segment ORDER BY segment), 'string_agg', ',') AS segments, count(*) AS entries FROM (SELECT segment, 'urn:cap:' || event_type AS subject FROM f1) GROUP BY subject")
+@register(F1 + "SELECT 'urn:cap:' || event_type AS subject, segment AS graph, count(*) AS entries FROM f1 GROUP BY ALL")
 def across_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In which graphs each capability was used."""
-    keys, _ = base.vocabulary(spark)
+    """In which graphs each capability was used, and how often."""
     from provlog.operators import triples
 
-    t = triples.declared(derived.parsed(spark, sf_dir), keys).where(F.col("p") == LOG + "capability")
-    return t.groupBy(F.col("o").alias("subject")).agg(F.array_join(F.array_sort(F.collect_set("graph")), ",").alias("segments"), F.count("*").alias("entries"))
+    t = triples.declared(derived.parsed(spark, sf_dir), Vocabulary.built_in()).where(F.col("p") == LOG + "capability")
+    return t.groupBy(F.col("o").alias("subject"), "graph").agg(F.count("*").alias("entries"))
+
+
+PATH = ["info", "warn", "error", "debug", "urn:l:1", "urn:l:2", "urn:l:3", "urn:l:4", "urn:l:5", "urn:l:6", "urn:l:7", "trace"]
+
+
+def leveled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of three segments for each user, whose levels change: recorded or not, on a long path, and with a second start of the chain."""
+    iri = lambda x: x if ":" in x else LOG + x
+    change = lambda a, b: F.struct(F.lit(1).cast("long").alias("at"), F.lit(iri(a)).alias("from"), F.lit(iri(b)).alias("to"))
+    none = F.array().cast(verify.CHANGES)
+    u = derived.events(spark, sf_dir).select("user_id").distinct().withColumn("k", F.col("user_id") % 5)
+    long_way = F.array(*[change(a, b) for a, b in reversed(list(zip(PATH, PATH[1:])))])
+    n = F.col("n")
+    recorded = F.when((n == 2) & (F.col("k") == 0), F.array(change("info", "debug"))).when((n == 3) & (F.col("k") == 0), F.array(change("debug", "trace"))).when((n == 2) & (F.col("k") == 2), long_way).when((n == 3) & (F.col("k") == 2), F.array(change("trace", "trace"))).otherwise(none)
+    level = F.when(n == 1, LOG + "info").when(n == 2, F.when(F.col("k") == 2, LOG + "trace").otherwise(LOG + "debug")).otherwise(LOG + "trace")
+    name = lambda i: F.format_string("urn:log:u%d:%d", "user_id", i)
+    rows = u.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    prev = F.when((n == 1) | ((F.col("k") == 3) & (n == 2)), F.lit("genesis")).otherwise(F.format_string("head%d-%d", "user_id", n - 1))
+    return rows.select(
+        name(n).alias("segment"), F.format_string("urn:inst:u%d", "user_id").alias("instance"), level.alias("level"), prev.alias("prev"), F.format_string("head%d-%d", "user_id", n).alias("head"),
+        F.when(n < 3, name(n + 1)).when(F.col("k") == 4, F.lit("urn:log:gone")).alias("successor"), recorded.alias("level_changes"),
+    )
+
+
+@register(f"""WITH u AS (SELECT DISTINCT user_id, user_id % 5 AS k, 'urn:log:u' || user_id || ':' AS s FROM events) SELECT s || n AS segment, 'UnbracketedLevelChange' AS kind, TRUE AS breaking, {NONE} AS a, {NONE} AS b, {NONE} AS c, '{LOG}' || CASE n WHEN 2 THEN 'info' ELSE 'debug' END AS x, '{LOG}' || CASE n WHEN 2 THEN 'debug' ELSE 'trace' END AS y
+    FROM u, (SELECT unnest([2, 3]) AS n) WHERE k IN (1, 3, 4)
+    UNION ALL SELECT s || 2, 'UnexpectedGenesis', TRUE, NULL, NULL, NULL, s || 1, NULL FROM u WHERE k = 3 UNION ALL SELECT s || 3, 'MissingSuccessor', TRUE, NULL, NULL, NULL, 'urn:log:gone', NULL FROM u WHERE k = 4""")
+def verify_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level changes that nothing records, however long the recorded path, and chains that begin anew."""
+    return verify.chain_findings(leveled(spark, sf_dir))
+
+
+@register(F1 + """, u AS (SELECT DISTINCT user_id, user_id % 5 AS k FROM f1) SELECT 'urn:inst:u' || user_id AS instance, CAST(3 AS BIGINT) AS segments, CAST(CASE k WHEN 1 THEN 2 WHEN 3 THEN 2 WHEN 4 THEN 2 ELSE 0 END AS BIGINT) AS broken, k IN (0, 2) AS ok FROM u""")
+def chain_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many segments of each chain are broken."""
+    r = leveled(spark, sf_dir)
+    return verify.chains(r, verify.chain_findings(r))
+
+
+@register(SEALS + """SELECT segment, count(*) AS seals, CASE WHEN bool_or(contains(coalesce(signature, ''), ':')) THEN 'Ed25519' ELSE '' END AS signed_with FROM f3 GROUP BY segment""")
+def signed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each segment's seals are signed with."""
+    e = derived.entries(spark, sf_dir).select("segment", (F.col("seq") * 2).alias("line_no"), F.col("line").alias("raw"))
+    s = base.seals(spark, sf_dir).select("segment", (F.col("last") * 2 + 1).alias("line_no"), F.col("line").alias("raw"))
+    lines = e.unionByName(s).select("segment", "line_no", "raw", X.line_kind(F.col("raw")).alias("kind"), derived.prefixes().alias("prefixes"))
+    r = verify.reports(verify.scanned(lines), derived.headers(spark, sf_dir), Vocabulary.built_in())
+    return r.where("seals > 0").select("segment", "seals", F.array_join("signed_with", ",").alias("signed_with"))
+
+
+@register(GAPS + """SELECT instance, next AS segment, unnest([s0, segment]) AS subject, unnest([h0, head]) AS expected, unnest([p0, prev]) AS stated, unnest(['MissingSuccessor x=' || n0, 'PrevMismatch x=' || h1 || ' y=' || h2]) AS finding
+    FROM (SELECT *, first_value(segment) OVER w AS s0, first_value(head) OVER w AS h0, first_value(prev) OVER w AS p0, first_value(next) OVER w AS n0 FROM o WINDOW w AS (PARTITION BY user_id ORDER BY n)) WHERE u = 1 AND n = 2 AND next IS NOT NULL""")
+def chain_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a rotation notes of the two segments before it."""
+    headers, lines = with_gaps(spark, sf_dir)
+    b = verify.chain_broken(headers, lines, Vocabulary.built_in())
+    of = lambda k: X.first_value(F.col("fields"), k)
+    return b.select("instance", "segment", "subject", of("expected").alias("expected"), of("stated").alias("stated"), of("finding").alias("finding"))
+
+
+@register(ROTATED + "SELECT instance, max_by(segment, n) AS name, '" + LOG + "trace' AS level, max_by(head, n) AS head FROM r GROUP BY instance")
+def restart_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a restarted writer goes on: the newest segment of each chain, by its links."""
+    from provlog.operators.writer import tails
+
+    headers, lines = segments.of_lines(written(rotated(spark, sf_dir), "rotated"))
+    r = verify.reports(verify.scanned(lines), headers, Vocabulary.built_in())
+    return tails(headers, r).select("instance", "name", "level", "head")
+
+
+@register(ROTATED + "SELECT r.instance, r.segment, r.prev, CASE WHEN r.next IS NULL THEN 'sha256:' || sha256(" + _header_sql("m.", "r.prev") + ") ELSE r.head END AS head, CAST(len(r.lines) - CASE WHEN r.next IS NULL THEN 1 ELSE 0 END AS BIGINT) AS entries, r.next AS successor FROM r JOIN m ON m.user_id = r.user_id AND m.n = r.n")
+def stream_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that a stateful stream writes and rotates: those of the batch writer, but the last of each chain stays open."""
+    e = derived.entries(spark, sf_dir)
+    tail = X.render_fields(F.filter("fields", lambda f: f["key"] != "seq"))
+    e = e.select("instance", "time", "ms", "class", F.concat(F.lit("log:"), "name").alias("curie"), "subject", tail.alias("tail"), "seq")
+    stream = live.write_stream(live.fed(e, "entries"), Cadence(None, None, MAX_ENTRIES, None), ["seq"], "trace", Vocabulary.built_in())
+    headers, lines = segments.of_lines(live.drained(stream, "writer"))
+    r = verify.reports(verify.scanned(lines), headers, Vocabulary.built_in())
+    return r.select("instance", "segment", "prev", "head", "entries", "successor")
+
+
+STOPPED = F1 + """, n AS (SELECT segment, max(seq) AS n FROM f1 GROUP BY segment), p AS (SELECT f1.*, CASE WHEN seq // 2 >= 1 THEN seq // 2 END AS parent FROM f1) """
+
+
+@register(STOPPED + f"""SELECT segment AS graph, segment || ':' || parent AS s, '{LOG}invoked' AS p, segment || ':' || seq AS o FROM p WHERE parent IS NOT NULL AND parent <> seq
+    UNION ALL SELECT DISTINCT segment, principal, '{RDF}type', '{PROV}Agent' FROM p WHERE principal <> 'anon'
+    UNION ALL SELECT segment, segment || ':' || seq, '{RDF}type', '{LOG}' || name FROM p UNION ALL SELECT segment, segment || ':' || (n + 1), '{RDF}type', '{LOG}ProcessStop' FROM n
+    UNION ALL SELECT segment, segment || ':' || seq, '{LOG}capability', 'urn:cap:' || event_type FROM p UNION ALL SELECT segment, segment || ':' || seq, '{LOG}undeclaredKey', 'k' FROM p WHERE k IS NOT NULL
+    UNION ALL SELECT segment, segment || ':seal:1-' || (n + 1), '{SIG}contentHash', 'sha256:0' FROM n""")
+def stream_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream of lines says: its entries, call-tree edges, agents and seals, as the batch operator tells it."""
+    p = derived.entries(spark, sf_dir).select("segment", "instance", "seq", "time", "line")
+    last = p.groupBy("segment", "instance").agg(F.max("seq").alias("n"), F.max("time").alias("time"))
+    stop = last.select("segment", "instance", (F.col("n") + 1).alias("line_no"), F.concat("time", F.lit(" log:ProcessStop "), "instance").alias("raw"))
+    seal = last.select("segment", "instance", (F.col("n") + 2).alias("line_no"), F.concat(F.lit("#seal 1-"), (F.col("n") + 1).cast("string"), F.lit(" sha256:0")).alias("raw"))
+    rows = p.select("segment", "instance", F.col("seq").alias("line_no"), F.col("line").alias("raw")).unionByName(stop).unionByName(seal)
+    rows = rows.select("segment", "instance", "line_no", "raw", X.line_kind(F.col("raw")).alias("kind"), derived.prefixes().alias("prefixes"))
+    t = live.stream_triples(live.fed(rows, "lines"), Vocabulary.built_in(), "triples")
+    agent = (F.col("p") == RDF + "type") & F.col("o").isin(PROV + "Agent") | (F.col("p") == RDF + "type") & F.col("o").startswith(LOG) & (F.col("o") != LOG + "Seal")
+    return t.where(agent | F.col("p").isin(LOG + "invoked", LOG + "capability", LOG + "undeclaredKey", SIG + "contentHash")).select("graph", "s", "p", "o")
+
+
+@register(f"""SELECT * FROM (VALUES ('urn:log:config', '{RDF}type', '{LOG}Config', 'iri'), ('urn:log:config', '{LOG}level', '{LOG}debug', 'iri'), ('urn:log:config', '{LOG}destination', '{LOG}console', 'iri'), ('urn:log:config', '{LOG}directory', '.', 'literal'),
+    ('urn:log:config', '{LOG}instance', 'urn:inst:serve', 'iri'), ('urn:log:config', '{LOG}sealCadence', 'urn:log:config#seal', 'iri'), ('urn:log:config', '{LOG}rotationCadence', 'urn:log:config#rotation', 'iri'), ('urn:log:config#seal', '{RDF}type', '{LOG}Cadence', 'iri'),
+    ('urn:log:config#seal', '{LOG}everyEntries', '5', 'literal'), ('urn:log:config#seal', '{LOG}unbounded', '{LOG}everyMillis', 'iri'), ('urn:log:config#rotation', '{RDF}type', '{LOG}Cadence', 'iri'), ('urn:log:config#rotation', '{LOG}everyEntries', '100000', 'literal'),
+    ('urn:log:config#rotation', '{LOG}everyMillis', '86400000', 'literal'), ('urn:log:config', '{LOG}currentSegment', 'urn:log:s', 'iri'), ('urn:inst:serve', '{RDF}type', '{LOG}Instance', 'iri'), ('urn:log:s', '{RDF}type', '{LOG}Segment', 'iri'),
+    ('urn:log:s', '{LOG}level', '{LOG}debug', 'iri'), ('urn:log:s', '{PROV}wasAttributedTo', 'urn:inst:serve-9', 'iri'), ('urn:inst:serve-9', '{RDF}type', '{LOG}Instance', 'iri'), ('urn:inst:serve-9', '{LOG}configuredInstance', 'urn:inst:serve', 'iri')) AS t(s, p, o, o_kind)""")
+def config_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A configuration of two layers as a graph, with the segment that is open."""
+    from provlog import config
+
+    c = config.merged(config.merged(config.Config(), {"level": "warn", "instance": "serve", "seal": {"entries": 5}}), {"level": "debug", "destination": "console", "seal": {"millis": "never"}})
+    return config.graph(spark, c, segment=("urn:log:s", "urn:inst:serve-9")).select("s", "p", "o", "o_kind")
+
+
+@register(TRACE + ", d AS (SELECT CASE WHEN event_id % 41 = 0 THEN 'write-failed' WHEN event_id % 43 = 0 THEN 'reentrant' WHEN event_id % 47 = 0 THEN 'panicked' WHEN NOT writable THEN 'unwritable' END AS reason FROM tr) SELECT '2026-01-01T00:00:00.000Z' AS time, '" + LOG + "Dropped' AS class, ' count=' || count(*) || ' reason=' || reason AS tail FROM d WHERE reason IS NOT NULL GROUP BY reason")
+def drop_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that tell what was lost, one for each of the four reasons."""
+    i = F.col("event_id")
+    lost = F.when(i % 41 == 0, "write-failed").when(i % 43 == 0, "reentrant").when(i % 47 == 0, "panicked")
+    e = mappers.trace_entries(trace_events(spark, sf_dir).withColumn("lost", lost), F.lit(NOW).cast("long"), "urn:agent:host")
+    m = mappers.drop_markers(mappers.drop_ledger(e), "urn:log:s", F.lit(NOW).cast("long"))
+    return m.select("time", "class", X.render_fields(F.col("fields")).alias("tail"))

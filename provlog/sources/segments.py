@@ -1,4 +1,8 @@
-"""Segments from text files: whole-file reads, headers, lines, and files that can't be read."""
+"""Segments from text files: whole-file reads, headers, lines, and files that can't be read.
+
+Files are those of a folder that end in ``.log``, and the part files that
+:func:`provlog.operators.writer.write_files` leaves in a folder for each segment.
+"""
 
 from __future__ import annotations
 
@@ -8,43 +12,108 @@ from pyspark.sql import functions as F
 from provlog.functions import text as X
 from provlog.vocabulary import MAGIC
 
+#: Characters of a file that listing a folder reads; a header that doesn't end within them is read from the whole text.
 PROBE = 8192
+#: Bytes that a segment may have, and all files of a folder together, where a caller asks for the bounds.
+SEGMENT_LIMIT, FOLDER_LIMIT = 16 << 20, 64 << 20
+VERSION = MAGIC.rstrip("0123456789")
+DIRECTIVES = ("name", "instance", "level", "started", "prev")
+#: White space within a line, as members of a Java regex class.
+BLANK = X.WS.replace(r"\x{9}-\x{d}", r"\x{9}\x{b}-\x{d}")
+
+
+def header_end(text: Column) -> Column:
+    """The place of the line break before the first blank line, or 0 where no line is blank."""
+    return F.regexp_instr(text, F.lit(rf"(?:\A|\n)[{BLANK}]*(?:\n|\z)"))
+
+
+def header_text(text: Column) -> Column:
+    """What stands before the first blank line."""
+    return X.bound(text, lambda t: X.bound(header_end(t), lambda at: F.when(at == 0, t).otherwise(F.substring(t, F.lit(1), at - 1))))
+
+
+def trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, rf"^[{X.WS}]+|[{X.WS}]+\z", "")
+
+
+def last_bound(pairs: Column) -> Column:
+    """A map of prefixes; the last binding of each counts."""
+    return F.map_from_entries(F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"])))
 
 
 def parse_header(text: Column) -> Column:
-    """A struct of the header up to the first blank line; the last of repeated directives counts, unknown ones give error."""
-    head = F.substring_index(text, "\n\n", 1)
-    lines = F.transform(F.split(head, "\n"), lambda s: F.rtrim(s))
-    named = lambda d: F.element_at(F.filter(lines, lambda s: s.startswith(f"@{d} ")), -1)
-    value = lambda d: F.trim(F.substring(named(d), F.lit(len(d) + 2), F.lit(1 << 20)))
-    bound = F.filter(lines, lambda s: s.startswith("@prefix "))
-    pair = r"^@prefix\s+([^:\s]*):\s*<([^>]*)>"
-    entries = F.transform(bound, lambda s: F.struct(F.regexp_extract(s, pair, 1).alias("key"), F.regexp_extract(s, pair, 2).alias("value")))
-    # The last binding of a prefix counts.
-    last = F.filter(entries, lambda e: F.element_at(F.filter(entries, lambda o: o["key"] == e["key"]), -1)["value"] == e["value"])
-    prefixes = F.map_from_entries(F.array_distinct(last))
-    odd = F.exists(F.slice(lines, 2, 1 << 20), lambda s: ~s.rlike(r"^(#.*|@(prefix|name|instance|level|started|prev)\s.*)$"))
-    missing = F.filter(F.array(*[F.when(named(d).isNull(), d) for d in ("name", "instance", "level", "started", "prev")]), lambda d: d.isNotNull())
-    error = F.when(F.get(lines, 0) != MAGIC, "version").when(odd, "unknown directive").when(F.size(missing) > 0, F.concat(F.lit("missing "), F.get(missing, 0)))
-    level = value("level")
-    return F.struct(
-        F.when(F.get(lines, 0) == MAGIC, 1).alias("version"), prefixes.alias("prefixes"), value("name").alias("name"), value("instance").alias("instance"),
-        F.when(level.rlike("^<"), F.substring(level, F.lit(2), F.length(level) - 2)).when(F.contains(level, F.lit(":")), X.expand(level, prefixes)).otherwise(level).alias("level"),
-        value("started").alias("started"), value("prev").alias("prev"), error.alias("error"),
-    )
+    """A struct of the header up to the first blank line, or the end.
 
+    The last of repeated directives counts; comments may stand anywhere.  error says why it can't be
+    used: no version line or another version, a line or directive that doesn't belong, a value
+    that can't be, or a directive that is missing.  lines: how many lines it has.
+    """
 
-def read(spark: SparkSession, directory: str, limit: int | None = None) -> DataFrame:
-    """file, bytes, text, error of each ``*.log``; files beyond limit bytes or not UTF-8 have an error and no text."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(directory)
+    def line(raw: Column, at: Column) -> Column:
+        s = F.regexp_replace(raw, r"[\r\n]+\z", "")
+        name = F.regexp_extract(s, rf"^@([^{X.WS}]*)", 1)
+        kind = F.when(s.startswith(VERSION), "version").when(s.startswith("#") & ~s.startswith("#seal"), "comment").when(s.startswith("@"), name).otherwise("")
+        value = F.when(s.startswith(VERSION), trimmed(F.substring(s, len(VERSION) + 1, 1 << 30))).otherwise(trimmed(F.substring(s, F.length(name) + F.lit(2), F.length(s))))
+        return F.struct(kind.alias("kind"), value.alias("value"), at.alias("at"))
+
+    def pair(x: Column) -> Column:
+        parts = F.regexp_extract_all(x["value"], F.lit(rf"[^{X.WS}]+"), F.lit(0))
+        return F.struct(F.regexp_replace(F.coalesce(F.get(parts, 0), F.lit("")), ":+$", "").alias("key"), F.regexp_replace(F.coalesce(F.get(parts, 1), F.lit("")), "^<+|>+$", "").alias("value"), x["at"].alias("at"))
+
+    def header(lines: Column) -> Column:
+        return X.bound(F.transform(F.filter(lines, lambda x: x["kind"] == "prefix"), pair), lambda pairs: directives(lines, pairs))
+
+    def directives(lines: Column, pairs: Column) -> Column:
+        last = lambda d: F.try_element_at(F.filter(lines, lambda x: x["kind"] == d), F.lit(-1))
+        value = lambda d: last(d)["value"]
+        plain = lambda some: last_bound(F.transform(some, lambda p: F.struct(p["key"], p["value"])))
+        level = lambda x: X.bound(F.struct(x["value"].alias("v"), plain(F.filter(pairs, lambda p: p["at"] < x["at"])).alias("p")), lambda s: X.expand(s["v"], s["p"]))
+        wrong = lambda x: (
+            F.when(x["kind"] == "version", F.when(~x["value"].rlike(r"^\+?[0-9]{1,9}$"), "version"))
+            .when(x["kind"].isin("name", "instance"), F.when(~X.is_iri(x["value"]), F.concat(x["kind"], F.lit(" is no IRI"))))
+            .when(x["kind"] == "started", F.when(~X.is_time(x["value"]), "started is no time"))
+            .when(x["kind"] == "prev", F.when(x["value"] == "", "empty prev"))
+            .when(x["kind"] == "level", F.when(level(x).isNull() | ~F.coalesce(X.is_iri(level(x)), F.lit(False)), "level is no IRI"))
+            .when(x["kind"].isin("comment", "prefix"), None)
+            .when(x["kind"] == "", "not a header line")
+            .otherwise("unknown directive")
+        )
+        line_error = F.get(F.filter(F.transform(lines, wrong), lambda e: e.isNotNull()), 0)
+        pair_error = F.when(F.exists(pairs, lambda p: (p["key"] == "") | (p["value"] == "")), "prefix")
+        version = value("version").try_cast("int")
+        missing = F.get(F.filter(F.array(*[F.when(last(d).isNull(), d) for d in DIRECTIVES]), lambda d: d.isNotNull()), 0)
+        error = F.coalesce(line_error, pair_error, F.when(F.coalesce(version != 1, F.lit(True)), "version"), F.concat(F.lit("missing "), missing))
+        return F.struct(
+            version.alias("version"), plain(pairs).alias("prefixes"), value("name").alias("name"), value("instance").alias("instance"), level(last("level")).alias("level"),
+            value("started").alias("started"), value("prev").alias("prev"), error.alias("error"), F.size(lines).cast("long").alias("lines"),
+        )
+
+    lines = F.transform(F.filter(F.split(header_text(text), "\n"), lambda s: s != ""), line)
+    return F.when(text.isNotNull(), X.bound(lines, header))
+
+
+def read(spark: SparkSession, directory: str, limit: int | None = None, budget: int | None = None) -> DataFrame:
+    """file, bytes, modified, text, error of each segment's file; files beyond limit bytes or not UTF-8 have an error and no text.
+
+    budget: all files of the folder together may have so many bytes; where they have more, nothing is read.
+    """
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "{*.log,part-*.txt}").option("recursiveFileLookup", True).load(directory)
+    if budget is not None and (raw.agg(F.sum("length")).first()[0] or 0) > budget:
+        raise ValueError(f"over budget: {directory} has more than {budget} bytes")
     size = F.lit(False) if limit is None else F.col("length") > limit
     error = F.when(size, "too large").when(~F.is_valid_utf8(F.col("content").cast("string")), "not UTF-8")
-    return raw.select(F.col("path").alias("file"), F.col("length").alias("bytes"), error.alias("error"), F.when(error.isNull(), F.col("content").cast("string")).alias("text"))
+    return raw.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), error.alias("error"), F.when(error.isNull(), F.col("content").cast("string")).alias("text"))
+
+
+def probed(text: Column) -> Column:
+    """The beginning of a text if a header ends in it, else the text."""
+    head = F.substring(text, 1, PROBE)
+    return F.when(F.regexp_instr(head, F.lit(rf"\n[{BLANK}]*\n")) > 0, head).otherwise(text)
 
 
 def catalog(files: DataFrame) -> DataFrame:
     """One row for each file with its header; error tells why a file can't be used."""
-    h = files.withColumn("h", parse_header(F.substring("text", 1, PROBE)))
+    h = files.withColumn("h", parse_header(probed(F.col("text"))))
     return h.select("file", "bytes", F.coalesce("error", "h.error").alias("error"), F.col("h.name").alias("segment"), "h.instance", "h.level", "h.started", "h.prev", "h.prefixes", "h.version")
 
 
@@ -58,28 +127,68 @@ def listing(files: DataFrame) -> DataFrame:
     return catalog(files).where("error is null").orderBy("segment")
 
 
-def lines(files: DataFrame) -> DataFrame:
-    """segment, line_no (1-based, of the file), raw, kind of each line after the header."""
-    ok = files.where("error is null").withColumn("h", parse_header(F.substring("text", 1, PROBE))).where("h.error is null")
-    each = ok.select(F.col("h.name").alias("segment"), F.col("h.prefixes").alias("prefixes"), F.posexplode(F.split("text", "\n")).alias("at", "raw"), F.size(F.split(F.substring_index("text", "\n\n", 1), "\n")).alias("head"))
-    rows = each.where("at > head").select("segment", "prefixes", (F.col("at") + 1).cast("long").alias("line_no"), F.rtrim("raw").alias("raw"))
-    return rows.withColumn("kind", X.line_kind(F.col("raw")))
+def canonical_hash(h: Column) -> Column:
+    """The hash of a header as it would be written."""
+    from provlog.sources.derived import header_text as rendered
 
+    return X.tagged_hash(rendered(MAGIC, h["prefixes"], h["name"], h["instance"], X.shorten(h["level"], h["prefixes"]), h["started"], h["prev"]))
 
-#: Lines in a header at most, where segments come as lines.
-HEADER_LINES = 256
+
+def opened(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(headers, lines) of files.
+
+    headers: segment, file, instance, level, started, prev, prefixes, error, h0, head_lines; a file that can't be
+    read has its path as segment, and an error.  lines: segment, line_no (from 1, of the file), raw, kind, prefixes, of
+    the others.  Files are read whole, so nothing is shuffled.
+    """
+    each = files.withColumn("h", parse_header(F.col("text"))).withColumn("why", F.coalesce("error", "h.error"))
+    headers = each.select(
+        F.when(F.col("why").isNull(), F.col("h.name")).otherwise(F.col("file")).alias("segment"), "file", "h.instance", "h.level", "h.started", "h.prev", "h.prefixes", F.col("why").alias("error"),
+        F.when(F.col("why").isNull(), canonical_hash(F.col("h"))).alias("h0"), F.col("h.lines").alias("head_lines"),
+    )
+    rows = each.where("why is null").select(F.col("h.name").alias("segment"), F.col("h.prefixes").alias("prefixes"), F.col("h.lines").alias("head"), F.posexplode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("at", "raw"))
+    return headers, body(rows.select("segment", "prefixes", "head", (F.col("at") + 1).cast("long").alias("line_no"), "raw"))
+
+
+def body(rows: DataFrame) -> DataFrame:
+    """segment, line_no, raw, kind, prefixes of the lines after the header; rows: the same with head, the header's lines."""
+    rows = rows.where("line_no > head").withColumn("raw", F.regexp_replace("raw", r"\r+\z", ""))
+    return rows.select("segment", "line_no", "raw", X.line_kind(F.col("raw")).alias("kind"), "prefixes")
+
+
+def lines(files: DataFrame) -> DataFrame:
+    """The lines of :func:`opened`."""
+    return opened(files)[1]
 
 
 def of_lines(written: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(headers, lines) of segments given as rows (segment, line_no, line): h0 is the hash of the canonical header.
 
     headers: segment, instance, level, started, prev, prefixes, error, h0, head_lines.  lines: segment, line_no, raw, kind, prefixes.
+    A header ends at the segment's first blank line, wherever that is.
     """
-    from provlog.sources.derived import header_text
-
-    top = written.where(F.col("line_no") <= HEADER_LINES).groupBy("segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("text"))
-    h = top.select(parse_header(F.col("text")).alias("h"), F.col("segment").alias("of"), F.size(F.split(F.substring_index("text", "\n\n", 1), "\n")).alias("head_lines"))
-    canonical = header_text(MAGIC, F.col("h.prefixes"), F.col("h.name"), F.col("h.instance"), X.shorten(F.col("h.level"), F.col("h.prefixes")), F.col("h.started"), F.col("h.prev"))
-    headers = h.select(F.col("of").alias("segment"), "h.instance", "h.level", "h.started", "h.prev", "h.prefixes", "h.error", X.tagged_hash(canonical).alias("h0"), "head_lines")
-    body = written.join(headers.select("segment", "prefixes", "head_lines"), "segment").where("line_no > head_lines")
-    return headers, body.select("segment", "line_no", F.col("line").alias("raw"), X.line_kind(F.col("line")).alias("kind"), "prefixes")
+    blank = written.where(F.col("line").rlike(rf"^[{X.WS}]*\z")).groupBy("segment").agg(F.min("line_no").alias("blank"))
+    placed = written.join(blank, "segment", "left")
+    top = placed.where("blank is null or line_no < blank").groupBy("segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("text"))
+    h = top.select(F.col("segment").alias("of"), parse_header(F.col("text")).alias("h"))
+    good = F.col("h.error").isNull()
+    headers = h.select(F.col("of").alias("segment"), "h.instance", "h.level", "h.started", "h.prev", "h.prefixes", "h.error", F.when(good, canonical_hash(F.col("h"))).alias("h0"), F.col("h.lines").alias("head_lines"))
+    rows = placed.where("line_no > blank").join(headers.where("error is null").select("segment", "prefixes", "head_lines"), "segment")
+    return headers, body(rows.select("segment", "prefixes", F.col("head_lines").alias("head"), "line_no", F.col("line").alias("raw")))
+
+
+def exists(files: DataFrame, name: str) -> bool:
+    """Whether a readable segment has that name, by its header and never by its file's name."""
+    return bool(catalog(files).where((F.col("segment") == name) & F.col("error").isNull()).head(1))
+
+
+def conflicts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Files (file, bytes, modified) that were there and have changed, or gone: what was read of them can't be trusted."""
+    now = after.select("file", F.col("bytes").alias("bytes_now"), F.col("modified").alias("modified_now"))
+    each = before.select("file", "bytes", "modified").join(now, "file", "left")
+    return each.where(~(F.col("bytes").eqNullSafe(F.col("bytes_now")) & F.col("modified").eqNullSafe(F.col("modified_now"))))
+
+
+def bodies(files: DataFrame) -> DataFrame:
+    """file, bytes, valid, hash of the content of each file."""
+    return files.select("file", "bytes", F.col("text").isNotNull().alias("valid"), F.when(F.col("text").isNotNull(), X.tagged_hash(F.col("text"))).alias("hash"))

@@ -1,23 +1,36 @@
-"""Streams: transreption of segments as they are finished, and the sealing writer as a stateful operator."""
+"""Streams: transreption of segments line by line, and the writer as a stateful operator.
+
+Parsing is stateless and stays in the JVM.  State is kept for each segment (ordinals, process runs, spans,
+agents) or instance (the writer's chain), and never grows beyond a bound: a segment that needs more
+fails the query, so that no answer is partial.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from provlog.functions import text as X
 from provlog.operators import triples
+from provlog.operators.writer import OUT, Cadence, Segments
 from provlog.sources import segments
 from provlog.sources.tables import shared_dir
+from provlog.vocabulary import LOG, Vocabulary
 
 STATE = "seq long, head string, sealed long, since long"
 SEALS = "segment string, first long, last long, hash string"
+#: Characters of a segment's state at most.
+BUDGET = 64 << 20
+FIELDS = "array<struct<key: string, value: string>>"
+SEAL = "struct<first: bigint, last: bigint, hash: string, signature: string, sig_alg: string, sig_value: string>"
 
 
 def finished_files(spark: SparkSession, directory: str) -> DataFrame:
@@ -26,11 +39,78 @@ def finished_files(spark: SparkSession, directory: str) -> DataFrame:
     return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"), F.lit(None).cast("string").alias("error"), F.col("value").alias("text"))
 
 
-def triples_of(files: DataFrame, keys: DataFrame) -> DataFrame:
-    """Declared fields of the entries of each segment as triples, without state: the rows that the batch operator gives, before sets are made."""
+def triples_of(files: DataFrame, v: Vocabulary) -> DataFrame:
+    """Declared fields of the entries of each segment as triples, without state: the rows that the batch operator gives."""
     lines = segments.lines(files).where("kind = 'entry'")
     e = lines.withColumn("e", X.parse_entry(F.col("raw"), F.col("prefixes"))).select("segment", F.lit(None).cast("string").alias("instance"), "line_no", "e.*")
-    return triples.declared_rows(e, keys)
+    return triples.declared(e, v)
+
+
+def followed(lines: DataFrame, v: Vocabulary, budget: int = BUDGET) -> DataFrame:
+    """Lines of a stream (segment, instance, line_no, raw, kind, prefixes) with what only state tells.
+
+    what: entry, with ordinal; seal; and, when a segment has ended, edge (a: parent's, b: child's IRI) and agent (a: principal), in order.
+    Lines of a segment must come in order, as they do where its file is only appended to.  A segment that never ends keeps
+    its edges and agents in the state.
+    """
+    starts, ends = set(v.below(LOG + "ProcessStart")), set(v.below(LOG + "ProcessStop") + v.below(LOG + "Rotation"))
+    names = ["what", "segment", "instance", "line_no", "ordinal", "a", "b"]
+    fresh = {"ordinal": 0, "run": 0, "started": False, "spans": {}, "children": [], "agents": {}}
+
+    def run(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        s = json.loads(state.get[0]) if state.exists else json.loads(json.dumps(fresh))
+        rows = pd.concat(list(frames)).sort_values("line_no", kind="stable")
+        out, ended = [], False
+        for instance, line_no, class_, seq, span, parent, agents in zip(*(rows[c] for c in ("instance", "line_no", "class", "seq", "span", "parent", "agents"))):
+            s["ordinal"] += 1
+            if class_ in starts:
+                s["run"] += s["started"]
+                s["started"] = True
+            iri = f"{key[0]}:{seq if seq is not None else s['ordinal']}"
+            if span is not None:
+                s["spans"][f"{s['run']} {span}"] = iri
+            if parent is not None:
+                s["children"].append([f"{s['run']} {parent}", iri])
+            s["agents"] |= dict.fromkeys(agents if agents is not None else [])
+            out.append(("entry", key[0], instance, int(line_no), s["ordinal"], None, None))
+            ended = class_ in ends
+        if ended:
+            edges = [(s["spans"].get(p), child) for p, child in s["children"]]
+            out += [("edge", key[0], instance, None, None, p, child) for p, child in edges if p is not None and p != child]
+            out += [("agent", key[0], instance, None, None, a, None) for a in sorted(s["agents"])]
+            s |= {"spans": {}, "children": [], "agents": {}}
+        text = json.dumps(s)
+        if len(text) > budget:
+            raise ValueError(f"over budget: the state of {key[0]} needs more than {budget} characters")
+        state.update((text,))
+        yield pd.DataFrame(out, columns=names)
+
+    kinds = "what string, segment string, instance string, line_no long, ordinal long, a string, b string"
+    f = F.col("e.fields")
+    slim = lines.where("kind = 'entry'").withColumn("e", X.parse_entry(F.col("raw"), F.col("prefixes")))
+    seq = X.stated_sequence(f).cast("string")
+    slim = slim.select("segment", "instance", "line_no", "e.class", seq.alias("seq"), X.first_value(f, "span").alias("span"), X.first_value(f, "parent").alias("parent"), F.filter(X.all_values(f, "principal"), X.is_rdf_iri).alias("agents"))
+    return slim.groupBy("segment").applyInPandasWithState(run, kinds, "text string", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_triples(lines: DataFrame, v: Vocabulary, name: str, budget: int = BUDGET) -> DataFrame:
+    """All that a stream of lines says, as the batch operator tells it.  Runs what is there and returns the table.
+
+    What needs no state (an entry that states its sequence, seals) is a stream of its own; ordinals of the
+    others, edges and agents come from the stateful one.
+    """
+    e = lines.where("kind = 'entry'").withColumn("e", X.parse_entry(F.col("raw"), F.col("prefixes"))).select("segment", "instance", "line_no", "e.*")
+    seals = lines.where("kind = 'seal'").select("segment", X.parse_seal(F.col("raw")).alias("s")).select("segment", "s.*")
+    told = drained(followed(lines, v, budget), name + "-state")
+    ordinal = told.where("what = 'entry'").select("segment", "line_no", "ordinal")
+    read = drained(e, name + "-entries").join(ordinal, ["segment", "line_no"])
+    predicate = F.broadcast(v.class_table(lines.sparkSession).select("class", "predicate"))
+    fields = F.flatten(F.transform("fields", lambda f: F.concat(F.array(triples.declared_triple(v, f)), triples.undeclared_triples(v, f))))
+    said = F.concat(triples.core_array(F.col("predicate")), F.filter(F.array_distinct(fields), lambda t: t.isNotNull()), triples.delegation_array())
+    own = triples.exploded(triples.node(read).join(predicate, "class", "left"), said)
+    edges = triples.exploded(told.where("what = 'edge'").withColumn("graph", F.col("segment")), F.array(triples.triple(F.col("a"), LOG + "invoked", F.col("b"))))
+    agents = triples.exploded(told.where("what = 'agent'").select(F.col("segment").alias("graph"), "instance", F.col("a").alias("value")), triples.agent_array())
+    return own.unionByName(agents).unionByName(edges).unionByName(triples.of_seals(drained(seals, name + "-seals")))
 
 
 def seal_stream(entries: DataFrame, every: int, millis: int) -> DataFrame:
@@ -52,6 +132,52 @@ def seal_stream(entries: DataFrame, every: int, millis: int) -> DataFrame:
     return entries.groupBy("segment").applyInPandasWithState(run, SEALS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def write_stream(entries: DataFrame, cadence: Cadence, order: list[str], level: str, v: Vocabulary) -> DataFrame:
+    """instance, segment, line_no, line of the segments that a stream of entries becomes.
+
+    entries: instance, time, ms, class, curie, subject, tail, and the columns of order.  The level lets entries through
+    before they get a sequence number; the state of an instance is its writer's: name, head, sequence, seals, times.
+    Segments rotate; the last one stays open, as long as the stream does.
+    """
+    rank = v.ranks[LOG + level]
+    classes = F.broadcast(v.class_table(entries.sparkSession).select("class", "least_rank"))
+    slim = entries.join(classes, "class", "left").where(F.coalesce(F.col("least_rank") <= rank, F.lit(True)))
+
+    def run(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        writer = Segments(key[0], level, cadence)
+        if state.exists:
+            writer.restore(json.loads(state.get[0]))
+        rows, out = pd.concat(list(frames)).sort_values(order, kind="stable"), []
+        for time, ms, curie, subject, tail in zip(*(rows[c] for c in ("time", "ms", "curie", "subject", "tail"))):
+            out += writer.add(time, int(ms), curie, subject, tail)
+        state.update((json.dumps(writer.state()),))
+        yield pd.DataFrame([(key[0], *line) for line in out], columns=["instance", "segment", "line_no", "line"])
+
+    columns = ["instance", "time", "ms", "curie", "subject", "tail", *[c for c in order if c not in ("instance", "time", "ms")]]
+    return slim.select(*columns).groupBy("instance").applyInPandasWithState(run, OUT, "text string", "append", GroupStateTimeout.NoTimeout)
+
+
+class Appended(StreamingQueryListener):
+    """Calls a function after each batch that brought rows: (name of the query, rows, batch)."""
+
+    def __init__(self, notify: Callable[[str | None, int, int], None]):
+        self.notify = notify
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if p.numInputRows:
+            self.notify(p.name, p.numInputRows, p.batchId)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is there, into a table in the shared folder, and read it."""
     spark = stream.sparkSession
@@ -59,3 +185,11 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def fed(rows: DataFrame, name: str) -> DataFrame:
+    """A stream over a table, which is written to the shared folder first."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/source-{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)

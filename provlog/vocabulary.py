@@ -5,50 +5,92 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LOG, KEY, SIG = "urn:provlog:ns#", "urn:provlog:ns/key#", "urn:provlog:sig#"
 PROV, RDF, RDFS, XSD = "http://www.w3.org/ns/prov#", "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2001/XMLSchema#"
 MAGIC = "# provlog v1"
 
 # Keys and the properties they bind, by range.
-INTEGER_KEYS = "span=span parent=parentSpan dur=durationMs depth=depth scope-clock=scopeClockMs bytes=byteCount pid=processId count=count seq=sequence"
-STRING_KEYS = (
-    "worker=worker alias=aliasHop scope=scopeChain sealed=sealViolation level=levelPath uncached=uncachedReason door=door verb=verb outcome=outcome q=servedQuery needs=neededCapability "
-    "msg=text expected=expectedSeal stated=statedSeal finding=finding failed=failureKind file=configLayer key=changedKey from=fromValue to=toValue effective=effective reason=reason"
-)
-IRI_KEYS = (
-    "cap=capability alias-unresolved=aliasUnresolved scope-unresolved=scopeUnresolved limited=limitedTarget answered-by=answeredBy grant=grant denied=deniedScope "
-    "principal=onBehalfOf credential=credentialKind next=successor configured=configuredInstance"
-)
-# Class, its superclass, its least level (or -) and its subject's predicate (or -).
-CLASSES = """
-Entry prov:Activity - -
-Resolution Entry debug resolved
-CacheHit Resolution trace -
-NotResolved Entry debug -
-DepthExceeded NotResolved warn refused
-Access Entry info requested
-Message Entry info -
-Warning Message warn -
-Error Message error -
-ProcessStart Entry always prov:wasAssociatedWith
-ProcessStop Entry always prov:wasAssociatedWith
-ConfigChange Entry always -
-LevelChange ConfigChange always -
-LevelChangeRejected Entry always -
-Rotation Entry always -
-Seal Entry always -
-ChainBroken Entry always -
-Tombstone Entry always -
-Dropped Entry always -
-CapabilityDenied Entry always refused
-EndpointDenied CapabilityDenied always -
-KeyChange Entry always -
-"""
+INTEGER_KEYS = {
+    "span": "span",
+    "parent": "parentSpan",
+    "dur": "durationMs",
+    "depth": "depth",
+    "scope-clock": "scopeClockMs",
+    "bytes": "byteCount",
+    "pid": "processId",
+    "count": "count",
+    "seq": "sequence",
+}
+STRING_KEYS = {
+    "worker": "worker",
+    "alias": "aliasHop",
+    "scope": "scopeChain",
+    "sealed": "sealViolation",
+    "level": "levelPath",
+    "uncached": "uncachedReason",
+    "door": "door",
+    "verb": "verb",
+    "outcome": "outcome",
+    "q": "servedQuery",
+    "needs": "neededCapability",
+    "msg": "text",
+    "expected": "expectedSeal",
+    "stated": "statedSeal",
+    "finding": "finding",
+    "failed": "failureKind",
+    "file": "configLayer",
+    "key": "changedKey",
+    "from": "fromValue",
+    "to": "toValue",
+    "effective": "effective",
+    "reason": "reason",
+}
+IRI_KEYS = {
+    "cap": "capability",
+    "alias-unresolved": "aliasUnresolved",
+    "scope-unresolved": "scopeUnresolved",
+    "limited": "limitedTarget",
+    "answered-by": "answeredBy",
+    "grant": "grant",
+    "denied": "deniedScope",
+    "principal": "onBehalfOf",
+    "credential": "credentialKind",
+    "next": "successor",
+    "configured": "configuredInstance",
+}
+# Class, its superclass, its least level and its subject's predicate.
+CLASSES = [
+    ("Entry", "prov:Activity", None, None),
+    ("Resolution", "Entry", "debug", "resolved"),
+    ("CacheHit", "Resolution", "trace", None),
+    ("NotResolved", "Entry", "debug", None),
+    ("DepthExceeded", "NotResolved", "warn", "refused"),
+    ("Access", "Entry", "info", "requested"),
+    ("Message", "Entry", "info", None),
+    ("Warning", "Message", "warn", None),
+    ("Error", "Message", "error", None),
+    ("ProcessStart", "Entry", "always", "prov:wasAssociatedWith"),
+    ("ProcessStop", "Entry", "always", "prov:wasAssociatedWith"),
+    ("ConfigChange", "Entry", "always", None),
+    ("LevelChange", "ConfigChange", "always", None),
+    ("LevelChangeRejected", "Entry", "always", None),
+    ("Rotation", "Entry", "always", None),
+    ("Seal", "Entry", "always", None),
+    ("ChainBroken", "Entry", "always", None),
+    ("Tombstone", "Entry", "always", None),
+    ("Dropped", "Entry", "always", None),
+    ("CapabilityDenied", "Entry", "always", "refused"),
+    ("EndpointDenied", "CapabilityDenied", "always", None),
+    ("KeyChange", "Entry", "always", None),
+]
 # The ladder of levels.
 LEVELS = {"always": -1, "error": 0, "warn": 1, "info": 2, "debug": 3, "trace": 4}
 DEFAULT_LEVEL = "info"
+# Terms of triples that no key or class declares.
+STATED = ["Segment", "Instance", "level", "prevSeal", "segment", "subject", "unreadableIri", "undeclaredKey", "invoked", "first", "last"]
 
 
 def iri(name: str) -> str:
@@ -69,13 +111,12 @@ class Vocabulary:
     def built_in() -> Vocabulary:
         v = Vocabulary(ranks={LOG + k: r for k, r in LEVELS.items()})
         for keys, range_ in ((INTEGER_KEYS, XSD + "integer"), (STRING_KEYS, XSD + "string"), (IRI_KEYS, RDFS + "Resource")):
-            v.keys |= {k: (LOG + p, range_) for k, _, p in (x.partition("=") for x in keys.split())}
-        for line in CLASSES.strip().splitlines():
-            name, parent, level, predicate = line.split()
+            v.keys |= {k: (LOG + p, range_) for k, p in keys.items()}
+        for name, parent, level, predicate in CLASSES:
             v.parents[iri(name)] = [iri(parent)]
-            if level != "-":
+            if level is not None:
                 v.least[iri(name)] = LOG + level
-            if predicate != "-":
+            if predicate is not None:
                 v.predicate[iri(name)] = iri(predicate)
         return v
 
@@ -133,6 +174,20 @@ class Vocabulary:
             self.keys[key] = (prop, ranges.get(prop, self.keys.get(key, ("", XSD + "string"))[1]))
         return self
 
+    def below(self, ancestor: str) -> list[str]:
+        """A class and all that are a kind of it."""
+        return [c for c in self.parents if any(a == ancestor for a, _ in self.walk(c))]
+
+    def terms(self) -> set[str]:
+        """Every class, property and level that is declared, and what triples use besides."""
+        own = {LOG + t for t in STATED}
+        return own | set(self.parents) | {p for p, _ in self.keys.values()} | set(self.predicate.values()) | set(self.ranks)
+
+    def key_map(self) -> Column:
+        """A literal map from each key to its property and range: as large as the vocabulary."""
+        each = [(F.lit(k), F.struct(F.lit(p).alias("property"), F.lit(r).alias("range"))) for k, (p, r) in self.keys.items()]
+        return F.create_map(*[x for pair in each for x in pair])
+
     def key_table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(k, p, r) for k, (p, r) in self.keys.items()], "key string, property string, range string")
 
