@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def whole_text(col: str = "text") -> Column:
     """The text; null counts as empty."""
-    return F.coalesce(F.col(col).cast("string"), F.lit(""))
+    return F.coalesce(F.col(f"`{col}`").cast("string"), F.lit(""))
 
 
 def ascii_lower(c: Column) -> Column:
@@ -29,17 +30,22 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
 
 
+@cache
+def own_dir(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="provlog-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The session's ``spark.checkpoint.dir`` names it; only where that is unset (local tests)
-    is a temporary folder taken.
+    Where that is unset a local session takes a temporary folder; a cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="provlog-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return own_dir(spark.sparkContext.applicationId)
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
