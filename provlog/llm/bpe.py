@@ -1,21 +1,25 @@
 """Byte-level BPE encoding and decoding.
 
-Pre-tokenisation works on arrays of code points, without a regular expression.  Each code
-point is mapped to a class (letter, number, white space, other) by a table built from the
-Unicode database.  No transition functions are scanned: composed over three neighbours those
-of the pattern's automaton no longer depend on the state before, so every boundary follows
-from comparing neighbours:
-
-* a change of class starts a token, except that one blank joins the token after it;
-* the last white space of a run stands alone when text follows;
-* an apostrophe that starts a run of others, with no blank before it, joins a following
-  ``s t m d`` or ``re ve ll``, and the letters after it start a token of their own.
-
-Slices between boundaries are merged by rank, each distinct slice once for a task, and
+Pre-tokenisation works on arrays of code points, without a regular expression:
+
+1. each code point gets a class from a table built from the Unicode database, refined by what
+   follows it: white space by whether it ends its run, an apostrophe by whether ``s t m d`` or
+   ``re ve ll`` comes next;
+2. an automaton reads classes from left to right and says where tokens start.  Each class is a
+   function from states to states.  Functions compose associatively and only a few
+   are ever reached, so each is a number and composition a lookup in a table;
+3. a scan composes the functions of all code points before each one: in blocks side by side,
+   then over the blocks' totals in the same way, then from the totals back into the blocks.
+   The first code point of a text has a constant function, so many texts go through one scan;
+4. the state before a code point and its class tell whether a token starts there.
+
+Slices between boundaries are merged by rank, each distinct slice once for a worker, and
 looked up from then on.  Byte offsets of the ids are kept; decoding checks that each id's
 bytes start at its offset and fails where they don't.
 
-A null text counts as empty and has no ids.  Rows that repeat an identifier each have a row.
+A null text counts as empty and has no ids; a text of any length is read whole.  Rows that
+repeat an identifier each have a row; null identifiers stay null.  Other columns aren't read,
+so their names can't clash.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,58 +34,139 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LETTER, NUMBER, SPACE, OTHER = range(4)
+#: Classes: letter, number, other; the last white space of a run, blank or not; white space before white space or the end; an apostrophe that one or two letters complete.
+LETTER, NUMBER, OTHER, BLANK, LAST, WHITE, SHORT, LONG = range(8)
+#: States: a token starts next, whatever comes; within letters, numbers, others, white space; after a blank; one or two letters complete the token.
+FRESH, LETTERS, NUMBERS, OTHERS, SPACE, AFTER_BLANK, ONE, TWO = range(8)
 #: Distinct slices kept by a Python worker; beyond it the cache starts anew.
 CACHE = 800_000
 #: Rows handled at once.
 ROWS = 128
+#: Places of a block of the scan.
+BLOCK = 32
 # The code points of Unicode's White_Space property.
-WHITE = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+SPACES = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
 @cache
 def classes() -> np.ndarray:
-    """The class of every code point."""
+    """The class of every code point, before it is refined."""
     kinds = {"L": LETTER, "N": NUMBER}
     table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
-    table[WHITE] = SPACE
+    table[SPACES] = WHITE
     return table
 
 
-def boundaries(points: np.ndarray) -> np.ndarray:
-    """Positions in an array of code points at which tokens start."""
+def step(state: int, kind: int) -> tuple[int, bool]:
+    """The automaton: the next state, and whether a token starts."""
+    if kind in (SHORT, LONG) and state not in (OTHERS, AFTER_BLANK):
+        return (ONE if kind == SHORT else TWO), True
+    if kind == LETTER and state in (ONE, TWO):
+        return (FRESH if state == ONE else ONE), False
+    if kind == BLANK:
+        return AFTER_BLANK, True
+    if kind == LAST:
+        return FRESH, True
+    within = {LETTER: LETTERS, NUMBER: NUMBERS, WHITE: SPACE}.get(kind, OTHERS)
+    return within, not (state == within or (state == AFTER_BLANK and kind != WHITE))
+
+
+class Automaton:
+    """Transition functions as numbers.
+
+    of: the number of each class' function; compose[f, g]: first f, then g; start: the function
+    that a text begins with, before its first code point; state: where start and f lead.
+    """
+
+    def __init__(self):
+        states, kinds = range(8), range(8)
+        each = [tuple(step(s, k)[0] for s in states) for k in kinds]
+        begin = (FRESH,) * 8
+        known = {f: i for i, f in enumerate(dict.fromkeys([*each, begin]))}
+        for f in (found := list(known)):  # grows while it is read
+            for g in each:
+                h = tuple(g[s] for s in f)
+                if h not in known:
+                    known[h] = len(known)
+                    found.append(h)
+        size = len(found)
+        self.compose = np.zeros((size, size), np.uint16)
+        for i, f in enumerate(found):
+            for j, g in enumerate(found):
+                self.compose[i, j] = known[tuple(g[s] for s in f)]
+        self.of, self.begin = np.array([known[f] for f in each], np.uint16), known[begin]
+        self.state = np.array([f[FRESH] for f in found], np.uint8)
+        self.starts = np.array([[step(s, k)[1] for k in kinds] for s in states])
+
+    def scan(self, f: np.ndarray) -> np.ndarray:
+        """The composition of all functions up to each place."""
+        n = len(f)
+        if n <= BLOCK:
+            out = f.copy()
+            for i in range(1, n):
+                out[i] = self.compose[out[i - 1], out[i]]
+            return out
+        x = np.concatenate((f, np.zeros(-n % BLOCK, f.dtype))).reshape(-1, BLOCK).T.copy()
+        for i in range(1, BLOCK):
+            x[i] = self.compose[x[i - 1], x[i]]
+        total = self.scan(x[-1])
+        x[:, 1:] = self.compose[total[:-1], x[:, 1:]]
+        return x.T.reshape(-1)[:n]
+
+    def boundaries(self, points: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Places in an array of code points at which tokens start; begin: those at which texts do."""
+        n = len(points)
+        kind = refined(points, begin)
+        f = self.of[kind]
+        f[begin] = self.compose[self.begin, f[begin]]
+        before = np.full(n, FRESH, np.uint8)
+        before[1:] = self.state[self.scan(f)[:-1]]
+        before[begin] = FRESH
+        return np.flatnonzero(self.starts[before, kind])
+
+
+def refined(points: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The class of each code point, with what follows in its text taken into account."""
     n = len(points)
-    if not n:
-        return np.zeros(0, np.int64)
     kind = classes()[points]
-    change = np.ones(n, bool)
-    change[1:] = kind[1:] != kind[:-1]
-    start = change.copy()
-    last_white = np.zeros(n, bool)
-    last_white[:-1] = (kind[:-1] == SPACE) & (kind[1:] != SPACE)
-    start |= last_white
-    after_blank = np.zeros(n, bool)
-    after_blank[1:] = last_white[:-1] & (points[:-1] == 0x20)
-    start &= ~after_blank
-    mark = np.flatnonzero((points == 0x27) & change & ~after_blank)
+    ends = np.zeros(n + 1, bool)
+    ends[begin] = ends[n] = True
+    white = kind == WHITE
+    last = np.zeros(n, bool)
+    last[:-1] = white[:-1] & ~white[1:] & ~ends[1:-1]
+    mark = np.flatnonzero(points == 0x27)
+    kind[last] = LAST
+    kind[last & (points == 0x20)] = BLANK
     if len(mark):
-        padded = np.concatenate((points, np.zeros(2, points.dtype)))
-        one, two = padded[mark + 1], padded[mark + 2]
-        at = lambda c: ord(c)
-        short = np.isin(one, [at("s"), at("t"), at("m"), at("d")])
-        long = ((one == at("r")) & (two == at("e"))) | ((one == at("v")) & (two == at("e"))) | ((one == at("l")) & (two == at("l")))
-        for found, width in ((mark[short], 2), (mark[long & ~short], 3)):
-            start[found + 1] = False
-            ends = found + width
-            start[ends[ends < n]] = True
-    return np.flatnonzero(start)
+        beyond = [ends[np.minimum(mark + i, n)] for i in (1, 2)]
+        one, two = (np.where(out, 0, points[np.minimum(mark + i, n - 1)]) for i, out in ((1, beyond[0]), (2, beyond[0] | beyond[1])))
+        at = lambda x, c: x == ord(c)
+        kind[mark[at(one, "s") | at(one, "t") | at(one, "m") | at(one, "d")]] = SHORT
+        kind[mark[((at(one, "r") | at(one, "v")) & at(two, "e")) | (at(one, "l") & at(two, "l"))]] = LONG
+    return kind
+
+
+@cache
+def automaton() -> Automaton:
+    return Automaton()
+
+
+class Slices(dict):
+    """Ids of slices as bytes of 32-bit numbers."""
+
+    def __init__(self, merge):
+        self.merge = merge
+
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = ids = np.array(self.merge(piece.encode()), np.int32).tobytes()
+        return ids
 
 
 class Encoder:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Slices(self.merge)
         self.tokens = {b: a for a, b in self.ranks.items()}
 
     def widths(self) -> np.ndarray:
@@ -116,19 +201,23 @@ class Encoder:
                 heapq.heappush(heap, (r, before[i], end))
         return tuple(self.ranks[piece[i : ends[i]]] for i in range(n) if alive[i])
 
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; all texts go through one scan."""
+        whole = "".join(t or "" for t in texts)
+        size = np.fromiter((len(t or "") for t in texts), np.int64, len(texts))
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        edge = np.concatenate(([0], np.cumsum(size)))
+        starts = automaton().boundaries(points, edge[:-1][size > 0]) if len(points) else np.zeros(0, np.int64)
+        upto = np.searchsorted(starts, edge).tolist()
+        if len(self.known) > CACHE:
+            self.known.clear()
+        at = [*starts.tolist(), len(points)]
+        pieces = [whole[a:b] for a, b in zip(at, at[1:])]
+        of = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(of, pieces[a:b])), np.int32) for a, b in zip(upto, upto[1:])]
+
     def encode(self, text: str) -> list[int]:
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        starts = boundaries(points).tolist()
-        known, out = self.known, []
-        if len(known) > CACHE:
-            known.clear()
-        for a, b in zip(starts, [*starts[1:], len(points)]):
-            piece = text[a:b]
-            ids = known.get(piece)
-            if ids is None:
-                known[piece] = ids = self.merge(piece.encode())
-            out += ids
-        return out
+        return self.encode_all([text])[0].tolist()
 
 
 @cache
@@ -146,15 +235,16 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                ids = [np.array(encoder.encode(t or ""), np.int32) for t in part.column(1).to_pylist()]
-                edges = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
-                columns = [part.column(0), pa.ListArray.from_arrays(edges, pa.array(np.concatenate(ids), pa.int32()))]
+                each = encoder.encode_all(part.column(1).to_pylist())
+                edges, ids = np.cumsum([0, *map(len, each)]), np.concatenate(each)
+                columns = [part.column(0), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32()))]
                 if offsets:
-                    begin = [np.concatenate(([0], np.cumsum(width[x])[:-1])) if len(x) else x for x in ids]
-                    columns.append(pa.ListArray.from_arrays(edges, pa.array(np.concatenate(begin), pa.int64())))
+                    upto = np.concatenate(([0], np.cumsum(width[ids])))
+                    begin = upto[:-1] - np.repeat(upto[edges[:-1]], np.diff(edges))
+                    columns.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(begin, pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "offsets"][: len(columns)])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, ids array<int>" + ", offsets array<long>" * offsets)
 
 
