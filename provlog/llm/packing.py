@@ -37,6 +37,8 @@ END = 1
 #: Words kept by a Python worker; beyond it the cache starts anew.
 CACHE = 1_000_000
 MARKS = b",.!?;:"
+#: First bytes, in UTF-8, of the marks that compose with a letter from A to Z, or begin so when they are taken apart.
+COMPOSING = (b"\xcc", b"\xcd")
 #: Pieces ranked in one bucket, about.
 BUCKET = 2000
 Pattern = tuple[dict[int, int], int]
@@ -48,7 +50,9 @@ class WordIds:
     White space always ends a token of this kind of tokenizer, and so does the edge between a
     letter or digit and the marks after it, so a word's stem and its closing marks are encoded
     one by one.  The tokenizer lower-cases; A-Z is lower-cased here, so that a word is cached
-    once (not in texts that could hold the name of a special token, which case decides).
+    once.  Not so in texts that could hold the name of a special token, which case decides, and
+    in words with combining marks: the tokenizer composes characters before it lower-cases
+    them, and some compose with a small letter alone.
     """
 
     def __init__(self, path: str):
@@ -76,14 +80,30 @@ class WordIds:
         for word, stem, marks in split:
             self.known[word] = self.known[stem] + self.known[marks]
 
+    @staticmethod
+    def split(body: bytes) -> list[bytes]:
+        if b"<|" in body:
+            return body.split()
+        if any(m in body for m in COMPOSING):
+            return [w if any(m in w for m in COMPOSING) else w.lower() for w in body.split()]
+        return body.lower().split()
+
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        bodies = [(t or "").encode() for t in texts]
-        split = [(b if b"<|" in b else b.lower()).split() for b in bodies]
+        split = [self.split((t or "").encode()) for t in texts]
         if len(self.known) > CACHE:
             self.known = {}
-        self.learn({w for words in split for w in words if w not in self.known})
         of, end = self.known.__getitem__, np.array([END], "<u4").tobytes()
-        return [b"".join(map(of, words)) + end for words in split]
+        out, new = [], []
+        for i, words in enumerate(split):
+            try:
+                out.append(b"".join(map(of, words)) + end)
+            except KeyError:
+                out.append(b"")
+                new.append(i)
+        self.learn({w for i in new for w in split[i] if w not in self.known})
+        for i in new:
+            out[i] = b"".join(map(of, split[i])) + end
+        return out
 
 
 @cache
