@@ -2,15 +2,19 @@
 
 A text's words (digits, letters and code points beyond ASCII, A-Z lower-cased) are joined by
 single blanks; one pass of the automaton finds every phrase at word boundaries, overlapping
-ones included.  Where it finds the identifier tag, the rest of that line is read as a
-licence expression: a shunting-yard parser orders ``WITH`` before ``AND`` before ``OR``, and
-the evaluation gives the licences named and whether the terms are permissive (all sides of
-AND, any side of OR).  An expression that doesn't parse gives no label.
+ones included.  Where it finds the identifier tag, the rest of that line in the text is read
+as a licence expression: a shunting-yard parser orders ``WITH`` before ``AND`` before ``OR``,
+and the evaluation gives the licences named and whether the terms are permissive (all sides of
+AND, any side of OR).  An expression that doesn't parse gives no label, nor does one that names
+a licence outside of ``LICENSES`` (or ``LicenseRef-``).  A licence has one label, whether a
+phrase or a tag names it.
 
 ``score`` is the chance that one finding at least is a licence notice, if each errs by itself.
 
-A null text counts as empty: no words, no labels, score 0.  Rows that repeat an identifier
-each have a row.
+A null text counts as empty: no words, no labels, score 0.  Texts of any length are read whole.
+Rows that repeat an identifier each have a row; null identifiers stay null.  Equal findings
+give one label.  Other columns aren't read, so their names can't clash.  An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -41,10 +45,17 @@ NOTICES = {
     "all rights reserved": "proprietary",
 }
 TAG = "spdx license identifier"
-PERMISSIVE = {"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "zlib", "0bsd", "unlicense", "cc0-1.0", "cc-by-4.0"}
+# Short identifiers of licences that a tag may name, and those whose terms are permissive.
+PERMISSIVE = {"mit", "mit-0", "apache-2.0", "apache-2", "bsd-2-clause", "bsd-3-clause", "isc", "zlib", "0bsd", "unlicense", "cc0-1.0", "cc-by-4.0", "bsl-1.0", "python-2.0", "postgresql", "ncsa", "x11", "wtfpl"}
+LICENSES = PERMISSIVE | {
+    "gpl-2.0", "gpl-2.0-only", "gpl-2.0-or-later", "gpl-3.0", "gpl-3.0-only", "gpl-3.0-or-later", "lgpl-2.1", "lgpl-2.1-only", "lgpl-2.1-or-later", "lgpl-3.0", "lgpl-3.0-only", "lgpl-3.0-or-later",
+    "agpl-3.0", "agpl-3.0-only", "agpl-3.0-or-later", "mpl-1.1", "mpl-2.0", "epl-1.0", "epl-2.0", "eupl-1.2", "cddl-1.0", "artistic-2.0", "cc-by-3.0", "cc-by-sa-3.0", "cc-by-sa-4.0", "cc-by-nc-4.0", "cc-by-nd-4.0", "ofl-1.1",
+}
+#: Identifiers whose licence a phrase labels otherwise.
+SAME = {"apache-2.0": "apache-2"}
 SURE = {"base": 0.9, "notice": 0.7, "tag": 0.95}
 SEPARATORS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-TAG_LINE = re.compile(r"spdx[^a-z0-9\n]+license[^a-z0-9\n]+identifier\s*:?[ \t]*([^\n]*)", re.I)
+WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -83,23 +94,27 @@ def postfix(expression: str) -> list[str] | None:
 
 
 def evaluate(expression: str) -> tuple[set[str], bool] | None:
-    """Licences that an expression names, and whether its terms are permissive; None if it doesn't parse."""
+    """Licences that an expression names, and whether its terms are permissive; None if it doesn't parse or names what is no licence."""
     order = postfix(expression)
     if order is None:
         return None
-    stack: list[tuple[set[str], bool]] = []
+    stack: list[tuple[set[str], bool | None]] = []  # None: what stands there is no licence (an exception's name)
     for token in order:
         if token not in RANK:
-            stack.append(({token}, token.rstrip("+") in PERMISSIVE))
+            plain = token.rstrip("+")
+            listed = plain in LICENSES or plain.startswith("licenseref-")
+            stack.append(({SAME.get(token, token)}, plain in PERMISSIVE if listed else None))
             continue
         (right, right_ok), (left, left_ok) = stack.pop(), stack.pop()
+        if left_ok is None or (token != "with" and right_ok is None):
+            return None
         if token == "with":  # an exception belongs to one licence
             if len(left) != 1 or len(right) != 1:
                 return None
             stack.append(({f"{min(left)} with {min(right)}"}, left_ok))
         else:
             stack.append((left | right, (left_ok and right_ok) if token == "and" else (left_ok or right_ok)))
-    return stack.pop()
+    return stack[0] if stack[0][1] is not None else None
 
 
 class Scanner:
@@ -114,24 +129,28 @@ class Scanner:
 
     def scan(self, text: str | None) -> tuple:
         """(n_words, n_base, first_word, last_word, base_labels, labels, permissive, score)"""
-        words = (text or "").encode().translate(SEPARATORS).split()
+        raw = (text or "").encode()
+        words = raw.translate(SEPARATORS).split()
         line = " " + b" ".join(words).decode() + " "
-        starts, base, labels, permissive, doubt, tagged = [], set(), set(), None, 1.0, False
+        starts, tags, base, labels, permissive, doubt = [], [], set(), set(), None, 1.0
         for end, (kind, label, size) in self.automaton.iter(line):
+            if kind == "tag":
+                tags.append(end)
+                continue
             if kind == "base":
                 starts.append(end - size)
                 base.add(label)
-            elif kind == "notice":
-                labels.add(label)
             else:
-                tagged = True
-                continue
+                labels.add(label)
             doubt *= 1 - SURE[kind]
-        for expression in TAG_LINE.findall(text or "") if tagged else ():
-            if found := evaluate(expression):
-                labels |= found[0]
-                permissive = found[1] if permissive is None else permissive and found[1]
-                doubt *= 1 - SURE["tag"]
+        if tags:
+            ends = [m.end() for m in WORD.finditer(raw)]
+            for end in tags:  # the words up to the tag's last, then the rest of its line
+                rest = raw[ends[line.count(" ", 0, end) - 1] :].split(b"\n", 1)[0]
+                if found := evaluate(rest.decode().lstrip(": \t")):
+                    labels |= found[0]
+                    permissive = found[1] if permissive is None else permissive and found[1]
+                    doubt *= 1 - SURE["tag"]
         places = [line.count(" ", 0, s + 1) - 1 for s in (min(starts), max(starts))] if starts else [None, None]
         return (len(words), len(starts), *places, ",".join(sorted(base)), ",".join(sorted(base | labels)), permissive, 1 - doubt)
 
@@ -148,4 +167,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             found = [(i, *scanner.scan(t.as_py())) for i, t in zip(batch.column(0).to_pylist(), batch.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*found)) or [()] * len(kinds), kinds)], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema)
