@@ -8,8 +8,9 @@ with a generator seeded by the bucket.  A record's slot is its place in the shuf
 plus the sizes of the shard's buckets before it.
 
 A null text counts as no bytes; a null identifier is hashed as -1.  Rows that repeat an
-identifier go to the same shard, each with its own slot.  Other columns are carried as one
-struct, so their names can't clash.
+identifier go to the same shard, each with its own slot.  Texts of any length count with all
+their bytes.  An empty table gives no rows.  Other columns are carried as one struct, so their
+names can't clash.
 """
 
 from __future__ import annotations
@@ -21,12 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from provlog.llm.common import written
 
 SEED = 17
-#: Bytes of text in a bucket, about.
-BUCKET = 4 << 20
+#: Bytes of text in a bucket, and in the buckets that share a task, about.
+BUCKET, TASK = 4 << 20, 16 << 20
+#: Slots of a shard in a file.
+FILE = 100_000
 
 
 def mixed(key: Column, shard: int, seed: int) -> Column:
@@ -53,26 +57,29 @@ def fisher_yates(n: int, seed: int) -> np.ndarray:
 
 def shuffled(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, bucket_bytes: int = BUCKET) -> DataFrame:
     """row (a struct of the document's columns), size, shard, slot."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long"))
-    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1
+    text = F.col(f"`{text_col}`").cast("string")
+    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-1).cast("long"))
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
     total = docs.agg(F.sum(size)).first()[0] or 0
     buckets = max(1, -(-total // (bucket_bytes * shards)))
     rows = docs.select(
         F.struct("*").alias("row"), key.alias("key"), size.alias("size"), shard_of(key, shards, seed).alias("shard"),
-        F.pmod(F.xxhash64(key, F.coalesce(F.crc32(F.encode(F.col(text_col), "UTF-8")), F.lit(-1).cast("long")), F.lit(seed + 1)), F.lit(buckets)).alias("bucket"),
+        F.pmod(F.xxhash64(key, F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(-1).cast("long")), F.lit(seed + 1)), F.lit(buckets)).alias("bucket"),
     )
 
+    column = docs.columns.index(text_col)
+
     def shuffle(table: pa.Table) -> pa.Table:
         n = table.num_rows
         shard, bucket = table.column("shard")[0].as_py(), table.column("bucket")[0].as_py()
-        text = table.column("row").combine_chunks().field(text_col)
+        text = table.column("row").combine_chunks().field(column)
         by = pa.table({"key": table.column("key"), "text": text, "at": np.arange(n)})
         order = by.sort_by([("key", "ascending"), ("text", "ascending")]).column("at").to_numpy()
         order = order[fisher_yates(n, hash((seed, shard, bucket)) & 0x7FFFFFFFFFFFFFFF)]
         return table.take(pa.array(order)).append_column("place", pa.array(np.arange(n), pa.int64()))
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    mixed_rows = rows.groupBy("shard", "bucket").applyInArrow(shuffle, f"{kinds}, place long")
+    kinds = T.StructType([*rows.schema.fields, T.StructField("place", T.LongType())])
+    mixed_rows = rows.repartition(max(1, -(-total // TASK)), "shard", "bucket").groupBy("shard", "bucket").applyInArrow(shuffle, kinds)
     counts = written(rows.groupBy("shard", "bucket").agg(F.count("*").alias("n")), "counts")
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     bases = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -80,6 +87,10 @@ def shuffled(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, **options) -> None:
-    """Write the documents, one folder for each shard, in the order of their slots."""
-    rows = shuffled(docs, shards, **options).repartition(shards, "shard").sortWithinPartitions("shard", "slot")
+    """Write the documents, one folder for each shard, in the order of their slots.
+
+    A shard is written by as many tasks as it has files of FILE slots, so none moves through one task.
+    """
+    rows = shuffled(docs, shards, **options).withColumn("file", F.floor(F.col("slot") / FILE))
+    rows = rows.repartition("shard", "file").sortWithinPartitions("shard", "file", "slot")
     rows.select("row.*", F.col("shard").alias("_shard"), F.col("slot").alias("_slot")).write.partitionBy("_shard").parquet(path)
