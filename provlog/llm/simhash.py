@@ -15,7 +15,9 @@
 
 A null text counts as empty; a text without words has fingerprint zero and is linked like any
 other.  Rows that repeat an identifier each have their own row.  Null identifiers never name
-a component unless all its identifiers are null.
+a component unless all its identifiers are null.  Texts of any length are read whole; of ties
+the smallest identifier counts; an empty table gives no rows; other columns aren't read, so
+their names can't clash.
 """
 
 from __future__ import annotations
@@ -71,7 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
             found = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return slim.mapInArrow(run, "id long, fp long")
 
 
@@ -422,7 +424,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 ["id", "digest", "n", "fp", "keys"],
             )
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null")
     signed = written(slim.mapInArrow(sign, "id long, digest binary, n long, fp binary, keys array<long>"), "signed")
     equal = written(signed.groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("high")), "sets")
     copies = signed.join(equal.where("rep < high").select("digest", "rep"), "digest").where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
@@ -452,7 +454,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of similar ones, that with the smallest identifier, with all columns.
 
-    Rows without an identifier stay.  Texts without words are alike.
+    Documents are told apart by identifier and text, so rows that repeat an identifier are judged
+    each for itself; rows that repeat both count as one document and stay or go together.  A null
+    identifier is larger than all others.  Null texts count as empty; texts without words are
+    alike, so one of them stays.  Very long texts are read whole.  An empty table gives no rows.
+    Columns travel in one struct, so their names can't clash.
     """
-    lost = similar_groups(docs, id_col, text_col, width, similarity).where("node != component").select(F.col("node").alias("lost"))
-    return docs.join(lost, docs[id_col] == F.col("lost"), "left_anti")
+    uid = F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    slim = docs.select(uid.alias("uid"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    groups = written(similar_groups(slim, "uid", "text", width, similarity), "groups")
+    named = groups.join(slim.select(F.col("uid").alias("node"), "id").distinct(), "node")
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first"))
+    lost = named.join(first, "component").where(F.col("node") != F.col("first.node")).select(F.col("node").alias("uid")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), uid.alias("uid"))
+    return rows.join(lost, "uid", "left_anti").select("row.*")

@@ -465,3 +465,96 @@ def test_substring_dedup_keeps_columns_and_rows(spark, folder, repeated, empty,
         assert r["text"] == (" ".join(x for x, g in zip(words[i], gone[i]) if not g) if any(gone[i]) else texts[i]) and r["text_"] == texts[i] and r["row"] == "r"
     assert substring_dedup(spark.read.parquet(f"{repeated}/documents.parquet")).count() == 8
     assert substring_dedup(spark.read.parquet(f"{empty}/documents.parquet")).collect() == []
+
+
+def test_index_merges_runs_and_filters_miss_nothing(spark, monkeypatch):
+    from provlog.llm import exact_dedup as D
+
+    docs = spark.createDataFrame([(i, f"t{i % 37 if i % 3 else i}") for i in range(300)], "doc_id long, text string").repartition(7)
+    rows, runs = D.flush(docs)
+    assert len(runs) == D.RUNS and rows.count() == 300
+    for run in runs:
+        told = D.known(run.entries, run, "in")
+        assert told.where("not in").count() == 0
+    one, two = runs[:2]
+    mine = D.known(one.entries.join(two.entries.select("digest"), "digest", "left_anti"), two, "in")
+    assert mine.where("in").count() <= 0.2 * max(5, mine.count())  # some pass, most are told apart
+    merged = {bytes(r["digest"]): (r["smallest"], r["largest"], r["n"]) for r in D.compact(runs).collect()}
+    want = defaultdict(list)
+    for i in range(300):
+        want[hashlib.sha256(f"t{i % 37 if i % 3 else i}".encode()).digest()].append(i)
+    assert merged == {d: (min(x), max(x), len(x)) for d, x in want.items()}
+    # A filter that has to stay small lets everything through, and results stay the same.
+    monkeypatch.setattr(D, "FILTER", D.BITMAP)
+    monkeypatch.setattr(D, "PART", 2)
+    groups = {r["id"]: (r["keep_id"], r["group_size"]) for r in D.exact_groups(docs, keep="largest").collect()}
+    assert groups == {i: (max(x), len(x)) for x in want.values() for i in x}
+
+
+def test_scan_composes_what_the_automaton_does_step_by_step():
+    from provlog.llm import bpe
+
+    a, rng = bpe.Automaton(), np.random.default_rng(2)
+    for n in (1, 5, 32, 33, 1500):
+        kinds = rng.integers(0, 8, n)
+        state, want = bpe.FRESH, []
+        for k in kinds:
+            state = bpe.step(state, int(k))[0]
+            want.append(state)
+        f = a.of[kinds]
+        f[0] = a.compose[a.begin, f[0]]
+        assert a.state[a.scan(f)].tolist() == want
+    texts = ["it's", "'s", "", "a  ", " b", "'", "ll", "'l", "l x"]
+    path = tokenizer_file("byte_bpe_50k.tiktoken")
+    e = bpe.Encoder(path)
+    assert [x.tolist() for x in e.encode_all(texts)] == [bpe.Encoder(path).encode(t) for t in texts]  # a text doesn't see the next one
+
+
+def test_packing_ids_of_composed_capitals():
+    """The tokenizer composes before it lower-cases; some marks compose with a small letter alone."""
+    from tokenizers import Tokenizer
+
+    from provlog.llm.packing import WordIds
+
+    path = tokenizer_file("word_bpe_49k.json")
+    tok, words = Tokenizer.from_file(path), WordIds(path)
+    texts = [f"a{chr(c)}{chr(m)}b x{chr(c + 32)}{chr(m)}." for c in range(65, 91) for m in range(0x300, 0x370)]
+    texts += ["J̣̌", "plain J̌ TEXT", "̌ J", "<|endoftext|> J̌", "É Ünï", "ǰ J̌"]
+    for t, got in zip(texts, words.batch(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1], repr(t)
+
+
+@pytest.mark.parametrize(
+    "text, labels, permissive",
+    [
+        ("SPDX-License-Identifier: Apache-2.0", "apache-2", True), ("// SPDX-License-Identifier: MIT OR GPL-2.0-only\nrest", "gpl-2.0-only,mit", True), ("SPDX-License-Identifier: Foo-1.0", "", None),
+        ("x SPDX-License-Identifier: MIT AND AGPL-3.0-only */", "agpl-3.0-only,mit", False), ("SPDX license\nidentifier MIT", "mit", True), ("spdx-license-identifier: GPL-2.0 WITH Classpath-exception-2.0", "gpl-2.0 with classpath-exception-2.0", False),
+        ("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: ISC", "isc,mit", True), ("SPDX-License-Identifier:", "", None), ("é SPDX-License-Identifier: LicenseRef-own", "licenseref-own", False), ("Apache License, Version 2.0; SPDX-License-Identifier: Apache-2.0", "apache-2", True),
+        ("under the MIT license", "mit", None), ("GNU General Public License version 3", "gpl-3.0", None), (None, "", None),
+    ],
+)
+def test_license_labels(text, labels, permissive):
+    from provlog.llm.licenses import Scanner
+
+    found = Scanner().scan(text)
+    assert (found[5], found[6]) == (labels, permissive)
+    assert (found[7] > 0) == bool(labels)
+
+
+CLASHING = {"a.b": 1, "lost": 2, "uid": 3, "node": 4, "row": 5, "rest": 6, "shard": 7, "first": 8, "many": 9}
+
+
+def clashing(df):
+    return df.select("*", *[F.lit(v).alias(k) for k, v in CLASHING.items() if k not in df.columns])
+
+
+def test_operators_carry_columns_with_clashing_names(spark, folder, tmp_path):
+    from provlog.llm import exact_dedup, packing, sharding, simhash
+
+    docs = clashing(spark.read.parquet(f"{folder}/documents.parquet"))
+    assert exact_dedup.exact_dedup(docs, "largest").columns == docs.columns
+    assert simhash.near_dedup(docs).columns == docs.columns
+    assert sharding.shuffled(docs, 3).count() == docs.count()
+    assert packing.pieces(docs, tokenizer_file("word_bpe_49k.json")).count() >= docs.count()
+    sharding.write_shards(docs.drop("a.b"), str(tmp_path / "shards"), 3)
+    assert spark.read.parquet(str(tmp_path / "shards")).count() == docs.count()
