@@ -18,6 +18,8 @@ A null text counts as empty.  The next document is the one with the next larger
 after the last the first.  Where rows repeat an identifier, the smallest of their beginnings
 and the smallest of their fingerprints stand for the next document.  Null identifiers have
 no next document: they are edited with an empty text and near_next is 0 or, without words, 1.
+Texts of any length are read whole.  An empty table gives no rows.  Other columns aren't read, so
+their names can't clash.
 """
 
 from __future__ import annotations

@@ -13,8 +13,10 @@ solves the cutting-stock problem over it:
 Pieces are ranked in their class (row numbers within hash buckets plus the buckets'
 offsets, so that no class meets in one task), and ranks are mapped to the patterns' slots.
 
-A null text counts as empty and packs the closing id alone.  Rows that repeat an identifier
-are packed each for itself; null identifiers are packed like others.
+A null text counts as empty and packs the closing id alone; a very long one is cut into as
+many sequences as it fills, and a rest.  Rows that repeat an identifier, a text or both are
+packed each for itself, ties in any order; null identifiers are packed like others.  An empty
+table gives no rows.  Other columns aren't read, so their names can't clash.
 """
 
 from __future__ import annotations

@@ -76,6 +76,23 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("rest.doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that SQL can express: lengths, and digests of edited texts."""
+    return fingerprints.with_edits(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256")
+
+
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4 that SQL can express: words, places of phrases, their labels."""
+    return op4_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "base_labels")
+
+
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op6: each record's size, and that slots are gapless in their shards."""
+    rows = op6_sharding(spark, sf_dir)
+    ends = rows.groupBy("shard").agg((F.max("slot") + 1 == F.count("*")).alias("whole"), (F.countDistinct("slot") == F.count("*")).alias("distinct_slots"))
+    return rows.join(ends, "shard").select("doc_id", "size", "law", "whole", "distinct_slots")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_fingerprints": op3_fingerprints,
@@ -87,12 +104,66 @@ QUERIES = {
     "op4_licenses": op4_licenses,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "edited_texts": edited_texts,
+    "license_phrases": license_phrases,
+    "shard_sizes": shard_sizes,
 }
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _places(phrase: str) -> str:
+    """How often a phrase's words stand together; words are told apart by two blanks, so neighbours don't share one."""
+    spaced = " " + phrase.replace(" ", "  ") + " "
+    return f"((length(line) - length(replace(line, '{spaced}', ''))) // {len(spaced)})"
+
+
+def _repeats_sql(units: str, window: int, gap: str, columns: str) -> str:
+    """Each place with the smallest document that holds the window from it on; a place goes if a window over it stands in a smaller one.
+
+    Windows are put together from halves, so that no list is cut for each of them.
+    """
+    steps, width, own = [], 1, "PARTITION BY doc_id ORDER BY j"
+    while 2 * width <= window:
+        steps.append(f"w{2 * width} AS (SELECT *, u{width} || '{gap}' || lead(u{width}, {width}) OVER ({own}) AS u{2 * width} FROM w{width})")
+        width *= 2
+    parts, at, last = [f"u{width}"], width, width
+    for w in (width >> i for i in range(1, window.bit_length())):
+        if at + w <= window:
+            parts.append(f"lead(u{w}, {at}) OVER ({own})")
+            at += w
+    whole = f" || '{gap}' || ".join(parts)
+    return f"""
+        WITH d AS ({units}), w1 AS (SELECT doc_id, generate_subscripts(units, 1) AS j, unnest(units) AS u1 FROM d), {', '.join(steps)},
+        g AS (SELECT doc_id, j, u1, {whole} AS h FROM w{last}), m AS (SELECT h, min(doc_id) AS first FROM g WHERE h IS NOT NULL GROUP BY h),
+        p AS (SELECT doc_id, j, u1, coalesce(j - last_value(CASE WHEN first < doc_id THEN j END IGNORE NULLS) OVER ({own} ROWS UNBOUNDED PRECEDING) < {window}, FALSE) AS gone FROM g LEFT JOIN m USING (h)),
+        q AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER ({own}), FALSE) AS begins FROM p),
+        k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans, string_agg(u1, '{gap}' ORDER BY j) FILTER (WHERE NOT gone) AS kept FROM q GROUP BY doc_id)
+        {columns} FROM d LEFT JOIN k USING (doc_id)"""
+
+
+BASE = {p: _places(p) for p in licenses.BASE}
+
 ORACLE_SQL = {
     "op1_exact_dedup": """
         WITH t AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents
         ), g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size, sha256(body) AS text_sha256 FROM t GROUP BY body)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (body)""",
-}
+    "edited_texts": """
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS body, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS nxt FROM documents)
+        SELECT doc_id, length(body) AS n_chars, sha256(substring(body, 1, length(body) - length(body) // 4) || substring(nxt, 1, length(body) // 4)) AS edited_sha256 FROM t""",
+    "license_phrases": f"""
+        WITH w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents), l AS (SELECT doc_id, len(words) AS n_words, ' ' || array_to_string(words, '  ') || ' ' AS line FROM w)
+        SELECT doc_id, n_words, CAST({' + '.join(BASE.values())} AS BIGINT) AS n_base,
+            array_to_string(list_sort(list_filter([{', '.join(f"CASE WHEN {n} > 0 THEN '{licenses.BASE[p]}' END" for p, n in BASE.items())}], lambda x: x IS NOT NULL)), ',') AS base_labels FROM l""",
+    "shard_sizes": "SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, 'key' AS law, TRUE AS whole, TRUE AS distinct_slots FROM documents",
+    "op7_substring_dedup": _repeats_sql(
+        "SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') AS units FROM documents", 13, " ",
+        "SELECT doc_id, CAST(len(units) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256",
+    ),
+    "op8_suffix_dedup": _repeats_sql(
+        "SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS units FROM documents", 50, "",
+        "SELECT doc_id, CAST(len(units) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256",
+    ),
+}

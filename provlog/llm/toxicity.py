@@ -15,7 +15,13 @@ whole text, in any number of tasks, with weights of a fixed size.
 A null text counts as empty.  Label rows with a null label are left out; where an identifier
 repeats in labels its largest label counts, and where it repeats in documents each row is a
 case.  With fewer than ``FEW`` cases of either class a category's probability is the share of
-its cases (0 without labels), and nothing is rejected for it.
+its cases (0 without labels), and nothing is rejected for it.  Texts of any length are scored
+whole; a text at the limit is rejected; rows that repeat an identifier are scored each for itself,
+null identifiers like others.  An empty table gives no rows.  Columns are carried as one struct,
+so their names can't clash.
+
+The first category is that of texts of low quality, because the labels know two: it is a link of the
+chain (toxic texts are seldom good ones) and rejects nothing by itself.
 """
 
 from __future__ import annotations

@@ -558,3 +558,8 @@ def test_operators_carry_columns_with_clashing_names(spark, folder, tmp_path):
     assert packing.pieces(docs, tokenizer_file("word_bpe_49k.json")).count() >= docs.count()
     sharding.write_shards(docs.drop("a.b"), str(tmp_path / "shards"), 3)
     assert spark.read.parquet(str(tmp_path / "shards")).count() == docs.count()
+
+
+@pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
+def test_query_matches_sql(spark, duck, name):
+    same_rows(Q.QUERIES[name](spark, SF), duck, Q.ORACLE_SQL[name])
