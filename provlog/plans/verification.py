@@ -22,7 +22,7 @@ LAST_LINE = 1_000_000_000
 
 def tampered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(headers, lines) of one sealed segment for each user, changed in a way that user_id % 10 decides."""
-    e = derived.entries(spark, sf_dir).select("user_id", "segment", "seq", "name", "line")
+    e = written(derived.entries(spark, sf_dir).select("user_id", "segment", "seq", "name", "line"), "entries")  # rendered once
     points = written(base.seal_points(spark, sf_dir), "points")
     e = e.join(points.groupBy("segment").agg(F.max("last").alias("n")), "segment", "left").withColumn("u", F.col("user_id") % 10)
     ends = F.col("u").isin(0, 5) & (F.col("seq") == F.col("n"))

@@ -12,8 +12,14 @@ from provlog.vocabulary import LOG, PROV
 LEVEL_OF = ["error", "warn", "info", "debug", "trace"]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores at least: scanning and rendering lines costs far more than dealing out the rows of a few small files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def kv(key: str, value: Column) -> Column:
@@ -30,7 +36,9 @@ def prefixes() -> Column:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    # The number is stated, so that small partitions aren't joined: what follows is work on each line.
+    e = e.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "user_id")
     return e.withColumns({
         "segment": F.format_string("urn:log:u%d:all", "user_id"),
         "instance": F.format_string("urn:inst:u%d", "user_id"),
