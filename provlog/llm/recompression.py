@@ -9,10 +9,10 @@ wherever they stand, but for a few at their ends.
 
 With each symbol go the words that decide it (its own, and for what stays unpaired those of
 its neighbours).  A window of 13 words holds a symbol for sure if it holds all those words,
-so equal windows hold the same symbols.  A window's seed is the name of the symbol of highest
-level that it holds (of these the one with the largest name), sharpened by the words beside
-it that every such window holds: half of the rest, on the side that has more room.  A window
-that holds no symbol is its own seed.  Shared symbols reveal repeats; :mod:`provlog.llm.repeats`
+so equal windows hold the same symbols.  A window's seed is the name of one of the upper
+symbols (from the second round on) that it holds, the one whose name ranks highest, sharpened by
+the words beside it that every such window holds: half of the rest, on the side that has more
+room.  A window that holds no such symbol is its own seed.  Shared symbols reveal repeats; :mod:`provlog.llm.repeats`
 brings their words together, and windows are verified word by word.
 """
 
@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from provlog.llm.repeats import NO_ID, deduplicated, marked, mix
 
 WINDOW = 13
-#: Rounds of naming: a symbol of the third covers four to eight words; higher ones seldom fit a window.
-ROUNDS = 3
+#: Rounds of naming, and the first whose symbols are seeds: one of the third covers up to eight words; higher ones seldom fit a window.
+ROUNDS, LEAST = 3, 2
 #: More words than a window has: what the edge of a document decides, no window holds.
 FAR = 1 << 20
 A, BASE = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
@@ -120,14 +120,14 @@ class Words:
         n, spans = len(self.name), Spans(self.name)
         # Symbols by how many words decide them: place, rank, and the seeds with the words before and after.
         by_size: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(WINDOW + 1)]
-        for level, s in enumerate(self.rounds(), 1):
+        for s in self.rounds()[LEAST - 1 :]:
             size = s.high - s.low
             held = np.flatnonzero(size <= WINDOW)
             held = held[np.argsort(size[held], kind="stable")]
             cut = np.searchsorted(size[held], np.arange(WINDOW + 2))
             for w in range(1, WINDOW + 1):
                 if len(k := held[cut[w] : cut[w + 1]]):
-                    at, rank = s.low[k].astype(np.int64), (s.name[k] >> np.uint64(4)) | np.uint64(level << 60)
+                    at, rank = s.low[k].astype(np.int64), mix(s.name[k]) | np.uint64(1)
                     before, after = (WINDOW - w + 1) // 2, (WINDOW - w) // 2 + 1 if w < WINDOW else 0
                     left = mix(rank + spans.of(np.maximum(at - before, 0), at))
                     right = mix((rank ^ A) + spans.of(at + w, np.minimum(at + w + after, n)))
