@@ -254,7 +254,7 @@ def turtle(triples: DataFrame) -> DataFrame:
 
     Triples with part, at and pos (see :func:`all_triples`) come in document order, others in that of their terms.
     """
-    order = ["part", "at", "s", "pos"] if "part" in triples.columns else ["s", "p", "o"]
+    order = ["part", "at", "pos", "s"] if "part" in triples.columns else ["s", "p", "o"]
     quoted = F.concat(F.lit('"'), escaped(F.col("o")), F.lit('"'))
     typed = F.when(F.col("o_type").isNull() | (F.col("o_type") == XSD + "string"), quoted).otherwise(F.concat(quoted, F.lit("^^"), term(F.col("o_type"))))
     line = F.concat(F.concat(F.lit("<"), "s", F.lit(">")), F.lit(" "), F.when(F.col("p") == TYPE, "a").otherwise(term(F.col("p"))), F.lit(" "), F.when(F.col("o_kind") == "iri", term(F.col("o"))).otherwise(typed), F.lit(" ."))

@@ -38,7 +38,9 @@ def trimmed(c: Column) -> Column:
 
 def last_bound(pairs: Column) -> Column:
     """A map of prefixes; the last binding of each counts."""
-    return F.map_from_entries(F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"])))
+    once = F.size(F.array_distinct(F.transform(pairs, lambda p: p["key"]))) == F.size(pairs)
+    kept = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(F.when(once, pairs).otherwise(kept))
 
 
 def parse_header(text: Column) -> Column:
