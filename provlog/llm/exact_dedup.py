@@ -187,7 +187,8 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id",
     groups = written(exact_groups(docs, keep, id_col, text_col).where("group_size > 1"), "groups")
     lost = groups.where("not kept").select("id", "sha").distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("id"), sha256(ascii_lower(whole_text(text_col))).alias("sha"))
-    stay = rows.join(lost, rows.id.eqNullSafe(lost.id) & (rows.sha == lost.sha), "left_anti").select("row.*")
+    # Never broadcast: what is lost grows with the documents.
+    stay = rows.join(lost.hint("merge"), rows.id.eqNullSafe(lost.id) & (rows.sha == lost.sha), "left_anti").select("row.*")
     # Where a row repeats identifier and text, the join above takes all its copies; one comes back.
     repeated = groups.where("kept").select("id", "sha").join(lost.withColumnsRenamed({"id": "i", "sha": "s"}), F.col("id").eqNullSafe(F.col("i")) & (F.col("sha") == F.col("s")), "left_semi")
     if repeated.isEmpty():

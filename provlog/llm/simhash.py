@@ -436,7 +436,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     clusters = components(candidates(members, limit, similarity))
     rows = written(chosen.select("id", "n").join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id"), "clusters")
-    done = written(verified(slim, blocks(rows.withColumn("label", F.col("id"))).select("id", "label", "cluster", F.col("block").alias("one"), F.lit(0).alias("two")), width, similarity), "verified")
+    dealt = blocks(rows.withColumn("label", F.col("id"))).select("id", "label", "cluster", F.col("block").alias("one"), F.lit(0).alias("two"))
+    done = written(verified(slim, dealt.hint("merge"), width, similarity), "verified")  # clusters grow with the documents
     large = written(blocks(rows).where("many > 1").select("id", "cluster", "n"), "large")
     if large.head(1):
         groups = labelled(large, components(done))
@@ -467,4 +468,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first"))
     lost = named.join(first, "component").where(F.col("node") != F.col("first.node")).select(F.col("node").alias("uid")).distinct()
     rows = docs.select(F.struct("*").alias("row"), uid.alias("uid"))
-    return rows.join(lost, "uid", "left_anti").select("row.*")
+    # Never broadcast: what is lost grows with the documents.
+    return rows.join(lost.hint("merge"), "uid", "left_anti").select("row.*")
