@@ -51,8 +51,9 @@ SEED = 6
 SEED_MASK = np.uint64((1 << 8 * SEED) - 1)
 #: Bytes of text in a chunk, about; bytes of text whose chunks share a task.
 CHUNK, TASK = 3 << 20, 12 << 20
-#: Chunks that hold a seed before its windows are sent one by one.
-WIDE = 256
+#: Chunks that hold a seed before its windows are sent one by one.  A window by itself takes some ten times the bytes of
+#: its share of a segment; as many chunks as this keep the segments of a seed within some MB.
+WIDE = 4096
 ALL = 0xFFFFFFFF
 
 
