@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlog.llm import bpe, exact_dedup, fingerprints, licenses, packing, recompression, sharding, simhash, suffix_repeats, toxicity
+from provlog.llm import bpe, exact_dedup, fingerprints, licenses, packing, recompression, sentencepieces, sharding, simhash, suffix_repeats, tandem, toxicity, whitening
 from provlog.llm.common import documents, tokenizer_file
 
 
@@ -76,6 +76,43 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("rest.doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding on the first sixteen whitened components; the fit is over distinct vectors."""
+    rows = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return rows.select(F.col("id").alias("vec_id"), "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeating words of every text, one in ten of which repeats its last words."""
+    docs = documents(spark, sf_dir).select("doc_id", tandem.with_tails(F.col("doc_id"), F.col("text")).alias("text"))
+    rows = tandem.runs(docs)
+    each = F.arrays_zip("starts", "lengths", "periods")
+    # The longest; of these the first, then the smallest period.
+    best = F.aggregate(each, F.get(each, 0), lambda b, x: F.when(x["lengths"] > b["lengths"], x).otherwise(b))
+    listed = F.concat_ws("", F.transform(each, lambda x: F.concat(x["starts"].cast("string"), F.lit(","), x["lengths"].cast("string"), F.lit(","), x["periods"].cast("string"), F.lit("\n"))))
+    rows = rows.withColumns({"best": best, "listed": listed})
+    return rows.select(
+        F.col("id").alias("doc_id"), F.size("starts").cast("long").alias("n_runs"), F.col("best.starts").alias("start"), F.col("best.lengths").alias("length"), F.col("best.periods").alias("period"),
+        F.floor(F.col("best.lengths") * 1000 / F.col("best.periods")).alias("exponent_milli"), F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text by the SentencePiece model, and the digest of what they decode to."""
+    model = tokenizer_file("piece_bpe_32k.model")
+    rows = sentencepieces.decode(sentencepieces.encode(documents(spark, sf_dir), model), model)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.element_at("places", -1).alias("n_bytes"),
+    )
+
+
+def embedding_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op11 that SQL can express: distinct vectors, and each vector's distance from their centre, exact."""
+    return op11_whitening(spark, sf_dir).where("component = 1").select("vec_id", "n", "deviation")
+
+
 def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op3 that SQL can express: lengths, and digests of edited texts."""
     return fingerprints.with_edits(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256")
@@ -104,6 +141,10 @@ QUERIES = {
     "op4_licenses": op4_licenses,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_sentencepieces": op13_sentencepieces,
+    "embedding_deviations": embedding_deviations,
     "edited_texts": edited_texts,
     "license_phrases": license_phrases,
     "shard_sizes": shard_sizes,
@@ -157,6 +198,13 @@ ORACLE_SQL = {
         WITH w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents), l AS (SELECT doc_id, len(words) AS n_words, ' ' || array_to_string(words, '  ') || ' ' AS line FROM w)
         SELECT doc_id, n_words, CAST({' + '.join(BASE.values())} AS BIGINT) AS n_base,
             array_to_string(list_sort(list_filter([{', '.join(f"CASE WHEN {n} > 0 THEN '{licenses.BASE[p]}' END" for p, n in BASE.items())}], lambda x: x IS NOT NULL)), ',') AS base_labels FROM l""",
+    "embedding_deviations": f"""
+        WITH v AS (SELECT vec_id, list_transform(embedding, c -> CAST(floor({whitening.SCALE} * CAST(c AS DOUBLE)) AS BIGINT) + {whitening.SHIFT}) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+        f AS (SELECT DISTINCT x FROM v), n AS (SELECT count(*) AS n FROM f),
+        s AS (SELECT i, sum(e) AS s FROM (SELECT generate_subscripts(x, 1) AS i, unnest(x) AS e FROM f) GROUP BY i),
+        b AS (SELECT row_number() OVER () AS r, vec_id, x FROM v), u AS (SELECT r, vec_id, generate_subscripts(x, 1) AS i, unnest(x) AS e FROM b)
+        SELECT any_value(vec_id) AS vec_id, any_value(n) AS n, CAST(sum((n * e - s) * (n * e - s)) AS BIGINT) AS deviation FROM u JOIN s USING (i), n GROUP BY r""",
     "shard_sizes": "SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, 'key' AS law, TRUE AS whole, TRUE AS distinct_slots FROM documents",
     "op7_substring_dedup": _repeats_sql(
         "SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') AS units FROM documents", 13, " ",
