@@ -99,12 +99,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text by the SentencePiece model, and the digest of what they decode to."""
-    model = tokenizer_file("piece_bpe_32k.model")
-    rows = sentencepieces.decode(sentencepieces.encode(documents(spark, sf_dir), model), model)
+    rows = sentencepieces.encode(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"), decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return rows.select(
         F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.element_at("places", -1).alias("n_bytes"),
+        F.element_at("places", -1).cast("long").alias("n_bytes"),
     )
 
 

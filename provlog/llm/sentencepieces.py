@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -31,8 +32,9 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_TEXT = " ⁇ "
 #: Chunks kept by a worker, and characters of a chunk that is kept; beyond the first the cache starts anew.
-CACHE, KEPT = 500_000, 64
+CACHE, KEPT = 300_000, 64
 ROWS = 256
+NEVER = float("inf")
 
 
 def messages(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -177,6 +179,87 @@ def normalised(m: Model, text: str) -> tuple[str, np.ndarray]:
     return out.decode(), np.array(source, np.int64)
 
 
+class Pairs:
+    """Which neighbours merge, as an open hash table, to merge many short chunks side by side."""
+
+    BITS = 20
+    MIX = np.uint64(0x9E3779B97F4A7C15)
+    LAST = np.iinfo(np.int64).max
+
+    def __init__(self, pieces: list[str], ids: dict[str, int], ranks: dict[str, float]):
+        self.v = len(pieces)
+        best = {r: i for i, r in enumerate(sorted(set(ranks.values())))}
+        found = [(ids[p[:i]] * self.v + ids[p[i:]], k, best[ranks[p]]) for p, k in ids.items() for i in range(1, len(p)) if p[:i] in ids and p[i:] in ids]
+        #: Characters are numbered as pieces; others below zero.  Without all characters of pieces this form isn't exact.
+        self.exact = all(c in ids for p in ids for c in p) and 2 * len(found) < 1 << self.BITS
+        self.of_char = -1 - np.arange(0x110000)
+        for p, k in ids.items():
+            if len(p) == 1:
+                self.of_char[ord(p)] = k
+        self.sizes = np.array([len(p.encode()) for p in pieces], np.int32)
+        keys, self.merged, self.rank = (np.array(x, np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        self.keys, slots, step, todo = keys, np.full(1 << self.BITS, -1), 0, np.arange(len(keys))
+        home = self.home(keys)
+        while len(todo) and self.exact:  # each round the first to come to a free slot stays
+            at = (home[todo] + step) & (len(slots) - 1)
+            free = slots[at] < 0
+            slots[at[free][::-1]] = todo[free][::-1]
+            todo, step = todo[slots[at] != todo], step + 1
+        self.slots, self.steps = slots, step
+
+    def home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * self.MIX) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The number of each pair, or -1."""
+        out = np.full(len(left), -1)
+        todo = np.flatnonzero((left >= 0) & (right >= 0))
+        key = left[todo] * self.v + right[todo]
+        home = self.home(key)
+        for step in range(self.steps):
+            slot = self.slots[(home + step) & (len(self.slots) - 1)]
+            hit = (slot >= 0) & (self.keys[slot] == key)
+            out[todo[hit]] = slot[hit]
+            more = (slot >= 0) & ~hit
+            todo, key, home = todo[more], key[more], home[more]
+            if not len(todo):
+                break
+        return out
+
+    def merge(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, ends): what is left of each chunk when its best pair, the leftmost of equals, has been merged again and again."""
+        text = "".join(chunks)
+        n = len(text)
+        size = np.array([len(c) for c in chunks], np.int64)
+        start = np.cumsum(size) - size
+        sym = np.append(self.of_char[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")], -1)
+        following, before = np.arange(1, n + 2), np.arange(-1, n)
+        following[start + size - 1], before[start], following[n] = n, n, n
+        order, number = np.full(n + 1, self.LAST), np.full(n + 1, -1)
+
+        def judge(at: np.ndarray) -> None:
+            pair = self.find(sym[at], sym[following[at]])
+            number[at] = pair
+            order[at] = np.where(pair >= 0, (self.rank[pair] << 32) | at, self.LAST)
+            order[n] = self.LAST
+
+        judge(np.arange(n))
+        alive = np.ones(n, bool)
+        while True:
+            best = np.minimum.reduceat(order[:n], start)
+            at = best[best < self.LAST] & 0xFFFFFFFF
+            if not len(at):
+                break
+            gone = following[at]
+            sym[at] = self.merged[number[at]]
+            alive[gone], order[gone] = False, self.LAST
+            following[at] = following[gone]
+            before[following[at]] = at
+            judge(np.concatenate([at, before[at]]))
+        left = np.flatnonzero(alive)
+        return sym[left], np.searchsorted(left, np.append(start, n))
+
+
 class Pieces:
     """A model ready to encode and decode, with the chunks that it has met."""
 
@@ -185,6 +268,7 @@ class Pieces:
         self.ids = {p: i for i, (p, k) in enumerate(zip(m.pieces, m.kinds)) if k in (NORMAL, USER_DEFINED, UNUSED)}
         if any(k in (USER_DEFINED, UNUSED) for k in m.kinds):
             raise ValueError(f"{path}: user-defined and unused pieces aren't supported")
+        self.ranks = {p: -m.scores[i] for p, i in self.ids.items()}
         self.unknown = m.kinds.index(UNKNOWN)
         byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(m.pieces, m.kinds)) if k == BYTE}
         self.byte_ids = [byte_ids[b] for b in range(256)] if m.byte_fallback and len(byte_ids) == 256 else None
@@ -194,24 +278,72 @@ class Pieces:
         whole = any(SPACE in p[1:] and p.strip(SPACE) for p in self.ids) or not m.escape
         #: What no piece crosses.
         self.parts = None if whole else re.compile(rf"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, bytes] = {}
+        self.pairs = Pairs(m.pieces, self.ids, self.ranks)
         surface = []
         for i, (p, k) in enumerate(zip(m.pieces, m.kinds)):
             surface.append(b"" if k == CONTROL else UNKNOWN_TEXT.encode() if k == UNKNOWN else bytes([self.byte_of[i]]) if k == BYTE else p.replace(SPACE, " ").encode())
         self.surface = surface
+        self.flat, self.widths = np.frombuffer(b"".join(surface), np.uint8), np.array([len(x) for x in surface], np.int64)
+        self.begins = np.cumsum(self.widths) - self.widths
+        self.plain = np.array([k == NORMAL for k in m.kinds])
+
+    def merge(self, chunk: str) -> bytes:
+        """For each piece of a chunk its id and how many normalised bytes it has, as 32-bit numbers."""
+        return self.numbered(self.merged(chunk) if len(chunk) <= KEPT else self.merged_long(chunk))
 
-    def merge(self, chunk: str) -> tuple[bytes, bytes]:
-        """Ids of a chunk and how many normalised bytes each has, as 32-bit numbers."""
-        ids, scores = self.ids, self.model.scores
-        parts = list(chunk)
+    def numbered(self, parts: list[str]) -> bytes:
+        out, ids = array("i"), self.ids
+        for p in parts:
+            i = ids.get(p)
+            if i is not None:
+                out.extend((i, len(p.encode())))
+            elif self.byte_ids is not None:
+                data = p.encode()
+                for b in data[:-1]:
+                    out.extend((self.byte_ids[b], 0))
+                out.extend((self.byte_ids[data[-1]], len(data)))  # the last byte of a character stands for it
+            else:
+                out.extend((self.unknown, len(p.encode())))
+        return out.tobytes()
+
+    def learn(self, chunks: list[str]) -> None:
+        """Keep the pieces of short chunks."""
+        if not self.pairs.exact:
+            self.known.update((c, self.merge(c)) for c in chunks)
+        elif chunks:
+            sym, ends = self.pairs.merge(chunks)
+            flat, sizes = np.stack([sym, self.pairs.sizes[np.maximum(sym, 0)]], axis=1).astype("<i4").tobytes(), (8 * ends).tolist()
+            strange = np.append(0, np.cumsum(sym < 0))
+            strange = (strange[ends[1:]] > strange[ends[:-1]]).tolist()
+            pieces, sym = self.model.pieces, sym.tolist()
+            for k, (c, low, high) in enumerate(zip(chunks, sizes, sizes[1:])):
+                self.known[c] = self.numbered([pieces[i] if i >= 0 else chr(-1 - i) for i in sym[low // 8 : high // 8]]) if strange[k] else flat[low:high]
+
+    def merged(self, chunk: str) -> list[str]:
+        """A short chunk's pieces: the best pair of neighbours is merged, the leftmost of equals, until none is a piece."""
+        rank, parts = self.ranks.get, list(chunk)
+        ranks = [rank(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) != NEVER:
+            at = ranks.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = rank(parts[at] + parts[at + 1], NEVER)
+            if at:
+                ranks[at - 1] = rank(parts[at - 1] + parts[at], NEVER)
+        return parts
+
+    def merged_long(self, chunk: str) -> list[str]:
+        """The same with a heap of pairs, so that time grows little faster than the chunk."""
+        rank, parts = self.ranks.get, list(chunk)
         n = len(parts)
-        following, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
+        following, before = list(range(1, n + 1)), list(range(-1, n - 1))
 
-        def offer(left: int, right: int) -> tuple | None:
-            i = ids.get(parts[left] + parts[right])
-            return None if i is None else (-scores[i], left, right, len(parts[left]) + len(parts[right]))
+        def offer(left: int, right: int) -> tuple:
+            return rank(parts[left] + parts[right], NEVER), left, right, len(parts[left]) + len(parts[right])
 
-        heap = [x for x in (offer(i, i + 1) for i in range(n - 1)) if x is not None]
+        heap = [x for x in map(offer, range(n - 1), range(1, n)) if x[0] != NEVER]
         heapify(heap)
         while heap:
             _, left, right, size = heappop(heap)
@@ -222,26 +354,10 @@ class Pieces:
             after = following[left] = following[right]
             if after < n:
                 before[after] = left
-                if (x := offer(left, after)) is not None:
+            for pair in ((left, after), (before[left], left)):
+                if pair[0] >= 0 and pair[1] < n and (x := offer(*pair))[0] != NEVER:
                     heappush(heap, x)
-            if before[left] >= 0 and (x := offer(before[left], left)) is not None:
-                heappush(heap, x)
-        out, sizes = [], []
-        for p in parts:
-            if not p:
-                continue
-            data = p.encode()
-            i = ids.get(p)
-            if i is not None:
-                out.append(i)
-                sizes.append(len(data))
-            elif self.byte_ids is not None:
-                out += [self.byte_ids[b] for b in data]
-                sizes += [0] * (len(data) - 1) + [len(data)]  # the last byte of a character stands for it
-            else:
-                out.append(self.unknown)
-                sizes.append(len(data))
-        return np.array(out, "<i4").tobytes(), np.array(sizes, "<i4").tobytes()
+        return [p for p in parts if p]
 
     def chunks(self, text: str) -> list[str]:
         if self.parts is None:
@@ -252,41 +368,41 @@ class Pieces:
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and the original bytes at which pieces begin, with the last one's end."""
-        if not text:
-            return np.zeros(0, np.int32), np.zeros(1, np.int64)
-        m = self.model
-        plain = m.characters is None and not m.trim and m.escape and SPACE not in text
-        if plain:
-            norm, source = (SPACE if m.dummy_prefix else "") + text.replace(" ", SPACE), None
-        else:
-            norm, source = normalised(m, text)
-        known, found = self.known, []
-        for c in self.chunks(norm) if norm else []:
-            x = known.get(c)
-            if x is None:
-                x = self.merge(c)
-                if len(c) <= KEPT:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[c] = x
-            found.append(x)
-        ids = np.frombuffer(b"".join([x[0] for x in found]), "<i4")
-        sizes = np.frombuffer(b"".join([x[1] for x in found]), "<i4")
-        ends = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum(sizes, out=ends[1:])
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        m, known = self.model, self.known
+        rows = []
+        for text in texts:
+            if text and m.characters is None and not m.trim and m.escape and SPACE not in text:
+                norm, source = (SPACE if m.dummy_prefix else "") + text.replace(" ", SPACE), None
+            else:
+                norm, source = normalised(m, text or "")
+            rows.append((norm, self.chunks(norm) if norm else [], source))
+        new = {c for _, chunks, _ in rows for c in chunks if c not in known}
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = {c for _, chunks, _ in rows for c in chunks}
+        self.learn([c for c in new if len(c) <= KEPT])
+        long = {c: self.merge(c) for c in new if len(c) > KEPT}
+        of = known.__getitem__
+        return [self.placed(norm, b"".join(map(of, chunks)) if not long else b"".join([long.get(c) or of(c) for c in chunks]), source) for norm, chunks, source in rows]
+
+    def placed(self, norm: str, found: bytes, source: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a normalised text, and where their pieces begin and end in the original."""
+        pairs = np.frombuffer(found, "<i4").reshape(-1, 2)
+        ids, ends = pairs[:, 0], np.zeros(len(pairs) + 1, np.int64)
+        np.cumsum(pairs[:, 1], out=ends[1:])
         if not self.one_unknown() and (ids == self.unknown).any():
             ids, ends = self.joined(ids, ends)
         if source is not None:
-            return ids, source[ends] if len(source) > ends[-1] else np.zeros(1, np.int64)
+            return ids, source[ends] if norm else np.zeros(1, np.int64)
         # Every space was three bytes and is one, and the first stands for none.
-        data = norm.encode()
-        spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 0xE2) if SPACE in norm else np.zeros(0, np.int64)
-        if len(spaces):
-            raw = np.frombuffer(data, np.uint8)
-            at = spaces[spaces + 2 < len(raw)]
-            spaces = at[(raw[at + 1] == 0x96) & (raw[at + 2] == 0x81)]
+        raw = np.frombuffer(norm.encode(), np.uint8)
+        spaces = np.flatnonzero(raw[:-2] == 0xE2)
+        spaces = spaces[(raw[spaces + 1] == 0x96) & (raw[spaces + 2] == 0x81)]
         ends = ends - 2 * np.searchsorted(spaces, ends, "left")
-        return ids, np.maximum(ends - (1 if m.dummy_prefix else 0), 0)
+        return ids, np.maximum(ends - (1 if self.model.dummy_prefix else 0), 0)
 
     def one_unknown(self) -> bool:
         return self.byte_ids is not None
@@ -319,6 +435,32 @@ class Pieces:
         except UnicodeDecodeError:
             return self.mended(ids, out)
 
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of many lists of ids, which follow each other and end where ends say.
+
+        Bytes of all pieces are gathered at once; a list that begins with anything but a plain piece, or whose bytes are
+        no text, is decoded by itself.
+        """
+        widths = self.widths[ids]
+        bounds = np.append(0, np.cumsum(widths))
+        data = self.flat[np.repeat(self.begins[ids] - bounds[:-1], widths) + np.arange(bounds[-1])].tobytes()
+        lead = 1 if self.model.dummy_prefix and not self.model.trim else 0
+        odd = np.append(0, np.cumsum(widths == 0))
+        out, low = [], 0
+        for high in ends.tolist():
+            if low == high:
+                out.append("")
+            elif odd[low] == odd[high] and lead and self.plain[ids[low]]:
+                begin = bounds[low] + (data[bounds[low]] == 32)
+                try:
+                    out.append(data[begin : bounds[high]].decode())
+                except UnicodeDecodeError:
+                    out.append(self.decode(ids[low:high]))
+            else:
+                out.append(self.decode(ids[low:high]))
+            low = high
+        return out
+
     def mended(self, ids: np.ndarray, out: list[bytes]) -> str:
         text, run = [], bytearray()
 
@@ -353,35 +495,40 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
-def arrays(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    ends = np.zeros(len(values) + 1, np.int32)
-    np.cumsum([len(v) for v in values], out=ends[1:])
-    flat = np.concatenate(values) if values else np.zeros(0)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
-
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id, ids, places[, decoded]): piece k stands for the original text's bytes from places[k] to places[k + 1].
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids, places): piece k stands for the original text's bytes from places[k] to places[k + 1]."""
+    decoded: the text that the ids alone decode to, in the same pass.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(model)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                found = [p.encode(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), arrays([f[0] for f in found], pa.int32()), arrays([f[1] for f in found], pa.int64())], ["id", "ids", "places"])
-
+                found = p.encode_all(part.column(1).to_pylist())
+                ids, places = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+                ends = np.cumsum([len(f[0]) for f in found])
+                lists = [pa.ListArray.from_arrays(pa.array(np.append(0, e), pa.int32()), pa.array(x, pa.int32())) for e, x in ((ends, ids), (ends + np.arange(1, len(ends) + 1), places))]
+                texts = [pa.array(p.decode_all(ids, ends), pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists, *texts], names)
+
+    names = ["id", "ids", "places", *["decoded"] * decoded]
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return slim.mapInArrow(run, "id long, ids array<int>, places array<long>")
+    return slim.mapInArrow(run, "id long, ids array<int>, places array<int>" + ", decoded string" * decoded)
 
 
-def decode(rows: DataFrame, model: str) -> DataFrame:
-    """rows (id, ids, places) with decoded: the text of the ids."""
+def decode(rows: DataFrame, model: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
+    """(id, decoded): the text of each row's ids; null ids count as none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(model)
         for batch in batches:
-            texts = [p.decode(np.asarray(ids if ids is not None else [], np.int32)) for ids in (x.values.to_numpy() if x.is_valid else None for x in batch.column(1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["id", "ids", "places", "decoded"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                lists = [np.asarray(x or [], np.int32) for x in part.column(1).to_pylist()]
+                texts = p.decode_all(np.concatenate(lists), np.cumsum([len(x) for x in lists]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["id", "decoded"])
 
-    return rows.select("id", "ids", "places").mapInArrow(run, "id long, ids array<int>, places array<long>, decoded string")
+    slim = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{ids_col}`").cast("array<int>").alias("ids"))
+    return slim.mapInArrow(run, "id long, decoded string")

@@ -56,6 +56,7 @@ def empty(spark, tmp_path_factory) -> str:
     path = str(tmp_path_factory.mktemp("empty"))
     spark.createDataFrame([], KIND).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
     return path
 
 
@@ -88,7 +89,7 @@ def test_empty_table_gives_no_rows(spark, empty, name):
     assert Q.QUERIES[name](spark, empty).collect() == []
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - {"op10_packing"}))
+@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - {"op10_packing", "op11_whitening", "embedding_deviations"}))
 def test_repeated_rows_and_null_identifiers_keep_their_rows(spark, repeated, name):
     found = Q.QUERIES[name](spark, repeated)
     assert sorted((r["doc_id"] for r in found.collect()), key=repr) == [1, 1, 2, 2, 3, 3, None, None]

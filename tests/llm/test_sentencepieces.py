@@ -48,6 +48,7 @@ def test_decoding_of_any_ids(path, library):
     for _ in range(3000):
         ids = [rng.choice([rng.randrange(32000), rng.randrange(262), rng.randrange(3, 259)]) for _ in range(rng.randint(0, 8))]
         assert p.decode(np.array(ids, np.int32)) == library.decode(ids)
+        assert p.decode_all(np.array(ids * 2, np.int32), np.array([len(ids), 2 * len(ids)])) == [library.decode(ids)] * 2
 
 
 def test_compiled_character_map():
@@ -76,5 +77,7 @@ def test_query(spark, tmp_path, library):
         want.append((key, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)), len((text or "").encode())))
     got = [tuple(r) for r in Q.op13_sentencepieces(spark, f"{tmp_path}/d").collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+    lists = spark.createDataFrame([(1, library.encode("a b")), (2, None), (None, [])], "id long, ids array<int>")
+    assert {tuple(r) for r in S.decode(lists, tokenizer_file("piece_bpe_32k.model")).collect()} == {(1, "a b"), (2, ""), (None, "")}
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/e/documents.parquet")
     assert Q.op13_sentencepieces(spark, f"{tmp_path}/e").collect() == []
