@@ -198,8 +198,8 @@ ORACLE_SQL = {
         SELECT doc_id, n_words, CAST({' + '.join(BASE.values())} AS BIGINT) AS n_base,
             array_to_string(list_sort(list_filter([{', '.join(f"CASE WHEN {n} > 0 THEN '{licenses.BASE[p]}' END" for p, n in BASE.items())}], lambda x: x IS NOT NULL)), ',') AS base_labels FROM l""",
     "embedding_deviations": f"""
-        WITH v AS (SELECT vec_id, list_transform(embedding, c -> CAST(floor({whitening.SCALE} * CAST(c AS DOUBLE)) AS BIGINT) + {whitening.SHIFT}) AS x FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor({whitening.SCALE} * CAST(c AS DOUBLE)) AS BIGINT) + {whitening.SHIFT}) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
         f AS (SELECT DISTINCT x FROM v), n AS (SELECT count(*) AS n FROM f),
         s AS (SELECT i, sum(e) AS s FROM (SELECT generate_subscripts(x, 1) AS i, unnest(x) AS e FROM f) GROUP BY i),
         b AS (SELECT row_number() OVER () AS r, vec_id, x FROM v), u AS (SELECT r, vec_id, generate_subscripts(x, 1) AS i, unnest(x) AS e FROM b)
