@@ -161,8 +161,12 @@ def write_entries(
         level = config.level
         cadence = cadence or Cadence(config.seal["entries"], config.seal["millis"], config.rotation["entries"], config.rotation["millis"])
     table = classes if classes is not None else v.class_table(entries.sparkSession)
-    found = entries.join(F.broadcast(table.select("class", "least_rank")), "class", "left").where(F.coalesce(F.col("least_rank") <= v.ranks[LOG + level], F.lit(True)))
-    lines = write_lines(found, cadence or Cadence(), order or ["ms"], level, predecessors=predecessors)
+    cadence = cadence or Cadence()
+    found = entries.join(F.broadcast(table.select("class", "least_rank")), "class", "left")
+    emits = F.coalesce(F.col("least_rank") <= v.ranks[LOG + level], F.lit(True))
+    # The time of an entry that the level leaves out can still make a rotation due.
+    found = found.where(emits) if cadence.max_millis is None else found.withColumns({c: F.when(emits, F.col(c)) for c in ("curie", "subject", "tail")})
+    lines = write_lines(found, cadence, order or ["ms"], level, predecessors=predecessors)
     if config is None and sink is None:
         return lines
     lines = written(lines, "lines")  # delivered and returned, but made once

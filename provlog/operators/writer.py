@@ -11,6 +11,7 @@ import hashlib
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
+from datetime import datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +28,11 @@ def tagged(text: str) -> str:
     return "sha256:" + hashlib.sha256(text.encode()).hexdigest()
 
 
+def millis(time: str) -> int:
+    """Milliseconds of a time of 24 characters."""
+    return round(datetime.fromisoformat(time).timestamp() * 1000)
+
+
 def header(segment: str, instance: str, level: str, started: str, prev: str) -> str:
     return (
         f"{MAGIC}\n@prefix log:  <{LOG}> .\n@prefix prov: <{PROV}> .\n@name     {segment}\n@instance {instance}\n"
@@ -63,8 +69,8 @@ class Predecessor:
 class Segments:
     """The state of one instance's writer; add() and close() return what is written: (segment, line_no, line).
 
-    pid and configured are noted where a process starts.  After a predecessor the chain goes on from its head,
-    no segment is stamped before it, and a level that isn't its own is recorded and sealed at once.
+    Each segment begins with a process start, where pid and configured are noted.  After a predecessor the chain goes on from its
+    head, no segment is stamped before it, and a level that isn't its own is recorded and sealed at once.
     """
 
     def __init__(
@@ -76,9 +82,9 @@ class Segments:
         self.name, self.head, self.started = "", "genesis", ""
         self.names: dict[str, int] = {}
         self.line_no = self.seq = self.sealed = self.opened = self.since = 0
-        self.out: list[tuple[str, int, str]] = []
+        self.out: list[tuple[str, int, str]] = []  # each line that isn't handed over yet
         if predecessor is not None:
-            self.head, self.started = predecessor.head, predecessor.started
+            self.head, self.started, self.opened = predecessor.head, predecessor.started, millis(predecessor.started)
             stem = self.stem(predecessor.started)
             taken = predecessor.name[len(stem) :]
             if predecessor.name.startswith(stem) and (not taken or taken[1:].isdigit()):
@@ -109,51 +115,61 @@ class Segments:
         return stem if n == 0 else f"{stem}-{n}"
 
     def open(self, time: str, ms: int) -> None:
+        """A segment, whose first entry is a process start; it is never stamped before the one that it follows."""
+        time, ms = max(time, self.started), max(ms, self.opened)
         name, stem = self.following(time), self.stem(time)
         self.names = {stem: self.names.get(stem, 0) + 1}  # times never go back: older seconds aren't asked for again
         self.name, self.line_no, self.seq, self.sealed = name, 0, 0, 0
-        self.started = max(time, self.started)
-        text = header(name, self.instance, self.level, self.started, self.head)
+        self.started, before, self.predecessor = time, self.predecessor, None
+        text = header(name, self.instance, self.level, time, self.head)
         self.head, self.opened, self.since = tagged(text), ms, ms
         for line in text.split("\n")[:-1]:
             self.put(line)
-
-    def start(self, time: str, ms: int) -> None:
-        """The first segment of a process."""
-        self.open(time, ms)
         stated = f" pid={self.pid}" if self.pid is not None else ""
-        self.entry(time, "log:ProcessStart", self.instance, stated + (f" configured={self.configured}" if self.configured else ""))
-        before = self.predecessor
+        self.entry(time, ms, "log:ProcessStart", self.instance, stated + (f" configured={self.configured}" if self.configured else ""))
         if before is not None and before.level != LOG + self.level:
-            self.entry(time, "log:LevelChange", self.name, f" key=level from={before.level} to={LOG + self.level} effective=this-segment")
+            self.entry(time, ms, "log:LevelChange", name, f" key=level from={before.level} to={LOG + self.level} effective=this-segment")
             self.seal(ms)
 
-    def entry(self, time: str, curie: str, subject: str, tail: str) -> None:
+    def entry(self, time: str, ms: int, curie: str, subject: str, tail: str) -> None:
         self.seq += 1
         line = f"{time} {curie} {subject} seq={self.seq}{tail}"
         self.head = tagged(self.head + "\n" + line)
         self.put(line)
+        if self.cadence.seal_due(self.seq - self.sealed, max(0, ms - self.since)):
+            self.seal(ms)
 
     def seal(self, ms: int) -> None:
+        """Seal what isn't sealed yet."""
+        if self.seq <= self.sealed:
+            return
         sign = self.signer(self.head) if self.signer else None
         self.put(f"#seal {self.sealed + 1}-{self.seq} {self.head}" + (f" {sign}" if sign else ""))
         self.sealed, self.since = self.seq, ms
 
-    def add(self, time: str, ms: int, curie: str, subject: str, tail: str) -> list[tuple[str, int, str]]:
+    def rotate(self, time: str, ms: int) -> None:
+        """End the segment, naming its successor, and open that one."""
+        time, ms = max(time, self.started), max(ms, self.opened)
+        self.entry(time, ms, "log:Rotation", self.name, f" next={self.following(time)}")
+        self.seal(ms)
+        self.open(time, ms)
+
+    def add(self, time: str, ms: int, curie: str | None, subject: str | None, tail: str | None) -> list[tuple[str, int, str]]:
+        """Write an entry, and rotate right after it where that makes it due.
+
+        Without a curie it is one that the level leaves out: nothing is written, but its time can make a rotation due.
+        """
         if not self.name:
-            self.start(time, ms)
-        elif self.cadence.rotation_due(self.seq, max(0, ms - self.opened)):
-            self.entry(time, "log:Rotation", self.instance, f" next={self.following(time)}")
-            self.seal(ms)
             self.open(time, ms)
-        self.entry(time, curie, subject, tail)
-        if self.cadence.seal_due(self.seq - self.sealed, max(0, ms - self.since)):
-            self.seal(ms)
+        if curie is not None:
+            self.entry(time, ms, curie, subject, tail)
+        if self.cadence.rotation_due(self.seq, max(0, ms - self.opened)):
+            self.rotate(time, ms)
         return self.flush()
 
     def close(self, time: str, ms: int) -> list[tuple[str, int, str]]:
         if self.name:
-            self.entry(time, "log:ProcessStop", self.instance, "")
+            self.entry(time, ms, "log:ProcessStop", self.instance, "")
             self.seal(ms)
         return self.flush()
 
@@ -167,7 +183,8 @@ def write_lines(
 ) -> DataFrame:
     """instance, segment, line_no, line of the segments that entries become.
 
-    entries: instance, time, ms, curie, subject, tail (rendered fields without the sequence), and the columns of order.
+    entries: instance, time, ms, curie, subject, tail (rendered fields without the sequence), and the columns of order.  A null
+    curie stands for an entry that the level leaves out, whose time may still make a rotation due.
     predecessors: instance, name, level, head, started of the chains that go on (see :func:`tails`).
     """
 

@@ -85,19 +85,22 @@ MAX_ENTRIES = 20
 
 
 def rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of segments that rotate after twenty entries."""
+    """Lines of segments that rotate after twenty entries, the process start among them."""
     e = derived.entries(spark, sf_dir)
     tail = X.render_fields(F.filter("fields", lambda f: f["key"] != "seq"))
     e = e.select("instance", "time", "ms", F.concat(F.lit("log:"), "name").alias("curie"), "subject", tail.alias("tail"), "seq")
     return write_lines(e, Cadence(None, None, MAX_ENTRIES, None), ["seq"])
 
 
-ROTATED = F1.replace("WITH ", "WITH RECURSIVE ", 1) + f""", e AS (SELECT user_id, seq, time, instance, seq // {MAX_ENTRIES} AS n, log_subject, replace(line, time || log_subject || ' seq=' || seq, '') AS tail FROM (SELECT *, ' log:' || name || ' ' || subject AS log_subject FROM f1)),
-    g0 AS (SELECT user_id, instance, n, min(time) AS started, max(time) AS ended, list({{'s': log_subject, 't': tail, 'time': time}} ORDER BY seq) AS rows FROM e GROUP BY user_id, instance, n),
-    g AS (SELECT *, 'urn:log:u' || user_id || ':' || replace(started[1:19], ':', '-') || 'Z' AS segment, lead(started) OVER (PARTITION BY user_id ORDER BY n) AS next_time FROM g0),
-    k AS (SELECT *, lead(segment) OVER (PARTITION BY user_id ORDER BY n) AS next,
-        list_concat(CASE WHEN n = 0 THEN [started || ' log:ProcessStart ' || instance || ' seq=1'] ELSE [] END, list_transform(rows, lambda r, i: r.time || r.s || ' seq=' || (i + CASE WHEN n = 0 THEN 1 ELSE 0 END) || r.t)) AS body FROM g),
-    m AS (SELECT user_id, n, segment, instance, next, started, list_append(body, CASE WHEN next IS NULL THEN ended || ' log:ProcessStop ' || instance || ' seq=' || (len(body) + 1) ELSE next_time || ' log:Rotation ' || instance || ' seq=' || (len(body) + 1) || ' next=' || next END) AS lines FROM k),
+ROTATED = F1.replace("WITH ", "WITH RECURSIVE ", 1) + f""", e AS (SELECT user_id, seq, time, (seq - 1) // {MAX_ENTRIES - 1} AS n, log_subject, replace(line, time || log_subject || ' seq=' || seq, '') AS tail FROM (SELECT *, ' log:' || name || ' ' || subject AS log_subject FROM f1)),
+    c AS (SELECT user_id, instance, count(*) AS total, min(time) AS t0, max(time) AS t1 FROM f1 GROUP BY ALL),
+    g0 AS (SELECT *, unnest(range(0, total // {MAX_ENTRIES - 1} + 1)) AS n FROM c),
+    b AS (SELECT user_id, n, list({{'s': log_subject, 't': tail, 'time': time}} ORDER BY seq) AS rows FROM e GROUP BY user_id, n),
+    g AS (SELECT g0.*, coalesce(p.time, t0) AS started, z.time AS ended, coalesce(b.rows, []) AS rows FROM g0 LEFT JOIN e p ON p.user_id = g0.user_id AND p.seq = g0.n * {MAX_ENTRIES - 1}
+        LEFT JOIN e z ON z.user_id = g0.user_id AND z.seq = (g0.n + 1) * {MAX_ENTRIES - 1} LEFT JOIN b ON b.user_id = g0.user_id AND b.n = g0.n),
+    k0 AS (SELECT *, 'urn:log:u' || user_id || ':' || replace(started[1:19], ':', '-') || 'Z' AS segment FROM g),
+    k AS (SELECT *, lead(segment) OVER (PARTITION BY user_id ORDER BY n) AS next, list_concat([started || ' log:ProcessStart ' || instance || ' seq=1'], list_transform(rows, lambda r, i: r.time || r.s || ' seq=' || (i + 1) || r.t)) AS body FROM k0),
+    m AS (SELECT user_id, n, segment, instance, next, started, list_append(body, CASE WHEN next IS NULL THEN t1 || ' log:ProcessStop ' || instance || ' seq=' || (len(body) + 1) ELSE ended || ' log:Rotation ' || segment || ' seq=' || (len(body) + 1) || ' next=' || next END) AS lines FROM k),
     r AS (SELECT user_id, n, segment, instance, next, lines, 'genesis' AS prev, {FOLD.format(list="lines", init="'sha256:' || sha256(" + "{h}" + ")")} AS head FROM m WHERE n = 0
         UNION ALL SELECT m.user_id, m.n, m.segment, m.instance, m.next, m.lines, r.head AS prev, {FOLD.format(list="m.lines", init="'sha256:' || sha256(" + "{i}" + ")")} AS head FROM r JOIN m ON m.user_id = r.user_id AND m.n = r.n + 1) """
 

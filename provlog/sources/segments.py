@@ -7,9 +7,11 @@ Files are those of a folder that end in ``.log``, and the part files that
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from provlog.functions import text as X
+from provlog.sources.tables import written as cut
 from provlog.vocabulary import MAGIC
 
 #: Characters of a file that listing a folder reads; a header that doesn't end within them is read from the whole text.
@@ -169,14 +171,19 @@ def of_lines(written: DataFrame) -> tuple[DataFrame, DataFrame]:
     headers: segment, instance, level, started, prev, prefixes, error, h0, head_lines.  lines: segment, line_no, raw, kind, prefixes.
     A header ends at the segment's first blank line, wherever that is.
     """
-    blank = written.where(F.col("line").rlike(rf"^[{X.WS}]*\z")).groupBy("segment").agg(F.min("line_no").alias("blank"))
-    placed = written.join(blank, "segment", "left")
-    top = placed.where("blank is null or line_no < blank").groupBy("segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("text"))
-    h = top.select(F.col("segment").alias("of"), parse_header(F.col("text")).alias("h"))
+    order = W.partitionBy("segment").orderBy("line_no")
+    blank = F.col("line").rlike(rf"^[{X.WS}]*\z")
+    past = F.coalesce(F.sum(blank.cast("long")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    p = written.withColumns({"past": past, "nth": F.row_number().over(order)})
+    top = F.collect_list(F.when((F.col("past") == 0) & ~blank, F.col("line"))).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    p = p.withColumn("h", F.when(F.col("nth") == 1, parse_header(F.array_join(top, "\n"))))
+    known = F.first(F.when(F.col("nth") == 1, F.struct("h.prefixes", "h.error", "h.lines"))).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    p = cut(p.select("segment", "line_no", "line", "past", "nth", "h", known.alias("k")), "of-lines")  # one pass gives both
+    h = p.where("nth = 1")
     good = F.col("h.error").isNull()
-    headers = h.select(F.col("of").alias("segment"), "h.instance", "h.level", "h.started", "h.prev", "h.prefixes", "h.error", F.when(good, canonical_hash(F.col("h"))).alias("h0"), F.col("h.lines").alias("head_lines"))
-    rows = placed.where("line_no > blank").join(headers.where("error is null").select("segment", "prefixes", "head_lines"), "segment")
-    return headers, body(rows.select("segment", "prefixes", F.col("head_lines").alias("head"), "line_no", F.col("line").alias("raw")))
+    headers = h.select("segment", "h.instance", "h.level", "h.started", "h.prev", "h.prefixes", "h.error", F.when(good, canonical_hash(F.col("h"))).alias("h0"), F.col("h.lines").alias("head_lines"))
+    rows = p.where("past > 0 and k.error is null")
+    return headers, body(rows.select("segment", F.col("k.prefixes").alias("prefixes"), F.col("k.lines").alias("head"), "line_no", F.col("line").alias("raw")))
 
 
 def exists(files: DataFrame, name: str) -> bool:

@@ -115,7 +115,7 @@ def test_a_restarted_writer_goes_on_from_the_chain(spark, tmp_path):
 def test_segments_of_one_second(spark):
     w = Segments("urn:inst:a", "trace", Cadence(None, None, 1, None))
     names = [s for i in range(5) for s, n, _ in w.add("2024-01-01T00:00:00.000Z", 0, "log:Message", "urn:x:y", "") if n == 1]
-    assert names == ["urn:log:a:2024-01-01T00-00-00Z", *[f"urn:log:a:2024-01-01T00-00-00Z-{i}" for i in range(1, 5)]]
+    assert names == ["urn:log:a:2024-01-01T00-00-00Z", *[f"urn:log:a:2024-01-01T00-00-00Z-{i}" for i in range(1, 6)]]
     with pytest.raises(ValueError, match="more than"):
         for _ in range(200):
             w.add("2024-01-01T00:00:00.000Z", 0, "log:Message", "urn:x:y", "")
@@ -231,3 +231,46 @@ def test_streams_keep_state_over_batches_within_a_bound(spark, tmp_path):
     spark.streams.removeListener(listener)
     with pytest.raises(Exception, match="over budget"):
         live.drained(live.followed(stream, v, budget=10), "small")
+
+
+def test_a_rotated_chain_written_out_by_hand():
+    import hashlib
+
+    sha = lambda t: "sha256:" + hashlib.sha256(t.encode()).hexdigest()
+    prov = "http://www.w3.org/ns/prov#"
+
+    def head(name: str, started: str, prev: str) -> list[str]:
+        return ["# provlog v1", f"@prefix log:  <{LOG}> .", f"@prefix prov: <{prov}> .", f"@name     {name}", "@instance urn:inst:a", "@level    log:trace", f"@started  {started}", f"@prev     {prev}", ""]
+
+    def fold(head: str, *lines: str) -> str:
+        for line in lines:
+            head = sha(head + "\n" + line)
+        return head
+
+    at = lambda i: f"2024-01-01T00:00:{i:02d}.000Z"
+    one, two, three = (f"urn:log:a:2024-01-01T00-00-0{i}Z" for i in (1, 2, 5))
+    # The third entry makes three with the process start; the rotation comes right after it, at its time, about the segment itself.
+    top = head(one, at(1), "genesis")
+    body = [f"{at(1)} log:ProcessStart urn:inst:a seq=1 pid=7", f"{at(1)} log:Message urn:x:y seq=2 msg=a"]
+    h0 = sha("\n".join(top) + "\n")
+    sealed = fold(h0, *body)
+    more = [f"{at(2)} log:Message urn:x:y seq=3 msg=b", f"{at(2)} log:Rotation {one} seq=4 next={two}"]
+    ended = fold(sealed, *more)
+    want = [*top, *body, f"#seal 1-2 {sealed}", *more, f"#seal 3-4 {ended}"]
+    # Each segment begins with a process start; an entry that the level leaves out can make a rotation due by its time.
+    top = head(two, at(2), ended)
+    start = f"{at(2)} log:ProcessStart urn:inst:a seq=1 pid=7"
+    rotation = f"{at(5)} log:Rotation {two} seq=2 next={three}"
+    again = fold(sha("\n".join(top) + "\n"), start, rotation)
+    want += [*top, start, rotation, f"#seal 1-2 {again}"]
+    # An entry that comes late is written under its own time; a close seals what is left.
+    top = head(three, at(5), again)
+    body = [f"{at(5)} log:ProcessStart urn:inst:a seq=1 pid=7", f"{at(3)} log:Message urn:x:y seq=2 msg=c"]
+    sealed = fold(sha("\n".join(top) + "\n"), *body)
+    stop = f"{at(6)} log:ProcessStop urn:inst:a seq=3"
+    want += [*top, *body, f"#seal 1-2 {sealed}", stop, f"#seal 3-3 {fold(sealed, stop)}"]
+    w = Segments("urn:inst:a", "trace", Cadence(2, None, 3, 3000), pid=7)
+    rows = w.add(at(1), 1000, "log:Message", "urn:x:y", " msg=a") + w.add(at(2), 2000, "log:Message", "urn:x:y", " msg=b") + w.add(at(5), 5000, None, None, None)
+    rows += w.add(at(3), 3000, "log:Message", "urn:x:y", " msg=c") + w.close(at(6), 6000)
+    assert [line for _, _, line in rows] == want
+    assert [n for s, n, _ in rows if s == two] == list(range(1, 13))

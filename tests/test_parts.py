@@ -17,7 +17,7 @@ from provlog.vocabulary import LOG, Vocabulary
 
 def write(folder, n=7, cadence=None, level="trace", cut=None):
     """Files of one instance's segments; returns their lines by segment."""
-    w = Segments("urn:inst:a", level, cadence or Cadence(2, None, 4, None))
+    w = Segments("urn:inst:a", level, cadence or Cadence(2, None, 5, None))
     rows = []
     for i in range(n):
         rows += w.add(f"2024-01-01T00:00:{i:02d}.000Z", 1000 * i, "log:Message", "urn:x:y", f" msg=m{i} k=1 principal=urn:agent:a")
