@@ -146,19 +146,22 @@ def delegation(entries: DataFrame) -> DataFrame:
     return exploded(node(entries), delegation_array()).unionByName(exploded(agents(entries), agent_array()))
 
 
+def seal_array(seal: Column) -> Column:
+    """What a seal (first, last, hash, signature, sig_alg, sig_value) of the column segment says."""
+    s = F.concat("segment", F.lit(":seal:"), seal["first"].cast("string"), F.lit("-"), seal["last"].cast("string"))
+    return array(
+        triple(s, TYPE, F.lit(LOG + "Seal")), triple(s, LOG + "segment", F.col("segment")),
+        triple(s, LOG + "first", seal["first"], "literal", XSD + "integer"), triple(s, LOG + "last", seal["last"], "literal", XSD + "integer"),
+        triple(s, SIG + "contentHash", seal["hash"], "literal", XSD + "string"),
+        F.when(seal["sig_alg"].isNotNull(), triple(s, SIG + "algorithm", seal["sig_alg"], "literal", XSD + "string")),
+        F.when(seal["signature"].isNotNull(), triple(s, SIG + "value", seal["sig_value"], "literal", XSD + "string")),
+    )
+
+
 def of_seals(seals: DataFrame) -> DataFrame:
     """seals: segment, first, last, hash, signature, sig_alg, sig_value."""
-    s = F.concat("segment", F.lit(":seal:"), F.col("first").cast("string"), F.lit("-"), F.col("last").cast("string"))
-    return exploded(
-        seals.withColumn("graph", F.col("segment")),
-        array(
-            triple(s, TYPE, F.lit(LOG + "Seal")), triple(s, LOG + "segment", F.col("segment")),
-            triple(s, LOG + "first", F.col("first"), "literal", XSD + "integer"), triple(s, LOG + "last", F.col("last"), "literal", XSD + "integer"),
-            triple(s, SIG + "contentHash", F.col("hash"), "literal", XSD + "string"),
-            F.when(F.col("sig_alg").isNotNull(), triple(s, SIG + "algorithm", F.col("sig_alg"), "literal", XSD + "string")),
-            F.when(F.col("signature").isNotNull(), triple(s, SIG + "value", F.col("sig_value"), "literal", XSD + "string")),
-        ),
-    )
+    whole = seals.withColumns({"graph": F.col("segment"), "seal": F.struct("first", "last", "hash", "signature", "sig_alg", "sig_value")})
+    return exploded(whole, seal_array(F.col("seal")))
 
 
 def runs(entries: DataFrame, starts: list[str] | None = None) -> DataFrame:

@@ -357,6 +357,27 @@ def stream_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("instance", "segment", "prev", "head", "entries", "successor")
 
 
+@register(ROTATED + "SELECT r.instance, r.segment, r.prev, CASE WHEN r.next IS NULL THEN 'sha256:' || sha256(" + _header_sql("m.", "r.prev") + ") ELSE r.head END AS head, CAST(len(r.lines) - CASE WHEN r.next IS NULL THEN 1 ELSE 0 END AS BIGINT) AS entries, r.next AS successor FROM r JOIN m ON m.user_id = r.user_id AND m.n = r.n")
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stream writes where entries come in six batches and late, but not later than the watermark: what the batch writer does."""
+    e = derived.entries(spark, sf_dir)
+    tail = X.render_fields(F.filter("fields", lambda f: f["key"] != "seq"))
+    e = e.select("instance", "time", "ms", "class", F.concat(F.lit("log:"), "name").alias("curie"), "subject", tail.alias("tail"), "event_id")
+    span = e.agg(F.min("ms").alias("low"), F.max("ms").alias("high"))
+    delay = 3_600_000
+    e = e.join(F.broadcast(span), F.lit(True))  # one row
+    late = F.pmod(F.xxhash64("event_id"), F.lit(delay))
+    batch = F.floor((F.col("ms") + late - F.col("low")) * 5 / (F.col("high") - F.col("low") + delay))
+    # The last batch has a single entry, of an instance of its own, that lets the watermark pass all others.
+    last = span.select(F.lit("urn:inst:end").alias("instance"), X.time_string(F.col("high") + 2 * delay).alias("time"), (F.col("high") + 2 * delay).alias("ms"), F.lit(LOG + "Message").alias("class"), F.lit("log:Message").alias("curie"), F.lit("urn:x:end").alias("subject"), F.lit("").alias("tail"), F.lit(-1).cast("long").alias("event_id"), F.lit(5).cast("long").alias("_n"))
+    rows = e.withColumn("_n", batch.cast("long")).drop("low", "high").unionByName(last)
+    stream = live.fed(rows, "late", F.col("_n"), 6).drop("_n")
+    written_ = live.drained(live.write_stream(stream, Cadence(None, None, MAX_ENTRIES, None), ["ms", "event_id"], "trace", Vocabulary.built_in(), f"{delay} milliseconds"), "late")
+    headers, lines = segments.of_lines(written_.where("instance <> 'urn:inst:end'"))
+    r = verify.reports(verify.scanned(lines), headers, Vocabulary.built_in())
+    return r.select("instance", "segment", "prev", "head", "entries", "successor")
+
+
 STOPPED = F1 + """, n AS (SELECT segment, max(seq) AS n FROM f1 GROUP BY segment), p AS (SELECT f1.*, CASE WHEN seq // 2 >= 1 THEN seq // 2 END AS parent FROM f1) """
 
 
@@ -373,7 +394,10 @@ def stream_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     seal = last.select("segment", "instance", (F.col("n") + 2).alias("line_no"), F.concat(F.lit("#seal 1-"), (F.col("n") + 1).cast("string"), F.lit(" sha256:0")).alias("raw"))
     rows = p.select("segment", "instance", F.col("seq").alias("line_no"), F.col("line").alias("raw")).unionByName(stop).unionByName(seal)
     rows = rows.select("segment", "instance", "line_no", "raw", X.line_kind(F.col("raw")).alias("kind"), derived.prefixes().alias("prefixes"))
-    t = live.stream_triples(live.fed(rows, "lines"), Vocabulary.built_in(), "triples")
+    # In five batches, a tenth of the lines ahead of their turn.
+    n = F.floor((F.col("line_no") - 1) * 5 / (F.max("line_no").over(W.partitionBy("segment")) + 1))
+    batch = F.when(F.pmod(F.xxhash64("segment", "line_no"), F.lit(10)) == 0, F.greatest(n - 1, F.lit(0))).otherwise(n)
+    t = live.drained(live.triples_stream(live.fed(rows, "lines", batch, 5), Vocabulary.built_in()), "triples")
     agent = (F.col("p") == RDF + "type") & F.col("o").isin(PROV + "Agent") | (F.col("p") == RDF + "type") & F.col("o").startswith(LOG) & (F.col("o") != LOG + "Seal")
     return t.where(agent | F.col("p").isin(LOG + "invoked", LOG + "capability", LOG + "undeclaredKey", SIG + "contentHash")).select("graph", "s", "p", "o")
 

@@ -1,36 +1,36 @@
 """Streams: transreption of segments line by line, and the writer as a stateful operator.
 
 Parsing is stateless and stays in the JVM.  State is kept for each segment (ordinals, process runs, spans,
-agents) or instance (the writer's chain), and never grows beyond a bound: a segment that needs more
-fails the query, so that no answer is partial.
+agents) or instance (the writer's chain, entries that wait for their turn), as typed values, maps and lists of the state
+store, and never grows beyond a bound: a segment that needs more fails the query, so that no answer is partial.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from provlog.functions import text as X
 from provlog.operators import triples
 from provlog.operators.writer import OUT, Cadence, Segments
 from provlog.sources import segments
-from provlog.sources.tables import shared_dir
+from provlog.sources.tables import shared_dir, written
 from provlog.vocabulary import LOG, Vocabulary
 
 STATE = "seq long, head string, sealed long, since long"
 SEALS = "segment string, first long, last long, hash string"
-#: Characters of a segment's state at most.
+#: Bytes of a segment's state at most.
 BUDGET = 64 << 20
-FIELDS = "array<struct<key: string, value: string>>"
-SEAL = "struct<first: bigint, last: bigint, hash: string, signature: string, sig_alg: string, sig_value: string>"
 
 
 def finished_files(spark: SparkSession, directory: str) -> DataFrame:
@@ -46,71 +46,135 @@ def triples_of(files: DataFrame, v: Vocabulary) -> DataFrame:
     return triples.declared(e, v)
 
 
-def followed(lines: DataFrame, v: Vocabulary, budget: int = BUDGET) -> DataFrame:
-    """Lines of a stream (segment, instance, line_no, raw, kind, prefixes) with what only state tells.
+class Follower(StatefulProcessor):
+    """The lines of a segment in their order, whatever order they come in, with what only state tells.
 
-    what: entry, with ordinal; seal; and, when a segment has ended, edge (a: parent's, b: child's IRI) and agent (a: principal), in order.
-    Lines of a segment must come in order, as they do where its file is only appended to.  A segment that never ends keeps
-    its edges and agents in the state.
+    place: ordinal, run and so on after the last line that was taken.  early: lines that came before their turn, by place.
+    spans, children, agents: what waits for the segment's end; within a batch it is held in memory and never stored.
     """
-    starts, ends = set(v.below(LOG + "ProcessStart")), set(v.below(LOG + "ProcessStop") + v.below(LOG + "Rotation"))
-    names = ["what", "segment", "instance", "line_no", "ordinal", "a", "b"]
-    fresh = {"ordinal": 0, "run": 0, "started": False, "spans": {}, "children": [], "agents": {}}
 
-    def run(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = json.loads(state.get[0]) if state.exists else json.loads(json.dumps(fresh))
-        rows = pd.concat(list(frames)).sort_values("line_no", kind="stable")
-        out, ended = [], False
-        for instance, line_no, class_, seq, span, parent, agents in zip(*(rows[c] for c in ("instance", "line_no", "class", "seq", "span", "parent", "agents"))):
-            s["ordinal"] += 1
-            if class_ in starts:
-                s["run"] += s["started"]
-                s["started"] = True
-            iri = f"{key[0]}:{seq if seq is not None else s['ordinal']}"
-            if span is not None:
-                s["spans"][f"{s['run']} {span}"] = iri
-            if parent is not None:
-                s["children"].append([f"{s['run']} {parent}", iri])
-            s["agents"] |= dict.fromkeys(agents if agents is not None else [])
-            out.append(("entry", key[0], instance, int(line_no), s["ordinal"], None, None))
-            ended = class_ in ends
+    def __init__(self, starts: set[str], ends: set[str], budget: int):
+        self.starts, self.ends, self.budget = starts, ends, budget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.place = handle.getValueState("place", "next long, ordinal long, run long, started boolean, held long, waiting long")
+        self.early = handle.getMapState("early", "at long", EARLY)
+        self.spans = handle.getMapState("spans", "run long, span string", "iri string")
+        self.children = handle.getListState("children", "run long, parent string, iri string")
+        self.agents = handle.getMapState("agents", "agent string", "instance string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
+        segment = key[0]
+        following, ordinal, run, started, held, waiting = self.place.get() if self.place.exists() else (None, 0, 0, False, 0, 0)
+        spans, children, agents, ended, instance = {}, [], {}, False, None
+        for frame in rows:
+            out = []
+            frame = frame.sort_values("at", kind="stable")
+            for row in zip(*(frame[c].tolist() for c in ROW)):
+                following = row[2] if following is None else following
+                if row[0] < following:
+                    continue  # a line that came again
+                if row[0] > following:
+                    self.early.updateValue((row[0],), tuple(list(x) if isinstance(x, np.ndarray) else x for x in row))
+                    held, waiting = held + sum(len(str(x)) for x in row), waiting + 1
+                    continue
+                while row is not None:
+                    at, following, _, kind, instance, class_, seq, span, parent, named = row[:10]
+                    if kind == "entry":
+                        ordinal += 1
+                        if class_ in self.starts:
+                            run, started = run + started, True
+                        iri = f"{segment}:{seq if seq is not None else ordinal}"
+                        if span is not None:
+                            spans[run, span] = iri
+                        if parent is not None:
+                            children.append((run, parent, iri))
+                        agents |= dict.fromkeys(named if named is not None else [], instance)
+                        ended = class_ in self.ends
+                    if kind in ("entry", "seal"):
+                        out.append((kind, segment, instance, at, ordinal if kind == "entry" else None, *row[10:], None))
+                    row = None
+                    if waiting and self.early.containsKey((following,)):
+                        row = self.early.getValue((following,))
+                        self.early.removeKey((following,))
+                        held, waiting = held - sum(len(str(x)) for x in row), waiting - 1
+            yield pd.DataFrame(out, columns=TOLD)
         if ended:
-            edges = [(s["spans"].get(p), child) for p, child in s["children"]]
-            out += [("edge", key[0], instance, None, None, p, child) for p, child in edges if p is not None and p != child]
-            out += [("agent", key[0], instance, None, None, a, None) for a in sorted(s["agents"])]
-            s |= {"spans": {}, "children": [], "agents": {}}
-        text = json.dumps(s)
-        if len(text) > budget:
-            raise ValueError(f"over budget: the state of {key[0]} needs more than {budget} characters")
-        state.update((text,))
-        yield pd.DataFrame(out, columns=names)
-
-    kinds = "what string, segment string, instance string, line_no long, ordinal long, a string, b string"
-    f = F.col("e.fields")
-    slim = lines.where("kind = 'entry'").withColumn("e", X.parse_entry(F.col("raw"), F.col("prefixes")))
-    seq = X.stated_sequence(f).cast("string")
-    slim = slim.select("segment", "instance", "line_no", "e.class", seq.alias("seq"), X.first_value(f, "span").alias("span"), X.first_value(f, "parent").alias("parent"), F.filter(X.all_values(f, "principal"), X.is_rdf_iri).alias("agents"))
-    return slim.groupBy("segment").applyInPandasWithState(run, kinds, "text string", "append", GroupStateTimeout.NoTimeout)
+            known = {k: v[0] for k, v in self.spans.iterator()} if self.spans.exists() else {}
+            known |= spans
+            both = [*(self.children.get() if self.children.exists() else []), *children]
+            edges = [(known.get((run, parent)), child) for run, parent, child in both]
+            named = {a[0]: i[0] for a, i in self.agents.iterator()} if self.agents.exists() else {}
+            out = [("edge", segment, instance, *[None] * 7, p, c) for p, c in edges if p is not None and p != c]
+            out += [("agent", segment, i, *[None] * 7, a, None) for a, i in sorted((named | agents).items())]
+            yield pd.DataFrame(out, columns=TOLD)
+            for state in (self.spans, self.children, self.agents):
+                state.clear()
+            held = 0 if not waiting else held
+        else:
+            for (run_, span), iri in spans.items():
+                self.spans.updateValue((run_, span), (iri,))
+            if children:
+                self.children.appendList(children)
+            for agent, of in agents.items():
+                if not self.agents.containsKey((agent,)):
+                    self.agents.updateValue((agent,), (of,))
+                    held += len(agent)
+            held += sum(len(s) + len(i) + 8 for (_, s), i in spans.items()) + sum(len(p) + len(i) + 8 for _, p, i in children)
+        if held > self.budget:
+            raise ValueError(f"over budget: the state of {segment} needs more than {self.budget} bytes")
+        if following is not None:
+            self.place.update((following, ordinal, run, bool(started), held, waiting))
+
+    def close(self) -> None:
+        pass
+
 
+#: Columns that the follower reads of a line, and that it tells of it.
+PASSED = ["time", "subject", "keys", "values", "raw"]
+ROW = ["at", "following", "first", "kind", "instance", "iri", "seq", "span", "parent", "agents", "iri", *PASSED]
+EARLY = "at long, following long, first long, kind string, instance string, iri string, seq string, span string, parent string, agents array<string>, iri_again string, time string, subject string, keys array<string>, values array<string>, raw string"
+TOLD = ["what", "segment", "instance", "line_no", "ordinal", "class", "time", "subject", "keys", "values", "a", "b"]
+TOLD_KIND = "what string, segment string, instance string, line_no long, ordinal long, class string, time string, subject string, keys array<string>, values array<string>, a string, b string"
 
-def stream_triples(lines: DataFrame, v: Vocabulary, name: str, budget: int = BUDGET) -> DataFrame:
-    """All that a stream of lines says, as the batch operator tells it.  Runs what is there and returns the table.
 
-    What needs no state (an entry that states its sequence, seals) is a stream of its own; ordinals of the
-    others, edges and agents come from the stateful one.
+def followed(lines: DataFrame, v: Vocabulary, budget: int = BUDGET) -> DataFrame:
+    """Lines of a stream (segment, instance, line_no, raw, kind, prefixes) with what only state tells.
+
+    what: entry, with ordinal and its columns (keys and values of its fields); seal, with its line in a; and, when a segment has
+    ended, edge (a: parent's, b: child's IRI) and agent (a: principal).  Lines may come in any order, within a batch and across: each waits
+    until the one before it has come, so all lines of a segment must be there, blank ones and comments too, numbered
+    one by one from first (1 where there is no such column).  Lines with bytes for places state where the next begins (following).
+    A segment that never ends keeps its edges and agents in the state; budget: bytes that a segment may keep.
     """
-    e = lines.where("kind = 'entry'").withColumn("e", X.parse_entry(F.col("raw"), F.col("prefixes"))).select("segment", "instance", "line_no", "e.*")
-    seals = lines.where("kind = 'seal'").select("segment", X.parse_seal(F.col("raw")).alias("s")).select("segment", "s.*")
-    told = drained(followed(lines, v, budget), name + "-state")
-    ordinal = told.where("what = 'entry'").select("segment", "line_no", "ordinal")
-    read = drained(e, name + "-entries").join(ordinal, ["segment", "line_no"])
-    predicate = F.broadcast(v.class_table(lines.sparkSession).select("class", "predicate"))
-    fields = F.flatten(F.transform("fields", lambda f: F.concat(F.array(triples.declared_triple(v, f)), triples.undeclared_triples(v, f))))
-    said = F.concat(triples.core_array(F.col("predicate")), F.filter(F.array_distinct(fields), lambda t: t.isNotNull()), triples.delegation_array())
-    own = triples.exploded(triples.node(read).join(predicate, "class", "left"), said)
-    edges = triples.exploded(told.where("what = 'edge'").withColumn("graph", F.col("segment")), F.array(triples.triple(F.col("a"), LOG + "invoked", F.col("b"))))
-    agents = triples.exploded(told.where("what = 'agent'").select(F.col("segment").alias("graph"), "instance", F.col("a").alias("value")), triples.agent_array())
-    return own.unionByName(agents).unionByName(edges).unionByName(triples.of_seals(drained(seals, name + "-seals")))
+    starts, ends = set(v.below(LOG + "ProcessStart")), set(v.below(LOG + "ProcessStop") + v.below(LOG + "Rotation"))
+    e = F.when(F.col("kind") == "entry", X.parse_entry(F.col("raw"), F.col("prefixes")))
+    f = F.col("e.fields")
+    following = F.col("following") if "following" in lines.columns else F.col("line_no") + 1
+    first = F.col("first") if "first" in lines.columns else F.lit(1)
+    slim = lines.withColumn("e", e).select(
+        "segment", F.col("line_no").cast("long").alias("at"), following.cast("long").alias("following"), first.cast("long").alias("first"), "kind", "instance", F.col("e.class").alias("iri"), X.stated_sequence(f).cast("string").alias("seq"),
+        X.first_value(f, "span").alias("span"), X.first_value(f, "parent").alias("parent"), F.filter(X.all_values(f, "principal"), X.is_rdf_iri).alias("agents"),
+        "e.time", "e.subject", F.transform(f, lambda x: x["key"]).alias("keys"), F.transform(f, lambda x: x["value"]).alias("values"), F.when(F.col("kind") == "seal", F.col("raw")).alias("raw"),
+    )
+    return slim.groupBy("segment").transformWithStateInPandas(Follower(starts, ends, budget), TOLD_KIND, "Append", "None")
+
+
+def triples_stream(lines: DataFrame, v: Vocabulary, budget: int = BUDGET) -> DataFrame:
+    """All that a stream of lines says, as the batch operator tells it: one query, which runs as long as lines come."""
+    told = followed(lines, v, budget)
+    fields = F.transform(F.arrays_zip("keys", "values"), lambda x: F.struct(x["keys"].alias("key"), x["values"].alias("value")))
+    predicate = v.predicate_map()
+    e = triples.node(told.withColumn("fields", F.when(F.col("what") == "entry", fields)))
+    of_fields = F.flatten(F.transform("fields", lambda f: F.concat(F.array(triples.declared_triple(v, f)), triples.undeclared_triples(v, f))))
+    said = F.concat(triples.core_array(F.try_element_at(predicate, F.col("class"))), F.filter(F.array_distinct(of_fields), lambda t: t.isNotNull()), triples.delegation_array())
+    seal = X.parse_seal(F.col("a"))
+    e = e.withColumns({"value": F.col("a"), "s": F.when(F.col("what") == "seal", seal)})
+    of = (
+        F.when(F.col("what") == "entry", said).when(F.col("what") == "seal", triples.seal_array(F.col("s"))).when(F.col("what") == "agent", triples.agent_array())
+        .otherwise(F.array(triples.triple(F.col("a"), LOG + "invoked", F.col("b"))))
+    )
+    return triples.exploded(e.select("graph", of.alias("t")), F.col("t"))
 
 
 def seal_stream(entries: DataFrame, every: int, millis: int) -> DataFrame:
@@ -132,29 +196,80 @@ def seal_stream(entries: DataFrame, every: int, millis: int) -> DataFrame:
     return entries.groupBy("segment").applyInPandasWithState(run, SEALS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def write_stream(entries: DataFrame, cadence: Cadence, order: list[str], level: str, v: Vocabulary) -> DataFrame:
+class StreamWriter(StatefulProcessor):
+    """The writer of an instance.  writer: its state; waiting: entries that the watermark hasn't passed."""
+
+    def __init__(self, level: str, cadence: Cadence, order: list[str], late: bool):
+        self.level, self.cadence, self.order, self.late = level, cadence, order, late
+        self.columns = [*WRITTEN, *[c for c in order if c not in WRITTEN]]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.writer = handle.getValueState("writer", "name string, head string, started string, stem string, taken int, line_no long, seq long, sealed long, opened long, since long")
+        self.waiting = handle.getListState("waiting", ", ".join(f"{c} {'string' if c in TEXTS else 'long'}" for c in self.columns))
+
+    def write(self, instance: str, rows: pd.DataFrame) -> pd.DataFrame:
+        w = Segments(instance, self.level, self.cadence)
+        if self.writer.exists():
+            name, head, started, stem, taken, *numbers = self.writer.get()
+            w.restore({"name": name, "head": head, "started": started, "names": {stem: taken}} | dict(zip(("line_no", "seq", "sealed", "opened", "since"), numbers)))
+        out, rows = [], rows.sort_values(self.order, kind="stable")
+        for time, ms, curie, subject, tail in zip(*(rows[c].tolist() for c in WRITTEN)):
+            out += w.add(time, int(ms), curie, subject, tail)
+        if w.name:
+            (stem, taken), = w.names.items()
+            self.writer.update((w.name, w.head, w.started, stem, taken, w.line_no, w.seq, w.sealed, w.opened, w.since))
+        return pd.DataFrame([(instance, *line) for line in out], columns=["instance", "segment", "line_no", "line"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
+        if not self.late:
+            yield self.write(key[0], pd.concat(list(rows)))
+            return
+        first = None
+        for frame in rows:
+            self.waiting.appendList(list(zip(*([None if pd.isna(x) else x for x in frame[c].tolist()] for c in self.columns))))
+            least = int(frame["ms"].min())
+            first = least if first is None else min(first, least)
+        if first is not None:
+            self.handle.registerTimer(max(first, timers.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        due, later = [r for r in rows if r[1] <= now], [r for r in rows if r[1] > now]
+        self.waiting.clear()
+        if later:
+            self.waiting.appendList(later)
+            self.handle.registerTimer(min(r[1] for r in later))
+        if due:
+            yield self.write(key[0], pd.DataFrame(due, columns=self.columns))
+
+    def close(self) -> None:
+        pass
+
+
+WRITTEN, TEXTS = ["time", "ms", "curie", "subject", "tail"], {"time", "curie", "subject", "tail"}
+
+
+def write_stream(entries: DataFrame, cadence: Cadence, order: list[str], level: str, v: Vocabulary, delay: str | None = None) -> DataFrame:
     """instance, segment, line_no, line of the segments that a stream of entries becomes.
 
-    entries: instance, time, ms, class, curie, subject, tail, and the columns of order.  The level lets entries through
+    entries: instance, time, ms, class, curie, subject, tail, and the columns of order, which are whole numbers.  The level lets entries through
     before they get a sequence number; the state of an instance is its writer's: name, head, sequence, seals, times.
     Segments rotate; the last one stays open, as long as the stream does.
+
+    delay: how late an entry may come ('10 minutes').  Entries then wait until the watermark has passed them and are written in
+    order, by what batches they came in aside; those that come later still are dropped, and counted by the query's metrics.
+    Without a delay entries are in order within a batch only.
     """
     rank = v.ranks[LOG + level]
     classes = F.broadcast(v.class_table(entries.sparkSession).select("class", "least_rank"))
     slim = entries.join(classes, "class", "left").where(F.coalesce(F.col("least_rank") <= rank, F.lit(True)))
-
-    def run(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        writer = Segments(key[0], level, cadence)
-        if state.exists:
-            writer.restore(json.loads(state.get[0]))
-        rows, out = pd.concat(list(frames)).sort_values(order, kind="stable"), []
-        for time, ms, curie, subject, tail in zip(*(rows[c] for c in ("time", "ms", "curie", "subject", "tail"))):
-            out += writer.add(time, int(ms), curie, subject, tail)
-        state.update((json.dumps(writer.state()),))
-        yield pd.DataFrame([(key[0], *line) for line in out], columns=["instance", "segment", "line_no", "line"])
-
-    columns = ["instance", "time", "ms", "curie", "subject", "tail", *[c for c in order if c not in ("instance", "time", "ms")]]
-    return slim.select(*columns).groupBy("instance").applyInPandasWithState(run, OUT, "text string", "append", GroupStateTimeout.NoTimeout)
+    columns = ["instance", *WRITTEN, *[c for c in order if c not in ("instance", *WRITTEN)]]
+    slim = slim.select(*columns, F.timestamp_millis("ms").alias("came"))
+    if delay is not None:
+        slim = slim.withWatermark("came", delay)
+    return slim.groupBy("instance").transformWithStateInPandas(StreamWriter(level, cadence, order, delay is not None), OUT, "Append", "None" if delay is None else "EventTime")
 
 
 class Appended(StreamingQueryListener):
@@ -178,18 +293,64 @@ class Appended(StreamingQueryListener):
         pass
 
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over what is there, into a table in the shared folder, and read it."""
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def started(stream: DataFrame, path: str, state: str | None = None) -> StreamingQuery:
+    """Run a stream over what is there, one batch for each trigger's share, into Parquet files below path; typed state needs this store."""
+    spark = stream.sparkSession
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        return stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", state or f"{path}/state").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
+
+
+def drained(stream: DataFrame, name: str, budget: int | None = None) -> DataFrame:
+    """Run a stream over what is there, into a table in the shared folder, and read it.
+
+    budget: bytes that its state may have in all; a batch that leaves more fails the query.
+    """
     spark = stream.sparkSession
     path = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
-    query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    query = started(stream, path)
+    while not query.awaitTermination(1):
+        over(query, budget)
+    over(query, budget)
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def fed(rows: DataFrame, name: str) -> DataFrame:
-    """A stream over a table, which is written to the shared folder first."""
+def over(query: StreamingQuery, budget: int | None) -> None:
+    """Stop a query whose state has outgrown its budget, as an error."""
+    most = max((r[4] for r in accounts(query)), default=0)
+    if budget is not None and most > budget:
+        query.stop()
+        raise ValueError(f"over budget: the state has {most} bytes, more than {budget}")
+
+
+def accounts(query: StreamingQuery) -> list[tuple[int, int, str, int, int, int]]:
+    """(batch, number of the operator, operator, rows of state, bytes of state, rows that came too late) of the batches that a query still tells of."""
+    return [(p["batchId"], i, o["operatorName"], o["numRowsTotal"], o["memoryUsedBytes"], o["numRowsDroppedByWatermark"]) for p in query.recentProgress for i, o in enumerate(p["stateOperators"])]
+
+
+def account(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+    """What :func:`accounts` tells, as a table."""
+    return spark.createDataFrame(accounts(query), "batch long, nth int, operator string, rows long, bytes long, late long")
+
+
+def fed(rows: DataFrame, name: str, batch: Column | None = None, batches: int = 1) -> DataFrame:
+    """A stream over a table, which is written to the shared folder first.
+
+    batch: a number from 0 for each row; rows come in as many batches, in that order.
+    """
     spark = rows.sparkSession
     path = f"{shared_dir(spark)}/source-{name}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return spark.readStream.schema(rows.schema).parquet(path)
+    if batch is None:
+        rows.write.parquet(path)
+        return spark.readStream.schema(rows.schema).parquet(path)
+    rows = written(rows.withColumn("_batch", batch), name)
+    for i in range(batches):  # a file's time tells its turn
+        rows.where(F.col("_batch") == i).drop("_batch").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.drop("_batch").schema).option("maxFilesPerTrigger", 1).parquet(path)

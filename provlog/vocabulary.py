@@ -188,6 +188,11 @@ class Vocabulary:
         each = [(F.lit(k), F.struct(F.lit(p).alias("property"), F.lit(r).alias("range"))) for k, (p, r) in self.keys.items()]
         return F.create_map(*[x for pair in each for x in pair])
 
+    def predicate_map(self) -> Column:
+        """A literal map from each class that has one to the predicate of its subject."""
+        found = [(c, self.nearest(c, self.predicate)) for c in self.parents]
+        return F.create_map(*[F.lit(x) for pair in found if pair[1] is not None for x in pair])
+
     def key_table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(k, p, r) for k, (p, r) in self.keys.items()], "key string, property string, range string")
 
