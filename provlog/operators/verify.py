@@ -59,7 +59,7 @@ def scanned(lines: DataFrame) -> DataFrame:
     e = X.parse_entry(F.col("raw"), F.col("prefixes"))
     p = lines.withColumns({"e": F.when(F.col("kind") == "entry", e), "seal": F.when((F.col("kind") == "seal"), X.parse_seal(F.col("raw")))})
     p = p.withColumns({"is_entry": (F.col("kind") == "entry") & X.is_entry(F.col("raw"), F.col("e")), "is_seal": (F.col("kind") == "seal") & X.is_seal(F.col("raw"), F.col("seal"))})
-    stated = F.when(F.col("is_entry"), X.stated_sequence(F.col("e.fields")).try_cast("bigint"))
+    stated = F.when(F.col("is_entry"), X.stated_sequence(F.col("e.fields")))
     p = p.withColumns({"bad": F.col("kind").isin("entry", "seal", "directive") & ~F.col("is_entry") & ~F.col("is_seal"), "stated": stated})
     order = W.partitionBy("segment").orderBy("line_no")
     here, before = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(W.unboundedPreceding, -1)
@@ -108,6 +108,55 @@ def seal_mismatches(rows: DataFrame, headers: DataFrame) -> DataFrame:
     return exploded(found, finding("SealMismatch", F.col("first"), F.col("last"), None, F.col("x"), F.col("y")))
 
 
+#: Lines of a bucket, by which lines and intervals between seals meet.
+BUCKET = 4096
+
+
+def interval_mismatches(lines: DataFrame, headers: DataFrame) -> DataFrame:
+    """The findings of :func:`seal_mismatches`, from lines (segment, line_no, raw, kind, prefixes) and headers.
+
+    A seal states the chain's head, so what stands between two seals can be folded from the first one's hash: intervals are dealt to
+    tasks, whatever segment they are of.  Where all of a segment's intervals come out, so does the segment.  Only the others are
+    folded from their beginning, because there the chain goes on from its own head.
+    """
+    e = X.parse_entry(F.col("raw"), F.col("prefixes"))
+    entries = lines.where("kind = 'entry'").withColumn("e", e).where(X.is_entry(F.col("raw"), F.col("e"))).select("segment", "line_no", "raw")
+    seals = lines.where("kind = 'seal'").withColumn("s", X.parse_seal(F.col("raw"))).where(X.is_seal(F.col("raw"), F.col("s"))).select("segment", "line_no", "s.first", "s.last", "s.hash")
+    order = W.partitionBy("segment").orderBy("line_no")
+    h0 = headers.where("h0 is not null").select("segment", "h0")
+    each = seals.join(h0, "segment").select(
+        "segment", "line_no", "first", "last", "hash", F.coalesce(F.lag("hash").over(order), F.col("h0")).alias("start"), F.coalesce(F.lag("line_no").over(order), F.lit(0).cast("long")).alias("low"),
+    )
+    each = written(each, "intervals")
+    buckets = F.sequence(F.floor((F.col("low") + 1) / BUCKET), F.floor(F.col("line_no") / BUCKET))
+    spread = each.select("segment", F.col("line_no").alias("to"), "low", F.explode(buckets).alias("bucket"))
+    met = entries.withColumn("bucket", F.floor(F.col("line_no") / BUCKET)).join(spread, ["segment", "bucket"]).where("line_no > low and line_no < to")
+    none = F.lit(None).cast("string")
+    ends = each.select("segment", F.col("line_no").alias("to"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("line_no"), F.col("start").alias("text"), "hash")
+    rows = ends.unionByName(met.select("segment", "to", F.lit(1).alias("kind"), "line_no", F.col("raw").alias("text"), none.alias("hash")))
+
+    def folded(rows: Iterator[tuple]) -> Iterator[tuple]:
+        segment = head = stated = None
+        for now, kind, text, hash_ in rows:
+            if kind == 0:
+                if stated is not None and head != stated:
+                    yield (segment,)
+                segment, head, stated = now, text, hash_
+            elif head is not None:
+                head = tagged(head + "\n" + text)
+        if stated is not None and head != stated:
+            yield (segment,)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched(folded(rows_of(batches)), pa.schema([("segment", pa.string())]))
+
+    dealt = rows.repartition("segment", "to").sortWithinPartitions("segment", "to", "kind", "line_no")
+    doubtful = written(dealt.select("segment", "kind", "text", "hash").mapInArrow(run, "segment string").distinct(), "doubtful")
+    again = entries.select("segment", "line_no", "raw", F.lit(True).alias("is_entry"), F.lit(False).alias("is_seal"), F.lit(None).cast("struct<first: bigint, last: bigint, hash: string>").alias("seal"))
+    again = again.unionByName(seals.select("segment", "line_no", none.alias("raw"), F.lit(False).alias("is_entry"), F.lit(True).alias("is_seal"), F.struct("first", "last", "hash").alias("seal")))
+    return seal_mismatches(again.join(doubtful, "segment", "left_semi"), headers.join(doubtful, "segment", "left_semi"))
+
+
 def level_iri(name: Column) -> Column:
     """A level's name, CURIE or IRI as an IRI; null where it is none of them."""
     bare = name.isin("always", "error", "warn", "info", "debug", "trace")
@@ -130,16 +179,19 @@ def reports(rows: DataFrame, headers: DataFrame, v: Vocabulary) -> DataFrame:
         F.min_by("position", F.when(entry & F.col("class").isin(ends), F.col("line_no"))).alias("ended_at"),
         F.max_by("class", F.when(entry, F.col("line_no"))).alias("last_class"),
         F.max_by(F.when(F.col("class").isin(rotation), of("next")), F.when(entry, F.col("line_no"))).alias("successor"),
-        F.array_sort(F.collect_list(F.when(F.col("seal.sig_alg").isNotNull(), F.struct("line_no", "seal.sig_alg")))).alias("signs"),
         F.array_sort(F.collect_list(F.when(entry & records & change["from"].isNotNull() & change["to"].isNotNull(), change))).alias("changes"),
     )
+    first = rows.where("seal.sig_alg is not null").groupBy("segment", F.col("seal.sig_alg").alias("sig_alg")).agg(F.min("line_no").alias("line_no"))
+    signs = first.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("line_no", "sig_alg"))).alias("signs"))  # one for each algorithm
+    found = found.join(signs, "segment", "left")
     readable = headers.where("h0 is not null")
-    h = readable.select("segment", "instance", "level", "prev", "h0").join(found, "segment", "left")
+    name = [c for c in ("name",) if c in headers.columns]
+    h = readable.select("segment", *name, "instance", "level", "prev", "h0").join(found, "segment", "left")
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("entries", "seals", "position", "sealed_through")]
     sealed = F.filter("changes", lambda c: c["at"] <= F.col("sealed_through"))
     return h.select(
-        "segment", "instance", "level", "prev", F.coalesce("seal_hash", "h0").alias("head"), *zero, "ended_at", "last_class", "successor",
-        F.array_distinct(F.transform("signs", lambda s: s["sig_alg"])).alias("signed_with"), F.coalesce(sealed, F.array().cast(CHANGES)).alias("level_changes"),
+        "segment", *name, "instance", "level", "prev", F.coalesce("seal_hash", "h0").alias("head"), *zero, "ended_at", "last_class", "successor",
+        F.coalesce(F.transform("signs", lambda s: s["sig_alg"]), F.array().cast("array<string>")).alias("signed_with"), F.coalesce(sealed, F.array().cast(CHANGES)).alias("level_changes"),
         (F.coalesce(F.col("ended_at") == F.col("position"), F.lit(False)) & (F.coalesce(F.col("sealed_through") >= F.col("position"), F.lit(False)))).alias("finished"),
     )
 
@@ -160,34 +212,42 @@ def end_findings(report: DataFrame) -> DataFrame:
     )
 
 
-def walked(links: list[tuple[str, str, str]]) -> list[str] | None:
-    """Segments in the order of their links (segment, prev, head); None unless they form one chain of all."""
-    heads = {head for _, _, head in links}
-    following = {prev: (segment, head) for segment, prev, head in links if prev != "genesis"}
-    first = [(segment, head) for segment, prev, head in links if prev == "genesis" or prev not in heads]
-    if len(heads) != len(links) or len(following) + sum(prev == "genesis" for _, prev, _ in links) != len(links) or len(first) != 1:
-        return None
-    out, at = [], first[0]
-    while at is not None and len(out) <= len(links):
-        out.append(at[0])
-        at = following.get(at[1])
-    return out if len(out) == len(links) else None
+def ranked_places(report: DataFrame) -> DataFrame:
+    """segment, walked: places by their links of the segments of instances whose segments form one chain of all.
+
+    Links are followed by doubling: in each round a segment knows the one twice as far before it, so a chain of n takes log2(n)
+    rounds of one join each and no instance has to fit a task.  Forks and gaps show in the links' counts, cycles in segments that
+    no first one is before.
+    """
+    r = report.select("instance", "segment", "prev", "head")
+    heads = r.select("instance", F.col("head").alias("prev"), F.col("segment").alias("before"))
+    once = heads.groupBy("instance", "prev").agg(F.min("before").alias("before"))
+    linked = r.join(once, ["instance", "prev"], "left").withColumn("before", F.when(F.col("prev") != "genesis", F.col("before")))
+    # Distinct heads and links, and one beginning: sums over hashed groups, so that an instance is counted in parts.
+    salt = F.pmod(F.xxhash64("segment"), F.lit(64))
+    counted = linked.groupBy("instance", salt.alias("salt")).agg(F.count("*").alias("n"), F.count_if(F.col("before").isNull()).alias("firsts")).groupBy("instance").agg(F.sum("n").alias("n"), F.sum("firsts").alias("firsts"))
+    distinct = once.groupBy("instance").agg(F.count("*").alias("heads"))
+    prevs = r.where("prev <> 'genesis'").groupBy("instance", "prev").agg(F.count("*").alias("k")).groupBy("instance").agg(F.max("k").alias("followers"))
+    fine = counted.join(distinct, "instance").join(prevs, "instance", "left").where("heads = n and firsts = 1 and coalesce(followers, 1) = 1").select("instance", "n")
+    at = written(linked.join(fine, "instance").select("instance", "segment", F.col("before").alias("to"), F.when(F.col("before").isNull(), 0).otherwise(1).cast("long").alias("steps"), "n"), "ranks")
+    most = at.agg(F.max("n")).first()[0] or 0
+    for _ in range(max(0, int(most - 1).bit_length())):
+        on = at.select("instance", F.col("segment").alias("to"), F.col("to").alias("further"), F.col("steps").alias("more"))
+        at = written(at.join(on, ["instance", "to"], "left").select("instance", "segment", F.col("further").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), "n"), "ranks")
+    lost = at.where("to is not null").select("instance").distinct()  # in a cycle, or behind one
+    return at.join(lost, "instance", "left_anti").select("segment", (F.col("steps") + 1).alias("walked"))
 
 
 def chain_order(report: DataFrame) -> DataFrame:
     """report with place: by the links of each instance if they form one chain of all its segments, else by name.
 
-    Where names already follow the links no walk is needed; each other instance is walked once.
+    Where names already follow the links no link is followed.
     """
-    by_name = W.partitionBy("instance").orderBy("segment")
+    name = [c for c in ("name", "segment") if c in report.columns]
+    by_name = W.partitionBy("instance").orderBy(*name)
     named = report.withColumns({"place": F.row_number().over(by_name).cast("long"), "linked": F.col("prev").eqNullSafe(F.lag("head").over(by_name)) | (F.row_number().over(by_name) == 1)})
     doubtful = named.groupBy("instance").agg(F.bool_and("linked").alias("ok")).where("not ok").select("instance")
-
-    def walk(table: pa.Table) -> pa.Table:
-        order = walked(sorted(zip(*(table.column(c).to_pylist() for c in ("segment", "prev", "head"))))) or []
-        return pa.table({"segment": pa.array(order, pa.string()), "walked": pa.array(range(1, len(order) + 1), pa.int64())})
-
-    places = report.join(doubtful, "instance", "left_semi").select("instance", "segment", "prev", "head").groupBy("instance").applyInArrow(walk, "segment string, walked long")
+    places = ranked_places(report.join(doubtful, "instance", "left_semi"))
     return named.join(places, "segment", "left").withColumn("place", F.coalesce("walked", "place")).drop("walked", "linked")
 
 
@@ -203,7 +263,8 @@ def bracketed(before: Column, after: Column, changes: Column) -> Column:
 def link_findings(report: DataFrame, whole: bool = True) -> DataFrame:
     """What neighbours in a chain tell of each other; whole: the last segment of the walk must not name a successor."""
     order = W.partitionBy("instance").orderBy("place")
-    r = report.withColumns({"before": F.lag(F.struct("segment", "head", "level", "level_changes")).over(order), "after": F.lead("segment").over(order)})
+    name = F.col("name" if "name" in report.columns else "segment")
+    r = report.withColumns({"before": F.lag(F.struct(name.alias("segment"), "head", "level", "level_changes")).over(order), "after": F.lead(name).over(order)})
     b = F.col("before")
     missing = F.col("successor").isNotNull() & (F.col("successor") != F.col("after") if not whole else ~F.col("successor").eqNullSafe(F.col("after")))
     return exploded(
@@ -219,19 +280,23 @@ def chain_findings(report: DataFrame, whole: bool = True) -> DataFrame:
     return link_findings(chain_order(report), whole)
 
 
-def own_findings(rows: DataFrame, headers: DataFrame, report: DataFrame) -> DataFrame:
+def own_findings(rows: DataFrame, headers: DataFrame, report: DataFrame, mismatches: DataFrame | None = None) -> DataFrame:
     """What a segment tells by itself."""
-    return line_findings(rows).unionByName(seal_mismatches(rows, headers)).unionByName(end_findings(report))
+    broken = seal_mismatches(rows, headers) if mismatches is None else mismatches
+    return line_findings(rows).unionByName(broken).unionByName(end_findings(report))
 
 
-def verify(headers: DataFrame, lines: DataFrame, v: Vocabulary, whole: bool = True) -> tuple[DataFrame, DataFrame]:
+def verify(headers: DataFrame, lines: DataFrame, v: Vocabulary, whole: bool = True, intervals: bool = False) -> tuple[DataFrame, DataFrame]:
     """(reports, findings) of segments; unreadable ones have findings and no report.
 
-    headers: segment, instance, level, prev, h0 (null: unreadable), error.  lines: segment, line_no, raw, kind, prefixes.
+    headers: segment, instance, level, prev, h0 (null: unreadable), error, and name, where segment isn't the name itself but a key
+    (a file's path).  lines: segment, line_no, raw, kind, prefixes.  intervals: seals are checked by :func:`interval_mismatches`,
+    for segments that are too long for a task.
     """
     rows = written(scanned(lines), "scanned")  # every rule below reads it
     report = written(reports(rows, headers, v), "reports")
-    found = own_findings(rows, headers, report).unionByName(chain_findings(report, whole))
+    mismatches = interval_mismatches(lines, headers) if intervals else None
+    found = own_findings(rows, headers, report, mismatches).unionByName(chain_findings(report, whole))
     return report, found.unionByName(unreadable(headers)) if "error" in headers.columns else found
 
 

@@ -423,3 +423,38 @@ def drop_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = mappers.trace_entries(trace_events(spark, sf_dir).withColumn("lost", lost), F.lit(NOW).cast("long"), "urn:agent:host")
     m = mappers.drop_markers(mappers.drop_ledger(e), "urn:log:s", F.lit(NOW).cast("long"))
     return m.select("time", "class", X.render_fields(F.col("fields")).alias("tail"))
+
+
+def filed(lines: DataFrame, name: str) -> str:
+    """A folder of the shared one with a file for each segment of lines."""
+    import uuid
+
+    from provlog.operators.writer import write_files
+    from provlog.sources.tables import shared_dir
+
+    path = f"{shared_dir(lines.sparkSession)}/files-{name}-{uuid.uuid4().hex}"
+    write_files(lines, path)
+    return path
+
+
+@register(F1 + "SELECT segment, instance, seq AS place, line AS raw FROM f1")
+def tail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of segment files, as a stream that reads what is appended tells them."""
+    from provlog.sources import ranges
+
+    top = derived.headers(spark, sf_dir).select("segment", F.posexplode(F.split(F.regexp_replace("header", r"\n+\z", ""), "\n")).alias("at", "line"))
+    body = derived.entries(spark, sf_dir).select("segment", (F.col("seq") + 100).alias("line_no"), "line")
+    blank = top.groupBy("segment").agg(F.lit(50).cast("long").alias("line_no"), F.lit("").alias("line"))
+    path = filed(top.select("segment", F.col("at").cast("long").alias("line_no"), "line").unionByName(blank).unionByName(body), "tail")
+    rows = live.drained(ranges.tail(spark, path, ".txt").select("segment", "instance", "line_no", "raw"), "tail")
+    place = F.row_number().over(W.partitionBy("segment").orderBy("line_no")).cast("long")
+    return rows.select("segment", "instance", place.alias("place"), "raw")
+
+
+@register(ROTATED + "SELECT segment, instance, prev, head FROM r")
+def probe_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads of segment files, read from their headers and last seals alone."""
+    from provlog.sources import ranges
+
+    lines = rotated(spark, sf_dir).select("segment", "line_no", "line")
+    return ranges.heads(spark, filed(lines, "heads"), ".txt").select("segment", "instance", "prev", "head")
