@@ -36,10 +36,10 @@ def exists(spark: SparkSession, directory: str, name: str) -> bool:
 
 
 def segment(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """(segment, line_no, line) of one segment, found by its header and never by its file's name."""
+    """(segment, line_no, line) of one segment, found by its header and never by its file's name; of several files the first by path."""
     given(name=name)
     files = segments.read(spark, directory)
-    found = segments.catalog(files).where((F.col("segment") == name) & F.col("error").isNull()).select("file")
+    found = segments.catalog(files).where((F.col("segment") == name) & F.col("error").isNull()).select("file").orderBy("file").limit(1)
     text = files.join(found, "file", "left_semi").select(F.posexplode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("at", "line"))
     return text.select(F.lit(name).alias("segment"), (F.col("at") + 1).cast("long").alias("line_no"), "line")
 
@@ -49,7 +49,7 @@ def chosen(headers: DataFrame, lines: DataFrame, instance: str | None, segment:
     if instance is None and segment is None:
         return headers, lines
     if segment is not None:
-        of = headers.where(F.col("segment") == segment).select("instance").distinct()
+        of = headers.where(F.col("name") == segment).select("instance").distinct()
         headers = headers.join(of, "instance", "left_semi")
     if instance is not None:
         headers = headers.where(F.col("instance") == instance)
@@ -59,15 +59,18 @@ def chosen(headers: DataFrame, lines: DataFrame, instance: str | None, segment:
 def verify(
     spark: SparkSession, directory: str, instance: str | None = None, vocabulary: Vocabulary | None = None, segment: str | None = None, limit: int | None = None, budget: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(reports, findings) of a folder, of one instance's chain, or of the chain that holds a segment.
+    """(reports, findings) of a folder, of one instance's chain, or of the chain that holds a segment; each with the file.
 
-    Unreadable files have findings under their path.  limit and budget: bytes of a file, and of all files of the folder,
+    Each file is verified by itself, whatever name it states.  Unreadable files have findings under their path.  limit and budget: bytes of a file, and of all files of the folder,
     whatever is chosen of them.
     """
     given(instance=instance, segment=segment)
     files = segments.read(spark, directory, limit, budget)
-    headers, lines = chosen(*segments.opened(files), instance, segment)
-    return V.verify(headers, lines, vocabulary or Vocabulary.built_in())
+    headers, lines = segments.opened(files, by_file=True)
+    headers, lines = chosen(written(headers, "headers"), lines, instance, segment)  # headers are parsed once, whatever asks for them
+    report, found = V.verify(headers, lines, vocabulary or Vocabulary.built_in())
+    names = headers.select(F.col("segment").alias("file"), "name")
+    return report.withColumnsRenamed({"segment": "file", "name": "segment"}), found.withColumnRenamed("segment", "file").join(names, "file").withColumnRenamed("name", "segment")
 
 
 def read_entries(lines: DataFrame, headers: DataFrame, since: str | None = None, until: str | None = None, first: int | None = None, last: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -96,7 +99,7 @@ def transrept(
     """Triples of a folder's segments.  strict: a line that can't be read is an error; else the segment that holds it is left out."""
     given(since=since, until=until)
     v = vocabulary or Vocabulary.built_in()
-    headers, lines = segments.opened(segments.read(spark, directory))
+    headers, lines = segments.opened(segments.one_of_each(segments.read(spark, directory)))
     headers = headers.where("error is null")
     if graphs is not None:
         headers, lines = headers.where(F.col("segment").isin(graphs)), lines.where(F.col("segment").isin(graphs))

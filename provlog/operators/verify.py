@@ -59,7 +59,7 @@ def scanned(lines: DataFrame) -> DataFrame:
     e = X.parse_entry(F.col("raw"), F.col("prefixes"))
     p = lines.withColumns({"e": F.when(F.col("kind") == "entry", e), "seal": F.when((F.col("kind") == "seal"), X.parse_seal(F.col("raw")))})
     p = p.withColumns({"is_entry": (F.col("kind") == "entry") & X.is_entry(F.col("raw"), F.col("e")), "is_seal": (F.col("kind") == "seal") & X.is_seal(F.col("raw"), F.col("seal"))})
-    stated = F.when(F.col("is_entry"), X.stated_sequence(F.col("e.fields")))
+    stated = F.when(F.col("is_entry"), X.stated_sequence(F.col("e.fields")).try_cast("bigint"))
     p = p.withColumns({"bad": F.col("kind").isin("entry", "seal", "directive") & ~F.col("is_entry") & ~F.col("is_seal"), "stated": stated})
     order = W.partitionBy("segment").orderBy("line_no")
     here, before = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(W.unboundedPreceding, -1)
@@ -247,6 +247,9 @@ def chain_order(report: DataFrame) -> DataFrame:
     by_name = W.partitionBy("instance").orderBy(*name)
     named = report.withColumns({"place": F.row_number().over(by_name).cast("long"), "linked": F.col("prev").eqNullSafe(F.lag("head").over(by_name)) | (F.row_number().over(by_name) == 1)})
     doubtful = named.groupBy("instance").agg(F.bool_and("linked").alias("ok")).where("not ok").select("instance")
+    doubtful = written(doubtful, "doubtful")
+    if doubtful.isEmpty():
+        return named.drop("linked")
     places = ranked_places(report.join(doubtful, "instance", "left_semi"))
     return named.join(places, "segment", "left").withColumn("place", F.coalesce("walked", "place")).drop("walked", "linked")
 
@@ -312,7 +315,7 @@ def chain_broken(headers: DataFrame, lines: DataFrame, v: Vocabulary) -> DataFra
     predecessor's own predecessor isn't asked for, nor the successor that opens only now.
     """
     rows = written(scanned(lines), "scanned")
-    report = written(chain_order(reports(rows, headers, v)), "reports")
+    report = written(chain_order(written(reports(rows, headers, v), "reports")), "placed")
     own, links = own_findings(rows, headers, report), link_findings(report, whole=False)
     order = W.partitionBy("instance").orderBy("place")
     closed = report.withColumn("before", F.lag("segment").over(order)).where("successor is not null")
@@ -336,20 +339,24 @@ def chains(report: DataFrame, findings: DataFrame) -> DataFrame:
 def text_report(report: DataFrame, findings: DataFrame) -> DataFrame:
     """segment, ord, line, in order: a line for each segment of each chain, its findings below it; then unreadable ones; a total.
 
-    The total has neither segment nor place in a segment.
+    The total has neither segment nor place in a segment.  Reports and findings with a column file are told apart by it.
     """
+    if "file" in report.columns:
+        report, findings = (x.withColumnsRenamed({"segment": "name", "file": "segment"}) for x in (report, findings))
+    else:
+        report, findings = (x.withColumn("name", F.col("segment")) for x in (report, findings))
     broken = findings.where("breaking").groupBy("segment").agg(F.count("*").alias("broken"))
     signed = F.when(F.size("signed_with") > 0, F.array_join("signed_with", ",")).otherwise("none")
     facts = [F.concat(F.lit(f" {n}="), X.shown(c.cast("string"))) for n, c in (("entries", F.col("entries")), ("seals", F.col("seals")), ("level", F.col("level")), ("prev", F.col("prev")), ("signed", signed), ("head", F.col("head")))]
     placed = chain_order(report).join(broken, "segment", "left")
     state = F.when(F.col("broken") > 0, "BROKEN").otherwise("OK")
-    head = placed.select(F.lit(0).alias("part"), "instance", "place", "segment", F.lit(0).cast("long").alias("ord"), F.concat(F.lit("segment "), X.shown(F.col("segment")), F.lit(" "), state, *facts).alias("line"), state.alias("state"))
+    head = placed.select(F.lit(0).alias("part"), "instance", "place", "segment", "name", F.lit(0).cast("long").alias("ord"), F.concat(F.lit("segment "), X.shown(F.col("name")), F.lit(" "), state, *facts).alias("line"), state.alias("state"))
     lost = findings.join(report.select("segment"), "segment", "left_anti").select("segment").distinct()
-    none = lost.select(F.lit(1).alias("part"), F.lit("").alias("instance"), F.lit(0).cast("long").alias("place"), "segment", F.lit(0).cast("long").alias("ord"), F.concat(F.lit("segment "), X.shown(F.col("segment")), F.lit(" BROKEN unreadable")).alias("line"), F.lit("BROKEN").alias("state"))
+    none = lost.select(F.lit(1).alias("part"), F.lit("").alias("instance"), F.lit(0).cast("long").alias("place"), "segment", F.col("segment").alias("name"), F.lit(0).cast("long").alias("ord"), F.concat(F.lit("segment "), X.shown(F.col("segment")), F.lit(" BROKEN unreadable")).alias("line"), F.lit("BROKEN").alias("state"))
     tops = head.unionByName(none)
     nth = F.row_number().over(W.partitionBy("segment").orderBy("kind", "a", "b", "c", "x", "y")).cast("long")
-    below = findings.select("segment", nth.alias("ord"), F.concat(F.lit("  "), X.shown(said(F.col("kind")))).alias("line")).join(tops.select("part", "instance", "place", "segment"), "segment")
+    below = findings.select("segment", nth.alias("ord"), F.concat(F.lit("  "), X.shown(said(F.col("kind")))).alias("line")).join(tops.select("part", "instance", "place", "segment", "name"), "segment")
     total = tops.agg(F.count("*").alias("n"), F.count_if(F.col("state") == "BROKEN").alias("b"))
-    last = total.select(F.lit(2).alias("part"), F.lit("").alias("instance"), F.lit(0).cast("long").alias("place"), F.lit(None).cast("string").alias("segment"), F.lit(None).cast("long").alias("ord"), F.format_string("verified %d segment(s), %d broken", "n", "b").alias("line"))
+    last = total.select(F.lit(2).alias("part"), F.lit("").alias("instance"), F.lit(0).cast("long").alias("place"), F.lit(None).cast("string").alias("segment"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("ord"), F.format_string("verified %d segment(s), %d broken", "n", "b").alias("line"))
     order = ["part", "instance", "place", "segment", "ord"]
-    return tops.drop("state").unionByName(below.select(*order, "line")).unionByName(last).orderBy(*order).select("segment", "ord", "line")
+    return tops.drop("state").unionByName(below.select(*order, "name", "line")).unionByName(last).orderBy(*order).select(F.col("name").alias("segment"), "ord", "line")

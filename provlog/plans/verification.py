@@ -148,7 +148,7 @@ def verify_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chain_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order of each instance's segments."""
     headers, lines = with_gaps(spark, sf_dir)
-    r = verify.reports(verify.scanned(lines), headers, Vocabulary.built_in())
+    r = written(verify.reports(verify.scanned(lines), headers, Vocabulary.built_in()), "reports")
     return verify.chain_order(r).select("segment", "place")
 
 
@@ -305,13 +305,13 @@ def leveled(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT s || 2, 'UnexpectedGenesis', TRUE, NULL, NULL, NULL, s || 1, NULL FROM u WHERE k = 3 UNION ALL SELECT s || 3, 'MissingSuccessor', TRUE, NULL, NULL, NULL, 'urn:log:gone', NULL FROM u WHERE k = 4""")
 def verify_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Level changes that nothing records, however long the recorded path, and chains that begin anew."""
-    return verify.chain_findings(leveled(spark, sf_dir))
+    return verify.chain_findings(written(leveled(spark, sf_dir), "leveled"))
 
 
 @register(F1 + """, u AS (SELECT DISTINCT user_id, user_id % 5 AS k FROM f1) SELECT 'urn:inst:u' || user_id AS instance, CAST(3 AS BIGINT) AS segments, CAST(CASE k WHEN 1 THEN 2 WHEN 3 THEN 2 WHEN 4 THEN 2 ELSE 0 END AS BIGINT) AS broken, k IN (0, 2) AS ok FROM u""")
 def chain_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many segments of each chain are broken."""
-    r = leveled(spark, sf_dir)
+    r = written(leveled(spark, sf_dir), "leveled")
     return verify.chains(r, verify.chain_findings(r))
 
 
@@ -458,3 +458,27 @@ def probe_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     lines = rotated(spark, sf_dir).select("segment", "line_no", "line")
     return ranges.heads(spark, filed(lines, "heads"), ".txt").select("segment", "instance", "prev", "head")
+
+
+@register(TAMPERED + f"""SELECT segment, 'SealMismatch' AS kind, TRUE AS breaking, first AS a, "last" AS b, {NONE} AS c, hash AS x, head AS y FROM s4 WHERE hash <> head""")
+def verify_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seals that don't state their chain's head, found by folding what stands between seals by itself."""
+    headers, lines = tampered(spark, sf_dir)
+    return verify.interval_mismatches(written(lines, "lines"), headers)
+
+
+@register(F1 + """, n AS (SELECT user_id, count(*) AS n FROM f1 GROUP BY user_id) SELECT user_id, seq, CASE user_id % 4 WHEN 0 THEN seq WHEN 1 THEN n - seq + 1
+    ELSE row_number() OVER (PARTITION BY user_id ORDER BY 'urn:log:' || lpad(CAST((seq * 7919) % 10007 AS VARCHAR), 5, '0') || ':' || user_id || ':' || seq) END AS place FROM f1 JOIN n USING (user_id)""")
+def rank_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of each event in a chain of its user's events, whose links are shuffled against their names.
+
+    Of every four users one has its links in order of time, one backwards, one a cycle and one a fork, whose events go by name.
+    """
+    e = derived.events(spark, sf_dir).select("user_id", "seq")
+    u, n = F.col("user_id") % 4, F.count("*").over(W.partitionBy("user_id"))
+    before = F.when(u == 1, F.col("seq") + 1).when((u == 2) & (F.col("seq") == 1), n).when((u == 3) & (F.col("seq") == 3), F.lit(1).cast("long")).otherwise(F.col("seq") - 1)
+    name = F.concat(F.lit("urn:log:"), F.lpad(((F.col("seq") * 7919) % 10007).cast("string"), 5, "0"), F.lit(":"), F.col("user_id").cast("string"), F.lit(":"), F.col("seq").cast("string"))
+    first = (before == 0) | (before > n)
+    rows = e.withColumns({"segment": name, "instance": F.format_string("urn:inst:u%d", "user_id"), "head": F.format_string("h%d", "seq"), "prev": F.when(first, "genesis").otherwise(F.format_string("h%d", before))})
+    placed = verify.chain_order(written(rows, "links"))
+    return placed.select("user_id", "seq", "place")

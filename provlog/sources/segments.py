@@ -138,22 +138,32 @@ def canonical_hash(h: Column) -> Column:
     return X.tagged_hash(rendered(MAGIC, h["prefixes"], h["name"], h["instance"], X.shorten(h["level"], h["prefixes"]), h["started"], h["prev"]))
 
 
-def opened(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def opened(files: DataFrame, by_file: bool = False) -> tuple[DataFrame, DataFrame]:
     """(headers, lines) of files.
 
-    headers: segment, file, instance, level, started, prev, prefixes, error, h0, head_lines; a file that can't be
+    headers: segment, name, file, instance, level, started, prev, prefixes, error, h0, head_lines; a file that can't be
     read has its path as segment, and an error.  lines: segment, line_no (from 1, of the file), raw, kind, prefixes, of
-    the others.  Files are read whole, so nothing is shuffled.
+    the others.  Files are read whole, so nothing is shuffled.  by_file: the path is the segment of readable files too, so that
+    files that state one name, as copies do, are told apart.
     """
     each = files.withColumn("h", parse_header(F.col("text"))).withColumn("why", F.coalesce("error", "h.error"))
+    key = F.col("file") if by_file else F.col("h.name")
+    name = F.when(F.col("why").isNull(), F.col("h.name")).otherwise(F.col("file"))
     headers = each.select(
-        F.when(F.col("why").isNull(), F.col("h.name")).otherwise(F.col("file")).alias("segment"), "file", "h.instance", "h.level", "h.started", "h.prev", "h.prefixes", F.col("why").alias("error"),
+        F.when(F.col("why").isNull(), key).otherwise(F.col("file")).alias("segment"), name.alias("name"), "file", "h.instance", "h.level", "h.started", "h.prev", "h.prefixes", F.col("why").alias("error"),
         F.when(F.col("why").isNull(), canonical_hash(F.col("h"))).alias("h0"), F.col("h.lines").alias("head_lines"),
     )
-    rows = each.where("why is null").select(F.col("h.name").alias("segment"), F.col("h.prefixes").alias("prefixes"), F.col("h.lines").alias("head"), F.posexplode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("at", "raw"))
+    rows = each.where("why is null").select(key.alias("segment"), F.col("h.prefixes").alias("prefixes"), F.col("h.lines").alias("head"), F.posexplode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("at", "raw"))
     return headers, body(rows.select("segment", "prefixes", "head", (F.col("at") + 1).cast("long").alias("line_no"), "raw"))
 
 
+def one_of_each(files: DataFrame) -> DataFrame:
+    """Of files that state one name the first by path; files that can't be read stay."""
+    named = catalog(files).select("file", F.when(F.col("error").isNull(), F.col("segment")).alias("name"))
+    first = named.where("name is not null").groupBy("name").agg(F.min("file").alias("file"))
+    return files.join(first.select("file").unionByName(named.where("name is null").select("file")), "file", "left_semi")
+
+
 def body(rows: DataFrame) -> DataFrame:
     """segment, line_no, raw, kind, prefixes of the lines after the header; rows: the same with head, the header's lines."""
     rows = rows.where("line_no > head").withColumn("raw", F.regexp_replace("raw", r"\r+\z", ""))
@@ -198,6 +208,33 @@ def conflicts(before: DataFrame, after: DataFrame) -> DataFrame:
     return each.where(~(F.col("bytes").eqNullSafe(F.col("bytes_now")) & F.col("modified").eqNullSafe(F.col("modified_now"))))
 
 
+def manifest(spark: SparkSession, directory: str) -> DataFrame:
+    """file, bytes, modified of a folder's segments, written down; contents aren't read."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "{*.log,part-*.txt}").option("recursiveFileLookup", True).load(directory)
+    return cut(raw.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified")), "manifest")
+
+
+def settled(before: DataFrame, files: DataFrame, after: DataFrame) -> DataFrame:
+    """files with hash, and with an error and no text where a file changed, came or went while it was read.
+
+    before and after: what :func:`manifest` told of the folder before and after.  What was read must have as many bytes as both say.
+    """
+    tell = lambda m, x: m.select("file", F.col("bytes").alias(f"bytes_{x}"), F.col("modified").alias(f"modified_{x}"))
+    each = files.withColumn("there", F.lit(True)).join(tell(before, "then"), "file", "full").join(tell(after, "now"), "file", "full")
+    size = F.when(F.col("text").isNotNull(), F.octet_length("text")).otherwise(F.col("bytes"))
+    same = F.col("there") & (size == F.col("bytes_then")) & (F.col("bytes_then") == F.col("bytes_now")) & (F.col("modified_then") == F.col("modified_now"))
+    conflict = F.when(~F.coalesce(same, F.lit(False)), "changed while it was read")
+    text = F.when(conflict.isNull(), F.col("text"))
+    return each.select("file", F.coalesce("bytes", "bytes_then", "bytes_now").alias("bytes"), F.coalesce("modified", "modified_then", "modified_now").alias("modified"), F.coalesce(conflict, F.col("error")).alias("error"), text.alias("text"), X.tagged_hash(text).alias("hash"))
+
+
+def read_pinned(spark: SparkSession, directory: str, limit: int | None = None, budget: int | None = None) -> DataFrame:
+    """What :func:`read` gives, read once and written down, with hash: a file that changed meanwhile is an error and never half of each state."""
+    before = manifest(spark, directory)
+    files = cut(read(spark, directory, limit, budget), "pinned")
+    return settled(before, files, manifest(spark, directory))
+
+
 def bodies(files: DataFrame) -> DataFrame:
     """file, bytes, valid, hash of the content of each file."""
     return files.select("file", "bytes", F.col("text").isNotNull().alias("valid"), F.when(F.col("text").isNotNull(), X.tagged_hash(F.col("text"))).alias("hash"))

@@ -89,6 +89,69 @@ def test_chain_order_follows_links_before_names(spark):
     assert {r["segment"]: r["place"] for r in got} == {"s3": 1, "s1": 2, "s2": 3, "t1": 1, "t2": 2}
 
 
+def test_a_long_chain_is_ranked_by_its_links(spark):
+    n = 100_000
+    i = F.col("id")
+    rows = spark.range(n).select(F.sha2(i.cast("string"), 256).alias("segment"), F.lit("i").alias("instance"), F.when(i == 0, "genesis").otherwise(F.concat(F.lit("h"), (i - 1).cast("string"))).alias("prev"), F.concat(F.lit("h"), i.cast("string")).alias("head"), i)
+    placed = verify.chain_order(rows)
+    assert placed.where(F.col("place") == i + 1).count() == n
+
+
+def test_forks_and_cycles_go_by_name(spark):
+    chain = [("c1", "c", "genesis", "h1"), ("c0", "c", "h1", "h2"), ("c2", "c", "h4", "h3"), ("c3", "c", "h3", "h4")]  # a cycle beside a chain
+    fork = [("f2", "f", "genesis", "h1"), ("f1", "f", "h1", "h2"), ("f0", "f", "h1", "h3")]
+    twice = [("t1", "t", "genesis", "h1"), ("t0", "t", "h1", "h1")]  # one head of two
+    got = verify.chain_order(spark.createDataFrame(chain + fork + twice, "segment string, instance string, prev string, head string")).collect()
+    assert [r["segment"] for r in sorted(got, key=lambda r: (r["instance"], r["place"]))] == ["c0", "c1", "c2", "c3", "f0", "f1", "f2", "t0", "t1"]
+
+
+def test_intervals_between_seals_are_folded_by_themselves(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(verify, "BUCKET", 3)
+    write(tmp_path, n=40, cadence=Cadence(4, None, 25, None))
+    files = sorted(tmp_path.glob("*.log"))
+    files[0].write_text(files[0].read_text().replace("msg=m9", "msg=x"))  # every seal from here on
+    seal = next(x for x in files[1].read_text().split("\n") if x.startswith("#seal"))
+    files[1].write_text(files[1].read_text().replace(seal, seal[:-3] + "000"))  # that seal, and the interval after it
+    headers, lines = segments.opened(segments.read(spark, str(tmp_path)))
+    want = verify.seal_mismatches(verify.scanned(lines), headers)
+    got = verify.interval_mismatches(lines, headers)
+    assert rows_of(got) == rows_of(want) and len({r["segment"] for r in got.collect()}) == 2
+    again = verify.verify(headers, lines, Vocabulary.built_in(), intervals=True)[1]
+    assert rows_of(again) == rows_of(verify.verify(headers, lines, Vocabulary.built_in())[1])
+
+
+def test_copies_of_a_file_are_verified_each_by_itself(spark, tmp_path):
+    out = write(tmp_path)
+    first = (tmp_path / "0.log").read_text()
+    (tmp_path / "copy.log").write_text(first.replace("msg=m0", "msg=m9"))
+    report, found = api.verify(spark, str(tmp_path))
+    assert {(r["file"][-5:], r["entries"]) for r in report.collect()} == {("0.log", 5), ("1.log", 5), ("y.log", 5)} or report.count() == 3
+    mismatched = found.where("kind = 'SealMismatch'").collect()
+    assert {r["file"].rsplit("/", 1)[1] for r in mismatched} == {"copy.log"} and {r["segment"] for r in mismatched} == {min(out)}
+    said = [r["line"] for r in verify.text_report(report, found).collect()]
+    assert sum(x.startswith(f"segment {min(out)} ") for x in said) == 2 and said[-1].startswith("verified 3 segment(s)")
+    assert [r["line"] for r in api.segment(spark, str(tmp_path), min(out)).orderBy("line_no").collect()] == out[min(out)]
+    assert api.transrept(spark, str(tmp_path)).where(F.col("p") == LOG + "text").count() == 7
+
+
+def test_a_file_that_changes_while_it_is_read_is_a_conflict(spark, tmp_path):
+    write(tmp_path)
+    (tmp_path / "x.log").write_text("gone\n")
+    before = segments.manifest(spark, str(tmp_path))
+    files = segments.cut(segments.read(spark, str(tmp_path)), "files")
+    (tmp_path / "0.log").write_text((tmp_path / "0.log").read_text() + "# more\n")
+    (tmp_path / "x.log").unlink()
+    (tmp_path / "new.log").write_text("new\n")
+    got = segments.settled(before, files, segments.manifest(spark, str(tmp_path)))
+    state = {r["file"].rsplit("/", 1)[1]: (r["error"], r["text"] is not None, r["hash"] is not None) for r in got.collect()}
+    wrong = ("changed while it was read", False, False)
+    assert state == {"0.log": wrong, "x.log": wrong, "new.log": wrong, "1.log": (None, True, True)}
+    calm = segments.read_pinned(spark, str(tmp_path))
+    assert calm.where("error is null and hash is not null").count() == 3
+    report, found = verify.verify(*segments.opened(got), Vocabulary.built_in())
+    assert report.count() == 1 and found.where("x = 'changed while it was read'").count() == 3
+
+
 @pytest.mark.parametrize("value", ["", "a b", 'q"uote', "back\\slash", "new\nline", "tab\t", "‎bidi‮", "é漢😀", "a=b", "\x00\x7f", "x" * 30000])
 def test_values_survive_the_line(spark, value):
     df = spark.createDataFrame([(value,)], "v string").withColumn("line", X.render_entry(F.lit("2024-01-01T00:00:00.000Z"), F.lit("log:Message"), F.lit("urn:x:y"), F.array(F.struct(F.lit("msg").alias("key"), F.col("v").alias("value")))))
