@@ -12,7 +12,7 @@ from provlog.functions import text as X
 from provlog.operators import triples
 from provlog.operators import verify as V
 from provlog.operators.writer import Cadence, deliver, tails, write_lines
-from provlog.sources import segments
+from provlog.sources import cache, segments
 from provlog.sources.tables import written
 from provlog.vocabulary import LOG, Vocabulary
 
@@ -125,6 +125,15 @@ def kept(triples_of: DataFrame, report: DataFrame, name: str) -> DataFrame:
     return written(triples_of.join(done, "graph", "left_semi"), name).unionByName(triples_of.join(done, "graph", "left_anti"))
 
 
+def cached(
+    spark: SparkSession, directory: str, store: str, since: str | None = None, until: str | None = None, vocabulary: Vocabulary | None = None, ordered: bool = False
+) -> DataFrame:
+    """What :func:`transrept` gives, from a store of finished segments: their files are read once and never again."""
+    given(since=since, until=until)
+    v = vocabulary or Vocabulary.built_in()
+    return triples.all_triples(*cache.tables(spark, directory, store, v, since, until), v, ordered)
+
+
 def checked(requests: DataFrame, classes: DataFrame) -> DataFrame:
     """requests (class, subject, fields) with error: what a caller may not write."""
     always = classes.where("least_rank = -1").select("class", F.lit(True).alias("always"))

@@ -6,9 +6,10 @@ folds them while it holds only the chain's state, so a segment may be of any len
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -124,6 +125,22 @@ def sealed(lines: DataFrame, headers: DataFrame, points: DataFrame) -> DataFrame
     return in_order(rows, "at", "kind").select("segment", "kind", "at", "first", "text").mapInArrow(run, "segment string, first long, last long, hash string")
 
 
+def signed(seals: DataFrame, open_key: Callable[[], Callable[[str], str | None]], hash_col: str = "hash") -> DataFrame:
+    """seals with signature: what a key says of each hash, null where it refuses.
+
+    Seals are signed behind the chain, which never holds a signature: in batches, wherever they are.  open_key opens the key, once
+    for a task, and returns what signs a hash as 'algorithm:value'.
+    """
+
+    @F.pandas_udf("string")
+    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        key = open_key()
+        for hashes in batches:
+            yield pd.Series([None if h is None else key(h) for h in hashes], dtype=object)
+
+    return seals.withColumn("signature", sign(F.col(hash_col)))
+
+
 def seal_line(first: Column, last: Column, hash_: Column, signature: Column) -> Column:
     base = F.concat(F.lit("#seal "), first.cast("string"), F.lit("-"), last.cast("string"), F.lit(" "), hash_)
     return F.concat(base, F.coalesce(F.concat(F.lit(" "), signature), F.lit("")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -482,3 +484,36 @@ def rank_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = e.withColumns({"segment": name, "instance": F.format_string("urn:inst:u%d", "user_id"), "head": F.format_string("h%d", "seq"), "prev": F.when(first, "genesis").otherwise(F.format_string("h%d", before))})
     placed = verify.chain_order(written(rows, "links"))
     return placed.select("user_id", "seq", "place")
+
+
+def keyed() -> Callable[[str], str | None]:
+    """A signer for tests: a keyed hash, which refuses hashes that end in 0."""
+    import hashlib
+
+    return lambda h: None if h.endswith("0") else "keyed:" + hashlib.sha256(f"k{h}".encode()).hexdigest()
+
+
+@register(SEALS + """SELECT segment, first, "last", hash, CASE WHEN hash NOT LIKE '%0' THEN 'keyed:' || sha256('k' || hash) END AS signature,
+    '#seal ' || first || '-' || "last" || ' ' || hash || CASE WHEN hash NOT LIKE '%0' THEN ' keyed:' || sha256('k' || hash) ELSE '' END AS line FROM s""")
+def sign_seals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seals with what a key says of their hashes, and without where it refuses."""
+    s = chain.signed(base.seals(spark, sf_dir).select("segment", "first", "last", "hash"), keyed)
+    return s.withColumn("line", chain.seal_line(F.col("first"), F.col("last"), F.col("hash"), F.col("signature")))
+
+
+@register(ROTATED + f"""SELECT segment AS graph, segment || ':' || i AS s, '{LOG}subject' AS p, split_part(line, ' ', 3) AS o FROM (SELECT segment, t0, t1, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM r JOIN c USING (user_id, instance))
+    WHERE line[1:24] >= (SELECT min(time) FROM f1 WHERE event_id >= (SELECT max(event_id) // 2 FROM f1))""")
+def cached_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects of the entries since a time, of segments that were read, kept and are read again from what was kept."""
+    import uuid
+
+    from provlog import api
+    from provlog.sources.tables import shared_dir
+
+    path = filed(rotated(spark, sf_dir).select("segment", "line_no", "line"), "cached")
+    store = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    e = derived.events(spark, sf_dir).select("event_id", "time")
+    since = e.join(F.broadcast(e.agg(F.max("event_id").alias("m"))), F.col("event_id") >= F.floor(F.col("m") / 2)).agg(F.min("time")).first()[0]  # one row
+    api.cached(spark, path, store, since)
+    t = api.cached(spark, path, store, since)
+    return t.where(F.col("p") == LOG + "subject").select("graph", "s", "p", "o")

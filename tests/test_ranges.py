@@ -9,7 +9,7 @@ from test_parts import write
 
 from provlog import api
 from provlog.operators import triples, verify
-from provlog.sources import ranges, segments
+from provlog.sources import cache, ranges, segments
 from provlog.streaming import live
 from provlog.vocabulary import Vocabulary
 
@@ -94,3 +94,27 @@ def test_probes_read_ranges(spark, tmp_path):
         reader.latestOffset()
         first.write_text(text[:100])
         reader.latestOffset()
+
+
+def test_finished_segments_are_read_once(spark, tmp_path):
+    folder, store = tmp_path / "logs", str(tmp_path / "store")
+    folder.mkdir()
+    write(folder)
+    v = Vocabulary.built_in()
+    want = rows_of(api.transrept(spark, str(folder)))
+    assert rows_of(api.cached(spark, str(folder), store)) == want
+    again = api.cached(spark, str(folder), store)
+    assert rows_of(again) == want
+    assert not any(name.endswith(".log") for name in again.inputFiles()) and "binaryFile" not in again._jdf.queryExecution().toString()
+    since = "2024-01-01T00:00:05.000Z"
+    late = api.cached(spark, str(folder), store, since=since)
+    assert rows_of(late) == rows_of(api.transrept(spark, str(folder), since=since)) != want
+    assert "GreaterThanOrEqual(time," in late._jdf.queryExecution().toString()  # reaches the Parquet scan
+    last = sorted(folder.glob("*.log"))[-1]
+    whole = last.read_text()
+    last.write_text(whole[: whole.rindex("#seal")])  # open again: other bytes, and no seal at the end
+    (folder / "bad.log").write_text("no header\n")
+    mixed = api.cached(spark, str(folder), store)
+    assert rows_of(mixed) == rows_of(api.transrept(spark, str(folder))) != want
+    assert {r["finished"] for r in cache.index(spark, store).where(F.col("file").endswith(last.name)).collect()} == {True, False}
+    assert cache.remember(spark, str(folder), store, v).count() == 3  # the file without a header is known, as one that is open
