@@ -14,7 +14,7 @@
    star contraction (:mod:`provlog.llm.components`).
 
 A null text counts as empty; a text without words has fingerprint zero and is linked like any
-other.  Rows that repeat an identifier each have their own row.  Null identifiers never name
+other.  Rows that repeat an identifier each have their own row.  Rows with null identifiers link others; they never name
 a component unless all its identifiers are null.  Texts of any length are read whole; of ties
 the smallest identifier counts; an empty table gives no rows; other columns aren't read, so
 their names can't clash.
@@ -186,12 +186,12 @@ def links(distinct: DataFrame, limit: int) -> DataFrame:
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, limit: int = 2) -> DataFrame:
     """(id, fp, component) of each document; component is the smallest identifier that links reach."""
     prints = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    # Fingerprints whose identifiers are all null are told apart by a negative stand-in.
-    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
-    named = distinct.where("rep is not null")
-    found = components(links(named, limit)).select(F.col("node").alias("rep"), "component")
-    each = distinct.join(found, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return prints.join(each, "fp")
+    # Fingerprints stand for themselves while they are linked, so that one whose identifiers are all null links others too.
+    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    found = components(links(distinct.select("fp", F.col("fp").alias("rep")), limit)).select(F.col("node").alias("fp"), F.col("component").alias("label"))
+    each = written(distinct.join(found, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labels")
+    named = each.groupBy("label").agg(F.min("least").alias("component"))
+    return prints.join(each.join(named, "label").select("fp", "component"), "fp")
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
