@@ -2,8 +2,9 @@
 
 A document's token ids, closed with the id ``END``, are cut into full sequences and one rest.
 Pieces are counted by size class (lengths rounded up to a multiple of ``UNIT``; at most
-``LENGTH / UNIT`` classes, whatever the data).  The driver gets this histogram alone and
-solves the cutting-stock problem over it:
+``LENGTH / UNIT`` classes, whatever the data).  Pieces shorter than ``SHORT``, for which that would be much, are counted
+by their exact length and first share bundles of ``SHORT`` ids, which then count as pieces.  The driver gets these two
+histograms alone and solves the cutting-stock problem over each:
 
 * the linear program over patterns (how many pieces of each class share a sequence) is
   solved by the simplex method; a knapsack dynamic program over the duals prices columns
@@ -35,6 +36,7 @@ from provlog.llm.common import written
 
 LENGTH = 2048
 UNIT = 16
+SHORT = 128
 END = 1
 #: Words kept by a Python worker; beyond it the cache starts anew.
 CACHE = 1_000_000
@@ -135,7 +137,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
     schema = ", ".join(f"{n} {'array<int>' if n == 'ids' else 'long'}" for n in names)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return slim.mapInArrow(run, schema)
 
 
@@ -208,20 +210,39 @@ def ranked(rows: DataFrame, total: int) -> DataFrame:
     return rows.withColumn("own", own).join(offsets, ["class", "bucket"]).withColumn("rank", F.col("base") + F.col("own")).drop("bucket", "own", "base")
 
 
+def slots(demand: dict[int, int], room: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """(class, low, high, each, number) of the pieces of each class that patterns take, and how many sequences they make.
+
+    Pieces from rank low on, and before high, go to the sequences from number on, each of them to one.
+    """
+    out, used, number = [], dict.fromkeys(demand, 0), 0
+    for pattern, times in cutting_stock(demand, room):
+        for size, n in pattern.items():
+            out.append((size, used[size], used[size] + n * times, n, number))
+            used[size] += n * times
+        number += times
+    return out, number
+
+
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens[, ids], sequence_id, offset."""
     spark = docs.sparkSession
-    cut = written(pieces(docs, tokenizer, id_col, text_col, keep_ids).withColumn("class", F.ceil(F.col("length") / UNIT).cast("int")), "pieces")
-    demand = {r["class"]: r["n"] for r in cut.groupBy("class").agg(F.count("*").alias("n")).collect()}  # LENGTH / UNIT rows at most
-    slots, used, sequence = [], dict.fromkeys(demand, 0), 0
-    for pattern, times in cutting_stock(demand, LENGTH // UNIT):
-        for size, n in pattern.items():
-            slots.append((size, used[size], used[size] + n * times, n, sequence))
-            used[size] += n * times
-        sequence += times
-    table = spark.createDataFrame(slots, "class int, low long, high long, each long, sequence long")
-    placed = ranked(cut, sum(demand.values())).join(F.broadcast(table.withColumnRenamed("class", "of")), F.expr("class = of AND rank >= low AND rank < high"))
-    placed = placed.withColumn("sequence_id", F.expr("sequence + (rank - low) DIV each"))
+    of_size = F.when(F.col("length") < SHORT, -F.col("length")).otherwise(F.ceil(F.col("length") / UNIT)).cast("int")  # below zero: short
+    cut = written(pieces(docs, tokenizer, id_col, text_col, keep_ids).withColumn("class", of_size), "pieces")
+    counts = {r["class"]: r["n"] for r in cut.groupBy("class").agg(F.count("*").alias("n")).collect()}  # SHORT + LENGTH / UNIT rows at most
+    kind, wide = "of int, low long, high long, each long, number long", SHORT // UNIT
+    small, bundles = slots({-k: n for k, n in counts.items() if k < 0}, SHORT)
+    demand = {k: n for k, n in counts.items() if k > 0}
+    alone = demand.get(wide, 0)
+    demand |= {wide: alone + bundles} if bundles else {}
+    large, _ = slots(demand, LENGTH // UNIT)
+    placed = ranked(cut, sum(counts.values()))
+    first = F.broadcast(spark.createDataFrame([(-size, *rest) for size, *rest in small], kind))  # as large as the histogram
+    placed = placed.join(first, F.expr("class = of AND rank >= low AND rank < high"), "left").withColumn("bundle", F.expr("number + (rank - low) DIV each"))
+    short = F.col("class") < 0
+    placed = placed.drop("of", "low", "high", "each", "number").withColumns({"rank": F.when(short, F.col("bundle") + alone).otherwise(F.col("rank")), "class": F.when(short, wide).otherwise(F.col("class"))})
+    placed = placed.join(F.broadcast(spark.createDataFrame(large, kind)), F.expr("class = of AND rank >= low AND rank < high"))
+    placed = placed.withColumn("sequence_id", F.expr("number + (rank - low) DIV each"))
     before = W.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "ids_crc32").rowsBetween(W.unboundedPreceding, -1)
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids, "sequence_id", "offset")
