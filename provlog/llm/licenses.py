@@ -5,9 +5,9 @@ single blanks; one pass of the automaton finds every phrase at word boundaries,
 ones included.  Where it finds the identifier tag, the rest of that line in the text is read
 as a licence expression: a shunting-yard parser orders ``WITH`` before ``AND`` before ``OR``,
 and the evaluation gives the licences named and whether the terms are permissive (all sides of
-AND, any side of OR).  An expression that doesn't parse gives no label, nor does one that names
-a licence outside of ``LICENSES`` (or ``LicenseRef-``).  A licence has one label, whether a
-phrase or a tag names it.
+AND, any side of OR).  Names outside of ``LICENSES`` (and ``LicenseRef-``) are labelled as such, ``other:`` and the name, beside the known sides;
+their terms are unknown, and so are those of the whole where they decide (null).  An expression that doesn't parse gives
+no label.  A licence has one label, whether a phrase or a tag names it.
 
 ``score`` is the chance that one finding at least is a licence notice, if each errs by itself.
 
@@ -54,6 +54,8 @@ LICENSES = PERMISSIVE | {
 #: Identifiers whose licence a phrase labels otherwise.
 SAME = {"apache-2.0": "apache-2"}
 SURE = {"base": 0.9, "notice": 0.7, "tag": 0.95}
+#: Marks the label of a name that isn't listed.
+OTHER = "other:"
 SEPARATORS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 RANK = {"or": 1, "and": 2, "with": 3}
@@ -93,28 +95,28 @@ def postfix(expression: str) -> list[str] | None:
     return out + waiting[::-1]
 
 
-def evaluate(expression: str) -> tuple[set[str], bool] | None:
-    """Licences that an expression names, and whether its terms are permissive; None if it doesn't parse or names what is no licence."""
+def evaluate(expression: str) -> tuple[set[str], bool | None] | None:
+    """Licences that an expression names, and whether its terms are permissive (None: unknown); None if it doesn't parse."""
     order = postfix(expression)
     if order is None:
         return None
-    stack: list[tuple[set[str], bool | None]] = []  # None: what stands there is no licence (an exception's name)
+    stack: list[tuple[set[str], bool | None]] = []
     for token in order:
         if token not in RANK:
             plain = token.rstrip("+")
             listed = plain in LICENSES or plain.startswith("licenseref-")
-            stack.append(({SAME.get(token, token)}, plain in PERMISSIVE if listed else None))
+            stack.append(({SAME.get(token, token) if listed else f"{OTHER}{token}"}, plain in PERMISSIVE if listed else None))
             continue
         (right, right_ok), (left, left_ok) = stack.pop(), stack.pop()
-        if left_ok is None or (token != "with" and right_ok is None):
-            return None
         if token == "with":  # an exception belongs to one licence
             if len(left) != 1 or len(right) != 1:
                 return None
-            stack.append(({f"{min(left)} with {min(right)}"}, left_ok))
+            stack.append(({f"{min(left)} with {min(right).removeprefix(OTHER)}"}, left_ok))
         else:
-            stack.append((left | right, (left_ok and right_ok) if token == "and" else (left_ok or right_ok)))
-    return stack[0] if stack[0][1] is not None else None
+            decides = token == "or"  # one side that is permissive decides OR, one that isn't AND
+            ok = decides if decides in (left_ok, right_ok) else None if None in (left_ok, right_ok) else not decides
+            stack.append((left | right, ok))
+    return stack[0]
 
 
 class Scanner:
@@ -132,7 +134,7 @@ class Scanner:
         raw = (text or "").encode()
         words = raw.translate(SEPARATORS).split()
         line = " " + b" ".join(words).decode() + " "
-        starts, tags, base, labels, permissive, doubt = [], [], set(), set(), None, 1.0
+        starts, tags, verdicts, base, labels, doubt = [], [], [], set(), set(), 1.0
         for end, (kind, label, size) in self.automaton.iter(line):
             if kind == "tag":
                 tags.append(end)
@@ -149,8 +151,9 @@ class Scanner:
                 rest = raw[ends[line.count(" ", 0, end) - 1] :].split(b"\n", 1)[0]
                 if found := evaluate(rest.decode().lstrip(": \t")):
                     labels |= found[0]
-                    permissive = found[1] if permissive is None else permissive and found[1]
+                    verdicts.append(found[1])
                     doubt *= 1 - SURE["tag"]
+        permissive = False if False in verdicts else True if verdicts and None not in verdicts else None
         places = [line.count(" ", 0, s + 1) - 1 for s in (min(starts), max(starts))] if starts else [None, None]
         return (len(words), len(starts), *places, ",".join(sorted(base)), ",".join(sorted(base | labels)), permissive, 1 - doubt)
 

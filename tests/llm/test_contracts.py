@@ -191,6 +191,77 @@ def test_license_expressions(text, want):
     assert evaluate(text) == want
 
 
+def test_random_license_expressions():
+    from provlog.llm.licenses import LICENSES, PERMISSIVE, evaluate
+
+    rng, names = random.Random(8), ["MIT", "GPL-2.0-only", "ISC", "Foo-1", "bar", "AGPL-3.0"]
+
+    def grown(depth: int) -> tuple[str, set, bool | None, int]:
+        """Text, names, permissive, and how tightly its outermost operator binds."""
+        if depth == 0 or rng.random() < 0.3:
+            name = rng.choice(names)
+            known = name.lower() in LICENSES
+            return name, {name.lower() if known else "other:" + name.lower()}, name.lower() in PERMISSIVE if known else None, 3
+        both = rng.random() < 0.5
+        (a, x, p, s), (b, y, q, t) = grown(depth - 1), grown(depth - 1)
+        rank = 2 if both else 1
+        a, b = f"({a})" if s < rank else a, f"({b})" if t < rank else b
+        ok = (False if False in (p, q) else None if None in (p, q) else True) if both else (True if True in (p, q) else None if None in (p, q) else False)
+        return f"{a} {'AND' if both else 'or'} {b}", x | y, ok, rank
+
+    for _ in range(2000):
+        text, labels, ok, _ = grown(4)
+        assert evaluate(text) == (labels, ok), text
+
+
+def test_short_texts_pack_with_little_padding(spark):
+    from provlog.llm.packing import LENGTH, pack
+
+    docs = spark.range(20_000).select(F.col("id").alias("a.id"), F.element_at(F.array(F.lit("the"), F.lit("the dog"), F.lit(None), F.lit("a b c")), (F.col("id") % 4 + 1).cast("int")).alias("text"))
+    rows = pack(docs, tokenizer_file("word_bpe_49k.json"), "a.id").collect()
+    ids, sequences = sum(r["length"] for r in rows), {r["sequence_id"] for r in rows}
+    assert len(rows) == 20_000 and ids > 0.95 * LENGTH * len(sequences)
+    at = defaultdict(list)
+    for r in rows:
+        at[r["sequence_id"]].append((r["offset"], r["length"]))
+    for each in at.values():
+        each.sort()
+        assert [o for o, _ in each] == [sum(n for _, n in each[:i]) for i in range(len(each))] and sum(n for _, n in each) <= LENGTH
+
+
+def test_rows_without_identifiers_link_others(spark, tmp_path):
+    """Components by brute force, by fingerprint, where some identifiers are null or repeat."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for family in range(12):
+        body = [rng.choice(words) for _ in range(150)]
+        for step in range(rng.randint(1, 6)):
+            body = body[:-1] + [rng.choice(words)] if step else body
+            rows += [(None if rng.random() < 0.5 else rng.randrange(200), " ".join(body))] * rng.randint(1, 2)
+    path = str(tmp_path)
+    spark.createDataFrame([(i, t, *[None] * 10) for i, t in rows], KIND).repartition(3).write.parquet(f"{path}/documents.parquet")
+    got = Q.op9_simhash(spark, path).collect()
+    prints = {t: simhash_of(t) for _, t in rows}
+    reach = {t: {u for u in prints if (prints[t] ^ prints[u]).bit_count() <= 2} for t in prints}
+    changed = True
+    while changed:
+        changed = False
+        for t in reach:
+            more = set().union(*(reach[u] for u in reach[t]))
+            if more != reach[t]:
+                reach[t], changed = more, True
+    want = [(i, f"{prints[t]:016x}", min((j for j, u in rows if u in reach[t] and j is not None), default=None)) for i, t in rows]
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(want, key=repr)
+    assert any(i is None and c is not None for i, _, c in want)
+
+
+def simhash_of(text: str) -> int:
+    w = low(text).split()
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]), 42) for i in range(len(w) - 2)]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
 def test_bpe(spark, folder, texts):
     import base64
 
@@ -528,9 +599,11 @@ def test_packing_ids_of_composed_capitals():
 @pytest.mark.parametrize(
     "text, labels, permissive",
     [
-        ("SPDX-License-Identifier: Apache-2.0", "apache-2", True), ("// SPDX-License-Identifier: MIT OR GPL-2.0-only\nrest", "gpl-2.0-only,mit", True), ("SPDX-License-Identifier: Foo-1.0", "", None),
+        ("SPDX-License-Identifier: Apache-2.0", "apache-2", True), ("// SPDX-License-Identifier: MIT OR GPL-2.0-only\nrest", "gpl-2.0-only,mit", True), ("SPDX-License-Identifier: Foo-1.0", "other:foo-1.0", None),
         ("x SPDX-License-Identifier: MIT AND AGPL-3.0-only */", "agpl-3.0-only,mit", False), ("SPDX license\nidentifier MIT", "mit", True), ("spdx-license-identifier: GPL-2.0 WITH Classpath-exception-2.0", "gpl-2.0 with classpath-exception-2.0", False),
         ("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: ISC", "isc,mit", True), ("SPDX-License-Identifier:", "", None), ("é SPDX-License-Identifier: LicenseRef-own", "licenseref-own", False), ("Apache License, Version 2.0; SPDX-License-Identifier: Apache-2.0", "apache-2", True),
+        ("SPDX-License-Identifier: MIT AND AFL-3.0", "mit,other:afl-3.0", None), ("SPDX-License-Identifier: LGPL-2.0-only OR MIT", "mit,other:lgpl-2.0-only", True), ("SPDX-License-Identifier: BSD-4-Clause", "other:bsd-4-clause", None),
+        ("SPDX-License-Identifier: GPL-3.0-only AND (AFL-3.0 OR MIT)", "gpl-3.0-only,mit,other:afl-3.0", False), ("SPDX-License-Identifier: MIT AND", "", None),
         ("under the MIT license", "mit", None), ("GNU General Public License version 3", "gpl-3.0", None), (None, "", None),
     ],
 )
