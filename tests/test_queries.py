@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from conftest import SF, same_rows
 
-from provlog.plans import queries, verification  # noqa: F401
+from provlog.plans import operations, queries, verification  # noqa: F401
 from provlog.plans.registry import ORACLE_SQL, QUERIES
 
 
