@@ -132,15 +132,17 @@ def level_dial(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def class_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every class with all it is a kind of."""
-    return Vocabulary.built_in().closure_table(spark)
+    """Every class with all it is a kind of, and how many entries of the events are of it."""
+    entries = derived.events(spark, sf_dir).groupBy(F.concat(F.lit(LOG), "name").alias("class")).agg(F.count("*").alias("entries"))
+    closure = F.broadcast(Vocabulary.built_in().closure_table(spark))  # as large as the vocabulary
+    return entries.join(closure, "class", "right").select("class", "ancestor", "distance", F.coalesce("entries", F.lit(0)).alias("entries"))
 
 
 def _closure_sql() -> str:
     rows = ", ".join(f"('{c}', '{p}')" for c, ps in Vocabulary.built_in().parents.items() for p in ps)
-    return f"""WITH RECURSIVE up(class, parent) AS (VALUES {rows}), walk(class, ancestor, distance) AS (
+    return F1.replace("WITH ", "WITH RECURSIVE ", 1) + f""", n AS (SELECT '{LOG}' || name AS class, count(*) AS entries FROM f1 GROUP BY ALL), up(class, parent) AS (VALUES {rows}), walk(class, ancestor, distance) AS (
         SELECT class, class, CAST(0 AS BIGINT) FROM up UNION SELECT w.class, u.parent, w.distance + 1 FROM walk w JOIN up u ON u.class = w.ancestor)
-        SELECT class, ancestor, distance FROM walk"""
+        SELECT class, ancestor, distance, coalesce(entries, 0) AS entries FROM walk LEFT JOIN n USING (class)"""
 
 
 register(_closure_sql())(class_closure)

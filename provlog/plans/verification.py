@@ -404,17 +404,18 @@ def stream_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.where(agent | F.col("p").isin(LOG + "invoked", LOG + "capability", LOG + "undeclaredKey", SIG + "contentHash")).select("graph", "s", "p", "o")
 
 
-@register(f"""SELECT * FROM (VALUES ('urn:log:config', '{RDF}type', '{LOG}Config', 'iri'), ('urn:log:config', '{LOG}level', '{LOG}debug', 'iri'), ('urn:log:config', '{LOG}destination', '{LOG}console', 'iri'), ('urn:log:config', '{LOG}directory', '.', 'literal'),
+@register(F1 + f""", w AS (SELECT max(segment) AS sg, max_by(instance, segment) AS ins FROM f1) SELECT replace(replace(s, 'urn:inst:serve-9', ins), 'urn:log:s', sg) AS s, p, replace(replace(o, 'urn:inst:serve-9', ins), 'urn:log:s', sg) AS o, o_kind FROM w, (VALUES ('urn:log:config', '{RDF}type', '{LOG}Config', 'iri'), ('urn:log:config', '{LOG}level', '{LOG}debug', 'iri'), ('urn:log:config', '{LOG}destination', '{LOG}console', 'iri'), ('urn:log:config', '{LOG}directory', '.', 'literal'),
     ('urn:log:config', '{LOG}instance', 'urn:inst:serve', 'iri'), ('urn:log:config', '{LOG}sealCadence', 'urn:log:config#seal', 'iri'), ('urn:log:config', '{LOG}rotationCadence', 'urn:log:config#rotation', 'iri'), ('urn:log:config#seal', '{RDF}type', '{LOG}Cadence', 'iri'),
     ('urn:log:config#seal', '{LOG}everyEntries', '5', 'literal'), ('urn:log:config#seal', '{LOG}unbounded', '{LOG}everyMillis', 'iri'), ('urn:log:config#rotation', '{RDF}type', '{LOG}Cadence', 'iri'), ('urn:log:config#rotation', '{LOG}everyEntries', '100000', 'literal'),
     ('urn:log:config#rotation', '{LOG}everyMillis', '86400000', 'literal'), ('urn:log:config', '{LOG}currentSegment', 'urn:log:s', 'iri'), ('urn:inst:serve', '{RDF}type', '{LOG}Instance', 'iri'), ('urn:log:s', '{RDF}type', '{LOG}Segment', 'iri'),
     ('urn:log:s', '{LOG}level', '{LOG}debug', 'iri'), ('urn:log:s', '{PROV}wasAttributedTo', 'urn:inst:serve-9', 'iri'), ('urn:inst:serve-9', '{RDF}type', '{LOG}Instance', 'iri'), ('urn:inst:serve-9', '{LOG}configuredInstance', 'urn:inst:serve', 'iri')) AS t(s, p, o, o_kind)""")
 def config_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A configuration of two layers as a graph, with the segment that is open."""
+    """A configuration of two layers as a graph, with the last segment of the events as the one that is open."""
     from provlog import config
 
     c = config.merged(config.merged(config.Config(), {"level": "warn", "instance": "serve", "seal": {"entries": 5}}), {"level": "debug", "destination": "console", "seal": {"millis": "never"}})
-    return config.graph(spark, c, segment=("urn:log:s", "urn:inst:serve-9")).select("s", "p", "o", "o_kind")
+    last = derived.events(spark, sf_dir).agg(F.max(F.struct("segment", "instance")).alias("s")).select("s.*").first()  # one row
+    return config.graph(spark, c, segment=tuple(last)).select("s", "p", "o", "o_kind")
 
 
 @register(TRACE + ", d AS (SELECT CASE WHEN event_id % 41 = 0 THEN 'write-failed' WHEN event_id % 43 = 0 THEN 'reentrant' WHEN event_id % 47 = 0 THEN 'panicked' WHEN NOT writable THEN 'unwritable' END AS reason FROM tr) SELECT '2026-01-01T00:00:00.000Z' AS time, '" + LOG + "Dropped' AS class, ' count=' || count(*) || ' reason=' || reason AS tail FROM d WHERE reason IS NOT NULL GROUP BY reason")
