@@ -99,8 +99,12 @@ def transrept(
     """Triples of a folder's segments.  strict: a line that can't be read is an error; else the segment that holds it is left out."""
     given(since=since, until=until)
     v = vocabulary or Vocabulary.built_in()
-    headers, lines = segments.opened(segments.one_of_each(segments.read(spark, directory)))
-    headers = headers.where("error is null")
+    headers, lines = segments.opened(segments.read(spark, directory), by_file=True)
+    headers = written(headers.where("error is null"), "headers")  # parsed once
+    one = headers.groupBy("name").agg(F.min("segment").alias("segment"))  # of files that state one name the first by path
+    headers = headers.join(one.select("segment"), "segment", "left_semi")
+    lines = lines.join(one, "segment").drop("segment").withColumnRenamed("name", "segment")
+    headers = headers.drop("segment").withColumnRenamed("name", "segment")
     if graphs is not None:
         headers, lines = headers.where(F.col("segment").isin(graphs)), lines.where(F.col("segment").isin(graphs))
     e, seals, wrong = read_entries(lines, headers, since, until, first, last)

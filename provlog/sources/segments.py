@@ -157,13 +157,6 @@ def opened(files: DataFrame, by_file: bool = False) -> tuple[DataFrame, DataFram
     return headers, body(rows.select("segment", "prefixes", "head", (F.col("at") + 1).cast("long").alias("line_no"), "raw"))
 
 
-def one_of_each(files: DataFrame) -> DataFrame:
-    """Of files that state one name the first by path; files that can't be read stay."""
-    named = catalog(files).select("file", F.when(F.col("error").isNull(), F.col("segment")).alias("name"))
-    first = named.where("name is not null").groupBy("name").agg(F.min("file").alias("file"))
-    return files.join(first.select("file").unionByName(named.where("name is null").select("file")), "file", "left_semi")
-
-
 def body(rows: DataFrame) -> DataFrame:
     """segment, line_no, raw, kind, prefixes of the lines after the header; rows: the same with head, the header's lines."""
     rows = rows.where("line_no > head").withColumn("raw", F.regexp_replace("raw", r"\r+\z", ""))
