@@ -164,6 +164,20 @@ def requested(requests: DataFrame, prefix: str = "log") -> DataFrame:
     return r.withColumn("tail", X.render_fields(F.col("fields")))
 
 
+def denials(refusals: DataFrame, prefix: str = "log") -> DataFrame:
+    """Refusals (instance, ms, capability, action, principal; the last may be null) as entries that :func:`write_entries` takes.
+
+    A refused caller can't log its own refusal, so these are the log's, at every level: about the segment in which each lands, with
+    the principal if it is known, what was lacking and what was asked for.  Other columns stay, to order by.
+    """
+    field = lambda k, c: F.struct(F.lit(k).alias("key"), F.col(c).alias("value"))
+    fields = F.filter(F.array(field("principal", "principal"), field("denied", "capability"), field("reason", "action")), lambda f: f["value"].isNotNull())
+    return refusals.withColumns({
+        "time": X.time_string(F.col("ms")), "class": F.lit(LOG + "CapabilityDenied"), "curie": F.lit(prefix + ":CapabilityDenied"),
+        "subject": F.lit(None).cast("string"), "fields": fields, "tail": X.render_fields(fields),
+    })
+
+
 def write_entries(
     entries: DataFrame, cadence: Cadence | None = None, order: list[str] | None = None, level: str = "info", classes: DataFrame | None = None,
     config: C.Config | None = None, predecessors: DataFrame | None = None, sink: Callable | None = None,

@@ -191,11 +191,15 @@ def all_values(fields: Column, key: str) -> Column:
     return F.transform(F.filter(fields, lambda f: f["key"] == key), lambda f: f["value"])
 
 
+def unsigned(digits: Column) -> Column:
+    """An unsigned number of 64 bits; null where it is none."""
+    n = F.when(digits.rlike(r"^\+?[0-9]+$"), digits.try_cast("decimal(38,0)"))
+    return F.when(n <= F.lit("18446744073709551615").cast("decimal(20,0)"), n.cast("decimal(20,0)"))
+
+
 def stated_sequence(fields: Column) -> Column:
     """The first seq as an unsigned number of 64 bits; null where it is none."""
-    v = first_value(fields, "seq")
-    n = F.when(v.rlike(r"^\+?[0-9]+$"), v.try_cast("decimal(38,0)"))
-    return F.when(n <= F.lit("18446744073709551615").cast("decimal(20,0)"), n.cast("decimal(20,0)"))
+    return unsigned(first_value(fields, "seq"))
 
 
 def is_entry(line: Column, e: Column) -> Column:
@@ -211,7 +215,7 @@ def parse_seal(line: Column) -> Column:
     sign = F.get(parts, 3)
     tagged = sign.rlike("^[^:]+:.+$")
     return F.struct(
-        F.get(bounds, 0).try_cast("bigint").alias("first"), F.get(bounds, 1).try_cast("bigint").alias("last"), F.get(parts, 2).alias("hash"), sign.alias("signature"),
+        unsigned(F.get(bounds, 0)).alias("first"), unsigned(F.get(bounds, 1)).alias("last"), F.get(parts, 2).alias("hash"), sign.alias("signature"),
         F.when(tagged, F.substring_index(sign, ":", 1)).alias("sig_alg"), F.when(tagged, F.substring(sign, F.instr(sign, ":") + F.lit(1), F.length(sign))).otherwise(sign).alias("sig_value"),
     )
 

@@ -37,15 +37,17 @@ from provlog.operators.writer import tagged
 from provlog.sources.tables import written
 from provlog.vocabulary import LOG, Vocabulary
 
-FINDING = "struct<kind: string, breaking: boolean, a: bigint, b: bigint, c: bigint, x: string, y: string>"
+#: Sequences, places and bounds: unsigned numbers of 64 bits.
+NUMBER = "decimal(20,0)"
+FINDING = f"struct<kind: string, breaking: boolean, a: {NUMBER}, b: {NUMBER}, c: {NUMBER}, x: string, y: string>"
 NOTED = ("UnmarkedEnd", "UnsealedTail")
-CHANGES = "array<struct<at: bigint, from: string, to: string>>"
+CHANGES = f"array<struct<at: {NUMBER}, from: string, to: string>>"
 
 
 def finding(kind: str, a=None, b=None, c=None, x=None, y=None) -> Column:
     of = lambda v, t: (F.lit(v) if v is None or isinstance(v, (str, int)) else v).cast(t)
     return F.struct(
-        F.lit(kind).alias("kind"), F.lit(kind not in NOTED).alias("breaking"), of(a, "bigint").alias("a"), of(b, "bigint").alias("b"), of(c, "bigint").alias("c"), of(x, "string").alias("x"), of(y, "string").alias("y")
+        F.lit(kind).alias("kind"), F.lit(kind not in NOTED).alias("breaking"), of(a, NUMBER).alias("a"), of(b, NUMBER).alias("b"), of(c, NUMBER).alias("c"), of(x, "string").alias("x"), of(y, "string").alias("y")
     ).cast(FINDING)
 
 
@@ -59,14 +61,14 @@ def scanned(lines: DataFrame) -> DataFrame:
     e = X.parse_entry(F.col("raw"), F.col("prefixes"))
     p = lines.withColumns({"e": F.when(F.col("kind") == "entry", e), "seal": F.when((F.col("kind") == "seal"), X.parse_seal(F.col("raw")))})
     p = p.withColumns({"is_entry": (F.col("kind") == "entry") & X.is_entry(F.col("raw"), F.col("e")), "is_seal": (F.col("kind") == "seal") & X.is_seal(F.col("raw"), F.col("seal"))})
-    stated = F.when(F.col("is_entry"), X.stated_sequence(F.col("e.fields")).try_cast("bigint"))
+    stated = F.when(F.col("is_entry"), X.stated_sequence(F.col("e.fields")))
     p = p.withColumns({"bad": F.col("kind").isin("entry", "seal", "directive") & ~F.col("is_entry") & ~F.col("is_seal"), "stated": stated})
     order = W.partitionBy("segment").orderBy("line_no")
     here, before = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(W.unboundedPreceding, -1)
-    p = p.withColumn("own", F.when(F.col("is_entry"), F.coalesce("stated", F.sum(F.col("is_entry").cast("long")).over(here))))
-    p = p.withColumn("position", F.coalesce(F.last("own", True).over(here), F.lit(0).cast("long")))
+    p = p.withColumn("own", F.when(F.col("is_entry"), F.coalesce("stated", F.sum(F.col("is_entry").cast("long")).over(here).cast(NUMBER))))
+    p = p.withColumn("position", F.coalesce(F.last("own", True).over(here), F.lit(0).cast(NUMBER)))
     p = p.withColumns({
-        "covered": F.coalesce(F.last(F.when(F.col("is_seal"), F.col("position")), True).over(before), F.lit(0).cast("long")),
+        "covered": F.coalesce(F.last(F.when(F.col("is_seal"), F.col("position")), True).over(before), F.lit(0).cast(NUMBER)),
         "previous": F.last("stated", True).over(before),
     })
     seal = F.when(F.col("is_seal"), F.col("seal")).alias("seal")
@@ -99,12 +101,12 @@ def seal_mismatches(rows: DataFrame, headers: DataFrame) -> DataFrame:
                 yield segment, first, last, text, head
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batched(folded(rows_of(batches)), pa.schema([("segment", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("x", pa.string()), ("y", pa.string())]))
+        yield from batched(folded(rows_of(batches)), pa.schema([("segment", pa.string()), ("first", pa.decimal128(20, 0)), ("last", pa.decimal128(20, 0)), ("x", pa.string()), ("y", pa.string())]))
 
-    none = F.lit(None).cast("long")
-    start = headers.where("h0 is not null").select("segment", F.lit(0).alias("kind"), none.alias("line_no"), none.alias("first"), none.alias("last"), F.col("h0").alias("text"))
+    none = F.lit(None).cast(NUMBER)
+    start = headers.where("h0 is not null").select("segment", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("line_no"), none.alias("first"), none.alias("last"), F.col("h0").alias("text"))
     each = rows.where("is_entry or is_seal").select("segment", F.when(F.col("is_entry"), 1).otherwise(2).alias("kind"), "line_no", F.col("seal.first").alias("first"), F.col("seal.last").alias("last"), F.coalesce("seal.hash", "raw").alias("text"))
-    found = in_order(start.unionByName(each), "line_no", "kind").select("segment", "kind", "first", "last", "text").mapInArrow(run, "segment string, first long, last long, x string, y string")
+    found = in_order(start.unionByName(each), "line_no", "kind").select("segment", "kind", "first", "last", "text").mapInArrow(run, f"segment string, first {NUMBER}, last {NUMBER}, x string, y string")
     return exploded(found, finding("SealMismatch", F.col("first"), F.col("last"), None, F.col("x"), F.col("y")))
 
 
@@ -152,7 +154,7 @@ def interval_mismatches(lines: DataFrame, headers: DataFrame) -> DataFrame:
 
     dealt = rows.repartition("segment", "to").sortWithinPartitions("segment", "to", "kind", "line_no")
     doubtful = written(dealt.select("segment", "kind", "text", "hash").mapInArrow(run, "segment string").distinct(), "doubtful")
-    again = entries.select("segment", "line_no", "raw", F.lit(True).alias("is_entry"), F.lit(False).alias("is_seal"), F.lit(None).cast("struct<first: bigint, last: bigint, hash: string>").alias("seal"))
+    again = entries.select("segment", "line_no", "raw", F.lit(True).alias("is_entry"), F.lit(False).alias("is_seal"), F.lit(None).cast(f"struct<first: {NUMBER}, last: {NUMBER}, hash: string>").alias("seal"))
     again = again.unionByName(seals.select("segment", "line_no", none.alias("raw"), F.lit(False).alias("is_entry"), F.lit(True).alias("is_seal"), F.struct("first", "last", "hash").alias("seal")))
     return seal_mismatches(again.join(doubtful, "segment", "left_semi"), headers.join(doubtful, "segment", "left_semi"))
 

@@ -40,6 +40,10 @@ def header(segment: str, instance: str, level: str, started: str, prev: str) ->
     )
 
 
+class NoName(ValueError):
+    """Each name of a second is taken."""
+
+
 @dataclass
 class Cadence:
     """Seals after ``entries`` or ``millis``; rotation after ``max_entries`` or ``max_millis``.  None: never."""
@@ -82,6 +86,7 @@ class Segments:
         self.name, self.head, self.started = "", "genesis", ""
         self.names: dict[str, int] = {}
         self.line_no = self.seq = self.sealed = self.opened = self.since = 0
+        self.failed = False  # whether a rotation failed, and none came out since
         self.out: list[tuple[str, int, str]] = []  # each line that isn't handed over yet
         if predecessor is not None:
             self.head, self.started, self.opened = predecessor.head, predecessor.started, millis(predecessor.started)
@@ -92,7 +97,7 @@ class Segments:
 
     def state(self) -> dict:
         """What a writer must remember between entries."""
-        return {k: getattr(self, k) for k in ("name", "head", "started", "names", "line_no", "seq", "sealed", "opened", "since")} | {"predecessor": self.predecessor and asdict(self.predecessor)}
+        return {k: getattr(self, k) for k in ("name", "head", "started", "names", "line_no", "seq", "sealed", "opened", "since", "failed")} | {"predecessor": self.predecessor and asdict(self.predecessor)}
 
     def restore(self, state: dict) -> Segments:
         for k, v in state.items():
@@ -111,7 +116,7 @@ class Segments:
         stem = self.stem(time)
         n = self.names.get(stem, 0)
         if n > SUFFIXES:
-            raise ValueError(f"{stem}: more than {SUFFIXES} segments in a second")
+            raise NoName(f"{stem}: more than {SUFFIXES} segments in a second")
         return stem if n == 0 else f"{stem}-{n}"
 
     def open(self, time: str, ms: int) -> None:
@@ -148,21 +153,34 @@ class Segments:
         self.sealed, self.since = self.seq, ms
 
     def rotate(self, time: str, ms: int) -> None:
-        """End the segment, naming its successor, and open that one."""
-        time, ms = max(time, self.started), max(ms, self.opened)
-        self.entry(time, ms, "log:Rotation", self.name, f" next={self.following(time)}")
+        """End the segment, naming its successor, and open that one.
+
+        Where the second has no name left, the segment stays open: a rotation that fails loses no entry.  It is tried again at
+        each entry, and noted once until one comes out.
+        """
+        noted, time, ms = time, max(time, self.started), max(ms, self.opened)
+        try:
+            following = self.following(time)
+        except NoName as e:
+            if not self.failed:
+                self.failed = True
+                self.entry(noted, ms, "log:Error", self.name, f' reason=rotation-failed msg="{e}"')
+            return
+        self.failed = False
+        self.entry(time, ms, "log:Rotation", self.name, f" next={following}")
         self.seal(ms)
         self.open(time, ms)
 
     def add(self, time: str, ms: int, curie: str | None, subject: str | None, tail: str | None) -> list[tuple[str, int, str]]:
         """Write an entry, and rotate right after it where that makes it due.
 
-        Without a curie it is one that the level leaves out: nothing is written, but its time can make a rotation due.
+        Without a curie it is one that the level leaves out: nothing is written, but its time can make a rotation due.  Without a
+        subject it is about the segment in which it lands.
         """
         if not self.name:
             self.open(time, ms)
         if curie is not None:
-            self.entry(time, ms, curie, subject, tail)
+            self.entry(time, ms, curie, self.name if subject is None else subject, tail)
         if self.cadence.rotation_due(self.seq, max(0, ms - self.opened)):
             self.rotate(time, ms)
         return self.flush()
@@ -184,7 +202,8 @@ def write_lines(
     """instance, segment, line_no, line of the segments that entries become.
 
     entries: instance, time, ms, curie, subject, tail (rendered fields without the sequence), and the columns of order.  A null
-    curie stands for an entry that the level leaves out, whose time may still make a rotation due.
+    curie stands for an entry that the level leaves out, whose time may still make a rotation due; a null subject for the segment
+    in which the entry lands.
     predecessors: instance, name, level, head, started of the chains that go on (see :func:`tails`).
     """
 

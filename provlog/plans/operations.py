@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from provlog import api
 from provlog.functions import text as X
 from provlog.operators import verify
+from provlog.operators.writer import Cadence, write_lines
 from provlog.plans.registry import F1, F2, register
-from provlog.plans.verification import GAPS, ROTATED, filed, rotated, with_gaps
+from provlog.plans.verification import GAPS, MAX_ENTRIES, ROTATED, filed, rotated, with_gaps
 from provlog.sources import derived, segments
 from provlog.sources.tables import written
 from provlog.vocabulary import LOG, Vocabulary
@@ -99,3 +101,53 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     report, found = verify.verify(headers, lines, Vocabulary.built_in())
     t = verify.text_report(report, found).where("ord = 0 or segment is null")
     return t.select("segment", F.when(F.col("segment").isNull(), F.col("line")).otherwise(F.array_join(F.slice(F.split("line", " "), 1, 3), " ")).alias("told"))
+
+
+@register(F1 + """, v AS (SELECT segment, user_id % 3 = 0 AS gap, user_id % 5 = 0 AS wide, CASE WHEN user_id % 2 = 0 THEN 18446744073709000000::HUGEINT ELSE 9223372036854775000::HUGEINT END AS base, max(seq) AS n,
+        max(seq) FILTER (WHERE NOT (user_id % 3 = 0 AND seq = 3)) AS through FROM f1 GROUP BY segment, user_id)
+    SELECT segment, 'SealRangeGap' AS kind, '0' AS a, CAST(base + 1 AS VARCHAR) AS b, CAST(NULL AS VARCHAR) AS c FROM v
+    UNION ALL SELECT segment, 'SealRangeMismatch', CAST(base + 1 AS VARCHAR), CAST(base + n + CAST(wide AS INT) AS VARCHAR), CAST(base + through AS VARCHAR) FROM v WHERE n + CAST(wide AS INT) <> through
+    UNION ALL SELECT segment, 'SequenceGap', CAST(base + 2 AS VARCHAR), CAST(base + 4 AS VARCHAR), NULL FROM v WHERE gap AND n >= 4""")
+def verify_unsigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings about sequences and bounds of seals on both sides of 2^63: all unsigned numbers of 64 bits are read."""
+    e, u = derived.events(spark, sf_dir), F.col("user_id")
+    base = F.when(u % 2 == 0, "18446744073709000000").otherwise("9223372036854775000").cast("decimal(20,0)")
+    stated = (base + F.col("seq")).cast("decimal(20,0)").cast("string")
+    body = e.where(~((u % 3 == 0) & (F.col("seq") == 3))).select("segment", F.col("seq").alias("line_no"), F.concat_ws(" ", "time", F.lit("log:Message"), "subject", F.concat(F.lit("seq="), stated)).alias("raw"))
+    ends = e.groupBy("segment", "user_id").agg(F.max("seq").alias("n")).withColumns({"one": (base + 1).cast("string"), "last": (base + F.col("n") + (u % 5 == 0).cast("int")).cast("decimal(20,0)").cast("string")})
+    seals = ends.select("segment", (F.col("n") + 1).alias("line_no"), F.concat(F.lit("#seal "), "one", F.lit("-"), "last", F.lit(" sha256:0")).alias("raw"))
+    lines = body.unionByName(seals).withColumns({"kind": X.line_kind(F.col("raw")), "prefixes": derived.prefixes()})
+    found = verify.line_findings(written(verify.scanned(lines), "scanned"))
+    return found.select("segment", "kind", *[F.col(c).cast("string").alias(c) for c in "abc"])
+
+
+@register(ROTATED + """, d AS (SELECT segment, i + 1 AS seq, r.time AS time, regexp_extract(r.t, ' principal=([^ ]+)', 1) AS principal, regexp_extract(r.t, ' cap=([^ ]+)', 1) AS cap
+        FROM (SELECT segment, unnest(rows) AS r, generate_subscripts(rows, 1) AS i FROM k))
+    SELECT segment, time || ' log:CapabilityDenied ' || segment || ' seq=' || seq || CASE WHEN principal <> 'anon' THEN ' principal=' || principal ELSE '' END || ' denied=' || cap || ' reason="read ' || time || '"' AS line FROM d""")
+def denial_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refusals as the log notes them, each about the segment in which it lands, which rotation decides."""
+    e = derived.entries(spark, sf_dir)
+    principal = X.first_value(F.col("fields"), "principal")
+    refused = e.select("instance", "ms", "seq", F.when(principal != "anon", principal).alias("principal"), X.first_value(F.col("fields"), "cap").alias("capability"), F.concat(F.lit("read "), "time").alias("action"))
+    lines = api.write_entries(api.denials(refused), Cadence(None, None, MAX_ENTRIES, None), ["seq"], level="error")
+    return lines.where(F.col("line").contains(" log:CapabilityDenied ")).select("segment", "line")
+
+
+BLOCK = 130
+
+
+@register(F1 + f""", k AS (SELECT 'urn:inst:' || event_type || '-' || user_id // 10 AS instance, row_number() OVER (PARTITION BY event_type, user_id // 10 ORDER BY ms, event_id) AS k FROM f1),
+    b AS (SELECT instance, (k - 1) // {BLOCK} AS b, count(*) AS n FROM k GROUP BY ALL)
+    SELECT instance, CAST(sum(CASE WHEN b = 0 THEN least(n + 1, 101) ELSE least(n, 101) END) AS BIGINT) AS segments, count(*) FILTER (WHERE n > CASE WHEN b = 0 THEN 100 ELSE 101 END) AS noted FROM b GROUP BY instance""")
+def failed_rotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments and noted failures where each entry makes a rotation due and 130 entries share a second, which has 101 names.
+
+    When these are used up entries go on in the segment that is open, and one error notes it, until the next second has names again.
+    """
+    e = derived.entries(spark, sf_dir).withColumn("instance", F.concat(F.lit("urn:inst:"), "event_type", F.lit("-"), F.floor(F.col("user_id") / 10).cast("string")))
+    e = e.withColumn("k", F.row_number().over(W.partitionBy("instance").orderBy("ms", "event_id")).cast("long"))
+    ms = (F.floor((F.col("k") - 1) / BLOCK) + 1) * 1000
+    rows = e.select("instance", X.time_string(ms).alias("time"), ms.alias("ms"), F.lit("log:Message").alias("curie"), "subject", F.lit("").alias("tail"), "k")
+    lines = write_lines(rows, Cadence(None, None, 2, None), ["k"])
+    noted = F.count_if(F.col("line").contains(" log:Error ") & F.col("line").contains(" reason=rotation-failed "))
+    return lines.groupBy("instance").agg(F.countDistinct("segment").alias("segments"), noted.alias("noted"))

@@ -283,7 +283,7 @@ SIGNED = """CASE WHEN contains(signature, ':') THEN split_part(signature, ':', 1
 @register(SEALS + f"""SELECT segment, first, "last", hash, signature, {SIGNED} FROM f3""")
 def parse_seals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seals parsed back from their lines."""
-    return seals(spark, sf_dir).select("segment", X.parse_seal(F.col("line")).alias("s")).select("segment", "s.*")
+    return seals(spark, sf_dir).select("segment", X.parse_seal(F.col("line")).alias("s")).select("segment", F.col("s.first").cast("long").alias("first"), F.col("s.last").cast("long").alias("last"), "s.hash", "s.signature", "s.sig_alg", "s.sig_value")
 
 
 @register(SEALS + f""", n AS (SELECT *, segment || ':seal:' || first || '-' || "last" AS s, {SIGNED} FROM f3), t AS (SELECT segment AS graph, s, unnest(['{RDF}type', '{LOG}segment', '{LOG}first', '{LOG}last', '{SIG}contentHash', '{SIG}algorithm', '{SIG}value']) AS p,

@@ -22,6 +22,11 @@ from provlog.vocabulary import LOG, MAGIC, PROV, RDF, SIG, Vocabulary
 LAST_LINE = 1_000_000_000
 
 
+def narrow(rows: DataFrame) -> DataFrame:
+    """rows whose sequences and places, far below 2^63 in these tables, are longs."""
+    return rows.select(*[F.col(c).cast("long").alias(c) if kind.startswith("decimal") else F.col(c) for c, kind in rows.dtypes])
+
+
 def tampered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(headers, lines) of one sealed segment for each user, changed in a way that user_id % 10 decides."""
     e = written(derived.entries(spark, sf_dir).select("user_id", "segment", "seq", "name", "line"), "entries")  # rendered once
@@ -72,7 +77,7 @@ NONE = "CAST(NULL AS BIGINT)"
 def verify_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in segments that were tampered with in ten ways."""
     headers, lines = tampered(spark, sf_dir)
-    return verify.verify(headers, lines, Vocabulary.built_in())[1]
+    return narrow(verify.verify(headers, lines, Vocabulary.built_in())[1])
 
 
 @register(TAMPERED + f"""SELECT segment, entries, seals, position, sealed, coalesce(w2.head, h0) AS head, last_class, coalesce(ended_at = position AND sealed >= position, FALSE) AS finished FROM w2 JOIN h USING (segment)""")
@@ -80,7 +85,7 @@ def segment_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each tampered segment says of itself."""
     headers, lines = tampered(spark, sf_dir)
     r = verify.reports(verify.scanned(lines), headers, Vocabulary.built_in())
-    return r.select("segment", "entries", "seals", "position", F.col("sealed_through").alias("sealed"), "head", "last_class", "finished")
+    return narrow(r.select("segment", "entries", "seals", "position", F.col("sealed_through").alias("sealed"), "head", "last_class", "finished"))
 
 
 MAX_ENTRIES = 20
@@ -143,7 +148,7 @@ GAPS = ROTATED + ", o AS (SELECT *, user_id % 4 AS u, count(*) OVER (PARTITION B
 def verify_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in chains of segments from which some are missing; a missing oldest one leaves no trace."""
     headers, lines = with_gaps(spark, sf_dir)
-    return verify.verify(headers, lines, Vocabulary.built_in())[1]
+    return narrow(verify.verify(headers, lines, Vocabulary.built_in())[1])
 
 
 @register(GAPS + "SELECT segment, row_number() OVER (PARTITION BY user_id ORDER BY n) AS place FROM o WHERE NOT ((u = 1 AND n = 1) OR (u = 2 AND n = parts - 1) OR (u = 3 AND n = 0))")
@@ -307,7 +312,7 @@ def leveled(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT s || 2, 'UnexpectedGenesis', TRUE, NULL, NULL, NULL, s || 1, NULL FROM u WHERE k = 3 UNION ALL SELECT s || 3, 'MissingSuccessor', TRUE, NULL, NULL, NULL, 'urn:log:gone', NULL FROM u WHERE k = 4""")
 def verify_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Level changes that nothing records, however long the recorded path, and chains that begin anew."""
-    return verify.chain_findings(written(leveled(spark, sf_dir), "leveled"))
+    return narrow(verify.chain_findings(written(leveled(spark, sf_dir), "leveled")))
 
 
 @register(F1 + """, u AS (SELECT DISTINCT user_id, user_id % 5 AS k FROM f1) SELECT 'urn:inst:u' || user_id AS instance, CAST(3 AS BIGINT) AS segments, CAST(CASE k WHEN 1 THEN 2 WHEN 3 THEN 2 WHEN 4 THEN 2 ELSE 0 END AS BIGINT) AS broken, k IN (0, 2) AS ok FROM u""")
@@ -467,7 +472,7 @@ def probe_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verify_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seals that don't state their chain's head, found by folding what stands between seals by itself."""
     headers, lines = tampered(spark, sf_dir)
-    return verify.interval_mismatches(written(lines, "lines"), headers)
+    return narrow(verify.interval_mismatches(written(lines, "lines"), headers))
 
 
 @register(F1 + """, n AS (SELECT user_id, count(*) AS n FROM f1 GROUP BY user_id) SELECT user_id, seq, CASE user_id % 4 WHEN 0 THEN seq WHEN 1 THEN n - seq + 1

@@ -205,20 +205,20 @@ class StreamWriter(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.writer = handle.getValueState("writer", "name string, head string, started string, stem string, taken int, line_no long, seq long, sealed long, opened long, since long")
+        self.writer = handle.getValueState("writer", "name string, head string, started string, stem string, taken int, line_no long, seq long, sealed long, opened long, since long, failed boolean")
         self.waiting = handle.getListState("waiting", ", ".join(f"{c} {'string' if c in TEXTS else 'long'}" for c in self.columns))
 
     def write(self, instance: str, rows: pd.DataFrame) -> pd.DataFrame:
         w = Segments(instance, self.level, self.cadence)
         if self.writer.exists():
-            name, head, started, stem, taken, *numbers = self.writer.get()
-            w.restore({"name": name, "head": head, "started": started, "names": {stem: taken}} | dict(zip(("line_no", "seq", "sealed", "opened", "since"), numbers)))
+            name, head, started, stem, taken, *others = self.writer.get()
+            w.restore({"name": name, "head": head, "started": started, "names": {stem: taken}} | dict(zip(("line_no", "seq", "sealed", "opened", "since", "failed"), others)))
         out, rows = [], rows.sort_values(self.order, kind="stable")
         for time, ms, curie, subject, tail in zip(*(rows[c].tolist() for c in WRITTEN)):
             out += w.add(time, int(ms), curie, subject, tail)
         if w.name:
             (stem, taken), = w.names.items()
-            self.writer.update((w.name, w.head, w.started, stem, taken, w.line_no, w.seq, w.sealed, w.opened, w.since))
+            self.writer.update((w.name, w.head, w.started, stem, taken, w.line_no, w.seq, w.sealed, w.opened, w.since, w.failed))
         return pd.DataFrame([(instance, *line) for line in out], columns=["instance", "segment", "line_no", "line"])
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:

@@ -116,9 +116,34 @@ def test_segments_of_one_second(spark):
     w = Segments("urn:inst:a", "trace", Cadence(None, None, 1, None))
     names = [s for i in range(5) for s, n, _ in w.add("2024-01-01T00:00:00.000Z", 0, "log:Message", "urn:x:y", "") if n == 1]
     assert names == ["urn:log:a:2024-01-01T00-00-00Z", *[f"urn:log:a:2024-01-01T00-00-00Z-{i}" for i in range(1, 6)]]
-    with pytest.raises(ValueError, match="more than"):
-        for _ in range(200):
-            w.add("2024-01-01T00:00:00.000Z", 0, "log:Message", "urn:x:y", "")
+    # Where the second's names are used up the entries go on in the open segment, and one error notes it; the next second has names.
+    more = [r for _ in range(200) for r in w.add("2024-01-01T00:00:00.000Z", 0, "log:Message", "urn:x:y", "")]
+    last = f"{names[0]}-100"
+    assert len({s for s, _, _ in more}) == 96 and sum(" log:Message " in line for _, _, line in more) == 200
+    assert [(s, line) for s, _, line in more if " log:Error " in line] == [(last, f'2024-01-01T00:00:00.000Z log:Error {last} seq=3 reason=rotation-failed msg="{names[0]}: more than 100 segments in a second"')]
+    again = Segments("urn:inst:a", "trace", Cadence(None, None, 1, None)).restore(w.state()).add("2024-01-01T00:00:01.000Z", 1000, "log:Message", "urn:x:y", "")
+    assert again[-1][0] == "urn:log:a:2024-01-01T00-00-01Z" and [line for s, _, line in again if s == last][-2].endswith(" next=urn:log:a:2024-01-01T00-00-01Z")
+
+
+def test_refusals_are_about_the_segment_they_land_in(spark):
+    rows = [("urn:inst:a", 1000, "urn:cap:x", "read it", "urn:agent:b"), ("urn:inst:a", 2000, "urn:cap:y", "urn:do:that", None)]
+    r = api.denials(spark.createDataFrame(rows, "instance string, ms long, capability string, action string, principal string"))
+    lines = [x["line"] for x in api.write_entries(r, Cadence(None, None, 2, None), level="error").orderBy("segment", "line_no").collect() if "Denied" in x["line"]]
+    one, two = (f"urn:log:a:1970-01-01T00-00-01Z{n}" for n in ("", "-1"))
+    assert lines == [
+        f'1970-01-01T00:00:01.000Z log:CapabilityDenied {one} seq=2 principal=urn:agent:b denied=urn:cap:x reason="read it"',
+        f"1970-01-01T00:00:02.000Z log:CapabilityDenied {two} seq=2 denied=urn:cap:y reason=urn:do:that",
+    ]
+
+
+def test_bounds_and_sequences_are_unsigned_numbers_of_64_bits(spark):
+    from decimal import Decimal
+
+    top = (1 << 64) - 1
+    rows = [(f"#seal {a}-{b} sha256:x",) for a, b in ((1, top), (1 << 63, (1 << 63) + 5), (1, top + 1), (10**40, 10**41))]
+    s = X.parse_seal(F.col("r"))
+    got = [tuple(x) for x in spark.createDataFrame(rows, "r string").select(s["first"], s["last"], X.is_seal(F.col("r"), s)).collect()]
+    assert got == [(Decimal(1), Decimal(top), True), (Decimal(1 << 63), Decimal((1 << 63) + 5), True), (Decimal(1), None, False), (None, None, False)]
 
 
 def test_unreadable_lines_are_errors_unless_a_window_leaves_them_out(spark, tmp_path):
