@@ -11,7 +11,8 @@ largest identifier and the number of rows.
 Reading side: the same kind of filter over the digests that the index holds more than once is
 read before any text is shuffled.  Rows that it knows and that the index confirms are hits.
 The text of each hit is compared, byte by byte, with the text of its group's representative.
-A large group is dealt to parts of about ``PART`` rows, each with a copy of that text.  Hits
+A large group is dealt to parts of about ``PART`` rows, each with a copy of that text, and so
+are the rows of hot digests when they meet the index.  Hits
 whose bytes differ (a digest collision) are grouped by the bytes themselves.
 
 A filter has ``BITS`` bits for an entry, up to ``FILTER`` bits in all (8 MB), which bounds what
@@ -41,6 +42,8 @@ RUNS, FAN = 4, 2
 BITS, FILTER, BITMAP = 16, 1 << 26, 1 << 15
 #: Rows of a group that are compared with one copy of its text, about.
 PART = 1000
+#: A digest is hot if it holds one of this many parts of all rows, so there are no more hot ones than this.
+HOT = 10_000
 
 
 def sha256(body: Column) -> Column:
@@ -145,10 +148,22 @@ class Index:
         return known(rows, self.many, "maybe")
 
 
+def dealt(rows: DataFrame, groups: DataFrame, all_rows: int, how: str = "inner") -> DataFrame:
+    """rows joined with groups (digest, n and others) by digest; the rows of hot digests are dealt to parts of about PART rows by their id.
+
+    Hot digests are broadcast: at most HOT rows of 40 bytes, whatever the size of the tables.
+    """
+    hot = groups.where(F.col("n") >= max(2, -(-all_rows // HOT))).select("digest", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    salted = rows.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), "parts").cast("int"), F.lit(0))).drop("parts")
+    each = groups.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return salted.join(each, ["digest", "salt"], how).drop("salt")
+
+
 def verified_hits(docs: DataFrame, index: Index, keep: str, id_col: str, text_col: str, digest: Digest) -> DataFrame:
     """(id, digest, body, same): every row of a group of several, and whether its bytes are the representative's."""
-    many = index.many.entries.select("digest", F.col(keep).alias("keep_id"), F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    hits = written(index.maybe(bodies(docs, id_col, text_col, digest)).where("maybe").drop("maybe").join(many, "digest"), "hits")
+    many = index.many.entries.select("digest", F.col(keep).alias("keep_id"), "n")
+    hits = dealt(index.maybe(bodies(docs, id_col, text_col, digest)).where("maybe").drop("maybe"), many, index.rows.count())
+    hits = written(hits.withColumn("parts", F.ceil(F.col("n") / PART).cast("int")).drop("n"), "hits")
     hits = hits.withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     kept = hits.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "parts").agg(F.min("body").alias("kept_body"))
     kept = kept.select("digest", "kept_body", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -166,10 +181,10 @@ def exact_groups(
     checked = verified_hits(docs, index, keep, id_col, text_col, digest)
     rows = index.maybe(index.rows)
     single = rows.where(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
-    groups = index.many.entries.select("digest", F.col(keep).alias("keep_id"), F.col("n").alias("group_size"))
+    groups = index.many.entries.select("digest", F.col(keep).alias("keep_id"), "n")
     entries = rows.where("maybe").groupBy("digest", "id", "sha").agg(F.count("*").alias("rows"))
-    alone = [F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size")]
-    found = entries.join(groups, "digest", "left").select("digest", "id", "sha", "rows", *alone)
+    alone = [F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size")]
+    found = dealt(entries, groups, index.rows.count(), "left").select("digest", "id", "sha", "rows", *alone)
     if not checked.where("not same").isEmpty():
         # Collisions: such digests are grouped again, by bytes.
         torn = checked.where("not same").select("digest").distinct()

@@ -116,6 +116,20 @@ def test_exact_dedup_when_digests_collide(spark):
     assert got == {1: (1, 2), 2: (2, 1), 3: (1, 2), 4: (4, 1)}
 
 
+def test_exact_dedup_deals_hot_digests_to_parts(spark, monkeypatch):
+    from provlog.llm import exact_dedup as D
+
+    monkeypatch.setattr(D, "PART", 3)
+    rows = [(i, "Hot") for i in range(40)] + [(100 + i, f"t{i // 2}") for i in range(20)] + [(None, "hot"), (7, "hot"), (300, None), (301, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = D.exact_groups(docs, keep="largest").collect()
+    assert len(found) == len(rows)
+    low = [((t or "").lower(), i) for i, t in rows]
+    want = sorted((-1 if i is None else i, max(-1 if j is None else j for u, j in low if u == t), sum(u == t for u, _ in low)) for t, i in low)
+    assert sorted((-1 if r["id"] is None else r["id"], r["keep_id"], r["group_size"]) for r in found) == want
+    assert sum(r["kept"] for r in found) == len({t for t, _ in low})
+
+
 def test_exact_dedup_keeps_all_columns(spark, folder, repeated):
     from provlog.llm.exact_dedup import exact_dedup
 
