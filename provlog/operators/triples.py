@@ -262,12 +262,16 @@ def turtle(triples: DataFrame) -> DataFrame:
     typed = F.when(F.col("o_type").isNull() | (F.col("o_type") == XSD + "string"), quoted).otherwise(F.concat(quoted, F.lit("^^"), term(F.col("o_type"))))
     line = F.concat(F.concat(F.lit("<"), "s", F.lit(">")), F.lit(" "), F.when(F.col("p") == TYPE, "a").otherwise(term(F.col("p"))), F.lit(" "), F.when(F.col("o_kind") == "iri", term(F.col("o"))).otherwise(typed), F.lit(" ."))
     many = len(PREFIXES) + 1
-    rows = triples.select("graph", (F.row_number().over(W.partitionBy("graph").orderBy(*order)) + many).cast("long").alias("n"), line.alias("line"))
-    bound = triples.groupBy("graph").agg(F.bool_or(F.col("p").startswith(KEY)).alias("undeclared"))
+    graph = W.partitionBy("graph")
+    nth = F.row_number().over(graph.orderBy(*order))
+    rows = triples.select("graph", nth.alias("nth"), line.alias("line"), F.bool_or(F.col("p").startswith(KEY)).over(graph).alias("undeclared"))
+    # The first line brings the prefixes with it: a union of two tables by graph would have their partitions meet by number.
     each = [F.struct(F.lit(i + 1).cast("long").alias("n"), F.lit(f"@prefix {p}: <{ns}> .").alias("line")) for i, (p, ns) in enumerate(PREFIXES.items())]
-    own = F.when(F.col("undeclared"), F.struct(F.lit(many).cast("long").alias("n"), F.lit(f"@prefix {KEY_PREFIX}: <{KEY}> .").alias("line")))
-    head = bound.select("graph", F.explode(F.filter(F.array(*each, own), lambda x: x.isNotNull())).alias("x")).select("graph", "x.*")
-    return head.unionByName(rows).orderBy("graph", "n")
+    bound = F.when(F.col("undeclared"), F.struct(F.lit(many).cast("long").alias("n"), F.lit(f"@prefix {KEY_PREFIX}: <{KEY}> .").alias("line")))
+    head = F.when(F.col("nth") == 1, F.filter(F.array(*each, bound), lambda x: x.isNotNull())).otherwise(F.array().cast("array<struct<n: bigint, line: string>>"))
+    own = F.array(F.struct((F.col("nth") + many).cast("long").alias("n"), F.col("line")))
+    rows = rows.select("graph", F.inline(F.concat(head, own)))
+    return rows.orderBy("graph", "n")
 
 
 def digests(document: DataFrame) -> DataFrame:
