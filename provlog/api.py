@@ -83,7 +83,8 @@ def read_entries(lines: DataFrame, headers: DataFrame, since: str | None = None,
     inside = (F.lit(True) if since is None else at >= since) & (F.lit(True) if until is None else at <= until)
     judged = F.col("raw").rlike("^[0-9]") & (F.length("raw") >= 24)
     kept = triples.ordinals(lines).where(inside | ~judged)
-    p = kept.withColumns({"e": F.when(F.col("kind") == "entry", X.parse_entry(F.col("raw"), F.col("prefixes"))), "seal": F.when(F.col("kind") == "seal", X.parse_seal(F.col("raw")))})
+    p = X.once(kept, "e", F.when(F.col("kind") == "entry", X.parse_entry(F.col("raw"), F.col("prefixes"))))
+    p = X.once(p, "seal", F.when(F.col("kind") == "seal", X.parse_seal(F.col("raw"))))
     e = p.where("kind = 'entry'").where(X.is_entry(F.col("raw"), F.col("e"))).select("segment", "line_no", "ordinal", "e.*")
     seq = F.coalesce(X.stated_sequence(F.col("fields")), F.col("ordinal").cast("decimal(20,0)"))
     e = e.where((F.lit(True) if first is None else seq >= first) & (F.lit(True) if last is None else seq <= last))

@@ -59,7 +59,7 @@ def exploded(rows: DataFrame, *found: Column) -> DataFrame:
 def scanned(lines: DataFrame) -> DataFrame:
     """segment, line_no, raw, is_entry, is_seal, bad, class, fields, seal, stated, position, covered (sealed before), previous (stated sequence before)."""
     e = X.parse_entry(F.col("raw"), F.col("prefixes"))
-    p = lines.withColumns({"e": F.when(F.col("kind") == "entry", e), "seal": F.when((F.col("kind") == "seal"), X.parse_seal(F.col("raw")))})
+    p = X.once(X.once(lines, "e", F.when(F.col("kind") == "entry", e)), "seal", F.when((F.col("kind") == "seal"), X.parse_seal(F.col("raw"))))
     p = p.withColumns({"is_entry": (F.col("kind") == "entry") & X.is_entry(F.col("raw"), F.col("e")), "is_seal": (F.col("kind") == "seal") & X.is_seal(F.col("raw"), F.col("seal"))})
     stated = F.when(F.col("is_entry"), X.stated_sequence(F.col("e.fields")))
     p = p.withColumns({"bad": F.col("kind").isin("entry", "seal", "directive") & ~F.col("is_entry") & ~F.col("is_seal"), "stated": stated})
@@ -122,8 +122,8 @@ def interval_mismatches(lines: DataFrame, headers: DataFrame) -> DataFrame:
     folded from their beginning, because there the chain goes on from its own head.
     """
     e = X.parse_entry(F.col("raw"), F.col("prefixes"))
-    entries = lines.where("kind = 'entry'").withColumn("e", e).where(X.is_entry(F.col("raw"), F.col("e"))).select("segment", "line_no", "raw")
-    seals = lines.where("kind = 'seal'").withColumn("s", X.parse_seal(F.col("raw"))).where(X.is_seal(F.col("raw"), F.col("s"))).select("segment", "line_no", "s.first", "s.last", "s.hash")
+    entries = X.once(lines.where("kind = 'entry'"), "e", e).where(X.is_entry(F.col("raw"), F.col("e"))).select("segment", "line_no", "raw")
+    seals = X.once(lines.where("kind = 'seal'"), "s", X.parse_seal(F.col("raw"))).where(X.is_seal(F.col("raw"), F.col("s"))).select("segment", "line_no", "s.first", "s.last", "s.hash")
     order = W.partitionBy("segment").orderBy("line_no")
     h0 = headers.where("h0 is not null").select("segment", "h0")
     each = seals.join(h0, "segment").select(

@@ -71,7 +71,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entries again, as read from their lines."""
     lines = entries(spark, sf_dir).select("user_id", "event_id", "segment", "instance", F.col("seq").alias("line_no"), "line")
-    return lines.withColumn("e", X.parse_entry(F.col("line"), prefixes())).select("user_id", "event_id", "segment", "instance", "line_no", "e.*")
+    return X.once(lines, "e", X.parse_entry(F.col("line"), prefixes())).select("user_id", "event_id", "segment", "instance", "line_no", "e.*")
 
 
 def header_text(version: str, prefix_map: Column, name: Column, instance: Column, level: Column, started: Column, prev: Column) -> Column:
