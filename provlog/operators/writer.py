@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import hashlib
 import sys
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 from datetime import datetime
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -255,14 +257,54 @@ def tails(headers: DataFrame, report: DataFrame) -> DataFrame:
 
 
 def write_files(lines: DataFrame, path: str) -> None:
-    """A text file for each segment, in a folder named for it; :func:`provlog.sources.segments.read` finds them.
+    """A text file for each segment, in one of 256 folders below path; :func:`provlog.sources.segments.read` finds them.
 
-    Folders carry a part of the name's hash, because different names can have one slug.  What is there
-    already is never overwritten.
+    Files carry a part of the name's hash, because different names can have one slug; its first two digits name the folder.  Each task
+    writes its files itself through Arrow's file systems, under a hidden name until they are whole, so that nothing is left to
+    rename at the end and a repeated task replaces what it wrote.  What is there already is never overwritten.
     """
-    name = F.concat(F.regexp_replace("segment", "[^A-Za-z0-9._-]", "-"), F.lit("-"), F.left(F.sha2("segment", 256), F.lit(8)))
+    from provlog.sources.ranges import opened
+
+    system, root = opened(path)
+    if system.get_file_info(root).type != fs.FileType.NotFound:
+        raise FileExistsError(f"{path} already exists")
+    digest = F.left(F.sha2("segment", 256), F.lit(8))
+    name = F.concat(F.left(digest, F.lit(2)), F.lit("/part-"), F.regexp_replace("segment", "[^A-Za-z0-9._-]", "-"), F.lit("-"), digest, F.lit(".txt"))
     rows = lines.select(name.alias("file"), "line_no", "line").repartition("file").sortWithinPartitions("file", "line_no")
-    rows.select("file", F.col("line").alias("value")).write.partitionBy("file").text(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = opened(path)
+        own, made = uuid.uuid4().hex, set()
+        now = out = hidden = None
+
+        def done() -> None:
+            out.close()
+            system.move(hidden, f"{root}/{now}")
+
+        for batch in batches:
+            held: list[str] = []
+            for file, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if file != now:
+                    if out is not None:
+                        out.write("".join(held).encode())
+                        done()
+                    folder, base = file.split("/")
+                    if folder not in made:
+                        system.create_dir(f"{root}/{folder}", recursive=True)
+                        made.add(folder)
+                    now, hidden, held = file, f"{root}/{folder}/.{base}-{own}", []
+                    out = system.open_output_stream(hidden)
+                held.append((line or "") + "\n")
+            if held:
+                out.write("".join(held).encode())
+        if out is not None:
+            done()
+        yield from ()
+
+    system.create_dir(root, recursive=True)
+    rows.select("file", "line").mapInArrow(run, "file string").write.format("noop").mode("overwrite").save()
+    with system.open_output_stream(f"{root}/_SUCCESS"):
+        pass
 
 
 def deliver(lines: DataFrame, destination: str, path: str | None = None, sink: Callable[[Iterator], None] | None = None) -> None:

@@ -80,7 +80,7 @@ def damaged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = derived.headers(spark, sf_dir).select("user_id", "segment", F.posexplode(F.split(F.regexp_replace("header", r"\n+\z", ""), "\n")).alias("at", "line"))
     top = top.where(~((u == 1) & F.col("line").startswith("@started"))).withColumn("line", F.when((u == 0) & (F.col("at") == 3), "no directive").otherwise(F.col("line")))
     c = segments.catalog(segments.read(spark, filed(top.select("segment", F.col("at").cast("long").alias("line_no"), "line"), "damaged")))
-    return c.select(F.regexp_extract(F.regexp_extract("file", "file=([^/]*)", 1), r"u(\d+)", 1).cast("long").alias("user_id"), "error")
+    return c.select(F.regexp_extract(F.regexp_extract("file", "part-([^/]*)$", 1), r"u(\d+)", 1).cast("long").alias("user_id"), "error")
 
 
 @register(ROTATED + "SELECT segment, CAST(len(lines) AS BIGINT) AS entries FROM r WHERE user_id = (SELECT max_by(user_id, segment) FROM r)")

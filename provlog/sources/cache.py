@@ -3,7 +3,7 @@
 A segment whose record is complete never changes, so its header, entries and seals can be kept.  A store is a folder of three
 tables, each row with the hash of the file's content and the batch that wrote it, and an index of files, which is written last: rows of
 a batch that the index doesn't name are never seen, so a call that died half-way leaves nothing behind that counts.  Entries are laid
-out by instance and sorted by time, so a time window prunes files and row groups.  Open segments are read anew each time.
+out by ranges of time and sorted by instance, so a time window prunes files, and their number doesn't grow with the instances.  Open segments are read anew each time.
 """
 
 from __future__ import annotations
@@ -22,9 +22,19 @@ from provlog.vocabulary import LOG, Vocabulary
 
 INDEX = "file string, bytes long, modified timestamp, content string, batch string, finished boolean"
 KEYS = ["file", "bytes", "modified"]
+#: Files that are read by their paths; where there are more, the folder is read and the others are left out.
+PATHS = 1000
 Tables = tuple[DataFrame, DataFrame, DataFrame]
 
 
+def read_files(spark: SparkSession, directory: str, wanted: DataFrame) -> DataFrame | None:
+    """What :func:`segments.read` gives of some files of a folder; None where there is none."""
+    paths = [r["file"] for r in wanted.select("file").head(PATHS + 1)]
+    if len(paths) > PATHS:
+        return segments.read(spark, directory).join(wanted.select("file"), "file", "left_semi")
+    return segments.read(spark, paths) if paths else None
+
+
 def index(spark: SparkSession, store: str) -> DataFrame:
     """The files that a store knows; none where there is no store yet."""
     try:
@@ -52,10 +62,10 @@ def remember(spark: SparkSession, directory: str, store: str, v: Vocabulary) ->
     """Add to a store what it doesn't know of a folder; (file, bytes, modified, content, batch, finished) of the folder's readable files."""
     now = segments.manifest(spark, directory)
     fresh = written(now.join(index(spark, store), KEYS, "left_anti"), "fresh")
-    paths = [r["file"] for r in fresh.select("file").collect()]  # a listing, as Spark itself holds it to read a folder
-    if paths:
+    read = read_files(spark, directory, fresh)
+    if read is not None:
         after = segments.manifest(spark, directory).join(fresh, "file", "left_semi")
-        files = written(segments.settled(fresh, segments.read(spark, paths), after), "files")
+        files = written(segments.settled(fresh, read, after), "files")
         headers, lines = segments.opened(files, by_file=True)
         headers = written(headers, "headers")
         tables, wrong = parsed(headers, lines, v)
@@ -65,7 +75,7 @@ def remember(spark: SparkSession, directory: str, store: str, v: Vocabulary) ->
         for part, table in zip(("headers", "entries", "seals"), tables):
             own = table.join(kept, "file").withColumn("batch", F.lit(batch))
             if part == "entries":
-                own.repartition("instance", "segment").sortWithinPartitions("instance", "time").write.mode("append").partitionBy("instance").parquet(f"{store}/{part}")
+                own.repartitionByRange("time").sortWithinPartitions("instance", "time").write.mode("append").parquet(f"{store}/{part}")
             else:
                 own.write.mode("append").parquet(f"{store}/{part}")
         state = files.where("hash is not null").join(done.withColumn("done", F.lit(True)), "file", "left")
@@ -82,10 +92,10 @@ def tables(spark: SparkSession, directory: str, store: str, v: Vocabulary, since
     known = remember(spark, directory, store, v)
     kept = known.where("finished").select("file", "content", "batch")
     stored = [spark.read.parquet(f"{store}/{part}").drop("file") if not kept.isEmpty() else None for part in ("headers", "entries", "seals")]
-    open_ = [r["file"] for r in known.where("not finished").select("file").collect()]
+    open_ = read_files(spark, directory, known.where("not finished"))
     fresh = None
-    if open_:
-        headers, lines = segments.opened(segments.read(spark, open_), by_file=True)
+    if open_ is not None:
+        headers, lines = segments.opened(open_, by_file=True)
         fresh, wrong = parsed(written(headers, "headers"), lines, v)
         for r in wrong.orderBy("segment", "line_no").head(1):
             raise ValueError(f"{r['segment']}, line {r['line_no']}: {r['error']}")

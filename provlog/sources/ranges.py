@@ -6,25 +6,31 @@ anything that those reach.  Each is registered with :func:`register` and read by
 * ``provlog_tail`` streams lines as they are appended.  Its offset is the committed length of each file, that is to the end of its
   last whole line; a batch reads the bytes between two offsets and nothing else, in pieces that tasks share.
 * ``provlog_probe`` reads the header or the last seals of each file as a range of bytes, and the whole file only where the range doesn't hold
-  them.  A condition on ``part`` is pushed down, so that only what is asked for is read.
+  them.  Which of both is an option and not a condition that is pushed down: Spark keeps one reader for all scans of a table, so what one
+  scan pushes would bind the others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from provlog.functions import text as X
 
+#: Bytes that opening a file counts for where files are dealt to tasks; files that are looked at side by side.
+OPENING, SIDE = 16 << 10, 16
 #: Bytes of a header's and of a last seal's range; of a piece that a task reads; of a look back for a line's end.
 HEAD, TAIL, PIECE, STEP = 8 << 10, 256 << 10, 8 << 20, 64 << 10
 BLANKS = b" \t\x0b\x0c\r"
+#: Rows of a batch that a task tells.
+ROWS = 10_000
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -81,6 +87,13 @@ class Piece(InputPartition):
     end: int
 
 
+@dataclass
+class Pieces(InputPartition):
+    """Pieces that a task reads one after the other."""
+
+    pieces: list[Piece]
+
+
 class LogTail(DataSource):
     """Options: path; ending (of files' names, '.log'); bytes (of a batch at most, about; all that is there)."""
 
@@ -107,27 +120,45 @@ class TailReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         """For each file (where its header ends, where its last whole line ends)."""
         system, room = opened(self.folder)[0], self.most
+        grown = []
         for path, size in sorted(listed(self.folder, self.ends).items()):
             body, end = self.last.get(path, (0, 0))
             if size < end:
                 raise ValueError(f"{path}: shorter than what was read of it")
-            if size == end or room <= 0:
-                continue
-            if not body:
-                body = after_header(bytes_of(system, path, 0, min(size, HEAD)))
-                if body is None and size > HEAD:
-                    body = after_header(bytes_of(system, path, 0, size))
-                if body is None:
-                    continue  # its header isn't whole yet
-            high = min(size, max(end, body) + room)
-            last = self.line_end(system, path, max(end, body), high)
-            if last is None and high < size:  # a line longer than the batch's bytes
-                last = self.line_end(system, path, max(end, body), size)
-            if last is not None or not end:
-                room -= (last or body) - end
-                self.last[path] = [body, last or body]
+            if size > end:
+                grown.append((path, size, body, end))
+        if sum(size - end for _, size, _, end in grown) <= room:  # all of them fit: none waits for how much another one takes
+            with ThreadPoolExecutor(SIDE) as several:
+                found = several.map(lambda g: self.committed(system, *g, room), grown)
+                self.last |= {path: at for (path, *_), at in zip(grown, found) if at is not None}
+        else:
+            for path, size, body, end in grown:
+                if room <= 0:
+                    break
+                at = self.committed(system, path, size, body, end, room)
+                if at is not None:
+                    room -= at[1] - end
+                    self.last[path] = at
         return {k: list(v) for k, v in self.last.items()}
 
+    @classmethod
+    def committed(cls, system: fs.FileSystem, path: str, size: int, body: int, end: int, room: int) -> list[int] | None:
+        """Where a file's header ends, and its last whole line within room bytes; None where there is nothing new."""
+        if not body:
+            data = bytes_of(system, path, 0, min(size, HEAD))
+            body = after_header(data)
+            if body is None and size > HEAD:
+                body = after_header(bytes_of(system, path, 0, size))
+            if body is None:
+                return None  # its header isn't whole yet
+            if size <= len(data) and size - max(end, body) <= room:
+                return [body, max(body, data.rfind(b"\n") + 1)]
+        high = min(size, max(end, body) + room)
+        last = cls.line_end(system, path, max(end, body), high)
+        if last is None and high < size:  # a line longer than the batch's bytes
+            last = cls.line_end(system, path, max(end, body), size)
+        return [body, last or body] if last is not None or not end else None
+
     @staticmethod
     def line_end(system: fs.FileSystem, path: str, low: int, high: int) -> int | None:
         """The end of the last whole line between two places."""
@@ -140,17 +171,38 @@ class TailReader(DataSourceStreamReader):
             at = begin
         return None
 
-    def partitions(self, start: dict, end: dict) -> list[Piece]:
+    def partitions(self, start: dict, end: dict) -> list[Pieces]:
+        """Large files in pieces, each a task's, and small ones many to a task, so that tasks grow with the bytes and not with the files."""
         self.last = {k: list(v) for k, v in end.items()} | {k: v for k, v in self.last.items() if k not in end}
-        out = []
+        out, room = [], 0
         for path, (body, high) in end.items():
             low = max(start.get(path, (0, 0))[1], body)
-            out += [Piece(path, at, min(at + PIECE, high), body, high) for at in range(low, high, PIECE)]
+            for at in range(low, high, PIECE):
+                piece = Piece(path, at, min(at + PIECE, high), body, high)
+                cost = piece.high - at + OPENING
+                if cost > room:
+                    out.append(Pieces([]))
+                    room = PIECE + OPENING
+                out[-1].pieces.append(piece)
+                room -= cost
         return out
 
-    def read(self, piece: Piece) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
         system = opened(self.folder)[0]
+        held: list[tuple] = []
+        for piece in partition.pieces:
+            for rows in self.lines(system, piece):
+                held += rows
+                if len(held) >= ROWS:
+                    yield batch_of(held)
+                    held = []
+        if held:
+            yield batch_of(held)
+
+    @staticmethod
+    def lines(system: fs.FileSystem, piece: Piece) -> Iterator[list[tuple]]:
         name, instance, prefixes = header_facts(bytes_of(system, piece.path, 0, piece.body).decode(errors="replace"))
+        of = (piece.path, name, instance, list(prefixes.items()), piece.body)
         with system.open_input_file(piece.path) as file:
             at = piece.low
             if at > piece.body:  # a line that began before is the piece's before
@@ -166,22 +218,18 @@ class TailReader(DataSourceStreamReader):
                 data += file.read_at(end - begin - len(data), begin + len(data))
                 rows, used = [], 0
                 while begin + used < piece.high and (cut := data.find(b"\n", used)) >= 0:
-                    line = data[used:cut]
-                    rows.append((begin + used, begin + cut + 1, decoded(line.rstrip(b"\r"))))
+                    rows.append((*of, begin + used, begin + cut + 1, decoded(data[used:cut].rstrip(b"\r"))))
                     used = cut + 1
                 data, begin = data[used:], begin + used
                 at = begin
-                if rows:
-                    low, following, raw = zip(*rows)
-                    n = len(rows)
-                    kind = pa.map_(pa.string(), pa.string())
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            *(pa.array([x] * n, pa.string()) for x in (piece.path, name, instance)), pa.array([list(prefixes.items())] * n, kind), pa.array([piece.body] * n, pa.int64()),
-                            pa.array(low, pa.int64()), pa.array(following, pa.int64()), pa.array(raw, pa.string()),
-                        ],
-                        ["file", "segment", "instance", "prefixes", "first", "line_no", "following", "raw"],
-                    )
+                yield rows
+
+
+TOLD = pa.schema([("file", pa.string()), ("segment", pa.string()), ("instance", pa.string()), ("prefixes", pa.map_(pa.string(), pa.string())), ("first", pa.int64()), ("line_no", pa.int64()), ("following", pa.int64()), ("raw", pa.string())])
+
+
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), TOLD)], schema=TOLD)
 
 
 def decoded(line: bytes) -> str | None:
@@ -198,7 +246,7 @@ class Files(InputPartition):
 
 
 class LogProbe(DataSource):
-    """Options: path; ending (of files' names, '.log')."""
+    """Options: path; ending (of files' names, '.log'); parts ('header,tail')."""
 
     @classmethod
     def name(cls) -> str:
@@ -212,23 +260,16 @@ class LogProbe(DataSource):
 
 
 class ProbeReader(DataSourceReader):
-    #: Files of a task.
-    EACH = 64
+    #: Files of a task at least, and tasks at most.
+    EACH, TASKS = 64, 512
 
     def __init__(self, options: dict):
-        self.folder, self.ends, self.parts = options["path"], ending(options), ["header", "tail"]
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            asked = [f.value] if isinstance(f, EqualTo) and f.attribute == ("part",) else list(f.value) if isinstance(f, In) and f.attribute == ("part",) else None
-            if asked is None:
-                yield f
-            else:
-                self.parts = [p for p in self.parts if p in asked]
+        self.folder, self.ends, self.parts = options["path"], ending(options), options.get("parts", "header,tail").split(",")
 
     def partitions(self) -> list[Files]:
         files = sorted(listed(self.folder, self.ends).items())
-        return [Files(files[i : i + self.EACH]) for i in range(0, len(files), self.EACH)]
+        each = max(self.EACH, -(-len(files) // self.TASKS))
+        return [Files(files[i : i + each]) for i in range(0, len(files), each)]
 
     def read(self, partition: Files) -> Iterator[tuple]:
         system = opened(self.folder)[0]
@@ -261,8 +302,7 @@ def tail_of(system: fs.FileSystem, path: str, size: int) -> tuple[bytes, int]:
 
 
 def register(spark: SparkSession) -> None:
-    """Make both sources known to a session, and let conditions reach them."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Make both sources known to a session."""
     spark.dataSource.register(LogTail)
     spark.dataSource.register(LogProbe)
 
@@ -279,10 +319,10 @@ def tail(spark: SparkSession, directory: str, ending: str = ".log", batch: int |
     return rows.withColumn("kind", X.line_kind(F.col("raw")))
 
 
-def probe(spark: SparkSession, directory: str, ending: str = ".log") -> DataFrame:
-    """(file, bytes, part, text, read): header and tail of each file of a folder."""
+def probe(spark: SparkSession, directory: str, ending: str = ".log", parts: str = "header,tail") -> DataFrame:
+    """(file, bytes, part, text, read): header and tail of each file of a folder, or one of them."""
     register(spark)
-    return spark.read.format("provlog_probe").option("path", directory).option("ending", ending).load()
+    return spark.read.format("provlog_probe").option("path", directory).option("ending", ending).option("parts", parts).load()
 
 
 def heads(spark: SparkSession, directory: str, ending: str = ".log") -> DataFrame:
@@ -293,8 +333,10 @@ def heads(spark: SparkSession, directory: str, ending: str = ".log") -> DataFram
     from provlog.sources.segments import canonical_hash, parse_header
 
     p = probe(spark, directory, ending)
-    h = p.where("part = 'header'").select("file", parse_header(F.col("text")).alias("h")).where("h.error is null")
+    p = X.once(p, "h", F.when(F.col("part") == "header", parse_header(F.col("text"))))
     lines = F.filter(F.split("text", "\n"), lambda s: s.startswith("#seal"))
-    seals = F.filter(F.transform(lines, lambda s: F.struct(X.is_seal(s, X.parse_seal(s)).alias("ok"), X.parse_seal(s)["hash"].alias("hash"))), lambda s: s["ok"])
-    t = p.where("part = 'tail'").select("file", F.try_element_at(seals, F.lit(-1))["hash"].alias("sealed"))
-    return h.join(t, "file", "left").select("file", F.col("h.name").alias("segment"), "h.instance", "h.prev", F.coalesce("sealed", canonical_hash(F.col("h"))).alias("head"))
+    seals = F.filter(F.transform(lines, lambda s: X.bound(X.parse_seal(s), lambda x: F.struct(X.is_seal(s, x).alias("ok"), x["hash"].alias("hash")))), lambda s: s["ok"])
+    header = F.struct(F.col("h.name").alias("segment"), "h.instance", "h.prev", canonical_hash(F.col("h")).alias("h0"))
+    each = p.select("file", F.when((F.col("part") == "header") & F.col("h.error").isNull(), header).alias("h"), F.when(F.col("part") == "tail", F.try_element_at(seals, F.lit(-1))["hash"]).alias("sealed"))
+    known = each.groupBy("file").agg(F.max("h").alias("h"), F.max("sealed").alias("sealed")).where("h is not null")  # one row of each part
+    return known.select("file", "h.segment", "h.instance", "h.prev", F.coalesce("sealed", "h.h0").alias("head"))

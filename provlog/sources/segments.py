@@ -117,7 +117,7 @@ def probed(text: Column) -> Column:
 
 def catalog(files: DataFrame) -> DataFrame:
     """One row for each file with its header; error tells why a file can't be used."""
-    h = files.withColumn("h", parse_header(probed(F.col("text"))))
+    h = X.once(files, "h", parse_header(probed(F.col("text"))))
     return h.select("file", "bytes", F.coalesce("error", "h.error").alias("error"), F.col("h.name").alias("segment"), "h.instance", "h.level", "h.started", "h.prev", "h.prefixes", "h.version")
 
 
@@ -146,7 +146,7 @@ def opened(files: DataFrame, by_file: bool = False) -> tuple[DataFrame, DataFram
     the others.  Files are read whole, so nothing is shuffled.  by_file: the path is the segment of readable files too, so that
     files that state one name, as copies do, are told apart.
     """
-    each = files.withColumn("h", parse_header(F.col("text"))).withColumn("why", F.coalesce("error", "h.error"))
+    each = X.once(files, "h", parse_header(F.col("text"))).withColumn("why", F.coalesce("error", "h.error"))
     key = F.col("file") if by_file else F.col("h.name")
     name = F.when(F.col("why").isNull(), F.col("h.name")).otherwise(F.col("file"))
     headers = each.select(
@@ -204,7 +204,8 @@ def conflicts(before: DataFrame, after: DataFrame) -> DataFrame:
 def manifest(spark: SparkSession, directory: str) -> DataFrame:
     """file, bytes, modified of a folder's segments, written down; contents aren't read."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "{*.log,part-*.txt}").option("recursiveFileLookup", True).load(directory)
-    return cut(raw.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified")), "manifest")
+    facts = raw.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    return cut(facts.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions"))), "manifest")  # small rows, of many small files
 
 
 def settled(before: DataFrame, files: DataFrame, after: DataFrame) -> DataFrame:

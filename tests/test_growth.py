@@ -35,3 +35,37 @@ def test_tokens_of_odd_lines(spark):
     got = spark.createDataFrame([(i, line) for i, (line, _) in enumerate(rows)], "i int, line string").select("i", X.tokens(F.col("line")).alias("t"), X.is_scannable(F.col("line")).alias("ok")).orderBy("i").collect()
     assert [r["t"] for r in got] == [t for _, t in rows]
     assert [r["ok"] for r in got] == [True, False, True, True, True, True, True]
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    """Tasks of the tail and of the probe grow with bytes, not with files; files are found where they were written, and nothing hidden stays."""
+    from provlog.operators.writer import write_files
+    from provlog.sources import ranges, segments
+
+    n = F.col("id")
+    lines = spark.range(3000).select(F.format_string("urn:log:s%d", n % 1000).alias("segment"), n.alias("line_no"), F.when(n < 1000, "").otherwise(F.format_string("line %d", "id")).alias("line"))
+    path = str(tmp_path / "files")
+    write_files(lines, path)
+    assert not [f for f in (tmp_path / "files").rglob(".*")] and segments.read(spark, path).count() == 1000
+    reader = ranges.TailReader({"path": path, "ending": ".txt"})
+    parts = reader.partitions({}, reader.latestOffset())
+    assert len(parts) <= 4 and sum(len(p.pieces) for p in parts) == 1000
+    told = [r["raw"] for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted(told) == sorted(f"line {i}" for i in range(1000, 3000))
+    assert len(ranges.ProbeReader({"path": path, "ending": ".txt"}).partitions()) == 16
+
+
+def test_many_files_go_to_the_store_by_folder(spark, tmp_path, monkeypatch):
+    """More files than are named by their paths are read as a folder, with the same result."""
+    from test_parts import write
+
+    from provlog import api
+    from provlog.sources import cache
+
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    write(folder, n=9)
+    by_path = sorted(map(tuple, api.cached(spark, str(folder), str(tmp_path / "one")).collect()), key=repr)
+    monkeypatch.setattr(cache, "PATHS", 1)
+    by_folder = sorted(map(tuple, api.cached(spark, str(folder), str(tmp_path / "two")).collect()), key=repr)
+    assert by_folder == by_path and by_path
