@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -49,8 +50,9 @@ def triples_of(files: DataFrame, v: Vocabulary) -> DataFrame:
 class Follower(StatefulProcessor):
     """The lines of a segment in their order, whatever order they come in, with what only state tells.
 
-    place: ordinal, run and so on after the last line that was taken.  early: lines that came before their turn, by place.
+    place: ordinal, run and so on after the last line that was taken.  early: lines that came before their turn.
     spans, children, agents: what waits for the segment's end; within a batch it is held in memory and never stored.
+    Each is read and written as a whole, once a batch, because what a call to the state costs is far more than what a row does.
     """
 
     def __init__(self, starts: set[str], ends: set[str], budget: int):
@@ -58,15 +60,18 @@ class Follower(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.place = handle.getValueState("place", "next long, ordinal long, run long, started boolean, held long, waiting long")
-        self.early = handle.getMapState("early", "at long", EARLY)
-        self.spans = handle.getMapState("spans", "run long, span string", "iri string")
+        self.early = handle.getListState("early", EARLY)
+        self.spans = handle.getListState("spans", "run long, span string, iri string")
         self.children = handle.getListState("children", "run long, parent string, iri string")
-        self.agents = handle.getMapState("agents", "agent string", "instance string")
+        self.agents = handle.getValueState("agents", "agents array<string>, instances array<string>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
         segment = key[0]
-        following, ordinal, run, started, held, waiting = self.place.get() if self.place.exists() else (None, 0, 0, False, 0, 0)
+        stored = self.place.get()
+        following, ordinal, run, started, held, waiting = stored if stored is not None else (None, 0, 0, False, 0, 0)
         spans, children, agents, ended, instance = {}, [], {}, False, None
+        before = waiting
+        early = {r[0]: tuple(r) for r in self.early.get()} if waiting else {}
         for frame in rows:
             out = []
             frame = frame.sort_values("at", kind="stable")
@@ -75,8 +80,9 @@ class Follower(StatefulProcessor):
                 if row[0] < following:
                     continue  # a line that came again
                 if row[0] > following:
-                    self.early.updateValue((row[0],), tuple(list(x) if isinstance(x, np.ndarray) else x for x in row))
-                    held, waiting = held + sum(len(str(x)) for x in row), waiting + 1
+                    again = early.get(row[0])
+                    early[row[0]] = row = tuple(list(x) if isinstance(x, np.ndarray) else x for x in row)
+                    held += sum(len(str(x)) for x in row) - (sum(len(str(x)) for x in again) if again is not None else 0)
                     continue
                 while row is not None:
                     at, following, _, kind, instance, class_, seq, span, parent, named = row[:10]
@@ -93,33 +99,37 @@ class Follower(StatefulProcessor):
                         ended = class_ in self.ends
                     if kind in ("entry", "seal"):
                         out.append((kind, segment, instance, at, ordinal if kind == "entry" else None, *row[10:], None))
-                    row = None
-                    if waiting and self.early.containsKey((following,)):
-                        row = self.early.getValue((following,))
-                        self.early.removeKey((following,))
-                        held, waiting = held - sum(len(str(x)) for x in row), waiting - 1
+                    row = early.pop(following, None) if early else None
+                    held -= sum(len(str(x)) for x in row) if row is not None else 0
             yield pd.DataFrame(out, columns=TOLD)
+        waiting = len(early)
+        if early:
+            self.early.put(list(early.values()))
+        elif before:
+            self.early.clear()
+        named = self.agents.get() if stored is not None else None
+        named = dict(zip(*named)) if named is not None else {}
         if ended:
-            known = {k: v[0] for k, v in self.spans.iterator()} if self.spans.exists() else {}
+            known = {(r[0], r[1]): r[2] for r in self.spans.get()} if stored is not None else {}  # of equal spans the last one counts
             known |= spans
-            both = [*(self.children.get() if self.children.exists() else []), *children]
+            both = [*(self.children.get() if stored is not None else []), *children]
             edges = [(known.get((run, parent)), child) for run, parent, child in both]
-            named = {a[0]: i[0] for a, i in self.agents.iterator()} if self.agents.exists() else {}
             out = [("edge", segment, instance, *[None] * 7, p, c) for p, c in edges if p is not None and p != c]
             out += [("agent", segment, i, *[None] * 7, a, None) for a, i in sorted((named | agents).items())]
             yield pd.DataFrame(out, columns=TOLD)
-            for state in (self.spans, self.children, self.agents):
+            for state in (self.spans, self.children, self.agents) if stored is not None else ():
                 state.clear()
             held = 0 if not waiting else held
         else:
-            for (run_, span), iri in spans.items():
-                self.spans.updateValue((run_, span), (iri,))
+            if spans:
+                self.spans.appendList([(run_, span, iri) for (run_, span), iri in spans.items()])
             if children:
                 self.children.appendList(children)
-            for agent, of in agents.items():
-                if not self.agents.containsKey((agent,)):
-                    self.agents.updateValue((agent,), (of,))
-                    held += len(agent)
+            fresh = {a: of for a, of in agents.items() if a not in named}
+            if fresh:
+                named |= fresh
+                self.agents.update((list(named), list(named.values())))
+                held += sum(map(len, fresh))
             held += sum(len(s) + len(i) + 8 for (_, s), i in spans.items()) + sum(len(p) + len(i) + 8 for _, p, i in children)
         if held > self.budget:
             raise ValueError(f"over budget: the state of {segment} needs more than {self.budget} bytes")
@@ -208,13 +218,14 @@ class StreamWriter(StatefulProcessor):
         self.writer = handle.getValueState("writer", "name string, head string, started string, stem string, taken int, line_no long, seq long, sealed long, opened long, since long, failed boolean")
         self.waiting = handle.getListState("waiting", ", ".join(f"{c} {'string' if c in TEXTS else 'long'}" for c in self.columns))
 
-    def write(self, instance: str, rows: pd.DataFrame) -> pd.DataFrame:
+    def write(self, instance: str, rows: list[tuple]) -> pd.DataFrame:
         w = Segments(instance, self.level, self.cadence)
-        if self.writer.exists():
-            name, head, started, stem, taken, *others = self.writer.get()
+        stored = self.writer.get()
+        if stored is not None:
+            name, head, started, stem, taken, *others = stored
             w.restore({"name": name, "head": head, "started": started, "names": {stem: taken}} | dict(zip(("line_no", "seq", "sealed", "opened", "since", "failed"), others)))
-        out, rows = [], rows.sort_values(self.order, kind="stable")
-        for time, ms, curie, subject, tail in zip(*(rows[c].tolist() for c in WRITTEN)):
+        out, by = [], itemgetter(*(self.columns.index(c) for c in self.order))
+        for time, ms, curie, subject, tail, *_ in sorted(rows, key=by):
             out += w.add(time, int(ms), curie, subject, tail)
         if w.name:
             (stem, taken), = w.names.items()
@@ -223,11 +234,11 @@ class StreamWriter(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
         if not self.late:
-            yield self.write(key[0], pd.concat(list(rows)))
+            yield self.write(key[0], [r for frame in rows for r in tuples(frame, self.columns)])
             return
         first = None
         for frame in rows:
-            self.waiting.appendList(list(zip(*([None if pd.isna(x) else x for x in frame[c].tolist()] for c in self.columns))))
+            self.waiting.appendList(tuples(frame, self.columns))
             least = int(frame["ms"].min())
             first = least if first is None else min(first, least)
         if first is not None:
@@ -235,19 +246,27 @@ class StreamWriter(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        rows = [tuple(r) for r in self.waiting.get()]
         due, later = [r for r in rows if r[1] <= now], [r for r in rows if r[1] > now]
-        self.waiting.clear()
+        if due and later:
+            self.waiting.put(later)
+        elif due:
+            self.waiting.clear()
         if later:
-            self.waiting.appendList(later)
             self.handle.registerTimer(min(r[1] for r in later))
         if due:
-            yield self.write(key[0], pd.DataFrame(due, columns=self.columns))
+            yield self.write(key[0], due)
 
     def close(self) -> None:
         pass
 
 
+def tuples(frame: pd.DataFrame, columns: list[str]) -> list[tuple]:
+    """Rows of a frame; what is missing is None."""
+    each = [[None if pd.isna(x) else x for x in frame[c].tolist()] if frame[c].hasnans else frame[c].tolist() for c in columns]
+    return list(zip(*each))
+
+
 WRITTEN, TEXTS = ["time", "ms", "curie", "subject", "tail"], {"time", "curie", "subject", "tail"}
 
 
@@ -351,6 +370,12 @@ def fed(rows: DataFrame, name: str, batch: Column | None = None, batches: int =
         rows.write.parquet(path)
         return spark.readStream.schema(rows.schema).parquet(path)
     rows = written(rows.withColumn("_batch", batch), name)
+    counts = {r["_batch"]: r["n"] for r in rows.groupBy("_batch").agg(F.count("*").alias("n")).collect()}  # as many rows as batches
+    # Each batch but the last must have as many files as the others: so many that none of them is empty.
+    least = min((counts.get(i, 0) for i in range(batches - 1)), default=0)
+    files = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), least // 10_000))
     for i in range(batches):  # a file's time tells its turn
-        rows.where(F.col("_batch") == i).drop("_batch").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.drop("_batch").schema).option("maxFilesPerTrigger", 1).parquet(path)
+        each = rows.where(F.col("_batch") == i).drop("_batch")
+        each = each.coalesce(1) if files == 1 or counts.get(i, 0) < 10_000 else each.repartition(files)
+        each.write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.drop("_batch").schema).option("maxFilesPerTrigger", files).parquet(path)

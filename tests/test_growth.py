@@ -69,3 +69,15 @@ def test_many_files_go_to_the_store_by_folder(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(cache, "PATHS", 1)
     by_folder = sorted(map(tuple, api.cached(spark, str(folder), str(tmp_path / "two")).collect()), key=repr)
     assert by_folder == by_path and by_path
+
+
+def test_batches_of_several_files_keep_their_turn(spark):
+    """Each batch of a fed stream is written by several tasks, and comes whole and in its turn."""
+    from provlog.streaming import live
+
+    rows = spark.range(60_000).select("id", F.floor(F.col("id") / 25_000).alias("b"))
+    stream = live.fed(rows, "turns", F.col("b"), 3)
+    seen = []
+    query = stream.writeStream.foreachBatch(lambda d, i: seen.append(d.agg(F.min("id"), F.max("id"), F.count("*")).first())).trigger(availableNow=True).start()
+    assert query.awaitTermination(60)
+    assert [tuple(r) for r in seen] == [(0, 24_999, 25_000), (25_000, 49_999, 25_000), (50_000, 59_999, 10_000)]
