@@ -25,7 +25,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose shingles of five words have a similarity of 0.8 or more."""
+    """One document of each group whose shingles of five words have a similarity of 0.8 or more, among what SimHash's Gray-order index links and more candidates."""
     return simhash.near_dedup(docs, width=5, similarity=0.8)
 
 

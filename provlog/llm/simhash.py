@@ -39,6 +39,8 @@ BLOCKS = 6
 SEED = 42
 FAN = 8
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: For similar texts: words of a shingle, and bits, by which the Gray-order index links their fingerprints.
+INDEXED, LIMIT = 3, 2
 #: For similar texts: bits of a fingerprint, candidate keys, smallest hashes in a key, rows of a key compared at once.
 WIDE, BANDS, EACH, HELD = 1024, 12, 4, 20_000
 #: Standard deviations by which fingerprints may exceed the mean distance; shingles below which they prune nothing.
@@ -400,7 +402,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Two texts are similar if their sets of shingles have a Jaccard similarity of ``similarity`` or more.
 
     1. Texts with equal sets are joined; one of them goes on.
-    2. Candidates share one of ``BANDS`` keys of ``EACH`` smallest hashes.  Those whose wide
+    2. Candidates are what the Gray-order index links by 64-bit fingerprints, as :func:`near_groups` does.  At a similarity of 0.8
+       such fingerprints differ in more bits than an index can bridge, so there are more of them: those that share one of ``BANDS`` keys of ``EACH`` smallest hashes.  Of these, those whose wide
        fingerprints are too far apart are pruned: at similarity s a share acos(2s / (1 + s)) / pi of the
        bits differs at most, and ``SLACK`` standard deviations more are allowed; below ``FEW``
        shingles nothing is pruned.  What stays connected is a cluster.
@@ -416,25 +419,29 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             sets = [shingles(t.as_py(), width) for t in batch.column(1)]
             found = [wide.of(h) for h in sets]
+            prints = np.fromiter((fingerprint(t.as_py(), INDEXED) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()), pa.array([len(h) for h in sets], pa.int64()),
-                    pa.array([f for f, _ in found], pa.binary()), pa.array([k.tolist() for _, k in found], pa.list_(pa.int64())),
+                    pa.array([f for f, _ in found], pa.binary()), pa.array([k.tolist() for _, k in found], pa.list_(pa.int64())), pa.array(prints.view(np.int64)),
                 ],
-                ["id", "digest", "n", "fp", "keys"],
+                ["id", "digest", "n", "fp", "keys", "print"],
             )
 
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null")
-    signed = written(slim.mapInArrow(sign, "id long, digest binary, n long, fp binary, keys array<long>"), "signed")
+    signed = written(slim.mapInArrow(sign, "id long, digest binary, n long, fp binary, keys array<long>, print long"), "signed")
     equal = written(signed.groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("high")), "sets")
     copies = signed.join(equal.where("rep < high").select("digest", "rep"), "digest").where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    chosen = signed.join(equal, "digest").where("id = rep").dropDuplicates(["digest"]).select("id", "n", "fp", "keys")
+    chosen = signed.join(equal, "digest").where("id = rep").dropDuplicates(["digest"]).select("id", "n", "fp", "keys", "print")
     chosen = written(chosen, "chosen")
+    distinct = written(chosen.groupBy("print").agg(F.min("id").alias("rep")), "distinct")
+    same = chosen.select("id", "print").join(distinct, "print").where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    indexed = same.unionByName(links(distinct.select(F.col("print").alias("fp"), "rep"), LIMIT))
     keyed = chosen.select("id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("many")).where("low < high").select("key", "many")
     members = written(keyed.join(shared, "key").join(chosen.select("id", "n", "fp"), "id").select("key", "many", "id", "n", "fp"), "members")
 
-    clusters = components(candidates(members, limit, similarity))
+    clusters = components(indexed.unionByName(candidates(members, limit, similarity)))
     rows = written(chosen.select("id", "n").join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id"), "clusters")
     dealt = blocks(rows.withColumn("label", F.col("id"))).select("id", "label", "cluster", F.col("block").alias("one"), F.lit(0).alias("two"))
     done = written(verified(slim, dealt.hint("merge"), width, similarity), "verified")  # clusters grow with the documents

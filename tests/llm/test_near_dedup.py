@@ -93,3 +93,15 @@ def test_a_key_with_more_rows_than_are_held_keeps_every_link(spark, monkeypatch)
     assert found(spark, texts) == brute(texts)
     plan = simhash.candidates(members.where(F.col("id") < 3).withColumn("many", F.lit(3).cast("long")), 60, 0.8)
     assert {(r["a"], r["b"]) for r in plan.collect()} == {(0, 1), (0, 2)}
+
+
+def test_candidates_come_from_the_gray_order_index(spark, monkeypatch):
+    """Similar texts that share none of the other candidates' keys are found by the index alone, and what it links is checked exactly."""
+    words = [f"w{i}" for i in range(400)]
+    texts = {1: " ".join(words), 2: " ".join([*words[:-1], "x"]), 3: " ".join(f"v{i}" for i in range(400))}
+    assert bin(simhash.fingerprint(texts[1], simhash.INDEXED) ^ simhash.fingerprint(texts[2], simhash.INDEXED)).count("1") <= simhash.LIMIT
+    none = lambda members, limit, similarity: members.sparkSession.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(simhash, "candidates", none)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.near_dedup(docs).collect()) == [1, 3]
+    assert sorted(r["doc_id"] for r in simhash.near_dedup(docs, similarity=0.9999).collect()) == [1, 2, 3]
