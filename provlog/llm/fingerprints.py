@@ -124,8 +124,8 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return vectors(rows.repartition("id"), ["id", "uid"]).select("id", "lanes")
 
 
-def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_chars, edited_sha256, lanes, edited_lanes, near_edited, near_next) of each document."""
+def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, uid, next_id, body, n, k, kept, new, n_chars, edited_sha256) of each document: what its edit keeps of it and what it brings."""
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), whole_text(text_col).alias("body"))
     links = written(neighbours(rows.select("id", F.length("body").alias("n"))), "links")
     joined = rows.join(links, "id", "left")
@@ -134,10 +134,16 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lead = lead.groupBy("id").agg(F.min("x").alias("x"))
     both = joined.join(lead, "id", "left").withColumn("n", F.length("body")).withColumn("k", F.floor(F.col("n") / 4).cast("int"))
     both = both.withColumns({"kept": F.expr("substring(body, 1, n - k)"), "new": F.coalesce(F.expr("substring(x.lead, 1, k)"), F.lit(""))})
+    return both.withColumns({"n_chars": F.col("n").cast("long"), "edited_sha256": F.sha2(F.concat("kept", "new"), 256)})
+
+
+def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_chars, edited_sha256, lanes, edited_lanes, near_edited, near_next) of each document."""
+    both = edits(docs, id_col, text_col)
     # The paragraph that the edit cuts through, and what follows, comes out; the rest stays.
     carry = F.substring_index("kept", "\n", -1)
     parts = both.select(
-        "id", "uid", "next_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.concat("kept", "new"), 256).alias("edited_sha256"),
+        "id", "uid", "next_id", "n_chars", "edited_sha256",
         F.explode(F.array(
             F.struct(F.lit(0).alias("part"), F.expr("left(kept, length(kept) - length(substring_index(kept, '\n', -1)))").alias("text")),
             F.struct(F.lit(1).alias("part"), F.concat(carry, F.expr("substring(body, n - k + 1)")).alias("text")),

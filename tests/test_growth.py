@@ -81,3 +81,16 @@ def test_batches_of_several_files_keep_their_turn(spark):
     query = stream.writeStream.foreachBatch(lambda d, i: seen.append(d.agg(F.min("id"), F.max("id"), F.count("*")).first())).trigger(availableNow=True).start()
     assert query.awaitTermination(60)
     assert [tuple(r) for r in seen] == [(0, 24_999, 25_000), (25_000, 49_999, 25_000), (50_000, 59_999, 10_000)]
+
+
+def test_edited_texts_need_no_fingerprints(spark):
+    """Digests of edited texts are those that come with fingerprints, without the words' work."""
+    import pytest
+
+    pytest.importorskip("provlog.llm")
+    from provlog.llm import fingerprints
+
+    docs = spark.createDataFrame([(1, "abcdefgh"), (2, "é" * 9), (3, None), (5, "line one\nline two")], "doc_id long, text string")
+    plain = fingerprints.edits(docs).select("id", "n_chars", "edited_sha256")
+    assert "xxhash64" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, fingerprints.with_edits(docs).select("id", "n_chars", "edited_sha256").collect()))
