@@ -18,10 +18,7 @@ brings their words together, and windows are verified word by word.
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 
 from provlog.llm.repeats import NO_ID, deduplicated, marked, mix
@@ -31,15 +28,24 @@ WINDOW = 13
 ROUNDS, LEAST = 3, 2
 #: More words than a window has: what the edge of a document decides, no window holds.
 FAR = 1 << 20
+#: Bytes between words, and words that are named at once.
+BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+BLOCK = 1 << 15
 A, BASE = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
 
 
-class Names(dict):
-    """64-bit names of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = name = xxhash.xxh64_intdigest(word)
-        return name
+def names(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """64-bit names of the words that begin at these places, each with the blank after it; the last place is the end."""
+    first, size = begin[:-1], np.diff(begin)
+    powers = np.full(int(size.max(initial=1)), np.uint64(BASE))
+    powers[0] = 1
+    powers = np.cumprod(powers, dtype=np.uint64)
+    out = np.zeros(len(first), np.uint64)
+    for at in range(0, len(first), BLOCK):
+        a, n = first[at : at + BLOCK], size[at : at + BLOCK]
+        part = data[a[0] : a[-1] + n[-1]]
+        out[at : at + BLOCK] = np.add.reduceat(part * powers[np.arange(len(part)) - np.repeat(a - a[0], n)], a - a[0])
+    return mix(out)
 
 
 def together(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -96,14 +102,22 @@ class Words:
     """Units of :func:`provlog.llm.repeats.marked`: words, unchanged."""
 
     def __init__(self, texts: list[str | None]):
-        words = [(t or "").encode().split() for t in texts]
-        self.counts = np.fromiter(map(len, words), np.int64, len(words))
-        flat = list(chain.from_iterable(words))
-        del words
-        self.body = b" ".join(flat)
-        size = np.fromiter(map(len, flat), np.int64, len(flat))
-        self.begin = np.concatenate(([0], np.cumsum(size + 1)))
-        self.name = np.fromiter(map(Names().__getitem__, flat), np.uint64, len(flat))
+        raw = [(t or "").encode() for t in texts]
+        data = np.frombuffer(b"".join([part for text in raw for part in (text, b" ")]), np.uint8)
+        blank = BLANK[data]
+        start = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
+        end = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1  # the blank after each word
+        edge = np.searchsorted(end, np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1))
+        del raw
+        self.counts = np.diff(edge, prepend=0)
+        keep = ~blank
+        keep[end] = True
+        size = end - start + 1  # with the one blank that stays
+        data, blank = data[keep], blank[keep]
+        data[blank] = ord(" ")
+        self.body = data.tobytes()
+        self.begin = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+        self.name = names(data, self.begin)
 
     def rounds(self) -> list[Symbols]:
         """The strings of symbols after each round."""
