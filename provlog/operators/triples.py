@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from provlog.functions import text as X
+from provlog.sources.tables import written
 from provlog.vocabulary import KEY, LOG, PROV, RDF, SIG, XSD, Vocabulary
 
 TYPE = RDF + "type"
@@ -207,13 +208,14 @@ def unreadable(lines: DataFrame) -> DataFrame:
 
 
 def all_triples(headers: DataFrame, entries: DataFrame, seals: DataFrame | None, v: Vocabulary, ordered: bool = False) -> DataFrame:
-    """Everything that segments say, as one table; the entries are read once for what they say by themselves.
+    """Everything that segments say, as one table; the entries are parsed once and written, because what they say by themselves, agents and both sides of edges read them.
 
     ordered: with part, at and pos, by which a graph's triples are in document order: the segment, its entries, agents
     by name, edges by the child's line, seals by their range.
     """
     starts = v.below(LOG + "ProcessStart")
     spark = headers.sparkSession
+    entries = entries if entries.isStreaming else written(entries, "entries")
     at = (lambda rows, c: rows.withColumn("at", c)) if ordered else (lambda rows, c: rows)
     number, text = F.col("line_no").cast("string"), F.lit("")
     padded = F.lpad(number, 20, "0")
