@@ -269,7 +269,7 @@ def call_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which classes of entries call which, over the graph of each segment."""
     from provlog.operators import triples
 
-    e = derived.parsed(spark, sf_dir)
+    e = written(derived.parsed(spark, sf_dir).select("segment", "line_no", "class", "fields"), "parsed")  # edges and names read it four times
     edges = triples.invoked(e).select(F.col("graph").alias("segment"), "s", "o")
     name = triples.node(e).select("id", F.regexp_replace("class", f"^{LOG}", "").alias("name"))
     both = edges.join(name.withColumnsRenamed({"id": "s", "name": "caller"}), "s").join(name.withColumnsRenamed({"id": "o", "name": "callee"}), "o")
