@@ -208,7 +208,7 @@ def write_entries(
 def resumed(spark: SparkSession, directory: str, vocabulary: Vocabulary | None = None) -> DataFrame:
     """The chains of a folder that a restarted writer goes on from: instance, name, level, head, started."""
     headers, lines = segments.opened(segments.read(spark, directory))
-    return tails(headers.where("error is null"), V.reports(V.scanned(lines), headers, vocabulary or Vocabulary.built_in()))
+    return tails(headers.where("error is null"), V.reported(lines, headers, vocabulary or Vocabulary.built_in()))
 
 
 def config(spark: SparkSession, directory: str, app: str | None = None, face: str = "graph", segment: tuple[str, str] | None = None) -> DataFrame | str:

@@ -198,6 +198,12 @@ def reports(rows: DataFrame, headers: DataFrame, v: Vocabulary) -> DataFrame:
     )
 
 
+def reported(lines: DataFrame, headers: DataFrame, v: Vocabulary) -> DataFrame:
+    """Reports alone, from lines that are scanned once: counts and signatures both read what reports need of them, which is written."""
+    needed = scanned(lines).select("segment", "line_no", "is_entry", "is_seal", "class", "fields", "seal", "position")
+    return reports(written(needed, "scanned"), headers, v)
+
+
 def unreadable(headers: DataFrame) -> DataFrame:
     """Findings of segments whose header, or file, can't be read."""
     return exploded(headers.where("h0 is null"), finding("Malformed", 1, x=F.col("error")))

@@ -68,7 +68,7 @@ def level_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = e.select("segment", "user_id", "seq", (F.col("seq") * 2).alias("line_no"), F.concat_ws(" ", "time", class_, "subject", F.concat(F.lit("seq="), F.col("seq").cast("string")), F.lit("key=level from=info"), F.concat(F.lit("to="), to)).alias("raw"))
     seal = body.where("seq = 5").select("segment", F.lit(11).cast("long").alias("line_no"), F.lit("#seal 1-5 sha256:0").alias("raw"))
     lines = body.select("segment", "line_no", "raw").unionByName(seal).withColumns({"kind": X.line_kind(F.col("raw")), "prefixes": derived.prefixes()})
-    r = verify.reports(verify.scanned(lines), derived.headers(spark, sf_dir), Vocabulary.built_in())
+    r = verify.reported(lines, derived.headers(spark, sf_dir), Vocabulary.built_in())
     told = F.transform("level_changes", lambda c: F.concat(c["at"].cast("string"), F.lit(":"), c["from"], F.lit(">"), c["to"]))
     return r.select("segment", F.size("level_changes").cast("long").alias("changes"), F.array_join(told, ",").alias("told"))
 
@@ -89,7 +89,7 @@ def chosen_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers, lines = segments.of_lines(written(rotated(spark, sf_dir), "rotated"))
     last = headers.agg(F.max("segment")).first()[0]
     headers, lines = api.chosen(headers.withColumn("name", F.col("segment")), lines, None, last)
-    r = verify.reports(verify.scanned(lines), headers, Vocabulary.built_in())
+    r = verify.reported(lines, headers, Vocabulary.built_in())
     return r.select("segment", "entries")
 
 

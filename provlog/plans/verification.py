@@ -84,7 +84,7 @@ def verify_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segment_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each tampered segment says of itself."""
     headers, lines = tampered(spark, sf_dir)
-    r = verify.reports(verify.scanned(lines), headers, Vocabulary.built_in())
+    r = verify.reported(lines, headers, Vocabulary.built_in())
     return narrow(r.select("segment", "entries", "seals", "position", F.col("sealed_through").alias("sealed"), "head", "last_class", "finished"))
 
 
@@ -126,7 +126,7 @@ ROTATED = ROTATED.replace("{h}", _header_sql("", "'genesis'")).replace("{i}", _h
 def rotate_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments written with rotation: each names its successor and is chained to its predecessor's head."""
     headers, lines = segments.of_lines(written(rotated(spark, sf_dir), "rotated"))
-    r = verify.reports(verify.scanned(lines), headers, Vocabulary.built_in())
+    r = verify.reported(lines, headers, Vocabulary.built_in())
     return r.select("instance", "segment", "prev", "head", "entries", "successor")
 
 
@@ -163,7 +163,7 @@ def chain_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chain_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest segment of each chain: the one whose head no other names as its predecessor."""
     headers, lines = segments.of_lines(written(rotated(spark, sf_dir), "rotated"))
-    r = verify.reports(verify.scanned(lines), headers, Vocabulary.built_in())
+    r = verify.reported(lines, headers, Vocabulary.built_in())
     return r.join(r.select(F.col("prev").alias("head")), "head", "left_anti").select("segment", "head")
 
 
@@ -348,7 +348,7 @@ def restart_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     from provlog.operators.writer import tails
 
     headers, lines = segments.of_lines(written(rotated(spark, sf_dir), "rotated"))
-    r = verify.reports(verify.scanned(lines), headers, Vocabulary.built_in())
+    r = verify.reported(lines, headers, Vocabulary.built_in())
     return tails(headers, r).select("instance", "name", "level", "head")
 
 
@@ -360,7 +360,7 @@ def stream_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = e.select("instance", "time", "ms", "class", F.concat(F.lit("log:"), "name").alias("curie"), "subject", tail.alias("tail"), "seq")
     stream = live.write_stream(live.fed(e, "entries"), Cadence(None, None, MAX_ENTRIES, None), ["seq"], "trace", Vocabulary.built_in())
     headers, lines = segments.of_lines(live.drained(stream, "writer"))
-    r = verify.reports(verify.scanned(lines), headers, Vocabulary.built_in())
+    r = verify.reported(lines, headers, Vocabulary.built_in())
     return r.select("instance", "segment", "prev", "head", "entries", "successor")
 
 
@@ -381,7 +381,7 @@ def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = live.fed(rows, "late", F.col("_n"), 6).drop("_n")
     written_ = live.drained(live.write_stream(stream, Cadence(None, None, MAX_ENTRIES, None), ["ms", "event_id"], "trace", Vocabulary.built_in(), f"{delay} milliseconds"), "late")
     headers, lines = segments.of_lines(written_.where("instance <> 'urn:inst:end'"))
-    r = verify.reports(verify.scanned(lines), headers, Vocabulary.built_in())
+    r = verify.reported(lines, headers, Vocabulary.built_in())
     return r.select("instance", "segment", "prev", "head", "entries", "successor")
 
 

@@ -69,7 +69,7 @@ def remember(spark: SparkSession, directory: str, store: str, v: Vocabulary) ->
         headers, lines = segments.opened(files, by_file=True)
         headers = written(headers, "headers")
         tables, wrong = parsed(headers, lines, v)
-        whole = verify.reports(verify.scanned(lines), headers, v).where("finished").select(F.col("segment").alias("file"))
+        whole = verify.reported(lines, headers, v).where("finished").select(F.col("segment").alias("file"))
         done = written(whole.join(wrong.select(F.col("segment").alias("file")), "file", "left_anti"), "finished")
         batch, kept = uuid.uuid4().hex, files.join(done, "file", "left_semi").select("file", F.col("hash").alias("content"))
         for part, table in zip(("headers", "entries", "seals"), tables):
