@@ -155,7 +155,7 @@ def verify_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chain_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order of each instance's segments."""
     headers, lines = with_gaps(spark, sf_dir)
-    r = written(verify.reports(verify.scanned(lines), headers, Vocabulary.built_in()), "reports")
+    r = written(verify.reported(lines, headers, Vocabulary.built_in()), "reports")
     return verify.chain_order(r).select("segment", "place")
 
 
