@@ -259,9 +259,9 @@ def seal_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seal_points(spark, sf_dir)
 
 
-def seals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """segment, first, last, hash, signature and seal's line; some signed, some with an untagged signature."""
-    e = derived.entries(spark, sf_dir)
+def seals(spark: SparkSession, sf_dir: str, e: DataFrame | None = None) -> DataFrame:
+    """segment, first, last, hash, signature and seal's line; some signed, some with an untagged signature.  e: the entries, where they are there already."""
+    e = derived.entries(spark, sf_dir) if e is None else e
     s = chain.sealed(e.select("segment", F.col("seq").alias("line_no"), "line"), derived.headers(spark, sf_dir), seal_points(spark, sf_dir))
     user = F.regexp_extract("segment", r"u(\d+)", 1).cast("long")
     sign = F.when(user % 3 == 0, F.concat(F.lit("Ed25519:SIG"), F.right("hash", F.lit(8)))).when(user % 10 == 7, "legacy")

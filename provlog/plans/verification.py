@@ -325,10 +325,10 @@ def chain_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(SEALS + """SELECT segment, count(*) AS seals, CASE WHEN bool_or(contains(coalesce(signature, ''), ':')) THEN 'Ed25519' ELSE '' END AS signed_with FROM f3 GROUP BY segment""")
 def signed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each segment's seals are signed with."""
-    e = derived.entries(spark, sf_dir).select("segment", (F.col("seq") * 2).alias("line_no"), F.col("line").alias("raw"))
-    s = base.seals(spark, sf_dir).select("segment", (F.col("last") * 2 + 1).alias("line_no"), F.col("line").alias("raw"))
-    lines = e.unionByName(s).select("segment", "line_no", "raw", X.line_kind(F.col("raw")).alias("kind"), derived.prefixes().alias("prefixes"))
-    r = verify.reports(verify.scanned(lines), derived.headers(spark, sf_dir), Vocabulary.built_in())
+    e = written(derived.entries(spark, sf_dir).select("segment", "seq", "line"), "entries")  # rendered once
+    s = base.seals(spark, sf_dir, e).select("segment", (F.col("last") * 2 + 1).alias("line_no"), F.col("line").alias("raw"))
+    lines = e.select("segment", (F.col("seq") * 2).alias("line_no"), F.col("line").alias("raw")).unionByName(s).select("segment", "line_no", "raw", X.line_kind(F.col("raw")).alias("kind"), derived.prefixes().alias("prefixes"))
+    r = verify.reported(lines, derived.headers(spark, sf_dir), Vocabulary.built_in())
     return r.where("seals > 0").select("segment", "seals", F.array_join("signed_with", ",").alias("signed_with"))
 
 
