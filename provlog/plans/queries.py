@@ -364,7 +364,8 @@ def unsequenced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     class_ = F.when(F.col("seq") % 50 == 1, F.lit("log:Started")).otherwise(F.concat(F.lit("log:"), "name"))
     line = F.concat("time", F.lit(" "), class_, F.lit(" "), "subject", F.when(F.col("seq") % 4 == 0, F.lit(" seq=18446744073709551615")).when(F.col("seq") % 4 == 1, F.lit(" seq=x")).otherwise(""))
     odd = F.element_at(F.array(*[F.lit(x) for x in ("# a note", "", "#seal 1-2 sha256:0", "  ")]), (F.col("seq") % 4 + 1).cast("int"))
-    rows = e.select("segment", (F.col("seq") * 2 + 10).alias("line_no"), line.alias("raw")).unionByName(e.select("segment", (F.col("seq") * 2 + 11).alias("line_no"), odd.alias("raw")))
+    both = F.array(*[F.struct((F.col("seq") * 2 + at).alias("line_no"), raw.alias("raw")) for at, raw in ((10, line), (11, odd))])
+    rows = e.select("segment", F.inline(both))  # one pass gives both
     lines = rows.select("segment", "line_no", "raw", X.line_kind(F.col("raw")).alias("kind"), derived.prefixes().alias("prefixes"))
     return e.select("segment", "instance").distinct(), lines
 
