@@ -39,7 +39,7 @@ UNIT = 16
 SHORT = 128
 END = 1
 #: Words kept by a Python worker; beyond it the cache starts anew.
-CACHE = 1_000_000
+CACHE = 400_000
 MARKS = b",.!?;:"
 #: First bytes, in UTF-8, of the marks that compose with a letter from A to Z, or begin so when they are taken apart.
 COMPOSING = (b"\xcc", b"\xcd")

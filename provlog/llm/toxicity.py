@@ -44,6 +44,8 @@ FOLDS = 3
 Z = 3.5
 FEW = 5
 CACHE = 400_000
+#: Texts that are Python's own strings at once.
+PART = 256
 #: Category and the expression over the labels table that is 1 for it.
 CHAIN = (("low_quality", "1 - quality"), ("toxic", "toxic"))
 SYMBOL = re.compile(r"[#$%&*|!=<>{}@^~]")
@@ -191,7 +193,8 @@ def training_cases(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            found = [features.of(t).tobytes() for t in batch.column(0).to_pylist()]
+            texts = batch.column(0)
+            found = [features.of(t).tobytes() for at in range(0, len(texts), PART) for t in texts.slice(at, PART).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *batch.columns[1:]], ["found", *batch.schema.names[1:]])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")  # max_rows rows

@@ -32,3 +32,17 @@ def test_words_hold_no_object_each():
     finally:
         tracemalloc.stop()
     assert len(words.name) == 200_000 and peak < 140 * 200_000  # 189 bytes a word with an object for each
+
+
+def test_stages_of_the_pipeline_hand_small_batches_to_python(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([(i, f"text {i} of some words", "en", "a", 20) for i in range(30)], "doc_id long, text string, lang string, source string, n_chars long")
+    try:
+        for _, stage in pipeline.STAGES[1:]:
+            spark.conf.set(key, "10000")
+            stage(spark, docs, "")
+            assert int(spark.conf.get(key)) <= 1000
+    finally:
+        spark.conf.set(key, before)
