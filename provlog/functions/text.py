@@ -75,7 +75,7 @@ def unquote(token: Column) -> Column:
 
 
 def is_bare(v: Column) -> Column:
-    return (v != "") & ~v.rlike(rf'["\\{WS}{ESCAPED}]')
+    return (v != "") & (v.rlike(r"\A[!#-\[\]-~]+\z") | ~v.rlike(rf'["\\{WS}{ESCAPED}]'))  # printable ASCII first: most are, and its test is cheap
 
 
 def quote(v: Column) -> Column:
@@ -135,7 +135,7 @@ def line_kind(line: Column) -> Column:
 
 def is_iri(c: Column) -> Column:
     """The loose test of the grammar: a colon, no angle brackets or quotes, no white space."""
-    return F.contains(c, F.lit(":")) & ~c.rlike(rf'[<>"{WS}]')
+    return F.contains(c, F.lit(":")) & (c.rlike(r"\A[!#-;=?-~]+\z") | ~c.rlike(rf'[<>"{WS}]'))
 
 
 def is_writable_iri(c: Column) -> Column:

@@ -56,13 +56,24 @@ def exploded(rows: DataFrame, *found: Column) -> DataFrame:
     return each.select("segment", "f.*")
 
 
-def scanned(lines: DataFrame) -> DataFrame:
-    """segment, line_no, raw, is_entry, is_seal, bad, class, fields, seal, stated, position, covered (sealed before), previous (stated sequence before)."""
+def noted(v: Vocabulary) -> list[str]:
+    """Classes of whose fields reports read something."""
+    return [c for name in ("Rotation", "ConfigChange", "LevelChange") for c in v.below(LOG + name)]
+
+
+def scanned(lines: DataFrame, classes: list[str] | None = None) -> DataFrame:
+    """segment, line_no, raw, is_entry, is_seal, bad, class, fields, seal, stated, position, covered (sealed before), previous (stated sequence before).
+
+    classes: those whose fields are kept; others have null.
+    """
     e = X.parse_entry(F.col("raw"), F.col("prefixes"))
     p = X.once(X.once(lines, "e", F.when(F.col("kind") == "entry", e)), "seal", F.when((F.col("kind") == "seal"), X.parse_seal(F.col("raw"))))
     p = p.withColumns({"is_entry": (F.col("kind") == "entry") & X.is_entry(F.col("raw"), F.col("e")), "is_seal": (F.col("kind") == "seal") & X.is_seal(F.col("raw"), F.col("seal"))})
     stated = F.when(F.col("is_entry"), X.stated_sequence(F.col("e.fields")))
-    p = p.withColumns({"bad": F.col("kind").isin("entry", "seal", "directive") & ~F.col("is_entry") & ~F.col("is_seal"), "stated": stated})
+    fields = F.col("e.fields") if classes is None else F.when(F.col("e.class").isin(classes), F.col("e.fields"))
+    bad = F.col("kind").isin("entry", "seal", "directive") & ~F.col("is_entry") & ~F.col("is_seal")
+    # What isn't asked for later goes before lines are sorted.
+    p = p.select("segment", "line_no", "raw", "is_entry", "is_seal", bad.alias("bad"), F.col("e.class").alias("class"), fields.alias("fields"), F.when(F.col("is_seal"), F.col("seal")).alias("seal"), stated.alias("stated"))
     order = W.partitionBy("segment").orderBy("line_no")
     here, before = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(W.unboundedPreceding, -1)
     p = p.withColumn("own", F.when(F.col("is_entry"), F.coalesce("stated", F.sum(F.col("is_entry").cast("long")).over(here).cast(NUMBER))))
@@ -71,8 +82,7 @@ def scanned(lines: DataFrame) -> DataFrame:
         "covered": F.coalesce(F.last(F.when(F.col("is_seal"), F.col("position")), True).over(before), F.lit(0).cast(NUMBER)),
         "previous": F.last("stated", True).over(before),
     })
-    seal = F.when(F.col("is_seal"), F.col("seal")).alias("seal")
-    return p.select("segment", "line_no", "raw", "is_entry", "is_seal", "bad", F.col("e.class").alias("class"), F.col("e.fields").alias("fields"), seal, "stated", "position", "covered", "previous")
+    return p.select("segment", "line_no", "raw", "is_entry", "is_seal", "bad", "class", "fields", "seal", "stated", "position", "covered", "previous")
 
 
 def line_findings(rows: DataFrame) -> DataFrame:
@@ -200,7 +210,7 @@ def reports(rows: DataFrame, headers: DataFrame, v: Vocabulary) -> DataFrame:
 
 def reported(lines: DataFrame, headers: DataFrame, v: Vocabulary) -> DataFrame:
     """Reports alone, from lines that are scanned once: counts and signatures both read what reports need of them, which is written."""
-    needed = scanned(lines).select("segment", "line_no", "is_entry", "is_seal", "class", "fields", "seal", "position")
+    needed = scanned(lines, noted(v)).select("segment", "line_no", "is_entry", "is_seal", "class", "fields", "seal", "position")
     return reports(written(needed, "scanned"), headers, v)
 
 
@@ -304,7 +314,7 @@ def verify(headers: DataFrame, lines: DataFrame, v: Vocabulary, whole: bool = Tr
     (a file's path).  lines: segment, line_no, raw, kind, prefixes.  intervals: seals are checked by :func:`interval_mismatches`,
     for segments that are too long for a task.
     """
-    rows = written(scanned(lines), "scanned")  # every rule below reads it
+    rows = written(scanned(lines, noted(v)), "scanned")  # every rule below reads it
     report = written(reports(rows, headers, v), "reports")
     mismatches = interval_mismatches(lines, headers) if intervals else None
     found = own_findings(rows, headers, report, mismatches).unionByName(chain_findings(report, whole))
@@ -322,7 +332,7 @@ def chain_broken(headers: DataFrame, lines: DataFrame, v: Vocabulary) -> DataFra
     Each rotation verifies the segment that it sealed and that one's predecessor, as a window: the
     predecessor's own predecessor isn't asked for, nor the successor that opens only now.
     """
-    rows = written(scanned(lines), "scanned")
+    rows = written(scanned(lines, noted(v)), "scanned")
     report = written(chain_order(written(reports(rows, headers, v), "reports")), "placed")
     own, links = own_findings(rows, headers, report), link_findings(report, whole=False)
     order = W.partitionBy("instance").orderBy("place")

@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 from datetime import datetime
+from itertools import repeat
 
 import pyarrow as pa
 from pyarrow import fs
@@ -219,7 +220,8 @@ def write_lines(
 
         for batch in batches:
             rows: list[tuple[str, int, str]] = []
-            for instance, time, ms, curie, subject, tail, before in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            chains = repeat(None) if batch.column(6).null_count == batch.num_rows else batch.column(6).to_pylist()
+            for instance, time, ms, curie, subject, tail, before in zip(*(batch.column(i).to_pylist() for i in range(6)), chains):
                 if now is None or instance != now.instance:
                     if now is not None:
                         yield emit(now.instance, rows + now.close(*last))

@@ -159,7 +159,7 @@ def opened(files: DataFrame, by_file: bool = False) -> tuple[DataFrame, DataFram
 
 def body(rows: DataFrame) -> DataFrame:
     """segment, line_no, raw, kind, prefixes of the lines after the header; rows: the same with head, the header's lines."""
-    rows = rows.where("line_no > head").withColumn("raw", F.regexp_replace("raw", r"\r+\z", ""))
+    rows = rows.where("line_no > head").withColumn("raw", F.when(F.col("raw").endswith("\r"), F.regexp_replace("raw", r"\r+\z", "")).otherwise(F.col("raw")))
     return rows.select("segment", "line_no", "raw", X.line_kind(F.col("raw")).alias("kind"), "prefixes")
 
 
@@ -177,16 +177,20 @@ def of_lines(written: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = W.partitionBy("segment").orderBy("line_no")
     blank = F.col("line").rlike(rf"^[{X.WS}]*\z")
     past = F.coalesce(F.sum(blank.cast("long")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    p = written.withColumns({"past": past, "nth": F.row_number().over(order)})
-    top = F.collect_list(F.when((F.col("past") == 0) & ~blank, F.col("line"))).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    p = p.withColumn("h", F.when(F.col("nth") == 1, parse_header(F.array_join(top, "\n"))))
-    known = F.first(F.when(F.col("nth") == 1, F.struct("h.prefixes", "h.error", "h.lines"))).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    p = cut(p.select("segment", "line_no", "line", "past", "nth", "h", known.alias("k")), "of-lines")  # one pass gives both
-    h = p.where("nth = 1")
+    # Only lines down to the lowest place at which a header ends are brought together: with headers of a few lines, few of all.
+    ends = written.groupBy("segment").agg(F.coalesce(F.min(F.when(blank, F.col("line_no"))), F.max("line_no")).alias("end"))
+    lowest = ends.agg(F.max("end")).first()[0]
+    top = written.where(F.col("line_no") <= F.lit(lowest)).select("segment", "line_no", "line").withColumn("past", past).where("past = 0")
+    texts = F.array_sort(F.collect_list(F.when(~blank, F.struct("line_no", "line"))))
+    h = top.groupBy("segment").agg(F.transform(texts, lambda x: x["line"]).alias("texts"), F.min(F.when(blank, F.col("line_no"))).alias("stop"))
+    h = X.once(h, "h", parse_header(F.array_join("texts", "\n")))
     good = F.col("h.error").isNull()
-    headers = h.select("segment", "h.instance", "h.level", "h.started", "h.prev", "h.prefixes", "h.error", F.when(good, canonical_hash(F.col("h"))).alias("h0"), F.col("h.lines").alias("head_lines"))
-    rows = p.where("past > 0 and k.error is null")
-    return headers, body(rows.select("segment", F.col("k.prefixes").alias("prefixes"), F.col("k.lines").alias("head"), "line_no", F.col("line").alias("raw")))
+    h0 = F.when(good, canonical_hash(F.col("h"))).alias("h0")
+    h = cut(h.select("segment", "h.instance", "h.level", "h.started", "h.prev", "h.prefixes", "h.error", h0, F.col("h.lines").alias("head_lines"), "stop"), "headers")
+    # Lines meet their headers in the exchange that brings together a segment; what is made of the lines comes after it.
+    known = h.where("error is null and stop is not null").select("segment", "prefixes", F.col("head_lines").alias("head"), "stop").hint("shuffle_hash")
+    rows = written.select("segment", "line_no", F.col("line").alias("raw")).join(known, "segment").where("line_no > stop")
+    return h.drop("stop"), body(rows.select("segment", "prefixes", "head", "line_no", "raw"))
 
 
 def exists(files: DataFrame, name: str) -> bool:
