@@ -22,9 +22,11 @@ table gives no rows.  Other columns aren't read, so their names can't clash.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from string import ascii_letters, digits, punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +40,15 @@ LENGTH = 2048
 UNIT = 16
 SHORT = 128
 END = 1
-#: Words kept by a Python worker; beyond it the cache starts anew.
+#: Units kept by a Python worker; beyond it the cache starts anew.
 CACHE = 400_000
-MARKS = b",.!?;:"
+#: Bytes of text that are taken apart at once, and words that the tokenizer gets as one text.
+BLOCK, JOINED = 1 << 20, 500
+#: White space; letters and digits; marks, with and without the apostrophe, which belongs to some letters after it ('s).
+BLANK, PLAIN, MARK, CLOSED = (np.isin(np.arange(256), list(c.encode())) for c in (" \t\n\v\f\r", ascii_letters + digits, punctuation, punctuation.replace("'", "")))
+#: Second bytes of the letters from À to ÿ, after 0xC3: all but the two signs.
+LATIN = (np.arange(256) >= 0x80) & (np.arange(256) < 0xC0) & ~np.isin(np.arange(256), [0x97, 0xB7])
+WORD = re.compile(rb"[^ \t\n\v\f\r]*")
 #: First bytes, in UTF-8, of the marks that compose with a letter from A to Z, or begin so when they are taken apart.
 COMPOSING = (b"\xcc", b"\xcd")
 #: Pieces ranked in one bucket, about.
@@ -48,66 +56,128 @@ BUCKET = 2000
 Pattern = tuple[dict[int, int], int]
 
 
+def blocks(body: bytes) -> Iterator[bytes]:
+    """The text in parts of about BLOCK bytes, which cut no word."""
+    at = 0
+    while len(body) - at > BLOCK:
+        end = WORD.match(body, at + BLOCK).end()
+        yield body[at:end]
+        at = end
+    yield body[at:]
+
+
+def units(bodies: list[bytes], whole: list[bool]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of all bodies, cut where letters or digits meet marks but for those of whole bodies, and how many end with each body."""
+    data = np.frombuffer(b"".join([part for body in bodies for part in (body, b" ")]), np.uint8)
+    edges = np.cumsum(np.fromiter(map(len, bodies), np.int64, len(bodies)) + 1)
+    blank, first, last = BLANK[data], PLAIN[data], PLAIN[data]
+    latin = np.flatnonzero(data == 0xC3)
+    latin = latin[LATIN[data[latin + 1]]]  # a blank is last
+    first[latin], last[latin + 1] = True, True
+    cut = (last[:-1] & MARK[data[1:]]) | (CLOSED[data[:-1]] & first[1:])
+    for i in np.flatnonzero(whole):
+        cut[edges[i] - len(bodies[i]) - 1 : edges[i] - 1] = False
+    start = ~blank
+    start[1:] &= blank[:-1] | cut
+    at, kept = np.flatnonzero(start), data[~blank]
+    offsets = np.append((np.cumsum(~blank) - 1)[at], len(kept)).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
+    return found.dictionary_encode(), np.searchsorted(at, edges)
+
+
 class WordIds:
-    """Ids of white-space separated words, as little-endian 32-bit bytes, cached by word.
+    """Ids of texts, as little-endian 32-bit bytes; those of units, words or parts of them, are cached.
 
     White space always ends a token of this kind of tokenizer, and so does the edge between a
-    letter or digit and the marks after it, so a word's stem and its closing marks are encoded
-    one by one.  The tokenizer lower-cases; A-Z is lower-cased here, so that a word is cached
-    once.  Not so in texts that could hold the name of a special token, which case decides, and
-    in words with combining marks: the tokenizer composes characters before it lower-cases
-    them, and some compose with a small letter alone.
+    letter or digit and a mark, but for the apostrophe before a letter; texts are cut there in
+    bulk, and a unit is looked up once in a block.  The tokenizer lower-cases; A-Z is lower-cased
+    here, so that a unit is cached once.  Not so in texts that could hold the name of a special
+    token, which case decides, and in words with combining marks: the tokenizer composes
+    characters before it lower-cases them, and some compose with a small letter alone.  Such
+    texts are cut at white space only.
+
+    New units of letters alone go to the tokenizer many at once, since each of them is one
+    word to it, whose last token alone has the suffix for the end of a word.  Where the number
+    of such tokens is another, each is encoded by itself.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def learn(self, new: set[bytes]) -> None:
-        stems, split = set(), []
-        for word in new:
-            stem = word.rstrip(MARKS)
-            if len(stem) < len(word) and stem[-1:].isalnum():
-                split.append((word, stem, word[len(stem) :]))
-                stems.update(x for x in split[-1][1:] if x not in self.known)
-            else:
-                stems.add(word)
-        todo = list(stems)
-        for at in range(0, len(todo), 2000):
-            part = todo[at : at + 2000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
-        for word, stem, marks in split:
-            self.known[word] = self.known[stem] + self.known[marks]
+        self.small = Tokenizer(self.tokenizer.model)  # for letters A-Z, which normalisation lower-cases alone
+        self.small.normalizer, self.small.pre_tokenizer = normalizers.Lowercase(), pre_tokenizers.WhitespaceSplit()
+        vocabulary, suffix = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+
+    def learn(self, new: list[bytes]) -> None:
+        small, letters, alone = [], [], []
+        for unit in new:
+            text = unit.decode()
+            (small if unit.isalpha() else letters if text.isalpha() else alone).append(text)
+        for tokenizer, texts in (self.small, small), (self.tokenizer, letters):
+            for at in range(0, len(texts), JOINED):
+                part = texts[at : at + JOINED]
+                ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+                ends = np.flatnonzero(self.closes[ids]) * 4 + 4
+                if len(ends) == len(part):
+                    raw, ends = ids.tobytes(), [0, *ends.tolist()]
+                    self.known.update((t.encode(), raw[a:b]) for t, a, b in zip(part, ends, ends[1:]))
+                else:
+                    alone += part
+        for at in range(0, len(alone), 2000):
+            part = alone[at : at + 2000]
+            for text, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.known[text.encode()] = np.array(found.ids, "<u4").tobytes()
 
     @staticmethod
-    def split(body: bytes) -> list[bytes]:
+    def lowered(body: bytes) -> tuple[bytes, bool]:
+        """The text, A-Z lower-cased where the ids stay the same, and whether its words must stay whole."""
         if b"<|" in body:
-            return body.split()
+            return body, True
         if any(m in body for m in COMPOSING):
-            return [w if any(m in w for m in COMPOSING) else w.lower() for w in body.split()]
-        return body.lower().split()
+            return b" ".join([w if any(m in w for m in COMPOSING) else w.lower() for w in body.split()]), True
+        return body.lower(), False
 
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.split((t or "").encode()) for t in texts]
+    def block(self, bodies: list[bytes], whole: list[bool]) -> list[bytes]:
         if len(self.known) > CACHE:
             self.known = {}
-        of, end = self.known.__getitem__, np.array([END], "<u4").tobytes()
-        out, new = [], []
-        for i, words in enumerate(split):
-            try:
-                out.append(b"".join(map(of, words)) + end)
-            except KeyError:
-                out.append(b"")
-                new.append(i)
-        self.learn({w for i in new for w in split[i] if w not in self.known})
-        for i in new:
-            out[i] = b"".join(map(of, split[i])) + end
-        return out
+        words, ends = units(bodies, whole)
+        values = words.dictionary.to_pylist()
+        self.learn([v for v in values if v not in self.known])
+        found = [self.known[v] for v in values]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin, at = np.cumsum(size) - size, words.indices.to_numpy()
+        n = size[at]
+        stop = np.concatenate(([0], np.cumsum(n)))
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(begin[at] - stop[:-1], n) + np.arange(stop[-1])]
+        edges = stop[np.concatenate(([0], ends))]
+        return [ids[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+
+    def batch(self, texts: list[str | None]) -> list[bytes]:
+        out: list[list[bytes]] = [[] for _ in texts]
+        of, bodies, whole, held = [], [], [], 0
+
+        def flush() -> None:
+            for i, ids in zip(of, self.block(bodies, whole)):
+                out[i].append(ids)
+
+        for i, text in enumerate(texts):
+            body, one = self.lowered((text or "").encode())
+            for part in blocks(body):
+                if held and held + len(part) > BLOCK:
+                    flush()
+                    of, bodies, whole, held = [], [], [], 0
+                of.append(i), bodies.append(part), whole.append(one)
+                held += len(part)
+        if bodies:
+            flush()
+        end = np.array([END], "<u4").tobytes()
+        return [b"".join([*parts, end]) for parts in out]
 
 
 @cache

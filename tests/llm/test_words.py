@@ -5,11 +5,13 @@ from __future__ import annotations
 import random
 import tracemalloc
 
+import numpy as np
 import pytest
 
 pytest.importorskip("provlog.llm")
 
-from provlog.llm import recompression  # noqa: E402
+from provlog.llm import packing, recompression  # noqa: E402
+from provlog.llm.common import tokenizer_file  # noqa: E402
 
 
 def test_words_are_those_of_split():
@@ -34,6 +36,43 @@ def test_words_hold_no_object_each():
     assert len(words.name) == 200_000 and peak < 140 * 200_000  # 189 bytes a word with an object for each
 
 
+def test_ids_of_odd_words_are_the_tokenizers(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path, rng = tokenizer_file("word_bpe_49k.json"), random.Random(5)
+    tok = Tokenizer.from_file(path)
+    signs = list("abzAEJSTK01 9 \t\n\v\f\r.,'-_=<|`@#  \x00\x1c\x85\xa0\u2003éÀß×÷ÿİΣςǅªº²٣½漢한\u1100\u1161😀\u0301\u0338\u030c\u0345\u037e\u212aﬁ’…") + ["'s", "'ll", "'RE", "</w>", "<|endoftext|>", "<|ENDOFTEXT|>", "İ.", "the", "=\u0338", "J\u030c"]
+    for block in (1, 9, 1 << 20):
+        monkeypatch.setattr(packing, "BLOCK", block)
+        words = packing.WordIds(path)
+        for _ in range(60):
+            some = rng.sample(signs, rng.randint(2, len(signs)))
+            texts = [None if rng.random() < 0.1 else "".join(rng.choices(some, k=rng.randint(0, 40))) for _ in range(rng.randint(0, 6))]
+            got = [np.frombuffer(ids, "<u4").tolist() for ids in words.batch(texts)]
+            assert got == [[*tok.encode(t or "", add_special_tokens=False).ids, 1] for t in texts], texts
+
+
+def test_new_words_go_to_the_tokenizer_many_at_once():
+    class Counting:
+        texts = 0
+
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, texts, **options):
+            Counting.texts += len(texts)
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    words, rng = packing.WordIds(tokenizer_file("word_bpe_49k.json")), random.Random(6)
+    for name, value in list(vars(words).items()):
+        if hasattr(value, "encode_batch_fast"):
+            setattr(words, name, Counting(value))
+    new = {"".join(rng.choices("abcdefghijklmnoprstuéü", k=9)) for _ in range(3000)}
+    words.batch([" ".join(w + rng.choice(["", ".", "***", "$$$"]) for w in new)])
+    assert Counting.texts < len(new) / 50  # one text for each word, before
+    assert len(words.known) < len(new) + 10
+
+
 def test_stages_of_the_pipeline_hand_small_batches_to_python(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
