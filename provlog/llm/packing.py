@@ -105,11 +105,11 @@ class WordIds:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.small = Tokenizer(self.tokenizer.model)  # for letters A-Z, which normalisation lower-cases alone
-        self.small.normalizer, self.small.pre_tokenizer = normalizers.Lowercase(), pre_tokenizers.WhitespaceSplit()
+        self.small = Tokenizer(self.tokenizer.model)  # for letters a-z, which normalisation leaves as they are
+        self.small.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary, suffix = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
@@ -119,11 +119,11 @@ class WordIds:
         for unit in new:
             text = unit.decode()
             (small if unit.isalpha() else letters if text.isalpha() else alone).append(text)
-        for tokenizer, texts in (self.small, small), (self.tokenizer, letters):
+        for tokenizer, texts in (self.small, [t.lower() for t in small]), (self.tokenizer, letters):
+            keys = small if texts is not letters else letters
             for at in range(0, len(texts), JOINED):
-                part = texts[at : at + JOINED]
-                ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-                ends = np.flatnonzero(self.closes[ids]) * 4 + 4
+                ids = np.array(tokenizer.encode_batch_fast([" ".join(texts[at : at + JOINED])], add_special_tokens=False)[0].ids, "<u4")
+                part, ends = keys[at : at + JOINED], np.flatnonzero(self.closes[ids]) * 4 + 4
                 if len(ends) == len(part):
                     raw, ends = ids.tobytes(), [0, *ends.tolist()]
                     self.known.update((t.encode(), raw[a:b]) for t, a, b in zip(part, ends, ends[1:]))
