@@ -51,7 +51,7 @@ def ordinals(lines: DataFrame) -> DataFrame:
 def node(rows: DataFrame) -> DataFrame:
     """rows with graph, and id: the entry's IRI, by the sequence it states, else by its ordinal (line_no where there is none)."""
     seq = F.coalesce(X.stated_sequence(F.col("fields")).cast("string"), F.col("ordinal" if "ordinal" in rows.columns else "line_no").cast("string"))
-    return rows.withColumns({"graph": F.col("segment"), "id": F.concat("segment", F.lit(":"), seq)})
+    return X.once(rows.withColumn("graph", F.col("segment")), "id", F.concat("segment", F.lit(":"), seq))  # named by each triple
 
 
 def of_header(headers: DataFrame) -> DataFrame:

@@ -1,15 +1,16 @@
 """Streams: transreption of segments line by line, and the writer as a stateful operator.
 
 Parsing is stateless and stays in the JVM.  State is kept for each segment (ordinals, process runs, spans,
-agents) or instance (the writer's chain, entries that wait for their turn), as typed values, maps and lists of the state
-store, and never grows beyond a bound: a segment that needs more fails the query, so that no answer is partial.
+agents) or instance (the writer's chain, entries that wait for their turn) in buckets of the state store, and never grows beyond a bound: a segment that needs more fails the query, so that no answer is partial.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from operator import itemgetter
 
 import numpy as np
@@ -32,6 +33,10 @@ STATE = "seq long, head string, sealed long, since long"
 SEALS = "segment string, first long, last long, hash string"
 #: Bytes of a segment's state at most.
 BUDGET = 64 << 20
+#: Buckets to which segments, or instances, are dealt; characters of a bucket's state that are read and written at once; spans and children of a part.
+BUCKETS, NEAR, PART = 512, 8 << 20, 5000
+#: Rows of a frame that a bucket tells, about.
+ROWS = 5_000
 
 
 def finished_files(spark: SparkSession, directory: str) -> DataFrame:
@@ -47,103 +52,174 @@ def triples_of(files: DataFrame, v: Vocabulary) -> DataFrame:
     return triples.declared(e, v)
 
 
+class Kept:
+    """State of the many keys of a bucket, as a text (JSON) for each.
+
+    A call to the state, and a group of rows, cost far more than a row does, so keys are dealt to buckets.  near: the keys that were
+    used last, read and written all at once.  far: those for which there is no room, each by itself.  A key is in one of them.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, room: int):
+        self.room = room
+        self.near = handle.getListState(f"{name}_near", "key string, state string")
+        self.far = handle.getMapState(f"{name}_far", "key string", "state string")
+
+    def open(self) -> None:
+        self.texts = {key: text for key, text in self.near.get()}
+        self.more = self.far.exists()
+
+    def take(self, key: str) -> list | None:
+        text = self.texts.pop(key, None)
+        if text is None and self.more:
+            row = self.far.getValue((key,))
+            if row is not None:
+                text = row[0]
+                self.far.removeKey((key,))
+        return None if text is None else json.loads(text)
+
+    def put(self, key: str, state: list) -> None:
+        self.texts[key] = json.dumps(state, ensure_ascii=False)
+
+    def close(self) -> None:
+        size = sum(map(len, self.texts)) + sum(map(len, self.texts.values()))
+        for key in list(self.texts):  # what was used last stands last
+            if size <= self.room:
+                break
+            text = self.texts.pop(key)
+            size -= len(key) + len(text)
+            self.far.updateValue((key,), (text,))
+        if self.texts:
+            self.near.put(list(self.texts.items()))
+        else:
+            self.near.clear()
+
+
 class Follower(StatefulProcessor):
-    """The lines of a segment in their order, whatever order they come in, with what only state tells.
+    """The lines of the segments of a bucket in their order, whatever order they come in, with what only state tells.
 
-    place: ordinal, run and so on after the last line that was taken.  early: lines that came before their turn.
-    spans, children, agents: what waits for the segment's end; within a batch it is held in memory and never stored.
-    Each is read and written as a whole, once a batch, because what a call to the state costs is far more than what a row does.
+    A segment's state: ordinal, run and so on after the last line that was taken, early lines that came before their turn, and the
+    spans, children and agents that wait for its end; where these are many they are parts of their own, which are written once
+    and read at the end.  What comes and goes within a batch is held in memory and never stored.
     """
 
-    def __init__(self, starts: set[str], ends: set[str], budget: int):
-        self.starts, self.ends, self.budget = starts, ends, budget
+    def __init__(self, starts: set[str], ends: set[str], budget: int, room: int, part: int):
+        self.starts, self.ends, self.budget, self.room, self.part = starts, ends, budget, room, part
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.place = handle.getValueState("place", "next long, ordinal long, run long, started boolean, held long, waiting long")
-        self.early = handle.getListState("early", EARLY)
-        self.spans = handle.getListState("spans", "run long, span string, iri string")
-        self.children = handle.getListState("children", "run long, parent string, iri string")
-        self.agents = handle.getValueState("agents", "agents array<string>, instances array<string>")
+        self.kept = Kept(handle, "segments", self.room)
+        self.parts = handle.getMapState("parts", "segment string, n long", "spans string, children string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
-        segment = key[0]
-        stored = self.place.get()
-        following, ordinal, run, started, held, waiting = stored if stored is not None else (None, 0, 0, False, 0, 0)
-        spans, children, agents, ended, instance = {}, [], {}, False, None
-        before = waiting
-        early = {r[0]: tuple(r) for r in self.early.get()} if waiting else {}
+        self.kept.open()
+        now: dict[str, Followed] = {}
+        out: list[tuple] = []
         for frame in rows:
-            out = []
-            frame = frame.sort_values("at", kind="stable")
-            for row in zip(*(frame[c].tolist() for c in ROW)):
-                following = row[2] if following is None else following
-                if row[0] < following:
-                    continue  # a line that came again
-                if row[0] > following:
-                    again = early.get(row[0])
-                    early[row[0]] = row = tuple(list(x) if isinstance(x, np.ndarray) else x for x in row)
-                    held += sum(len(str(x)) for x in row) - (sum(len(str(x)) for x in again) if again is not None else 0)
-                    continue
-                while row is not None:
-                    at, following, _, kind, instance, class_, seq, span, parent, named = row[:10]
-                    if kind == "entry":
-                        ordinal += 1
-                        if class_ in self.starts:
-                            run, started = run + started, True
-                        iri = f"{segment}:{seq if seq is not None else ordinal}"
-                        if span is not None:
-                            spans[run, span] = iri
-                        if parent is not None:
-                            children.append((run, parent, iri))
-                        agents |= dict.fromkeys(named if named is not None else [], instance)
-                        ended = class_ in self.ends
-                    if kind in ("entry", "seal"):
-                        out.append((kind, segment, instance, at, ordinal if kind == "entry" else None, *row[10:], None))
-                    row = early.pop(following, None) if early else None
-                    held -= sum(len(str(x)) for x in row) if row is not None else 0
-            yield pd.DataFrame(out, columns=TOLD)
-        waiting = len(early)
-        if early:
-            self.early.put(list(early.values()))
-        elif before:
-            self.early.clear()
-        named = self.agents.get() if stored is not None else None
-        named = dict(zip(*named)) if named is not None else {}
-        if ended:
-            known = {(r[0], r[1]): r[2] for r in self.spans.get()} if stored is not None else {}  # of equal spans the last one counts
-            known |= spans
-            both = [*(self.children.get() if stored is not None else []), *children]
-            edges = [(known.get((run, parent)), child) for run, parent, child in both]
-            out = [("edge", segment, instance, *[None] * 7, p, c) for p, c in edges if p is not None and p != c]
-            out += [("agent", segment, i, *[None] * 7, a, None) for a, i in sorted((named | agents).items())]
+            frame = frame.sort_values(["segment", "at"], kind="stable")
+            for segment, lines in groupby(zip(frame["segment"].tolist(), zip(*(frame[c].tolist() for c in ROW))), key=itemgetter(0)):
+                if segment not in now:
+                    now[segment] = Followed(segment, self.kept.take(segment))
+                now[segment].follow(map(itemgetter(1), lines), self.starts, self.ends, out)
+            if len(out) > ROWS:
+                yield pd.DataFrame(out, columns=TOLD)
+                out = []
+        for segment, s in now.items():
+            if s.ended:
+                self.end(s, out)
+            s.close()
+            if s.held > self.budget:
+                raise ValueError(f"over budget: the state of {segment} needs more than {self.budget} bytes")
+            if len(s.spans) + len(s.children) > self.part:
+                self.parts.updateValue((segment, s.parts), (json.dumps(s.spans, ensure_ascii=False), json.dumps(s.children, ensure_ascii=False)))
+                s.spans, s.children, s.parts = [], [], s.parts + 1
+            if s.following is not None:
+                self.kept.put(segment, s.state())
+        self.kept.close()
+        if out:
             yield pd.DataFrame(out, columns=TOLD)
-            for state in (self.spans, self.children, self.agents) if stored is not None else ():
-                state.clear()
-            held = 0 if not waiting else held
-        else:
-            if spans:
-                self.spans.appendList([(run_, span, iri) for (run_, span), iri in spans.items()])
-            if children:
-                self.children.appendList(children)
-            fresh = {a: of for a, of in agents.items() if a not in named}
-            if fresh:
-                named |= fresh
-                self.agents.update((list(named), list(named.values())))
-                held += sum(map(len, fresh))
-            held += sum(len(s) + len(i) + 8 for (_, s), i in spans.items()) + sum(len(p) + len(i) + 8 for _, p, i in children)
-        if held > self.budget:
-            raise ValueError(f"over budget: the state of {segment} needs more than {self.budget} bytes")
-        if following is not None:
-            self.place.update((following, ordinal, run, bool(started), held, waiting))
+
+    def end(self, s: Followed, out: list[tuple]) -> None:
+        """Edges and agents of a segment that has ended, which then waits for nothing."""
+        before = [[json.loads(text) for text in self.parts.getValue((s.segment, n))] for n in range(s.parts)]
+        known, children = {}, []
+        for spans, some in [*before, (s.spans, s.children)]:
+            known |= {(run, span): iri for run, span, iri in spans}  # of equal spans the last one counts
+            children += some
+        known |= s.fresh
+        edges = [(known.get((run, parent)), child) for run, parent, child in [*children, *s.born]]
+        out += [("edge", s.segment, s.instance, *[None] * 7, p, c) for p, c in edges if p is not None and p != c]
+        out += [("agent", s.segment, i, *[None] * 7, a, None) for a, i in sorted((s.agents | s.named).items())]
+        for n in range(s.parts):
+            self.parts.removeKey((s.segment, n))
 
     def close(self) -> None:
         pass
 
 
+class Followed:
+    """A segment within a batch: what is stored of it, and what the batch adds (fresh spans, children born, agents named)."""
+
+    def __init__(self, segment: str, stored: list | None):
+        self.segment = segment
+        self.following, self.ordinal, self.run, self.started, self.held, self.parts, early, self.spans, self.children, self.agents = stored or (None, 0, 0, False, 0, 0, [], [], [], {})
+        self.early = {row[0]: tuple(row) for row in early}
+        self.fresh: dict[tuple[int, str], str] = {}
+        self.born: list[tuple[int, str, str]] = []
+        self.named: dict[str, str] = {}
+        self.ended, self.instance = False, None
+
+    def follow(self, lines: Iterator[tuple], starts: set[str], ends: set[str], out: list[tuple]) -> None:
+        segment, early, fresh, born = self.segment, self.early, self.fresh, self.born
+        following, ordinal = self.following, self.ordinal
+        for row in lines:
+            following = row[2] if following is None else following
+            if row[0] < following:
+                continue  # a line that came again
+            if row[0] > following:
+                again = early.get(row[0])
+                early[row[0]] = row = tuple(x.tolist() if isinstance(x, np.ndarray) else x for x in row)
+                self.held += sum(len(str(x)) for x in row) - (sum(len(str(x)) for x in again) if again is not None else 0)
+                continue
+            while row is not None:
+                at, following, _, kind, instance, class_, seq, span, parent, named = row[:10]
+                self.instance = instance
+                if kind == "entry":
+                    ordinal += 1
+                    if class_ in starts:
+                        self.run, self.started = self.run + self.started, True
+                    iri = f"{segment}:{seq if seq is not None else ordinal}"
+                    if span is not None:
+                        fresh[self.run, span] = iri
+                    if parent is not None:
+                        born.append((self.run, parent, iri))
+                    if named is not None:
+                        for agent in named:
+                            self.named[agent] = instance
+                    self.ended = class_ in ends
+                if kind in ("entry", "seal"):
+                    out.append((kind, segment, instance, at, ordinal if kind == "entry" else None, *row[10:], None))
+                row = early.pop(following, None) if early else None
+                self.held -= sum(len(str(x)) for x in row) if row is not None else 0
+        self.following, self.ordinal = following, ordinal
+
+    def close(self) -> None:
+        """The batch is over: what it adds is kept, or forgotten where the segment has ended."""
+        if self.ended:
+            self.spans, self.children, self.agents, self.parts = [], [], {}, 0
+            self.held = self.held if self.early else 0
+            return
+        news = {a: of for a, of in self.named.items() if a not in self.agents}
+        self.held += sum(len(s) + len(i) + 8 for (_, s), i in self.fresh.items()) + sum(len(p) + len(i) + 8 for _, p, i in self.born) + sum(map(len, news))
+        self.spans += [(run, span, iri) for (run, span), iri in self.fresh.items()]
+        self.children += self.born
+        self.agents |= news
+
+    def state(self) -> list:
+        return [self.following, self.ordinal, self.run, bool(self.started), self.held, self.parts, list(self.early.values()), self.spans, self.children, self.agents]
+
+
 #: Columns that the follower reads of a line, and that it tells of it.
 PASSED = ["time", "subject", "keys", "values", "raw"]
 ROW = ["at", "following", "first", "kind", "instance", "iri", "seq", "span", "parent", "agents", "iri", *PASSED]
-EARLY = "at long, following long, first long, kind string, instance string, iri string, seq string, span string, parent string, agents array<string>, iri_again string, time string, subject string, keys array<string>, values array<string>, raw string"
 TOLD = ["what", "segment", "instance", "line_no", "ordinal", "class", "time", "subject", "keys", "values", "a", "b"]
 TOLD_KIND = "what string, segment string, instance string, line_no long, ordinal long, class string, time string, subject string, keys array<string>, values array<string>, a string, b string"
 
@@ -163,11 +239,11 @@ def followed(lines: DataFrame, v: Vocabulary, budget: int = BUDGET) -> DataFrame
     following = F.col("following") if "following" in lines.columns else F.col("line_no") + 1
     first = F.col("first") if "first" in lines.columns else F.lit(1)
     slim = lines.withColumn("e", e).select(
-        "segment", F.col("line_no").cast("long").alias("at"), following.cast("long").alias("following"), first.cast("long").alias("first"), "kind", "instance", F.col("e.class").alias("iri"), X.stated_sequence(f).cast("string").alias("seq"),
+        F.pmod(F.xxhash64("segment"), F.lit(BUCKETS)).alias("bucket"), "segment", F.col("line_no").cast("long").alias("at"), following.cast("long").alias("following"), first.cast("long").alias("first"), "kind", "instance", F.col("e.class").alias("iri"), X.stated_sequence(f).cast("string").alias("seq"),
         X.first_value(f, "span").alias("span"), X.first_value(f, "parent").alias("parent"), F.filter(X.all_values(f, "principal"), X.is_rdf_iri).alias("agents"),
         "e.time", "e.subject", F.transform(f, lambda x: x["key"]).alias("keys"), F.transform(f, lambda x: x["value"]).alias("values"), F.when(F.col("kind") == "seal", F.col("raw")).alias("raw"),
     )
-    return slim.groupBy("segment").transformWithStateInPandas(Follower(starts, ends, budget), TOLD_KIND, "Append", "None")
+    return slim.groupBy("bucket").transformWithStateInPandas(Follower(starts, ends, budget, NEAR, PART), TOLD_KIND, "Append", "None")
 
 
 def triples_stream(lines: DataFrame, v: Vocabulary, budget: int = BUDGET) -> DataFrame:
@@ -175,13 +251,15 @@ def triples_stream(lines: DataFrame, v: Vocabulary, budget: int = BUDGET) -> Dat
     told = followed(lines, v, budget)
     fields = F.transform(F.arrays_zip("keys", "values"), lambda x: F.struct(x["keys"].alias("key"), x["values"].alias("value")))
     predicate = v.predicate_map()
-    e = triples.node(told.withColumn("fields", F.when(F.col("what") == "entry", fields)))
+    e = triples.node(X.once(told, "fields", F.when(F.col("what") == "entry", fields)))
     of_fields = F.flatten(F.transform("fields", lambda f: F.concat(F.array(triples.declared_triple(v, f)), triples.undeclared_triples(v, f))))
     said = F.concat(triples.core_array(F.try_element_at(predicate, F.col("class"))), F.filter(F.array_distinct(of_fields), lambda t: t.isNotNull()), triples.delegation_array())
+    # In a step of its own: within a condition nothing is shared, and what is repeated would be worked out for each triple.
+    e = X.once(e, "said", F.when(F.col("what") == "entry", said))
     seal = X.parse_seal(F.col("a"))
     e = e.withColumns({"value": F.col("a"), "s": F.when(F.col("what") == "seal", seal)})
     of = (
-        F.when(F.col("what") == "entry", said).when(F.col("what") == "seal", triples.seal_array(F.col("s"))).when(F.col("what") == "agent", triples.agent_array())
+        F.when(F.col("what") == "entry", F.col("said")).when(F.col("what") == "seal", triples.seal_array(F.col("s"))).when(F.col("what") == "agent", triples.agent_array())
         .otherwise(F.array(triples.triple(F.col("a"), LOG + "invoked", F.col("b"))))
     )
     return triples.exploded(e.select("graph", of.alias("t")), F.col("t"))
