@@ -285,67 +285,100 @@ def seal_stream(entries: DataFrame, every: int, millis: int) -> DataFrame:
 
 
 class StreamWriter(StatefulProcessor):
-    """The writer of an instance.  writer: its state; waiting: entries that the watermark hasn't passed."""
+    """The writers of the instances of a bucket.  waiting: entries that the watermark hasn't passed, as texts, each with its first and last time; due: the bucket's timer."""
 
-    def __init__(self, level: str, cadence: Cadence, order: list[str], late: bool):
-        self.level, self.cadence, self.order, self.late = level, cadence, order, late
-        self.columns = [*WRITTEN, *[c for c in order if c not in WRITTEN]]
+    def __init__(self, level: str, cadence: Cadence, order: list[str], late: bool, room: int):
+        self.level, self.cadence, self.order, self.late, self.room = level, cadence, order, late, room
+        self.columns = ["instance", *WRITTEN, *[c for c in order if c not in ("instance", *WRITTEN)]]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.writer = handle.getValueState("writer", "name string, head string, started string, stem string, taken int, line_no long, seq long, sealed long, opened long, since long, failed boolean")
-        self.waiting = handle.getListState("waiting", ", ".join(f"{c} {'string' if c in TEXTS else 'long'}" for c in self.columns))
+        self.kept = Kept(handle, "writers", self.room)
+        self.waiting = handle.getListState("waiting", "first long, last long, entries string")
+        self.due = handle.getValueState("due", "at long")
 
-    def write(self, instance: str, rows: list[tuple]) -> pd.DataFrame:
-        w = Segments(instance, self.level, self.cadence)
-        stored = self.writer.get()
+    def write(self, rows: list[list]) -> Iterator[pd.DataFrame]:
+        self.kept.open()
+        out: list[tuple] = []
+        by = itemgetter(*(self.columns.index(c) for c in ("instance", *self.order)))
+        for instance, own in groupby(sorted(rows, key=by), key=itemgetter(0)):
+            w = Segments(instance, self.level, self.cadence)
+            stored = self.kept.take(instance)
+            if stored is not None:
+                w.restore(dict(zip(WRITER, stored)))
+            for _, time, ms, curie, subject, tail, *_ in own:
+                out += [(instance, *line) for line in w.add(time, int(ms), curie, subject, tail)]
+            self.kept.put(instance, [getattr(w, c) for c in WRITER])
+            if len(out) > ROWS:
+                yield pd.DataFrame(out, columns=WROTE)
+                out = []
+        self.kept.close()
+        if out:
+            yield pd.DataFrame(out, columns=WROTE)
+
+    def wait(self, at: int) -> None:
+        """Set the bucket's timer, unless an earlier one is set."""
+        stored = self.due.get()
+        if stored is not None and stored[0] <= at:
+            return
         if stored is not None:
-            name, head, started, stem, taken, *others = stored
-            w.restore({"name": name, "head": head, "started": started, "names": {stem: taken}} | dict(zip(("line_no", "seq", "sealed", "opened", "since", "failed"), others)))
-        out, by = [], itemgetter(*(self.columns.index(c) for c in self.order))
-        for time, ms, curie, subject, tail, *_ in sorted(rows, key=by):
-            out += w.add(time, int(ms), curie, subject, tail)
-        if w.name:
-            (stem, taken), = w.names.items()
-            self.writer.update((w.name, w.head, w.started, stem, taken, w.line_no, w.seq, w.sealed, w.opened, w.since, w.failed))
-        return pd.DataFrame([(instance, *line) for line in out], columns=["instance", "segment", "line_no", "line"])
+            self.handle.deleteTimer(stored[0])
+        self.handle.registerTimer(at)
+        self.due.update((at,))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
         if not self.late:
-            yield self.write(key[0], [r for frame in rows for r in tuples(frame, self.columns)])
+            yield from self.write([r for frame in rows for r in tuples(frame, self.columns)])
             return
         first = None
         for frame in rows:
-            self.waiting.appendList(tuples(frame, self.columns))
             least = int(frame["ms"].min())
+            self.waiting.appendList([packed(tuples(frame, self.columns))])
             first = least if first is None else min(first, least)
         if first is not None:
-            self.handle.registerTimer(max(first, timers.getCurrentWatermarkInMs() + 1))
+            self.wait(max(first, timers.getCurrentWatermarkInMs() + 1))
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        rows = [tuple(r) for r in self.waiting.get()]
-        due, later = [r for r in rows if r[1] <= now], [r for r in rows if r[1] > now]
-        if due and later:
+        due: list[list] = []
+        rest: list[list] = []
+        later: list[tuple[int, int, str]] = []
+        for first, last, text in self.waiting.get():
+            if first > now:  # none of them is due: they stay as they are
+                later.append((first, last, text))
+                continue
+            for r in json.loads(text):
+                (due if r[MS] <= now else rest).append(r)
+        if rest:
+            later.append(packed(rest))
+        if later:
             self.waiting.put(later)
-        elif due:
+        else:
             self.waiting.clear()
+        self.due.clear()  # the timer that has expired
         if later:
-            self.handle.registerTimer(min(r[1] for r in later))
+            self.wait(min(first for first, *_ in later))
         if due:
-            yield self.write(key[0], due)
+            yield from self.write(due)
 
     def close(self) -> None:
         pass
 
 
+def packed(rows: list) -> tuple[int, int, str]:
+    """Entries as (first time, last time, text)."""
+    return min(r[MS] for r in rows), max(r[MS] for r in rows), json.dumps(rows, ensure_ascii=False)
+
+
 def tuples(frame: pd.DataFrame, columns: list[str]) -> list[tuple]:
     """Rows of a frame; what is missing is None."""
     each = [[None if pd.isna(x) else x for x in frame[c].tolist()] if frame[c].hasnans else frame[c].tolist() for c in columns]
     return list(zip(*each))
 
 
-WRITTEN, TEXTS = ["time", "ms", "curie", "subject", "tail"], {"time", "curie", "subject", "tail"}
+WRITTEN, WROTE, MS = ["time", "ms", "curie", "subject", "tail"], ["instance", "segment", "line_no", "line"], 2
+#: What is kept of an instance's writer.
+WRITER = ["name", "head", "started", "names", "line_no", "seq", "sealed", "opened", "since", "failed"]
 
 
 def write_stream(entries: DataFrame, cadence: Cadence, order: list[str], level: str, v: Vocabulary, delay: str | None = None) -> DataFrame:
@@ -363,10 +396,10 @@ def write_stream(entries: DataFrame, cadence: Cadence, order: list[str], level:
     classes = F.broadcast(v.class_table(entries.sparkSession).select("class", "least_rank"))
     slim = entries.join(classes, "class", "left").where(F.coalesce(F.col("least_rank") <= rank, F.lit(True)))
     columns = ["instance", *WRITTEN, *[c for c in order if c not in ("instance", *WRITTEN)]]
-    slim = slim.select(*columns, F.timestamp_millis("ms").alias("came"))
+    slim = slim.select(F.pmod(F.xxhash64("instance"), F.lit(BUCKETS)).alias("bucket"), *columns, F.timestamp_millis("ms").alias("came"))
     if delay is not None:
         slim = slim.withWatermark("came", delay)
-    return slim.groupBy("instance").transformWithStateInPandas(StreamWriter(level, cadence, order, delay is not None), OUT, "Append", "None" if delay is None else "EventTime")
+    return slim.groupBy("bucket").transformWithStateInPandas(StreamWriter(level, cadence, order, delay is not None, NEAR), OUT, "Append", "None" if delay is None else "EventTime")
 
 
 class Appended(StreamingQueryListener):

@@ -73,3 +73,38 @@ def test_iris_are_told_the_short_way_and_the_long_one(spark):
     rows = {"urn:a:b": True, "http://x/y?z=1#[a]~!$&'()*+,;=@_-.": True, "urn:a%20b": True, "urn:a%2": False, "urn:é": True, "urn:a b": False, "urn:a ": False, "a": False, ":a": False, "urn:": True, "urn:<a": False, "urn:a`": False, "urn:{a}": False, "urn:a\n": False, "1urn:a": False, "urn:a\\": False}
     got = spark.createDataFrame([(k,) for k in rows], "c string").select("c", X.is_rdf_iri(F.col("c")).alias("ok")).collect()
     assert {r["c"]: r["ok"] for r in got} == rows
+
+
+def test_writers_share_a_bucket_near_and_far(spark, monkeypatch):
+    """Late entries of many instances in one bucket: the lines are those of the batch writer, each instance's last segment aside, and groups grow with the buckets."""
+    from provlog.operators.writer import Cadence, write_lines
+
+    n = F.col("id")
+    rows = spark.range(600).select(
+        F.format_string("urn:inst:%d", n % 40).alias("instance"), (n * 1000 + 1_000_000).alias("ms"), X.time_string(n * 1000 + 1_000_000).alias("time"), F.lit(LOG + "Message").alias("class"), F.lit("log:Message").alias("curie"),
+        F.format_string("urn:x:%d", "id").alias("subject"), F.lit("").alias("tail"), n.alias("event_id"), F.greatest(F.floor(n / 200) - F.when(n % 7 == 0, 1).otherwise(0), F.lit(0)).alias("n"),
+    )
+    last = spark.range(1).select(F.lit("urn:inst:end").alias("instance"), F.lit(10_000_000).cast("long").alias("ms"), F.lit(T.format(0)).alias("time"), F.lit(LOG + "Message").alias("class"), F.lit("log:Message").alias("curie"), F.lit("urn:x:end").alias("subject"), F.lit("").alias("tail"), F.lit(-1).cast("long").alias("event_id"), F.lit(3).cast("long").alias("n"))
+    cadence, order = Cadence(4, None, 6, None), ["ms", "event_id"]
+    closed = write_lines(rows.drop("class", "n"), cadence, order)
+    want = sorted(map(tuple, closed.where("line not like '% log:ProcessStop %'").collect()))
+
+    def run() -> list[tuple]:
+        stream = live.fed(rows.unionByName(last), "late", F.col("n"), 4).drop("n")
+        got = live.drained(live.write_stream(stream, cadence, order, "trace", Vocabulary.built_in(), "300 seconds"), "late")
+        return sorted(map(tuple, got.where("instance <> 'urn:inst:end'").collect()))
+
+    stop = {(i, s, no) for i, s, no, line in map(tuple, closed.where("line like '% log:ProcessStop %'").collect())}
+    want = [w for w in want if not any(w[:2] == x[:2] and w[2] > x[2] for x in stop)]  # closing seals too
+    assert len(want) > 600
+    assert run() == want
+    monkeypatch.setattr(live, "BUCKETS", 1)
+    for near in (1000, 0):
+        monkeypatch.setattr(live, "NEAR", near)
+        assert run() == want
+    monkeypatch.setattr(live, "BUCKETS", 3)
+    monkeypatch.setattr(live, "NEAR", 8 << 20)
+    stream = live.write_stream(live.fed(rows.drop("n"), "dealt"), cadence, order, "trace", Vocabulary.built_in())
+    query = live.started(stream, f"{live.shared_dir(spark)}/dealt")
+    query.awaitTermination()
+    assert max(r[3] for r in live.accounts(query)) <= 3
