@@ -136,7 +136,7 @@ def cached(
     """What :func:`transrept` gives, from a store of finished segments: their files are read once and never again."""
     given(since=since, until=until)
     v = vocabulary or Vocabulary.built_in()
-    return triples.all_triples(*cache.tables(spark, directory, store, v, since, until), v, ordered)
+    return triples.all_triples(*cache.tables(spark, directory, store, v, since, until), v, ordered, parsed=True)
 
 
 def checked(requests: DataFrame, classes: DataFrame) -> DataFrame:

@@ -207,15 +207,17 @@ def unreadable(lines: DataFrame) -> DataFrame:
     return lines.select("segment", "line_no", "raw", error.alias("error")).where("error is not null")
 
 
-def all_triples(headers: DataFrame, entries: DataFrame, seals: DataFrame | None, v: Vocabulary, ordered: bool = False) -> DataFrame:
+def all_triples(headers: DataFrame, entries: DataFrame, seals: DataFrame | None, v: Vocabulary, ordered: bool = False, parsed: bool = False) -> DataFrame:
     """Everything that segments say, as one table; the entries are parsed once and written, because what they say by themselves, agents and both sides of edges read them.
 
+    parsed: entries are columns of tables already, and aren't written again.
+
     ordered: with part, at and pos, by which a graph's triples are in document order: the segment, its entries, agents
     by name, edges by the child's line, seals by their range.
     """
     starts = v.below(LOG + "ProcessStart")
     spark = headers.sparkSession
-    entries = entries if entries.isStreaming else written(entries, "entries")
+    entries = entries if entries.isStreaming or parsed else written(entries, "entries")
     at = (lambda rows, c: rows.withColumn("at", c)) if ordered else (lambda rows, c: rows)
     number, text = F.col("line_no").cast("string"), F.lit("")
     padded = F.lpad(number, 20, "0")

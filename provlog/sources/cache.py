@@ -9,6 +9,7 @@ out by ranges of time and sorted by instance, so a time window prunes files, and
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -22,17 +23,24 @@ from provlog.vocabulary import LOG, Vocabulary
 
 INDEX = "file string, bytes long, modified timestamp, content string, batch string, finished boolean"
 KEYS = ["file", "bytes", "modified"]
-#: Files that are read by their paths; where there are more, the folder is read and the others are left out.
+#: By what rows of a store belong to what its index says of a file.
+KEPT = ["file", "batch"]
+#: Files that are read by their paths where Arrow doesn't reach them; where there are more, the folder is read and the others are left out.
 PATHS = 1000
 Tables = tuple[DataFrame, DataFrame, DataFrame]
 
 
 def read_files(spark: SparkSession, directory: str, wanted: DataFrame) -> DataFrame | None:
-    """What :func:`segments.read` gives of some files of a folder; None where there is none."""
+    """What :func:`segments.read` gives of some files (file, bytes, modified) of a folder; None where there is none."""
+    if wanted.isEmpty():
+        return None
+    read = segments.read_listed(spark, directory, wanted)
+    if read is not None:
+        return read
     paths = [r["file"] for r in wanted.select("file").head(PATHS + 1)]
     if len(paths) > PATHS:
         return segments.read(spark, directory).join(wanted.select("file"), "file", "left_semi")
-    return segments.read(spark, paths) if paths else None
+    return segments.read(spark, paths)
 
 
 def index(spark: SparkSession, store: str) -> DataFrame:
@@ -90,8 +98,8 @@ def tables(spark: SparkSession, directory: str, store: str, v: Vocabulary, since
     open file with a line that can't be read is an error.
     """
     known = remember(spark, directory, store, v)
-    kept = known.where("finished").select("file", "content", "batch")
-    stored = [spark.read.parquet(f"{store}/{part}").drop("file") if not kept.isEmpty() else None for part in ("headers", "entries", "seals")]
+    kept = known.where("finished").select("file", "batch")
+    stored = [spark.read.parquet(f"{store}/{part}").drop("content") if not kept.isEmpty() else None for part in ("headers", "entries", "seals")]
     open_ = read_files(spark, directory, known.where("not finished"))
     fresh = None
     if open_ is not None:
@@ -105,10 +113,12 @@ def tables(spark: SparkSession, directory: str, store: str, v: Vocabulary, since
     if since is not None or until is not None:
         stored[1] = stored[1].where(inside) if stored[1] is not None else None
         fresh = (fresh[0], fresh[1].where(inside), fresh[2]) if fresh is not None else None
+    named = [t.select("segment", "file") for t in (stored[0].join(kept, KEPT) if stored[0] is not None else None, fresh[0] if fresh is not None else None) if t is not None]
+    first = written(reduce(DataFrame.unionByName, named).groupBy("segment").agg(F.min("file").alias("file")), "first").select("file")
+    chosen = kept.join(first, "file", "left_semi")
     out = []
     for i, old in enumerate(stored):
-        each = [old.join(kept, ["content", "batch"]).drop("content", "batch")] if old is not None else []
-        each += [fresh[i]] if fresh is not None else []
-        out.append(each[0] if len(each) == 1 else each[0].unionByName(each[1]))
-    first = written(out[0].groupBy("segment").agg(F.min("file").alias("file")), "first").select("file")
-    return tuple(t.join(first, "file", "left_semi").drop("file") for t in out)
+        each = [old.join(chosen, KEPT, "left_semi").drop(*KEPT)] if old is not None else []
+        each += [fresh[i].join(first, "file", "left_semi").drop("file")] if fresh is not None else []
+        out.append(reduce(DataFrame.unionByName, each))
+    return tuple(out)

@@ -6,11 +6,17 @@ Files are those of a folder that end in ``.log``, and the part files that
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from provlog.functions import text as X
+from provlog.sources import ranges
 from provlog.sources.tables import written as cut
 from provlog.vocabulary import MAGIC
 
@@ -105,6 +111,11 @@ def read(spark: SparkSession, directory: str, limit: int | None = None, budget:
     if budget is not None and (raw.agg(F.sum("length")).first()[0] or 0) > budget:
         raise ValueError(f"over budget: {directory} has more than {budget} bytes")
     size = F.lit(False) if limit is None else F.col("length") > limit
+    return decoded(raw, size)
+
+
+def decoded(raw: DataFrame, size: Column) -> DataFrame:
+    """What :func:`read` gives of files (path, modificationTime, length, content); size: whether one is too large."""
     error = F.when(size, "too large").when(~F.is_valid_utf8(F.col("content").cast("string")), "not UTF-8")
     return raw.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), error.alias("error"), F.when(error.isNull(), F.col("content").cast("string")).alias("text"))
 
@@ -206,10 +217,101 @@ def conflicts(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def manifest(spark: SparkSession, directory: str) -> DataFrame:
-    """file, bytes, modified of a folder's segments, written down; contents aren't read."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "{*.log,part-*.txt}").option("recursiveFileLookup", True).load(directory)
-    facts = raw.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
-    return cut(facts.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions"))), "manifest")  # small rows, of many small files
+    """file, bytes, modified of a folder's segments, written down; contents aren't read.
+
+    Folders are listed by tasks, a level at a time, so the driver holds no list of files; where Arrow doesn't know the file system, Spark lists them.
+    """
+    found = listed(spark, directory)
+    if found is None:
+        raw = spark.read.format("binaryFile").option("pathGlobFilter", "{*.log,part-*.txt}").option("recursiveFileLookup", True).load(directory)
+        found = raw.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    return cut(found.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions"))), "manifest")  # small rows, of many small files
+
+
+def rooted(spark: SparkSession, directory: str) -> tuple[str, str] | None:
+    """(what Spark calls a folder, the URI or path by which Arrow reaches it); None where Arrow doesn't, or where it is no folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    name = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    uri = name.removeprefix("file:") if name.startswith("file:") else name
+    try:
+        system, at = ranges.opened(uri)
+        return (name, uri) if system.get_file_info(at).type == fs.FileType.Directory else None
+    except (pa.ArrowException, OSError):
+        return None
+
+
+def is_segment(name: str) -> bool:
+    """Whether a file's name is a segment's: what Spark's filter {*.log,part-*.txt} takes of names that aren't hidden."""
+    return not is_hidden(name) and (name.endswith(".log") or (name.startswith("part-") and name.endswith(".txt")))
+
+
+def is_hidden(name: str) -> bool:
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def listed(spark: SparkSession, directory: str) -> DataFrame | None:
+    """file, bytes, modified of a folder's segments, each folder listed by a task; None where Arrow doesn't reach it."""
+    root = rooted(spark, directory)
+    if root is None:
+        return None
+    name, uri = root
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = ranges.opened(uri)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = system.get_file_info(fs.FileSelector(top + folder))
+                found = [f for f in found if not is_hidden(f.base_name) and (f.type == fs.FileType.Directory or (is_segment(f.base_name) and f.size))]  # Spark reads no empty files
+                for i in range(0, len(found), ranges.ROWS):
+                    some = found[i : i + ranges.ROWS]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([f"{folder}/{f.base_name}" for f in some]), pa.array([f.type == fs.FileType.Directory for f in some]), pa.array([f.size for f in some], pa.int64()), pa.array([f.mtime_ns // 1_000_000 for f in some], pa.int64())],
+                        ["at", "folder", "bytes", "ms"],
+                    )
+
+    parts, level = [], spark.createDataFrame([("",)], "at string")
+    while True:
+        found = cut(level.mapInArrow(run, "at string, folder boolean, bytes long, ms long"), "listed")
+        parts.append(found.where("not folder"))
+        folders = found.where("folder").select("at")
+        if folders.isEmpty():
+            break
+        level = folders.repartition(4 * spark.sparkContext.defaultParallelism)
+    return reduce(DataFrame.unionByName, parts).select(F.concat(F.lit(name), "at").alias("file"), "bytes", F.timestamp_millis("ms").alias("modified"))
+
+
+#: Bytes of files that a task reads, and of a batch, about.
+SHARE, BATCH = 64 << 20, 4 << 20
+
+
+def read_listed(spark: SparkSession, directory: str, wanted: DataFrame) -> DataFrame | None:
+    """What :func:`read` gives of the files that a manifest of a folder names, read by tasks by their names; None where Arrow doesn't reach it."""
+    root = rooted(spark, directory)
+    if root is None:
+        return None
+    name, uri = root
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = ranges.opened(uri)
+        kind = pa.schema([("path", pa.string()), ("modificationTime", pa.timestamp("us", "UTC")), ("length", pa.int64()), ("content", pa.binary())])
+        rows: list[tuple] = []
+        held = 0
+        for batch in batches:
+            for file, modified in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with system.open_input_stream(top + file[len(name) :]) as stream:
+                    content = stream.read()
+                rows.append((file, modified, len(content), content))
+                held += len(content)
+                if held > BATCH or len(rows) >= ranges.ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kind.types)], schema=kind)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kind.types)], schema=kind)
+
+    size = wanted.agg(F.sum(F.col("bytes") + F.lit(ranges.OPENING))).first()[0] or 0  # one row
+    shares = max(spark.sparkContext.defaultParallelism, size // SHARE)
+    raw = wanted.select("file", "modified").repartition(int(shares)).mapInArrow(run, "path string, modificationTime timestamp, length long, content binary")
+    return decoded(raw, F.lit(False))
 
 
 def settled(before: DataFrame, files: DataFrame, after: DataFrame) -> DataFrame:
